@@ -1,7 +1,8 @@
 """Log line formats. A format says which lines are its own and takes the raw fields out of them.
 
 ``fields(line)`` gives ``struct<time STRING, stream STRING, is_partial BOOLEAN, payload BINARY>`` with nulls where the
-line does not fit. A user's own format is one more ``LineFormat`` in the list given to ``parse_lines``.
+line does not fit, and with all fields null for a null line. A user's own format is one more ``LineFormat`` in the list
+given to ``parse_lines``.
 """
 
 from collections.abc import Callable
@@ -20,6 +21,7 @@ class LineFormat:
     name: str
     matches: Callable[[Column], Column]
     fields: Callable[[Column], Column]
+    view: Callable[[Column], Column] = lambda line: line  # a form of the line computed once, for fields() to read
     escaped: bool = False  # the payload's line end is written out as backslash and letter
 
 
@@ -32,15 +34,21 @@ def json_string_field(text: Column, key: str) -> Column:
     return F.try_element_at(F.regexp_extract_all(text, F.lit(value), 1), F.lit(1))
 
 
-def json_fields(line: Column) -> Column:
+def json_view(line: Column) -> Column:
+    """Text for the patterns: the line, or one character per byte where it is not UTF-8; and which of both it is."""
     valid = F.is_valid_utf8(line)
     text = F.when(valid, line).otherwise(F.decode(line.cast("binary"), ONE_BYTE_CHARSET))
+    return F.struct(text.alias("text"), valid.alias("valid"))
+
+
+def json_fields(view: Column) -> Column:
+    text = view["text"]
     log = json_string_field(text, "log")
     return F.struct(
         json_string_field(text, "time").alias("time"),
         json_string_field(text, "stream").alias("stream"),
-        (log != log).alias("is_partial"),
-        F.when(valid, log.cast("binary")).otherwise(F.encode(log, ONE_BYTE_CHARSET)).alias("payload"),
+        F.when(text.isNotNull(), False).alias("is_partial"),
+        F.when(view["valid"], log.cast("binary")).otherwise(F.encode(log, ONE_BYTE_CHARSET)).alias("payload"),
     )
 
 
@@ -59,7 +67,7 @@ def cri_fields(line: Column) -> Column:
     )
 
 
-JSON = LineFormat("json", lambda line: line.startswith("{"), json_fields, escaped=True)
+JSON = LineFormat("json", lambda line: line.startswith("{"), json_fields, json_view, escaped=True)
 CRI = LineFormat("cri", lambda line: F.lit(True), cri_fields)
 # The first format that claims a line keeps it, also when the line then fails.
 FORMATS = (JSON, CRI)

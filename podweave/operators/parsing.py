@@ -18,7 +18,8 @@ def _staged(lines: DataFrame, line: str, formats) -> tuple[DataFrame, Column]:
     """
     staged = lines.withColumn("format", detect_format(F.col(line), formats))
     staged = staged.withColumns({f"_line_{f.name}": F.when(F.col("format") == f.name, F.col(line)) for f in formats})
-    staged = staged.withColumns({f"_raw_{f.name}": f.fields(F.col(f"_line_{f.name}")) for f in formats})
+    staged = staged.withColumns({f"_view_{f.name}": f.view(F.col(f"_line_{f.name}")) for f in formats})
+    staged = staged.withColumns({f"_raw_{f.name}": f.fields(F.col(f"_view_{f.name}")) for f in formats})
 
     def raw(field: str) -> Column:
         return F.coalesce(*(F.col(f"_raw_{f.name}.{field}") for f in formats))
