@@ -9,7 +9,7 @@ import struct
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
 from podweave.functions.bytes import be_hex, be_uint
 from podweave.settings import FRAME_BATCH, FRAME_MAX_PAYLOAD, FRAME_REGISTER
@@ -97,10 +97,24 @@ def decode_registers(frames: DataFrame) -> DataFrame:
     )
 
 
-def batch_header(frames: DataFrame) -> DataFrame:
-    """Batch frames with ``stream_id`` and ``event_count`` of their prefix: all that routing and admission need."""
-    data = F.col("payload")
-    return frames.withColumns({"stream_id": be_uint(data, 1, 4), "event_count": be_uint(data, 5, 4)})
+def inspect_batches(frames: DataFrame) -> DataFrame:
+    """Batch frames without their payload: ``stream_id, event_count, error``. All that routing and admission need;
+    a payload whose lengths lead out of it has an error, so that it is not charged.
+    """
+    kept = [c for c in frames.columns if c not in ("payload", "type", "error")]
+    added = [("stream_id", LongType()), ("event_count", LongType()), ("error", StringType())]
+    schema = StructType([frames.schema[c] for c in kept] + [StructField(*field) for field in added])
+
+    def inspect(batches):
+        for batch in batches:
+            found = [decode_batch(p) for p in batch.column("payload").to_pylist()]
+            columns = [batch.column(c) for c in kept]
+            columns.append(pa.array([f[0] for f in found], pa.int64()))
+            columns.append(pa.array([len(f[1]) for f in found], pa.int64()))
+            columns.append(pa.array([f[2] for f in found], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return frames.select(*kept, "payload").mapInArrow(inspect, schema)
 
 
 def decode_batch(payload: bytes):
@@ -126,10 +140,9 @@ def decode_events(frames: DataFrame) -> DataFrame:
     error``. A bad payload gives one row with the error and no event; bytes behind the last event are ignored.
     """
     kept = [c for c in frames.columns if c not in ("payload", "type", "stream_id", "event_count", "error")]
-    schema = StructType([frames.schema[c] for c in kept])
-    for name, kind in (("idx", "bigint"), ("stream_id", "bigint"), ("timestamp_ns", "bigint"),
-                       ("is_stderr", "boolean"), ("payload", "binary"), ("error", "string")):
-        schema = schema.add(name, kind)
+    added = [("idx", LongType()), ("stream_id", LongType()), ("timestamp_ns", LongType()),
+             ("is_stderr", BooleanType()), ("payload", BinaryType()), ("error", StringType())]
+    schema = StructType([frames.schema[c] for c in kept] + [StructField(*field) for field in added])
 
     def decode(batches):
         for batch in batches:
