@@ -83,18 +83,20 @@ def split_frames(frames: DataFrame, limit: int = FRAME_MAX_PAYLOAD, fail_fast: b
 def decode_registers(frames: DataFrame) -> DataFrame:
     """Register frames to ``stream_id`` and the four names, with ``error`` where a length field leads out of the payload."""
     data = F.col("payload")
-    staged, at = frames.withColumn("stream_id", be_uint(data, 1, 4)), F.lit(5)
+    staged, at = frames.withColumn("_id", be_uint(data, 1, 4)), F.lit(5)
     for name in NAMES:
         length, text = f"_n_{name}", f"_t_{name}"
         staged = staged.withColumn(length, be_uint(data, at, 2))
         staged = staged.withColumn(text, F.substring(data, at + 2, F.col(length).cast("int")))
         at = at + 2 + F.col(length).cast("int")
     whole = (F.octet_length(data) >= 12) & F.coalesce(at - 1 <= F.octet_length(data), F.lit(False))
-    names = [F.when(whole, F.col(f"_t_{n}").cast("string")).alias(n) for n in NAMES]
-    return staged.select(
-        *(c for c in frames.columns if c not in ("payload", "type")),
-        F.when(whole, F.col("stream_id")).alias("stream_id"), *names, F.when(~whole, SHORT).alias("error"),
+    record = F.struct(
+        F.when(whole, F.col("_id")).alias("stream_id"),
+        *(F.when(whole, F.col(f"_t_{n}").cast("string")).alias(n) for n in NAMES),
+        F.when(~whole, SHORT).alias("error"),
     )
+    # As a table function, so that a filter on the outcome does not pull the nested positions into itself.
+    return staged.select(*(c for c in frames.columns if c not in ("payload", "type")), F.inline(F.array(record)))
 
 
 def inspect_batches(frames: DataFrame) -> DataFrame:

@@ -258,8 +258,8 @@ ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') r
     "rendered_lines": with_(EVENTS + "," + REGISTRY, f"""
 SELECT event_id, {RENDER} AS line FROM parsed JOIN registry USING (path)"""),
     "times_of_day": f"""
-SELECT event_id, strftime(make_timestamp(cast(floor((event_id - 500) * 7919000000123::hugeint / 1000::hugeint) AS bigint)),
-  '%H:%M:%S.%f') AS time_of_day, {STREAM_NAME} AS stream FROM events""",
+SELECT event_id, strftime(make_timestamp((n - ((n % 1000) + 1000) % 1000) // 1000), '%H:%M:%S.%f') AS time_of_day,
+  {STREAM_NAME} AS stream FROM (SELECT *, (event_id - 500) * 7919000000123 AS n FROM events)""",
     "big_endian_numbers": f"""
 SELECT l_orderkey, l_linenumber, upper({be("n", 8)} || {be("l_partkey", 4)} || {be("l_linenumber", 2)}) AS bytes,
   n AS signed, cast(l_partkey AS bigint) AS part, cast(l_linenumber AS bigint) AS line, NULL::bigint AS beyond

@@ -1,6 +1,6 @@
 """The registered queries: every operator over the whole given tables."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podweave.functions.bytes import be_bytes, be_int64, be_uint, payload_bytes, trim_eol, trim_escaped_eol
@@ -42,12 +42,13 @@ from podweave.sources.textsink import render, stream_text, write_text
 from podweave.streaming.admission import admit_stream
 from podweave.streaming.delivery import start
 
-def text():
-    return F.col("payload").cast("string").alias("payload")
-
 RENDERED = ("is_stderr", "stream_id", "timestamp_ns", "payload")
 
 
+def text() -> Column:
+    return F.col("payload").cast("string").alias("payload")
+
+
 # --- parsing ---------------------------------------------------------------------------------------------------------
 
 
@@ -134,8 +135,15 @@ def stream_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_registry(parse_lines(event_lines(spark, sf_dir)), "event_id")
 
 
+def _landed(df: DataFrame, name: str) -> DataFrame:
+    """Store a table once in the shared folder, for the steps behind it to read the columns they need."""
+    home = scratch(df.sparkSession, name)
+    df.write.parquet(home)
+    return df.sparkSession.read.parquet(home)
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collect_events(event_lines(spark, sf_dir))
+    return _landed(collect_events(event_lines(spark, sf_dir)), "events")
 
 
 def events_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +154,8 @@ def events_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def volume_by_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: lines to events to volume per namespace and output stream."""
-    events = _events(spark, sf_dir).withColumn("namespace", pod_metadata(F.col("path"))["namespace"])
+    events = collect_events(event_lines(spark, sf_dir))
+    events = events.withColumn("namespace", pod_metadata(F.col("path"))["namespace"])
     return events.groupBy("namespace", "stream").agg(
         F.count("*").alias("events"),
         F.sum("payload_bytes").alias("bytes"),
@@ -236,7 +245,7 @@ def admitted_hot_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def admitted_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batches = event_batches(spark, sf_dir).withColumn("clock_ms", F.col("last_order") * 2)
+    batches = _landed(event_batches(spark, sf_dir), "batches").withColumn("clock_ms", F.col("last_order") * 2)
     verdicts = admit(
         add_chunk(batches, "last_order", SPAN), ["path"], "chunk", "last_order", "clock_ms", "event_count", 30, 100
     )
@@ -297,7 +306,7 @@ def big_endian_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collect_frames(_events(spark, sf_dir), "node-1", "event_id", order="event_id")
+    return _landed(collect_frames(_events(spark, sf_dir), "node-1", "event_id", order="event_id"), "frames")
 
 
 def frame_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ def database(sf_dir: str):
 
 
 def kind(name: str) -> str:
-    return {"BIGINT": "bigint", "VARCHAR": "string", "BOOLEAN": "boolean", "DOUBLE": "double"}.get(name, name)
+    return {"BIGINT": "bigint", "VARCHAR": "string", "BOOLEAN": "boolean", "INTEGER": "int", "DOUBLE": "double"}.get(name, name)
 
 
 def compare(spark, con, name: str, sf_dir: str) -> str | None:
