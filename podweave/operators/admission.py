@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from podweave.operators.chunks import before, in_chunks, join_lookup, long_streams, runs, settle
+from podweave.operators.chunks import in_chunks, join_lookup, long_streams, runs, settle
 from podweave.settings import BURST, BURST_CEILING, RATE_PER_SECOND
 
 STATE = ["_tokens", "_last"]
+ENTRY = ["_from_tokens", "_from_last"]
 
 
 def spend(state, costs, clocks, resets, rate: int, burst: int):
@@ -44,9 +45,11 @@ def admit(
     """The requests with ``admitted BOOLEAN``; rows where ``reset`` is true refill the bucket and are not returned.
 
     The state at a chunk's start is that at the end of the chunk before. Every chunk is first folded from a full
-    bucket; then again from the end state found for the chunk before it, until no chunk's start state changes, which
-    is the sequential result. Two bucket states grow equal as soon as the bucket fills up, so a second pass is mostly
-    the last one. A stream of one chunk needs none of this.
+    bucket; then from the end state found for the chunk before it, until the end of every chunk is known for the start
+    that its stream really gives it: the sequential result. Two bucket states grow equal as soon as the bucket fills
+    up, so a second pass is mostly the last one. Under lasting overload by requests of one cost the phase of the
+    refills never gets lost; then there are as many passes as phases met, at most one per chunk. A stream of one chunk
+    needs none of this.
     """
     burst = min(burst, BURST_CEILING)
     is_reset = F.coalesce(F.col(reset), F.lit(False)) if reset else F.lit(False)
@@ -111,31 +114,62 @@ def _start_states(slim: DataFrame, keys, chunk, order, rate: int, burst: int) ->
     if several.isEmpty():
         return None
     slim = join_lookup(slim, several, keys, "left_semi")
-    schema = StructType([slim.schema[c] for c in group] + [StructField(c, LongType()) for c in STATE])
-
-    def end_states(frames):
-        last = (None, None)
-        for _, state in _spent(frames, group, rate, burst):
-            if last[0] is not None and last[0] != state[0]:
-                yield pd.DataFrame([[*last[0], *last[1]]], columns=[*group, *STATE])
-            last = state
-        if last[0] is not None:
-            yield pd.DataFrame([[*last[0], *last[1]]], columns=[*group, *STATE])
-
-    def fold(rows: DataFrame) -> DataFrame:
-        return in_chunks(rows, keys, chunk, F.desc("_seed"), order).mapInPandas(end_states, schema)
-
-    ends = settle(fold(slim))
-    starts = None
+    fields = [slim.schema[c] for c in group]
+    per_chunk = [*group, *ENTRY, *STATE, "_round"]
+    longs = [StructField(c, LongType()) for c in (*ENTRY, *STATE, "_round")]
+
+    def fold(rows: DataFrame, tried: int) -> DataFrame:
+        def end_states(frames):
+            """One row per chunk: the state it started from (-1: a full bucket) and the one it ended in."""
+            key, entry, end = None, None, None
+            for frame in frames:
+                starts = iter(key_and_seed(frame, group))
+                for _, (run_key, bucket) in _spent([frame], group, rate, burst, (key, end)):
+                    seed = next(starts)
+                    if run_key != key:
+                        if key is not None:
+                            yield pd.DataFrame([[*key, *entry, *end, tried]], columns=per_chunk)
+                        key, entry = run_key, seed
+                    end = bucket
+            if key is not None:
+                yield pd.DataFrame([[*key, *entry, *end, tried]], columns=per_chunk)
+
+        return in_chunks(rows, keys, chunk, F.desc("_seed"), order).mapInPandas(end_states, StructType(fields + longs))
+
+    def follow(frames):
+        """Through a stream's chunks in order: each one's start state, and whether its end is known for that start."""
+        stream, state = None, None
+        for frame in frames:
+            out = []
+            for *key, from_tokens, from_last, tokens, last, rounds in zip(*(frame[c].tolist() for c in per_chunk)):
+                ends_of = list(zip(map(int, tokens), map(int, last)))
+                table = dict(zip(zip(map(int, from_tokens), map(int, from_last)), ends_of))
+                if key[:-1] != stream:
+                    stream, state = key[:-1], (-1, -1)
+                else:
+                    out.append([*key, *state, state in table])
+                state = table.get(state, ends_of[int(rounds.argmax())])
+            if out:
+                yield pd.DataFrame(out, columns=[*group, *STATE, "_known"])
+
+    found_schema = StructType(fields + [StructField(c, LongType()) for c in STATE] + [StructField("_known", BooleanType())])
+    ends, tried = settle(fold(slim, 0)), 0
     while True:
-        previous = before(keys, chunk).rowsBetween(-1, -1)
-        found = settle(
-            ends.select(*group, *(F.first(c).over(previous).alias(c) for c in STATE)).where("_tokens IS NOT NULL")
-        )
-        changed = found if starts is None else settle(found.join(starts, [*group, *STATE], "left_anti"))
-        if changed.isEmpty():
-            return found
-        again = join_lookup(slim, changed.select(*group), group, "left_semi")
-        kept = ends.join(changed.select(*group), group, "left_anti")
-        ends = settle(kept.unionByName(fold(_with_seeds(again, changed, order))))
-        starts = found
+        # One row per chunk and start tried: a stream's rows pass one task, its requests do not.
+        tables = ends.groupBy(*group).agg(F.collect_list(F.struct(*ENTRY, *STATE, "_round")).alias("_ends"))
+        tables = tables.select(*group, *(F.col(f"_ends.{c}").alias(c) for c in per_chunk[len(group):]))
+        ordered = tables.repartition(*keys).sortWithinPartitions(*keys, chunk)
+        found = settle(ordered.mapInPandas(follow, found_schema))
+        open_chunks = found.where("NOT _known").drop("_known")
+        if open_chunks.isEmpty():
+            return found.drop("_known")
+        tried += 1
+        again = join_lookup(slim, open_chunks.select(*group), group, "left_semi")
+        ends = settle(ends.unionByName(fold(_with_seeds(again, open_chunks, order), tried)))
+
+
+def key_and_seed(frame: pd.DataFrame, group: list[str]):
+    """Per run of a frame, the start state its seed row gives."""
+    for _, run in runs([frame], group):
+        seeded = run["_seed"].iat[0]
+        yield (int(run["_tokens"].iat[0]), int(run["_last"].iat[0])) if seeded else (-1, -1)
