@@ -44,8 +44,8 @@ def main() -> None:
     print(json.dumps({
         "metric": "total time of the headline queries", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": sf_dir.rsplit("sf", 1)[-1], "spark_start_up_sec": round(start_up, 1),
-        "parse_events_per_sec": round(events / times["volume_by_namespace"]),
-        "admit_events_per_sec": round(events / times["admitted_events"]),
+        "parse_events_per_sec": round(events / times["volume_by_namespace"]) if "volume_by_namespace" in times else None,
+        "admit_events_per_sec": round(events / times["admitted_events"]) if "admitted_events" in times else None,
     }))
 
 

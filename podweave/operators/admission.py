@@ -4,13 +4,13 @@ A bucket starts full, gains ``rate`` tokens per second up to ``burst``, keeps wh
 a refusal. The clock is a column of the request in milliseconds, so a replay gives the same verdicts.
 """
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from podweave.operators.chunks import in_chunks, join_lookup, long_streams, runs, settle
+from podweave.operators.chunks import in_chunks, in_frames, join_lookup, long_streams, runs, settle
 from podweave.settings import BURST, BURST_CEILING, RATE_PER_SECOND
 
 STATE = ["_tokens", "_last"]
@@ -72,7 +72,7 @@ def admit(
         for batch in batches:
             frame = batch.select([*group, "_clock", "_cost", "_reset", "_seed", *STATE]).to_pandas()
             verdicts = []
-            for found, state in _spent([frame], group, rate, burst, state):
+            for found, _, state in _spent([frame], group, rate, burst, state):
                 verdicts += found
             yield batch.append_column("admitted", pa.array(verdicts, pa.bool_()))
 
@@ -82,21 +82,18 @@ def admit(
 
 
 def _spent(frames, group, rate, burst, state=(None, None)):
-    """Run by run: the verdicts (none for a seed row) and (key, bucket state) behind the run."""
+    """Run by run: the verdicts (none for a seed row), the start state its seed row gives, and (key, end state)."""
     for key, run in runs(frames, group):
-        key_before, bucket = state
-        if key_before != key:
-            bucket = None
+        bucket, seed, first = state[1] if state[0] == key else None, None, 0
         verdicts = []
-        if run["_seed"].iat[0]:
-            bucket = (int(run["_tokens"].iat[0]), int(run["_last"].iat[0]))
-            verdicts.append(None)
-            run = run.iloc[1:]
+        if run["_seed"][0]:
+            bucket = seed = (int(run["_tokens"][0]), int(run["_last"][0]))
+            verdicts, first = [None], 1
         more, bucket = spend(
-            bucket, run["_cost"].tolist(), run["_clock"].tolist(), run["_reset"].tolist(), rate, burst
+            bucket, *(run[c][first:].tolist() for c in ("_cost", "_clock", "_reset")), rate, burst
         )
         state = (key, bucket)
-        yield verdicts + more, state
+        yield verdicts + more, seed, state
 
 
 def _with_seeds(rows: DataFrame, seeds: DataFrame, order: str) -> DataFrame:
@@ -122,36 +119,33 @@ def _start_states(slim: DataFrame, keys, chunk, order, rate: int, burst: int) ->
         def end_states(frames):
             """One row per chunk: the state it started from (-1: a full bucket) and the one it ended in."""
             key, entry, end = None, None, None
-            for frame in frames:
-                starts = iter(key_and_seed(frame, group))
-                for _, (run_key, bucket) in _spent([frame], group, rate, burst, (key, end)):
-                    seed = next(starts)
-                    if run_key != key:
-                        if key is not None:
-                            yield pd.DataFrame([[*key, *entry, *end, tried]], columns=per_chunk)
-                        key, entry = run_key, seed
-                    end = bucket
+            for _, seed, (run_key, bucket) in _spent(frames, group, rate, burst):
+                if run_key != key:
+                    if key is not None:
+                        yield (*key, *entry, *end, tried)
+                    key, entry = run_key, seed or (-1, -1)
+                end = bucket
             if key is not None:
-                yield pd.DataFrame([[*key, *entry, *end, tried]], columns=per_chunk)
+                yield (*key, *entry, *end, tried)
 
-        return in_chunks(rows, keys, chunk, F.desc("_seed"), order).mapInPandas(end_states, StructType(fields + longs))
+        return in_chunks(rows, keys, chunk, F.desc("_seed"), order).mapInPandas(
+            lambda frames: in_frames(end_states(frames), per_chunk), StructType(fields + longs)
+        )
 
     def follow(frames):
         """Through a stream's chunks in order: each one's start state, and whether its end is known for that start."""
         stream, state = None, None
         for frame in frames:
-            out = []
             for *key, from_tokens, from_last, tokens, last, rounds in zip(*(frame[c].tolist() for c in per_chunk)):
                 ends_of = list(zip(map(int, tokens), map(int, last)))
                 table = dict(zip(zip(map(int, from_tokens), map(int, from_last)), ends_of))
                 if key[:-1] != stream:
                     stream, state = key[:-1], (-1, -1)
                 else:
-                    out.append([*key, *state, state in table])
-                state = table.get(state, ends_of[int(rounds.argmax())])
-            if out:
-                yield pd.DataFrame(out, columns=[*group, *STATE, "_known"])
+                    yield (*key, *state, state in table)
+                state = table.get(state, ends_of[int(np.argmax(rounds))])
 
+    found_columns = [*group, *STATE, "_known"]
     found_schema = StructType(fields + [StructField(c, LongType()) for c in STATE] + [StructField("_known", BooleanType())])
     ends, tried = settle(fold(slim, 0)), 0
     while True:
@@ -159,17 +153,10 @@ def _start_states(slim: DataFrame, keys, chunk, order, rate: int, burst: int) ->
         tables = ends.groupBy(*group).agg(F.collect_list(F.struct(*ENTRY, *STATE, "_round")).alias("_ends"))
         tables = tables.select(*group, *(F.col(f"_ends.{c}").alias(c) for c in per_chunk[len(group):]))
         ordered = tables.repartition(*keys).sortWithinPartitions(*keys, chunk)
-        found = settle(ordered.mapInPandas(follow, found_schema))
+        found = settle(ordered.mapInPandas(lambda frames: in_frames(follow(frames), found_columns), found_schema))
         open_chunks = found.where("NOT _known").drop("_known")
         if open_chunks.isEmpty():
             return found.drop("_known")
         tried += 1
         again = join_lookup(slim, open_chunks.select(*group), group, "left_semi")
         ends = settle(ends.unionByName(fold(_with_seeds(again, open_chunks, order), tried)))
-
-
-def key_and_seed(frame: pd.DataFrame, group: list[str]):
-    """Per run of a frame, the start state its seed row gives."""
-    for _, run in runs([frame], group):
-        seeded = run["_seed"].iat[0]
-        yield (int(run["_tokens"].iat[0]), int(run["_last"].iat[0])) if seeded else (-1, -1)

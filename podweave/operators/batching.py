@@ -5,13 +5,12 @@ the end of each read (``delta``, one of the keys).
 """
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from podweave.operators.chunks import in_chunks, join_lookup, long_streams, runs, settle
+from podweave.operators.chunks import in_chunks, in_frames, join_lookup, long_streams, runs, settle
 from podweave.settings import BATCH_MAX_BYTES, BATCH_MAX_EVENTS
 
 LANE_LISTS = ["head", "closed", "counts", "sizes"]
@@ -90,18 +89,19 @@ def batch_pieces(
         rows = rows.unionByName(seeds.withColumns({"_seed": F.lit(1), order: F.lit(0).cast("bigint")}))
 
     def cut(frames):
-        state = None
+        state = (None, None)
         for key, run in runs(frames, group):
-            if state is None or state[0] != key:
+            if state[0] != key:
                 state = (key, (0, key[-1], 0, 0))
-            if run["_seed"].iat[0] == 1:
-                state = (key, tuple(int(run[c].iat[0]) for c in SEED))
-                run = run.iloc[1:]
-            n = len(run)
+            sizes, orders = run["_size"], run[order]
+            if run["_seed"][0] == 1:
+                state = (key, tuple(int(run[c][0]) for c in SEED))
+                sizes, orders = sizes[1:], orders[1:]
+            n = len(sizes)
             if n == 0:
                 continue
             batch, home, count, size_sum = state[1]
-            total, closing = _closing_rows(run["_size"].to_numpy(dtype=np.int64), max_events, max_bytes)
+            total, closing = _closing_rows(sizes, max_events, max_bytes)
             steps = closing.tolist()
             at = min(max_events - count, int(np.searchsorted(total, max_bytes - size_sum)) + 1)
             starts = [0]
@@ -110,54 +110,49 @@ def batch_pieces(
                 at = steps[at]
             bounds = np.array([*starts, n])
             sums = np.concatenate([[0], total])
-            number = batch + np.arange(len(starts))
             homes = [home if count > 0 else key[-1]] + [key[-1]] * (len(starts) - 1)
-            orders = run[order].to_numpy()
-            yield pd.DataFrame({name: [value] * len(starts) for name, value in zip(group, key)} | {
-                "home_chunk": homes,
-                "batch_id": number,
-                "first_order": orders[bounds[:-1]],
-                "last_order": orders[bounds[1:] - 1],
-                "event_count": np.diff(bounds),
-                "payload_bytes": np.diff(sums[bounds]),
-            })
-            only = len(starts) == 1
+            pieces = zip(homes, range(batch, batch + len(starts)), orders[bounds[:-1]], orders[bounds[1:] - 1],
+                         np.diff(bounds), np.diff(sums[bounds]))
+            for piece in pieces:
+                yield (*key, *piece)
+            last, only = batch + len(starts) - 1, len(starts) == 1
             open_count = n - starts[-1] + (count if only else 0)
             open_size = int(sums[n] - sums[starts[-1]]) + (size_sum if only else 0)
             if open_count >= max_events or open_size >= max_bytes:
-                state = (key, (int(number[-1]) + 1, key[-1], 0, 0))
+                state = (key, (last + 1, key[-1], 0, 0))
             else:
-                state = (key, (int(number[-1]), homes[-1], open_count, open_size))
+                state = (key, (last, homes[-1], open_count, open_size))
 
-    return in_chunks(rows, keys, chunk, F.desc("_seed"), order).mapInPandas(cut, _schema(slim, group, PIECE))
+    ordered = in_chunks(rows, keys, chunk, F.desc("_seed"), order)
+    return ordered.mapInPandas(
+        lambda frames: in_frames(cut(frames), [*group, *PIECE]), _schema(slim, group, PIECE)
+    )
 
 
 def _seeds(slim: DataFrame, keys, chunk, order, max_events: int, max_bytes: int) -> DataFrame:
     """The batch open at the start of every chunk but a stream's first: its number, home chunk, events and bytes."""
     group = [*keys, chunk]
+    per_chunk = [*group, "rows", *LANE_LISTS]
 
     def summarise(frames):
         key, lanes = None, None
         for next_key, run in runs(frames, group):
             if next_key != key:
                 if key is not None:
-                    yield pd.DataFrame([[*key, lanes.rows, *lanes.lists()]], columns=[*group, "rows", *LANE_LISTS])
+                    yield (*key, lanes.rows, *lanes.lists())
                 key, lanes = next_key, Lanes(max_events, max_bytes)
-            lanes.add(run["_size"].to_numpy(dtype=np.int64))
+            lanes.add(run["_size"])
         if key is not None:
-            yield pd.DataFrame([[*key, lanes.rows, *lanes.lists()]], columns=[*group, "rows", *LANE_LISTS])
+            yield (*key, lanes.rows, *lanes.lists())
 
     def follow(frames):
-        key = None
-        for next_key, run in runs(frames, keys):
-            first = next_key != key
-            if first:
-                key, batch, home, count, size = next_key, 0, None, 0, 0
-            out = []
-            for at, rows, head, closed, counts, sizes in zip(run[chunk], run["rows"], *(run[c] for c in LANE_LISTS)):
-                if not first:
-                    out.append([*key, at, batch, at if count == 0 else home, count, size])
-                first = False
+        stream = None
+        for frame in frames:
+            for *key, rows, head, closed, counts, sizes in zip(*(frame[c].tolist() for c in per_chunk)):
+                if key[:-1] != stream:
+                    stream, batch, home, count, size = key[:-1], 0, None, 0, 0
+                else:
+                    yield (*key, batch, key[-1] if count == 0 else home, count, size)
                 head = np.cumsum(head)
                 start = 0 if count == 0 else min(max_events - count, int(np.searchsorted(head, max_bytes - size)) + 1)
                 if start > rows:
@@ -165,17 +160,17 @@ def _seeds(slim: DataFrame, keys, chunk, order, max_events: int, max_bytes: int)
                 elif start == rows:
                     batch, count, size = batch + 1, 0, 0
                 else:
-                    done = int(closed[start])
-                    batch += done + (1 if count > 0 else 0)
-                    home, count, size = at, int(counts[start]), int(sizes[start])
-            if out:
-                yield pd.DataFrame(out, columns=[*group, *SEED])
+                    # With nothing left open at the end, the closed count has gone past the last batch already.
+                    batch += int(closed[start]) + (1 if count > 0 else 0)
+                    home, count, size = key[-1], int(counts[start]), int(sizes[start])
 
     summaries = in_chunks(slim, keys, chunk, order).mapInPandas(
-        summarise, _schema(slim, group, ["rows"], LANE_LISTS)
+        lambda frames: in_frames(summarise(frames), per_chunk), _schema(slim, group, ["rows"], LANE_LISTS)
     )
     ordered = summaries.repartition(*keys).sortWithinPartitions(*keys, chunk)
-    return ordered.mapInPandas(follow, _schema(slim, group, SEED))
+    return ordered.mapInPandas(
+        lambda frames: in_frames(follow(frames), [*group, *SEED]), _schema(slim, group, SEED)
+    )
 
 
 def batch_sizes(pieces: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,8 +10,10 @@ A chunk column must not decrease along the order column. Lines read from files h
 """
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,16 +33,25 @@ def in_chunks(df: DataFrame, keys: list[str], chunk: str, *order: Column | str)
     return df.repartition(*keys, chunk).sortWithinPartitions(*keys, chunk, *order)
 
 
-def runs(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """The runs of equal ``by`` values; a group longer than an Arrow batch comes as several runs of the same key."""
+def runs(frames: Iterable[pd.DataFrame], by: list[str]) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
+    """The runs of equal ``by`` values, as (key, column arrays); a group longer than an Arrow batch comes as several
+    runs of the same key."""
     for frame in frames:
         if frame.empty:
             continue
-        new = (frame[by] != frame[by].shift()).any(axis=1).to_numpy()
-        starts = [*new.nonzero()[0].tolist(), len(frame)]
-        columns = [frame[c].array for c in by]
-        for start, end in zip(starts, starts[1:]):
-            yield tuple(c[start] for c in columns), frame.iloc[start:end]
+        columns = {c: frame[c].to_numpy() for c in frame.columns}
+        new = np.zeros(len(frame), dtype=bool)
+        for c in by:
+            new[1:] |= columns[c][1:] != columns[c][:-1]
+        starts = [0, *np.flatnonzero(new).tolist()]
+        for start, end in zip(starts, [*starts[1:], len(frame)]):
+            yield tuple(columns[c][start] for c in by), {c: a[start:end] for c, a in columns.items()}
+
+
+def in_frames(rows: Iterator[tuple], columns: list[str], size: int = 10_000) -> Iterator[pd.DataFrame]:
+    """Rows packed into frames: groups are many and small."""
+    while some := list(islice(rows, size)):
+        yield pd.DataFrame(some, columns=columns)
 
 
 def long_streams(df: DataFrame, keys: list[str], chunk: str) -> DataFrame:

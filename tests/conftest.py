@@ -20,7 +20,7 @@ def spark(tmp_path_factory):
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint")))
         # Away from UTC, so that a dependence on the session's zone shows.
         .config("spark.sql.session.timeZone", "America/New_York")
-        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "29")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
