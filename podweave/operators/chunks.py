@@ -29,8 +29,12 @@ def add_chunk(df: DataFrame, order: str, span: int = CHUNK_SPAN, name: str = "ch
 
 
 def in_chunks(df: DataFrame, keys: list[str], chunk: str, *order: Column | str) -> DataFrame:
-    """Every (keys, chunk) group whole in one partition and in order. AQE may merge such partitions, never split them."""
-    return df.repartition(*keys, chunk).sortWithinPartitions(*keys, chunk, *order)
+    """Every (keys, chunk) group whole in one partition and in order, in ``spark.sql.shuffle.partitions`` partitions.
+
+    The number is given so that AQE does not merge partitions by their few bytes: the folds behind cost time per row.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys, chunk).sortWithinPartitions(*keys, chunk, *order)
 
 
 def runs(frames: Iterable[pd.DataFrame], by: list[str]) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:

@@ -221,7 +221,7 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id", "event_id", (2 * F.col("event_id")).alias("clock_ms"), F.lit(1).cast("bigint").alias("cost"),
         (F.col("event_type") == "signup").alias("registers"),
     )
-    return add_chunk(requests, "event_id", SPAN)
+    return add_chunk(requests, "event_id", 4 * SPAN)
 
 
 def admitted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,6 +240,7 @@ def admitted_after_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
 def admitted_hot_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events in one stream, a cost that differs: the chunks' start states have to be found."""
     requests = _requests(spark, sf_dir).withColumns({"conn": F.lit("all"), "cost": F.col("event_id") % 5 + 1})
+    requests = add_chunk(requests, "event_id", SPAN)
     verdicts = admit(requests, ["conn"], "chunk", "event_id", "clock_ms", "cost", 1200, 300)
     return verdicts.select("event_id", "admitted")
 
@@ -247,7 +248,7 @@ def admitted_hot_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def admitted_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = _landed(event_batches(spark, sf_dir), "batches").withColumn("clock_ms", F.col("last_order") * 2)
     verdicts = admit(
-        add_chunk(batches, "last_order", SPAN), ["path"], "chunk", "last_order", "clock_ms", "event_count", 30, 100
+        add_chunk(batches, "last_order", 4 * SPAN), ["path"], "chunk", "last_order", "clock_ms", "event_count", 30, 100
     )
     return verdicts.select("path", "batch_id", "event_count", "admitted")
 

@@ -21,7 +21,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line per event: a tenth JSON, a tenth malformed, a tenth with an offset, a tenth partial."""
     return add_chunk(table(spark, sf_dir, "events").selectExpr("event_id", f"{EVENT_PATH} AS path",
                                                               "event_id * 2 AS arrival_ms", f"{EVENT_LINE} AS line"),
-                     "event_id", SPAN)
+                     "event_id", 4 * SPAN)
 
 
 STAMP = """date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")"""
