@@ -172,7 +172,8 @@ def stream_logs(spark: SparkSession, directory: str, starting: str = "latest", *
     """Streaming ``path, chunk, offset, line`` of a log directory.
 
     ``starting``: 'latest' skips what the files hold when the stream first starts (a line half written then is emitted
-    whole once it is complete), 'earliest' reads it. ``maxBytesPerTrigger`` bounds a trigger, ``splitBytes`` a task.
+    whole once it is complete), 'earliest' reads it. ``splitBytes`` bounds a task. ``maxBytesPerTrigger`` bounds a
+    trigger, but for the first one after a start: Spark asks for its end before it tells how far an earlier run came.
     """
     spark.dataSource.register(TailSource)
     reader = spark.readStream.format("podweave_tail").option("startingPosition", starting)
