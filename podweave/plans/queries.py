@@ -260,9 +260,13 @@ def admitted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id", "event_id", (2 * F.col("event_id")).alias("clock_ms"), F.lit(1).cast("bigint").alias("cost")
     )
     half = requests.agg(F.expr("max(event_id) div 2")).first()[0]
+    # A session of its own: the number of state partitions is fixed with the first trigger; one per core is enough.
+    session = spark.newSession()
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    session.conf.set("spark.sql.shuffle.partitions", str(partitions))
     for part in (requests.where(F.col("event_id") <= half), requests.where(F.col("event_id") > half)):
         part.write.mode("append").parquet(f"{home}/in")
-        stream = spark.readStream.schema(requests.schema).parquet(f"{home}/in")
+        stream = session.readStream.schema(requests.schema).parquet(f"{home}/in")
         verdicts = admit_stream(stream, ["user_id"], "event_id", "clock_ms", "cost", 3, 5)
         query = verdicts.writeStream.format("parquet").option("path", f"{home}/out")
         query.option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()

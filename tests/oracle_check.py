@@ -53,7 +53,7 @@ def compare(spark, con, name: str, sf_dir: str) -> str | None:
 if __name__ == "__main__":
     session = (
         SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "8").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", os.environ.get("PARTITIONS", "8")).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     sf = sys.argv[1]
