@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podweave.llm import byte_bpe, mixing, quality_rules, token_counts
+from podweave.llm import byte_bpe, mixing, ngram_join, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +33,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", *byte_bpe.digests())
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents")).drop("n_copies")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_ngram_join": op6_ngram_join,
 }
