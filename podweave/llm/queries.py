@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podweave.llm import byte_bpe, mixing, ngram_join, quality_rules, token_counts
+from podweave.llm import byte_bpe, mixing, ngram_join, paragraph_dedup, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = paragraph_dedup.paragraphs(_table(spark, sf_dir, "documents"))
+    return paragraph_dedup.document_report(found)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = byte_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
@@ -41,6 +46,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
+    "op4_paragraph_dedup": op4_paragraph_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_ngram_join": op6_ngram_join,
 }
