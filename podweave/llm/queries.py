@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podweave.llm import byte_bpe, mixing, ngram_join, paragraph_dedup, quality_rules, token_counts
+from podweave.llm import byte_bpe, embedding_dups, mixing, ngram_join, paragraph_dedup, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents")).drop("n_copies")
 
 
+def op8_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dups.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -49,4 +53,5 @@ QUERIES = {
     "op4_paragraph_dedup": op4_paragraph_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_ngram_join": op6_ngram_join,
+    "op8_embedding_dups": op8_embedding_dups,
 }
