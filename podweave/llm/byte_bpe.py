@@ -12,10 +12,11 @@ from __future__ import annotations
 import base64
 import functools
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -26,8 +27,11 @@ from podweave.llm.textarrays import codepoints, pieces, slice_hashes
 LETTER, NUMBER, OTHER, SPACE, GAP, GAPS, SHORT, LONGER, RESET = range(9)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_GAPS, AFTER_SPACE, ONE_LEFT, TWO_LEFT = range(8)
 
-#: Characters of one block of the scan.
-BLOCK = 128
+#: Characters of one block of the scan, and of the texts that are worked on together.
+BLOCK, PIECE = 128, 1 << 19
+
+#: Merged pre-tokens that a task keeps by default.
+CACHED = 150_000
 
 
 @functools.cache
@@ -178,39 +182,27 @@ def _encoded(texts: list[str], cache: Cache) -> tuple[np.ndarray, np.ndarray, np
     return flat[np.repeat(begins, sizes) + within], sizes, first, starts
 
 
-def encode(documents: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """All columns, then `ids` and `offsets` (binary: unsigned 32-bit little-endian numbers).
-
-    ids: the text's tokens under the ranks in the file `path`, each pre-token merged by itself, no special tokens.
-    offsets: the character at which each pre-token begins. Row for row; a null or empty text has empty ids; extra
-    columns stay as they are, but for the two that are added: input columns of these names are replaced. The ranks and
-    their pairs (some MB, whatever the input) are read on the driver and sent out.
-    """
-    ranks = documents.sparkSession.sparkContext.broadcast(read_ranks(path))
+def _encoder(ranks: Broadcast, text: str, cached: int) -> Callable:
+    """Batches with ids and offsets added, one for each piece of text: little is held at a time."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Cache(ranks.value.encoded)
+        cache = Cache(ranks.value.encoded, size=cached)
         for batch in batches:
-            ids, offsets = [], []
-            for _, texts in pieces(batch.column(text).to_pylist()):
+            for begun, texts in pieces(batch.column(text).to_pylist(), PIECE):
+                ids, offsets = [], []
                 packed, sizes, first, starts = _encoded(texts, cache)
                 at = np.concatenate(([0], np.cumsum(sizes)))
                 cuts = np.searchsorted(first, starts)
                 for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
                     ids.append(packed[at[a]: at[b]].tobytes())
                     offsets.append((first[a:b] - starts[k]).astype("<u4").tobytes())
-            names = [x for x in batch.schema.names if x not in ("ids", "offsets")]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(x) for x in names), pa.array(ids, pa.binary()), pa.array(offsets, pa.binary())],
-                [*names, "ids", "offsets"])
+                yield _added(batch.slice(begun, len(texts)), ids=ids, offsets=offsets)
 
-    kept = documents.drop("ids", "offsets")
-    return kept.mapInArrow(encoded, _with(kept, ("ids", "offsets")))
+    return encoded
 
 
-def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """All columns, then `decoded` (binary): the bytes that the packed `ids` stand for. Null ids give null."""
-    ranks = rows.sparkSession.sparkContext.broadcast(read_ranks(path))
+def _decoder(ranks: Broadcast, ids: str) -> Callable:
+    """Batches with the decoded bytes added."""
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = ranks.value.numbers
@@ -218,14 +210,55 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
         for piece, number in numbers.items():
             pieces_of[number] = piece
         for batch in batches:
-            back = [None if x is None else b"".join(map(pieces_of.__getitem__, np.frombuffer(x, "<u4").tolist()))
-                    for x in batch.column(ids).to_pylist()]
-            names = [x for x in batch.schema.names if x != "decoded"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(x) for x in names), pa.array(back, pa.binary())], [*names, "decoded"])
+            for begun in range(0, batch.num_rows, 256):
+                part = batch.slice(begun, 256)
+                yield _added(part, decoded=[
+                    None if x is None else b"".join(map(pieces_of.__getitem__, np.frombuffer(x, "<u4").tolist()))
+                    for x in part.column(ids).to_pylist()])
+
+    return decoded
+
+
+def _added(batch: pa.RecordBatch, **columns: list) -> pa.RecordBatch:
+    names = [x for x in batch.schema.names if x not in columns]
+    return pa.RecordBatch.from_arrays(
+        [*(batch.column(x) for x in names), *(pa.array(x, pa.binary()) for x in columns.values())], [*names, *columns])
+
+
+def encode(documents: DataFrame, path: str, text: str = "text", cached: int = CACHED) -> DataFrame:
+    """All columns, then `ids` and `offsets` (binary: unsigned 32-bit little-endian numbers).
+
+    ids: the text's tokens under the ranks in the file `path`, each pre-token merged by itself, no special tokens.
+    offsets: the character at which each pre-token begins. Row for row; a null or empty text has empty ids; extra
+    columns stay as they are, but for the two that are added: input columns of these names are replaced. The ranks and
+    their pairs (some MB, whatever the input) are read on the driver and sent out. `cached`: merged pre-tokens that a
+    task keeps.
+    """
+    ranks = documents.sparkSession.sparkContext.broadcast(read_ranks(path))
+    kept = documents.drop("ids", "offsets")
+    return kept.mapInArrow(_encoder(ranks, text, cached), _with(kept, ("ids", "offsets")))
+
 
+def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """All columns, then `decoded` (binary): the bytes that the packed `ids` stand for. Null ids give null."""
+    ranks = rows.sparkSession.sparkContext.broadcast(read_ranks(path))
     kept = rows.drop("decoded")
-    return kept.mapInArrow(decoded, _with(kept, ("decoded",)))
+    return kept.mapInArrow(_decoder(ranks, ids), _with(kept, ("decoded",)))
+
+
+def round_trip(documents: DataFrame, path: str, text: str = "text", cached: int = CACHED) -> DataFrame:
+    """`encode`, then `decode` of its ids, in one pass: the ids don't leave the worker in between. The text goes, the
+    other columns stay."""
+    ranks = documents.sparkSession.sparkContext.broadcast(read_ranks(path))
+    kept = documents.drop("ids", "offsets", "decoded")
+    rest = kept.drop(text)
+    encoded, decoded = _encoder(ranks, text, cached), _decoder(ranks, "ids")
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in decoded(encoded(batches)):
+            yield batch.drop_columns([text])
+
+    return kept.mapInArrow(both, _with(rest, ("ids", "offsets", "decoded")))
 
 
 def _with(rows: DataFrame, added: tuple[str, ...]) -> StructType:

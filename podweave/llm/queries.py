@@ -33,9 +33,8 @@ def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = byte_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
-    decoded = byte_bpe.decode(encoded.select("doc_id", "ids"), ranks)
-    return decoded.select("doc_id", *byte_bpe.digests())
+    coded = byte_bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
+    return coded.select("doc_id", *byte_bpe.digests())
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,12 +38,12 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
                  for base in (np.uint64(_POWER), np.uint64(inverse)))
 
 
-def pieces(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """(index of the first text, texts): consecutive texts of about PIECE characters together; null is empty."""
+def pieces(texts: list[str | None], most: int = PIECE) -> Iterator[tuple[int, list[str]]]:
+    """(index of the first text, texts): consecutive texts of about `most` characters together; null is empty."""
     begun, held, size = 0, [], 0
     for i, text in enumerate(texts):
         text = text or ""
-        if held and size + len(text) > PIECE:
+        if held and size + len(text) > most:
             yield begun, held
             begun, held, size = i, [], 0
         held.append(text)
