@@ -70,9 +70,14 @@ def _automaton() -> tuple[np.ndarray, np.ndarray]:
     return after, begins
 
 
+def character_kinds(points: np.ndarray) -> np.ndarray:
+    """LETTER, NUMBER, OTHER or GAP of each code point."""
+    return _classes()[points]
+
+
 def _character_classes(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The automaton's class of each character; `ends` are the positions that separate texts."""
-    kinds = _classes()[points]
+    kinds = character_kinds(points)
     gap = kinds == GAP
     gap[ends] = True
     later = np.ones(len(points) + 2, bool)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podweave.llm import byte_bpe, embedding_dups, mixing, ngram_join, paragraph_dedup, quality_rules, token_counts
+from podweave.llm import byte_bpe, embedding_dups, importance, mixing, ngram_join, paragraph_dedup, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents")).drop("n_copies")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dups.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -52,5 +56,6 @@ QUERIES = {
     "op4_paragraph_dedup": op4_paragraph_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_ngram_join": op6_ngram_join,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_embedding_dups": op8_embedding_dups,
 }
