@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podweave.llm import byte_bpe, embedding_dups, importance, mixing, ngram_join, paragraph_dedup, quality_rules, token_counts
+from podweave.llm import byte_bpe, embedding_dups, importance, language_mix, mixing, ngram_join, paragraph_dedup, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op8_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dups.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_mix.language_ids(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -58,4 +62,5 @@ QUERIES = {
     "op6_ngram_join": op6_ngram_join,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_embedding_dups": op8_embedding_dups,
+    "op9_language_mix": op9_language_mix,
 }
