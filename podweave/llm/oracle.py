@@ -108,3 +108,42 @@ counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM named LEFT JOIN counts USING (vec_id)
 """
+
+ORACLE["op10_tool_calls"] = r"""
+WITH RECURSIVE calls AS (
+  SELECT conv_id, conv_id::VARCHAR || ':' || turn::VARCHAR AS call_id, turn AS position,
+    CASE WHEN regexp_matches(text, '[^\x00-\x7F]') THEN 'translate' ELSE 'reply' END AS name,
+    CASE WHEN turn >= 2 THEN conv_id::VARCHAR || ':' || (turn - 2)::VARCHAR END AS after, text,
+    len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+    CASE WHEN contains(text, chr(10)) THEN split_part(text, chr(10), 1) END AS title
+  FROM conversations WHERE role = 'user'),
+results AS (
+  SELECT CASE WHEN turn >= 1 THEN conv_id::VARCHAR || ':' || (turn - 1)::VARCHAR END AS call_id, count(*) AS n_results,
+    min({'position': turn, 'content': text}).content AS content
+  FROM conversations WHERE role = 'assistant' GROUP BY 1),
+ids AS (SELECT call_id, count(*) AS same, min({'position': position, 'after': after}).after AS after FROM calls GROUP BY call_id),
+walk(call_id, depth) AS (
+  SELECT call_id, 0::BIGINT FROM ids WHERE after IS NULL OR after NOT IN (SELECT call_id FROM ids)
+  UNION ALL
+  SELECT ids.call_id, depth + 1 FROM ids JOIN walk ON ids.after = walk.call_id),
+linked AS (
+  SELECT calls.*, walk.depth, same, coalesce(n_results, 0) AS n_results, content,
+    ids.after IS NOT NULL AND ids.after NOT IN (SELECT call_id FROM ids) AS unknown
+  FROM calls JOIN ids USING (call_id) LEFT JOIN walk USING (call_id) LEFT JOIN results USING (call_id)),
+told AS (
+  SELECT *, array_to_string(list_filter([
+      CASE WHEN same > 1 THEN 'duplicate id' END, CASE WHEN unknown THEN 'unknown reference' END,
+      CASE WHEN depth IS NULL THEN 'circle' END, CASE WHEN n_results = 0 THEN 'no result' END,
+      CASE WHEN n_results > 1 THEN 'several results' END, CASE WHEN text IS NULL THEN 'missing text' END,
+      CASE WHEN title IS NULL AND name = 'translate' THEN 'missing title' END,
+      CASE WHEN words IS NULL AND name = 'reply' THEN 'missing words' END], lambda x: x IS NOT NULL), ', ') AS problems
+  FROM linked)
+SELECT conv_id, call_id, position, depth, n_results, problems = '' AS valid, problems,
+  '{"arguments":{' || array_to_string(list_filter(['"text":' || to_json(text)::VARCHAR, '"title":' || to_json(title)::VARCHAR,
+      '"words":' || words::VARCHAR], lambda x: x IS NOT NULL), ',') || '},"id":' || to_json(call_id)::VARCHAR || ',"name":"' || name
+    || '","result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS json
+FROM told
+UNION ALL
+SELECT NULL, call_id, NULL, NULL, n_results, false, 'no call', NULL
+FROM results WHERE call_id IS NULL OR call_id NOT IN (SELECT call_id FROM ids)
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podweave.llm import byte_bpe, embedding_dups, importance, language_mix, mixing, ngram_join, paragraph_dedup, quality_rules, token_counts
+from podweave.llm import byte_bpe, embedding_dups, importance, language_mix, mixing, ngram_join, paragraph_dedup, quality_rules, token_counts, tool_calls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op9_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_mix.language_ids(_table(spark, sf_dir, "documents"))
 
 
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = tool_calls.link_calls(*tool_calls.conversation_calls(_table(spark, sf_dir, "conversations")))
+    return linked.withColumn("problems", F.array_join("problems", ", "))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -63,4 +68,5 @@ QUERIES = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_embedding_dups": op8_embedding_dups,
     "op9_language_mix": op9_language_mix,
+    "op10_tool_calls": op10_tool_calls,
 }
