@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from podweave.llm.landing import dropped, landed
@@ -136,3 +136,23 @@ def ngram_join(documents: DataFrame, key: str = "doc_id", text: str = "text", wi
     return joined.select(F.col("key").alias(key), F.col("n").alias("n_shingles"),
                          F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"),
                          F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+
+
+def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents, all columns, of which `ngram_join` makes the name of their component: one of each group.
+
+    Takes the options of `ngram_join`. Rows without key stay, as nothing can be told apart from them by key. Of rows
+    that share a key the one with the least text stays, null first.
+    """
+    joined = ngram_join(documents, key, text, **options).where(F.col(key).isNotNull())
+    judged = landed(joined.groupBy(F.col(key).alias("_key")).agg(
+        F.min("component_id").alias("_component"), F.count(F.lit(1)).alias("_rows")))
+    gone = landed(judged.where(F.col("_key") != F.col("_component")).select("_key"))
+    several = landed(judged.where("_rows > 1 AND _key = _component").select("_key"))
+    left = documents.join(gone, F.col(key) == F.col("_key"), "left_anti")
+    if several.isEmpty():
+        return left
+    single = left.join(several, F.col(key) == F.col("_key"), "left_anti")
+    twice = left.join(several, F.col(key) == F.col("_key"), "left_semi")
+    first = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_first())
+    return single.unionByName(twice.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place"))
