@@ -55,10 +55,14 @@ def targets(totals: DataFrame, most: int = 3) -> DataFrame:
 
 
 def _sized(documents: DataFrame, key: str, text: str, source: str, weight: Column | None, seed: str) -> DataFrame:
+    """document (all columns as one), key, source, _size, _weight, _sample."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = documents.withColumn("_size", size)
-    rows = rows.withColumn("_weight", F.coalesce(weight if weight is not None else quality_weight(F.col(text), F.col("_size")), F.lit(1.0)))
-    return rows.withColumn("_sample", sampling_key(F.col(key), F.col("_weight"), seed))
+    rows = documents.select(
+        F.struct(*documents.columns).alias("document"), F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"),
+        size.alias("_size"), (weight if weight is not None else F.lit(None).cast("double")).alias("_given"))
+    given = F.col("_given") if weight is not None else quality_weight(F.col("text"), F.col("_size"))
+    rows = rows.withColumn("_weight", F.coalesce(given, F.lit(1.0)))
+    return rows.withColumn("_sample", sampling_key(F.col("key"), F.col("_weight"), seed)).drop("text", "_given")
 
 
 def _slice(lightest: str = "lightest", slices: str = "slices") -> Column:
@@ -110,8 +114,7 @@ def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: s
     A null text has size 0 and is taken as often as its place says. A null key is a key like any other; rows with equal
     keys and sizes are taken or left together. Needs the shared folder.
     """
-    rows = landed(_sized(documents, key, text, source, weight, seed).select(
-        F.col(key).alias("key"), F.col(source).alias("source"), "_size", "_weight", "_sample"))
+    rows = landed(_sized(documents, key, text, source, weight, seed).drop("document"))
     plan = mix_plan(rows, most)
     mixed = rows.join(plan, F.col("source").eqNullSafe(F.col("name"))).withColumn("slice", _slice()).withColumn("copies", _copies())
     return mixed.select(F.col("key").alias(key), F.col("_size").alias("size"), "source_size", "target", "copies",
@@ -126,11 +129,9 @@ def mixed_documents(documents: DataFrame, key: str = "doc_id", text: str = "text
     shuffled nor sorted while that table is small enough for Spark to broadcast.
     """
     own = _sized(documents, key, text, source, weight, seed)
-    rows = landed(own.select(F.col(key).alias("key"), F.col(source).alias("source"), "_size", "_weight", "_sample"))
-    plan = mix_plan(rows, most)
+    plan = mix_plan(landed(own.drop("document")), most)
     plan = plan.select("name", "epochs", "slices", "lightest", "cut_slice", "cut")
     columns = [F.col(f"document.{c}") for c in documents.columns]
-    joined = own.select(F.struct(*documents.columns).alias("document"), F.col(key).alias("key"), F.col(source).alias("source"),
-                        "_size", "_sample").join(plan, F.col("source").eqNullSafe(F.col("name")))
+    joined = own.join(plan, F.col("source").eqNullSafe(F.col("name")))
     copies = joined.withColumn("slice", _slice()).withColumn("copies", _copies()).where("copies > 0")
     return copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*columns)

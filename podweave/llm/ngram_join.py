@@ -149,10 +149,12 @@ def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", *
         F.min("component_id").alias("_component"), F.count(F.lit(1)).alias("_rows")))
     gone = landed(judged.where(F.col("_key") != F.col("_component")).select("_key"))
     several = landed(judged.where("_rows > 1 AND _key = _component").select("_key"))
-    left = documents.join(gone, F.col(key) == F.col("_key"), "left_anti")
+    columns = [F.col(f"document.{c}") for c in documents.columns]
+    rows = documents.select(F.struct(*documents.columns).alias("document"), F.col(key).alias("own"), F.col(text).alias("body"))
+    left = rows.join(gone, F.col("own") == F.col("_key"), "left_anti")
     if several.isEmpty():
-        return left
-    single = left.join(several, F.col(key) == F.col("_key"), "left_anti")
-    twice = left.join(several, F.col(key) == F.col("_key"), "left_semi")
-    first = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_first())
-    return single.unionByName(twice.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place"))
+        return left.select(*columns)
+    single = left.join(several, F.col("own") == F.col("_key"), "left_anti")
+    twice = left.join(several, F.col("own") == F.col("_key"), "left_semi")
+    first = Window.partitionBy("own").orderBy(F.col("body").asc_nulls_first())
+    return single.union(twice.withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")).select(*columns)

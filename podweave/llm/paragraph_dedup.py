@@ -166,10 +166,11 @@ def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text
     Takes the options of `paragraphs`. A document that had no word before stays as it is.
     """
     found = paragraphs(documents, key, text, **options).where("removed")
-    gone = landed(found.groupBy("key", "text_hash").agg(F.collect_set("line").alias("gone")).select(
-        F.col("key").alias("_key"), F.col("text_hash").alias("_text_hash"), "gone"))
-    joined = documents.join(gone, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_text_hash")), "left")
-    rest = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("gone", i.cast("long"))), "\n")
-    cut = joined.select(*(F.when(F.col("gone").isNull(), F.col(c)).otherwise(rest).alias(c) if c == text else F.col(c)
-                          for c in documents.columns), F.col("gone").isNotNull().alias("_cut"))
-    return cut.where(~F.col("_cut") | F.col(text).rlike(r"[^\x20\x09-\x0D]")).drop("_cut")
+    gone = landed(found.groupBy("key", "text_hash").agg(F.collect_set("line").alias("gone")))
+    rows = documents.select(F.struct(*documents.columns).alias("document"), F.col(key).alias("own"), F.xxhash64(text).alias("own_hash"))
+    joined = rows.join(gone, F.col("own").eqNullSafe(F.col("key")) & (F.col("own_hash") == F.col("text_hash")), "left")
+    body = F.col(f"document.{text}")
+    rest = F.array_join(F.filter(F.split(body, "\n"), lambda _, i: ~F.array_contains("gone", i.cast("long"))), "\n")
+    cut = joined.where(F.col("gone").isNull() | rest.rlike(r"[^\x20\x09-\x0D]"))
+    return cut.select(*(F.when(F.col("gone").isNull(), body).otherwise(rest).alias(c) if c == text else F.col(f"document.{c}")
+                        for c in documents.columns))

@@ -105,7 +105,8 @@ def judge(documents: DataFrame, key: str = "doc_id", text: str = "text", host: s
 
 def without_lines(documents: DataFrame, judged: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that `judge` keeps, all columns, with the lines it removes cut out of their text. Needs unique keys."""
-    found = judged.where("kept").select(F.col(key).alias("_key"), F.col("removed_lines").alias("_gone"))
-    joined = documents.join(found, F.col(key).eqNullSafe(F.col("_key")))
-    rest = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_gone", i))
-    return joined.select(*(F.array_join(rest, "\n").alias(c) if c == text else F.col(c) for c in documents.columns))
+    found = judged.where("kept").select(F.col(key).alias("key"), "removed_lines")
+    rows = documents.select(F.struct(*documents.columns).alias("document"), F.col(key).alias("own"))
+    joined = rows.join(found, F.col("own").eqNullSafe(F.col("key")))
+    rest = F.filter(F.split(F.col(f"document.{text}"), "\n"), lambda _, i: ~F.array_contains("removed_lines", i))
+    return joined.select(*(F.array_join(rest, "\n").alias(c) if c == text else F.col(f"document.{c}") for c in documents.columns))
