@@ -146,9 +146,9 @@ def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", *
     """
     joined = ngram_join(documents, key, text, **options).where(F.col(key).isNotNull())
     judged = landed(joined.groupBy(F.col(key).alias("_key")).agg(
-        F.min("component_id").alias("_component"), F.count(F.lit(1)).alias("_rows")))
-    gone = landed(judged.where(F.col("_key") != F.col("_component")).select("_key"))
-    several = landed(judged.where("_rows > 1 AND _key = _component").select("_key"))
+        F.max(F.col("component_id") == F.col(key)).alias("_first"), F.count(F.lit(1)).alias("_rows")))
+    gone = landed(judged.where("NOT _first").select("_key"))
+    several = landed(judged.where("_rows > 1 AND _first").select("_key"))
     columns = [F.col(f"document.{c}") for c in documents.columns]
     rows = documents.select(F.struct(*documents.columns).alias("document"), F.col(key).alias("own"), F.col(text).alias("body"))
     left = rows.join(gone, F.col("own") == F.col("_key"), "left_anti")
