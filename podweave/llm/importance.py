@@ -58,30 +58,34 @@ def ngram_buckets(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled_sample(labels: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
-    """labelled (the key), good (1: quality and not toxic, 0: no quality): at most `most` labelled documents, drawn by hash of the key.
+    """labelled (the key), good (1: quality and not toxic, 0: no quality), fits (whether the target model may learn from
+    it; the cut is set on the others): at most `most` labelled documents, drawn by hash of the key.
 
     Of repeated labels the larger values count; toxic documents of quality and rows without key or quality are left out.
     """
     each = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(
         F.max("quality").alias("quality"), F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"))
     known = each.where((F.col("quality") == 0) | (F.col("quality") == 1) & (F.col("toxic") == 0))
-    return known.select(F.col("key").alias("labelled"), F.col("quality").cast("int").alias("good")).orderBy(F.xxhash64("labelled"), "labelled").limit(most)
+    return known.select(F.col("key").alias("labelled"), F.col("quality").cast("int").alias("good"),
+                        (F.pmod(F.xxhash64("key", F.lit(1)), F.lit(2)) == 0).alias("fits")).orderBy(F.xxhash64("labelled"), "labelled").limit(most)
 
 
 def fit(documents: DataFrame, sample: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndarray:
     """Log ratio of the probabilities of each bucket under the target (good documents of the sample) and the raw model
     (all documents), each with one count added to every bucket. Without any target text all are 0."""
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = rows.join(F.broadcast(sample), F.col("key") == F.col("labelled"), "left").select("text", "good")  # the sample's size is bounded by its parameter
+    # the sample's size is bounded by its parameter
+    rows = rows.join(F.broadcast(sample), F.col("key") == F.col("labelled"), "left").select(
+        "text", F.coalesce((F.col("good") == 1) & F.col("fits"), F.lit(False)).alias("target"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
-            good = batch.column("good").fill_null(-1).to_numpy(zero_copy_only=False) == 1
+            of_target = batch.column("target").to_numpy(zero_copy_only=False)
             for begun, texts in pieces(batch.column("text").to_pylist()):
                 buckets, first = ngram_buckets(texts, BITS)
                 counts[0] += np.bincount(buckets, minlength=1 << BITS)
-                target = np.repeat(good[begun: begun + len(texts)], np.diff(first))
+                target = np.repeat(of_target[begun: begun + len(texts)], np.diff(first))
                 counts[1] += np.bincount(buckets[target], minlength=1 << BITS)
         used = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(x[used]) for x in counts)], ["bucket", "raw", "target"])
@@ -175,14 +179,15 @@ def resampling(documents: DataFrame, labels: DataFrame, key: str = "doc_id", tex
                temperature: float = 0.005, seed: int = 7) -> tuple[Resampling, DataFrame]:
     """The fitted resampling, and the stored scores: key, n_ngrams, log_weight, score, gumbel_key.
 
-    Target model and cut are fitted on a sample of at most `most_labels` labelled documents, the raw model on all. k is
+    Target model and cut are fitted on a sample of at most `most_labels` labelled documents, each on its own half, so
+    that the cut holds for documents the target model has not seen; the raw model is fitted on all documents. k is
     the number of all documents whose score is above the cut; the k documents of the largest Gumbel keys are sampled.
     """
     sample = landed(labelled_sample(labels, most_labels, "doc_id"))
     model = documents.sparkSession.sparkContext.broadcast(fit(documents, sample, key, text))
     narrow = weigh(documents.select(F.col(key).alias(key), F.col(text).alias(text)), model, text).drop(text)
     scores = landed(_keyed(narrow, key, temperature, seed))
-    known = scores.join(F.broadcast(sample), F.col(key) == F.col("labelled")).where("score IS NOT NULL").select("score", "good").limit(2 * most_labels)
+    known = scores.join(F.broadcast(sample), F.col(key) == F.col("labelled")).where("score IS NOT NULL AND NOT fits").select("score", "good").limit(2 * most_labels)
     known = known.collect()
     cut = best_cut([x[0] for x in known], [x[1] for x in known])
     total, k = scores.where("score IS NOT NULL").agg(F.count(F.lit(1)), F.count_if(F.col("score") > cut)).first()
