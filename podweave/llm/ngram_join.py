@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from podweave.llm.landing import dropped, landed
+from podweave.llm.sieve import sieve, sifted
 from podweave.llm.textarrays import mixed, packed, pieces, shingle_hashes, word_hashes
 from podweave.llm.tiles import families, similar_components
 
@@ -124,7 +125,10 @@ def ngram_join(documents: DataFrame, key: str = "doc_id", text: str = "text", wi
     single = rows.where("n > 0").join(copies, "id", "left_anti")
     found = families(single.select("id", F.explode(F.array_distinct("keys")).alias("key")))
     wanted = landed(rows.select("id", named.alias("named")).join(found, "id").select("id", "family", "named.*"))
-    texts = given.join(wanted, given["key"].eqNullSafe(wanted["key"]) & (given["text_hash"] == wanted["text_hash"]))
+    # only texts that the sieve lets through are shuffled to their partners
+    bitmap = sieve(wanted, "text_hash")
+    near = sifted(given, F.col("text_hash"), bitmap).where("_may")
+    texts = near.join(wanted, near["key"].eqNullSafe(wanted["key"]) & (near["text_hash"] == wanted["text_hash"]))
     members = landed(_sets(texts.select("id", "family", "text"), width))
     linked = similar_components(members, percent)
     tied = sets.join(linked.withColumnRenamed("id", "first"), "first", "left").withColumn(
@@ -151,10 +155,14 @@ def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", *
     several = landed(judged.where("_rows > 1 AND _first").select("_key"))
     columns = [F.col(f"document.{c}") for c in documents.columns]
     rows = documents.select(F.struct(*documents.columns).alias("document"), F.col(key).alias("own"), F.col(text).alias("body"))
-    left = rows.join(gone, F.col("own") == F.col("_key"), "left_anti")
+    told = gone.union(several).select(F.xxhash64("_key").alias("hashed"))
+    rows = sifted(rows, F.xxhash64("own"), sieve(told, "hashed"))
+    safe = rows.where(~F.col("_may")).select(*columns)  # neither to go nor to be told apart: nothing to join
+    left = rows.where("_may").join(gone, F.col("own") == F.col("_key"), "left_anti")
     if several.isEmpty():
-        return left.select(*columns)
+        return safe.union(left.select(*columns))
     single = left.join(several, F.col("own") == F.col("_key"), "left_anti")
     twice = left.join(several, F.col("own") == F.col("_key"), "left_semi")
     first = Window.partitionBy("own").orderBy(F.col("body").asc_nulls_first())
-    return single.union(twice.withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")).select(*columns)
+    one = twice.withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")
+    return safe.union(single.select(*columns)).union(one.select(*columns))

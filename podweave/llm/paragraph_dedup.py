@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podweave.llm.landing import dropped, landed
+from podweave.llm.sieve import sieve, sifted
 from podweave.llm.textarrays import codepoints, mixed, packed, pieces, shingle_hashes, word_hashes
 from podweave.llm.tiles import families, similar_components
 
@@ -136,7 +137,10 @@ def paragraphs(documents: DataFrame, key: str = "doc_id", text: str = "text", wi
     near = families(single.select("id", F.explode(F.array_distinct("keys")).alias("key")))
     wanted = landed(real.select("id", "key", "text_hash", "line").join(near, "id").groupBy("key", "text_hash").agg(
         F.collect_list(F.struct("line", "id", "family")).alias("wanted")))
-    texts = given.join(wanted, given["key"].eqNullSafe(wanted["key"]) & (given["text_hash"] == wanted["text_hash"]))
+    # only texts that the sieve lets through are shuffled to their partners
+    bitmap = sieve(wanted, "text_hash")
+    let = sifted(given, F.col("text_hash"), bitmap).where("_may")
+    texts = let.join(wanted, let["key"].eqNullSafe(wanted["key"]) & (let["text_hash"] == wanted["text_hash"]))
     members = landed(_sets(texts.select("text", "wanted"), width, min_words))
     linked = similar_components(members, percent)
     tied = classes.join(linked.withColumnRenamed("id", "first"), "first", "left").withColumn("cluster", F.coalesce("component", "first"))
@@ -168,9 +172,11 @@ def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text
     found = paragraphs(documents, key, text, **options).where("removed")
     gone = landed(found.groupBy("key", "text_hash").agg(F.collect_set("line").alias("gone")))
     rows = documents.select(F.struct(*documents.columns).alias("document"), F.col(key).alias("own"), F.xxhash64(text).alias("own_hash"))
-    joined = rows.join(gone, F.col("own").eqNullSafe(F.col("key")) & (F.col("own_hash") == F.col("text_hash")), "left")
+    rows = sifted(rows, F.coalesce("own_hash", F.lit(0)), sieve(gone, "text_hash"))
+    safe = rows.where(~F.col("_may")).select(*(F.col(f"document.{c}") for c in documents.columns))
+    joined = rows.where("_may").join(gone, F.col("own").eqNullSafe(F.col("key")) & (F.col("own_hash") == F.col("text_hash")), "left")
     body = F.col(f"document.{text}")
     rest = F.array_join(F.filter(F.split(body, "\n"), lambda _, i: ~F.array_contains("gone", i.cast("long"))), "\n")
     cut = joined.where(F.col("gone").isNull() | rest.rlike(r"[^\x20\x09-\x0D]"))
-    return cut.select(*(F.when(F.col("gone").isNull(), body).otherwise(rest).alias(c) if c == text else F.col(f"document.{c}")
-                        for c in documents.columns))
+    return safe.union(cut.select(*(
+        F.when(F.col("gone").isNull(), body).otherwise(rest).alias(c) if c == text else F.col(f"document.{c}") for c in documents.columns)))

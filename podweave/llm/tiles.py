@@ -59,7 +59,8 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def tile_links(ids: np.ndarray, sides: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect all sets of the tile which are similar and not yet in one component.
+    """Links (from each set to the smallest id of its component in the tile) that connect all sets of the tile which are
+    similar and not yet in one component; sets that had one label are taken as connected.
 
     Similar: 100 * intersection >= percent * union. If the tile has two sides, only sets of different sides are compared.
     """
@@ -68,7 +69,7 @@ def tile_links(ids: np.ndarray, sides: np.ndarray, labels: np.ndarray, sets: lis
     sizes = np.array([len(x) for x in sets], np.int64)
     maps = np.stack([_bitmap(x) for x in sets])
     two = bool((sides != sides[0]).any())
-    links = []
+    met = labels.copy()
     for k in range(len(sets) - 1):
         end = int(np.searchsorted(sizes, sizes[k] * 100 // percent, "right"))
         open_ = labels[k + 1: end] != labels[k]
@@ -86,9 +87,15 @@ def tile_links(ids: np.ndarray, sides: np.ndarray, labels: np.ndarray, sets: lis
                 continue
             common = overlap(sets[k], sets[other])
             if 100 * common >= percent * (sizes[k] + sizes[other] - common):
-                links.append((int(ids[k]), int(ids[other])))
                 labels[labels == labels[other]] = labels[k]
-    return links
+    if (labels == met).all():
+        return []
+    # of the sets that came with one label, one is enough to tell that it is connected to others now
+    _, one = np.unique(met, return_index=True)
+    _, place = np.unique(labels[one], return_inverse=True)
+    first = np.full(place.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, place, ids[one])
+    return [(int(a), int(b)) for a, b in zip(first[place], ids[one], strict=True) if a != b]
 
 
 def _compare(rows: DataFrame, percent: int) -> DataFrame:
@@ -122,28 +129,27 @@ def similar_components(members: DataFrame, percent: int) -> DataFrame:
     spread = cut.withColumn("i", F.explode(F.when(
         F.col("id") == F.col("family"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))))
     links = landed(_compare(spread.withColumn("j", F.col("i")).withColumn("side", F.lit(0)).withColumn("label", F.col("id")), percent))
-    large = landed(sizes.where("blocks > 1"))
-    if large.isEmpty():
-        found = landed(components(links))
-        dropped(sizes, large, links)
-        return found
+    large = landed(members.join(sizes.where("blocks > 1"), "family").select("id", "family", "n", "set"))
+    stars = links.select(F.col("b").alias("id"), F.col("a").alias("component"))
+    if large.isEmpty():  # every set was in one tile, which linked each to the first of its component
+        return stars.union(stars.select(F.col("component").alias("id"), "component").distinct())
     label = landed(components(links))
-    rows = members.join(large, "family").join(label, "id", "left").withColumn("label", F.coalesce("component", "id"))
-    rows = landed(rows.withColumn("rest", (F.col("label") != F.col("family")).cast("int")).select(
-        "id", "family", "n", "set", "label", "rest"))
+    rows = large.join(label, "id", "left").withColumn("label", F.coalesce("component", "id"))
+    rows = landed(rows.withColumn("rest", (F.col("label") != F.col("family")).cast("int")).drop("component"))
     counted = rows.groupBy("family", "rest").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("entries")).withColumn("b", blocks)
     parts = landed(counted.groupBy("family").agg(
         F.coalesce(F.max(F.when(F.col("rest") == 1, F.col("b"))), F.lit(0)).alias("rests"),
         F.coalesce(F.max(F.when(F.col("rest") == 0, F.col("b"))), F.lit(0)).alias("cores")).where("rests > 0"))
-    rows = rows.join(parts, "family")
+    met = rows.join(parts, "family")
     own = F.pmod(F.xxhash64("id"), F.when(F.col("rest") == 1, F.col("rests")).otherwise(F.col("cores"))).cast("int")
     # blocks of the rest are numbered from 0, those of the core from `rests` on; the tiles are rest with rest and rest with core
-    rows = rows.withColumn("own", F.when(F.col("rest") == 1, own).otherwise(own + F.col("rests"))).withColumn(
+    met = met.withColumn("own", F.when(F.col("rest") == 1, own).otherwise(own + F.col("rests"))).withColumn(
         "other", F.explode(F.when(F.col("rest") == 1, F.sequence(F.lit(0), F.col("rests") + F.col("cores") - 1)).otherwise(
             F.sequence(F.lit(0), F.col("rests") - 1))))
-    tiles = rows.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                        (F.col("own") > F.col("other")).cast("int").alias("side"), "label", "id", "set")
+    tiles = met.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                       (F.col("own") > F.col("other")).cast("int").alias("side"), "label", "id", "set")
     more = landed(_compare(tiles, percent))
-    found = landed(components(links.union(more)))
-    dropped(sizes, large, links, label, more, parts)
+    # a tile tells of one set for each label it knew, so the links of the first round belong to the second's
+    found = landed(components(label.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more)))
+    dropped(sizes, large, links, label, rows, more, parts)
     return found
