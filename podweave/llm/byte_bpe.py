@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from podweave.llm.landing import in_arrow
 from podweave.llm.merging import Cache, Pairs
 from podweave.llm.textarrays import codepoints, pieces, slice_hashes
 
@@ -241,14 +242,14 @@ def encode(documents: DataFrame, path: str, text: str = "text", cached: int = CA
     """
     ranks = documents.sparkSession.sparkContext.broadcast(read_ranks(path))
     kept = documents.drop("ids", "offsets")
-    return kept.mapInArrow(_encoder(ranks, text, cached), _with(kept, ("ids", "offsets")))
+    return in_arrow(kept, _encoder(ranks, text, cached), _with(kept, ("ids", "offsets")))
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """All columns, then `decoded` (binary): the bytes that the packed `ids` stand for. Null ids give null."""
     ranks = rows.sparkSession.sparkContext.broadcast(read_ranks(path))
     kept = rows.drop("decoded")
-    return kept.mapInArrow(_decoder(ranks, ids), _with(kept, ("decoded",)))
+    return in_arrow(kept, _decoder(ranks, ids), _with(kept, ("decoded",)))
 
 
 def round_trip(documents: DataFrame, path: str, text: str = "text", cached: int = CACHED) -> DataFrame:
@@ -263,7 +264,7 @@ def round_trip(documents: DataFrame, path: str, text: str = "text", cached: int
         for batch in decoded(encoded(batches)):
             yield batch.drop_columns([text])
 
-    return kept.mapInArrow(both, _with(rest, ("ids", "offsets", "decoded")))
+    return in_arrow(kept, both, _with(rest, ("ids", "offsets", "decoded")))
 
 
 def _with(rows: DataFrame, added: tuple[str, ...]) -> StructType:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podweave.llm.components import components
-from podweave.llm.landing import dropped, landed
+from podweave.llm.landing import dropped, in_arrow, landed
 from podweave.llm.textarrays import grouped
 
 #: Classes of a bucket that one side of a tile holds on average.
@@ -62,7 +62,7 @@ def _signed(classes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
                 [*(batch.column(x) for x in ("id", "n", "size", "vector")), pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))],
                 ["id", "n", "size", "vector", "signatures"])
 
-    return classes.select("id", "n", "size", "vector").mapInArrow(
+    return in_arrow(classes.select("id", "n", "size", "vector"), 
         signed, f"id long, n long, size int, vector {classes.schema['vector'].dataType.simpleString()}, signatures array<long>")
 
 
@@ -110,7 +110,7 @@ def _compare(tiles: DataFrame, least: float) -> DataFrame:
                     [pa.array(ids[told]), pa.array(counts[told]), pa.array(ids[label[told]])], ["id", "found", "tied"])
 
     rows = tiles.select(*keys, "side", "id", "n", "vector", "signatures").repartition(*keys).sortWithinPartitions(*keys)
-    return rows.mapInArrow(compared, "id long, found long, tied long")
+    return in_arrow(rows, compared, "id long, found long, tied long")
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.95,

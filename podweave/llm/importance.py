@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from podweave.llm.byte_bpe import GAP, LETTER, NUMBER, character_kinds
-from podweave.llm.landing import dropped, landed
+from podweave.llm.landing import dropped, in_arrow, landed
 from podweave.llm.textarrays import codepoints, mixed, pieces, slice_hashes
 
 #: The models have 2^BITS buckets; this, and nothing that grows with the corpus, is what is sent to the tasks.
@@ -90,7 +90,7 @@ def fit(documents: DataFrame, sample: DataFrame, key: str = "doc_id", text: str
         used = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(x[used]) for x in counts)], ["bucket", "raw", "target"])
 
-    sums = rows.mapInArrow(counted, "bucket long, raw long, target long").groupBy("bucket").agg(
+    sums = in_arrow(rows, counted, "bucket long, raw long, target long").groupBy("bucket").agg(
         F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.ones(1 << BITS), np.ones(1 << BITS)
     for bucket, r, t in sums.collect():  # 2^BITS rows at most
@@ -116,7 +116,7 @@ def weigh(documents: DataFrame, model: Broadcast, text: str = "text") -> DataFra
                     [*part.columns, pa.array(np.diff(first)), pa.array(sums[first[1:]] - sums[first[:-1]])],
                     [*part.schema.names, "n_ngrams", "log_weight"])
 
-    return kept.mapInArrow(weighed, StructType(
+    return in_arrow(kept, weighed, StructType(
         [*kept.schema.fields, StructField("n_ngrams", LongType()), StructField("log_weight", DoubleType())]))
 
 

@@ -1,12 +1,17 @@
-"""Intermediate tables in the folder that the cluster shares."""
+"""Intermediate tables in the folder that the cluster shares, and the package's own code on the executors."""
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
+_shipped: set[str] = set()
 _own: dict[str, str] = {}
 
 
@@ -41,3 +46,14 @@ def dropped(*frames: DataFrame) -> None:
             if "/podweave-llm/" in folder:
                 path = spark._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def in_arrow(frame: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
+    """`mapInArrow`, with the package sent to the executors first: they need no installed copy."""
+    context = frame.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='podweave-code-')}/podweave", "zip", root, "podweave")
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+    return frame.mapInArrow(function, schema)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from podweave.llm.byte_bpe import LETTER, character_kinds
+from podweave.llm.landing import in_arrow
 from podweave.llm.textarrays import codepoints, mixed, pieces
 
 #: The model has 2^BITS buckets for each language, and at most LANGUAGES languages (those of most documents).
@@ -78,7 +79,7 @@ def learned(documents: DataFrame, text: str = "text", language: str = "lang") ->
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(used), k)), pa.array(used), pa.array(found[used])], ["lang", "bucket", "n"])
 
-    sums = rows.mapInArrow(counted, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = in_arrow(rows, counted, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     totals = np.ones((len(names), 1 << BITS))
     for lang, bucket, n in sums.collect():
         totals[lang, bucket] += n
@@ -147,7 +148,7 @@ def identify(documents: DataFrame, names: list[str], model: Broadcast, text: str
                 columns = [pa.array(x, t) for x, t in zip(zip(*told, strict=True), (pa.string(), pa.float64(), pa.list_(pa.string())), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, "lang_pred", "score", "languages"])
 
-    return kept.mapInArrow(identified, StructType([
+    return in_arrow(kept, identified, StructType([
         *kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()),
         StructField("languages", ArrayType(StringType()))]))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from podweave.llm.landing import dropped, landed
+from podweave.llm.landing import dropped, in_arrow, landed
 from podweave.llm.sieve import sieve, sifted
 from podweave.llm.textarrays import mixed, packed, pieces, shingle_hashes, word_hashes
 from podweave.llm.tiles import families, similar_components
@@ -88,7 +88,7 @@ def _features(documents: DataFrame, width: int, percent: int) -> DataFrame:
                 ["key", "text_hash", "n", "f1", "f2", "keys"])
 
     kind = documents.schema["key"].dataType.simpleString()
-    return documents.mapInArrow(features, f"key {kind}, text_hash long, n long, f1 long, f2 long, keys array<long>")
+    return in_arrow(documents, features, f"key {kind}, text_hash long, n long, f1 long, f2 long, keys array<long>")
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
@@ -101,7 +101,7 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
                 [batch.column("id"), batch.column("family"), pa.array([len(x) for x in held], pa.int64()),
                  pa.array([x.tobytes() for x in held], pa.binary())], ["id", "family", "n", "set"])
 
-    return rows.mapInArrow(sets, "id long, family long, n long, set binary")
+    return in_arrow(rows, sets, "id long, family long, n long, set binary")
 
 
 def ngram_join(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podweave.llm.landing import dropped, landed
+from podweave.llm.landing import dropped, in_arrow, landed
 from podweave.llm.sieve import sieve, sifted
 from podweave.llm.textarrays import codepoints, mixed, packed, pieces, shingle_hashes, word_hashes
 from podweave.llm.tiles import families, similar_components
@@ -81,7 +81,7 @@ def _features(documents: DataFrame, width: int, min_words: int, bands: int, rows
                     yield _record(batch, begun + none, empty, empty, empty, empty, pa.nulls(len(none), pa.list_(pa.int64())))
 
     kind = documents.schema["key"].dataType.simpleString()
-    return documents.mapInArrow(
+    return in_arrow(documents, 
         features, f"key {kind}, text_hash long, doc long, line long, words long, f1 long, f2 long, keys array<long>")
 
 
@@ -108,7 +108,7 @@ def _sets(rows: DataFrame, width: int, min_words: int) -> DataFrame:
                      pa.array([len(x[2]) for x in out], pa.int64()), pa.array([x[2].tobytes() for x in out], pa.binary())],
                     ["id", "family", "n", "set"])
 
-    return rows.mapInArrow(sets, "id long, family long, n long, set binary")
+    return in_arrow(rows, sets, "id long, family long, n long, set binary")
 
 
 def paragraphs(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80,

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podweave.llm.components import components
-from podweave.llm.landing import dropped, landed
+from podweave.llm.landing import dropped, in_arrow, landed
 from podweave.llm.textarrays import grouped
 
 #: A block holds about so many sets, and array entries, at most.
@@ -114,7 +114,7 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     tiles = rows.select("family", "i", "j", "side", "label", "id", "set").repartition("family", "i", "j")
-    return tiles.sortWithinPartitions("family", "i", "j").mapInArrow(compared, "a long, b long")
+    return in_arrow(tiles.sortWithinPartitions("family", "i", "j"), compared, "a long, b long")
 
 
 def similar_components(members: DataFrame, percent: int) -> DataFrame:

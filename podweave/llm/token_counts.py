@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from podweave.llm.landing import in_arrow
 from podweave.llm.merging import Cache, Pairs
 from podweave.llm.textarrays import pieces
 
@@ -115,4 +116,4 @@ def count_tokens(documents: DataFrame, path: str, key: str = "doc_id", text: str
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"),
                             F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(counts, f"key {kind}, n_bytes long, n_tokens long").withColumnRenamed("key", key)
+    return in_arrow(rows, counts, f"key {kind}, n_bytes long, n_tokens long").withColumnRenamed("key", key)
