@@ -21,7 +21,7 @@ def days_from_civil(year: Column, month: Column, day: Column) -> Column:
     past = F.greatest(year, F.lit(1970)) - 1
     leap_days = div(past, 4) - div(past, 100) + div(past, 400) - 477
     year_days = 365 * (past - 1969) + leap_days
-    from_march = F.when(month <= 2, 0).when(is_leap(year), -1).when(month <= 13, -2)
+    from_march = F.when(month <= 2, 0).when((month <= 13) & is_leap(year), -1).when(month <= 13, -2)
     month_days = div(367 * F.greatest(month, F.lit(1)) - 362, 12) + from_march
     return year_days + month_days + day - 1
 
