@@ -12,7 +12,7 @@ def latest_registration(
 ) -> DataFrame:
     """Left as-of join: a batch without an earlier registration stays, with nulls.
 
-    Inside a chunk a running ``last`` finds the registration; the one from earlier chunks is the chunk's seed row.
+    A registration at the batch's own order value counts as earlier. Inside a chunk a running ``last`` finds the registration; the one from earlier chunks is the chunk's seed row.
     Both tables need the keys, the chunk and the order column; the other columns of the registrations are added.
     """
     group = [*keys, chunk]
@@ -27,7 +27,8 @@ def latest_registration(
         .unionByName(known.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
         .unionByName(seeds.where("_known IS NOT NULL").withColumn("_kind", F.lit(0)), allowMissingColumns=True)
     )
-    so_far = Window.partitionBy(*group).orderBy(F.least("_kind", F.lit(1)), order).rowsBetween(
+    # Seeds first; of rows with one order value the registration comes before the batch.
+    so_far = Window.partitionBy(*group).orderBy(F.least("_kind", F.lit(1)), order, "_kind").rowsBetween(
         Window.unboundedPreceding, 0
     )
     joined = merged.withColumn("_known", F.last("_known", ignorenulls=True).over(so_far)).where("_kind = 2")
