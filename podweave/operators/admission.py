@@ -4,6 +4,8 @@ A bucket starts full, gains ``rate`` tokens per second up to ``burst``, keeps wh
 a refusal. The clock is a column of the request in milliseconds, so a replay gives the same verdicts.
 """
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +40,13 @@ def spend(state, costs, clocks, resets, rate: int, burst: int):
     return verdicts, None if tokens is None else (tokens, last)
 
 
+def ceiled(burst: int) -> int:
+    """The burst, or the ceiling with a warning."""
+    if burst > BURST_CEILING:
+        warnings.warn(f"a burst of {burst} is over the ceiling; {BURST_CEILING} is used", stacklevel=3)
+    return min(burst, BURST_CEILING)
+
+
 def admit(
     requests: DataFrame, keys: list[str], chunk: str, order: str, clock_ms: str, cost: str,
     rate: int = RATE_PER_SECOND, burst: int = BURST, reset: str | None = None,
@@ -50,12 +59,15 @@ def admit(
     up, so a second pass is mostly the last one. Under lasting overload by requests of one cost the phase of the
     refills never gets lost; then there are as many passes as phases met, at most one per chunk. A stream of one chunk
     needs none of this.
+
+    A request without clock or cost ends the job with an error. A burst over the ceiling is lowered to it, with a warning.
     """
-    burst = min(burst, BURST_CEILING)
+    burst = ceiled(burst)
     is_reset = F.coalesce(F.col(reset), F.lit(False)) if reset else F.lit(False)
+    needed = lambda c: F.coalesce(F.col(c).cast("bigint"), F.raise_error(F.lit(f"a request has no {c}")).cast("bigint"))
     rows = requests.withColumns({
-        "_clock": F.coalesce(F.col(clock_ms).cast("bigint"), F.lit(0).cast("bigint")),
-        "_cost": F.coalesce(F.col(cost).cast("bigint"), F.lit(0).cast("bigint")),
+        "_clock": needed(clock_ms),
+        "_cost": F.when(is_reset, 0).otherwise(needed(cost)).cast("bigint"),
         "_reset": is_reset,
         "_seed": F.lit(False),
         "_tokens": F.lit(0).cast("bigint"),

@@ -9,18 +9,19 @@ A chunk column must not decrease along the order column. Lines read from files h
 (``sources.logdir``). For a sequence number, ``add_chunk`` makes one.
 """
 
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from podweave.functions.bytes import floor_div
-from podweave.settings import BROADCAST_ROWS, CHUNK_SPAN
+from podweave.settings import BROADCAST_BYTES, CHUNK_SPAN
 
 
 def add_chunk(df: DataFrame, order: str, span: int = CHUNK_SPAN, name: str = "chunk") -> DataFrame:
@@ -59,7 +60,7 @@ def in_frames(rows: Iterator[tuple], columns: list[str], size: int = 10_000) ->
 
 
 def long_streams(df: DataFrame, keys: list[str], chunk: str) -> DataFrame:
-    """The keys that have more than one chunk: at most one key per chunk's worth of rows."""
+    """The keys that have more than one chunk."""
     spans = df.groupBy(*keys).agg(F.min(chunk).alias("_low"), F.max(chunk).alias("_high"))
     return settle(spans.where("_low < _high").select(*keys))
 
@@ -73,14 +74,30 @@ def settle(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names; survives lost executors."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="podweave-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def join_lookup(df: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", limit=BROADCAST_ROWS) -> DataFrame:
-    """Join a lookup table: broadcast when counted to be small, else a shuffle join that AQE splits at hot keys."""
-    small = lookup.limit(limit + 1).count() <= limit
-    return df.join(F.broadcast(lookup) if small else lookup, on, how)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Without that setting a local session gets a temporary one; on a cluster,
+    where tasks on other machines would not see it, that is an error."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to storage that the driver and all executors share")
+    return _temporary.setdefault(context.applicationId, tempfile.mkdtemp(prefix="podweave-"))
+
+
+_temporary: dict[str, str] = {}
+
+
+def join_lookup(df: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", limit=BROADCAST_BYTES) -> DataFrame:
+    """Join a lookup table: broadcast when its rows are measured to be small, else a shuffle join that AQE splits at hot
+    keys. The measure is the length of the rows as JSON, summed up on the executors."""
+    size = lookup.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return df.join(F.broadcast(lookup) if size <= limit else lookup, on, how)
 
 
 def number_rows(df: DataFrame, *order: str, name: str, start: int = 1) -> DataFrame:

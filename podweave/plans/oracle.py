@@ -308,7 +308,26 @@ SELECT timestamp_ns, stream, cast(sum(CASE WHEN arrival_ms % 8 = 0 THEN 2 ELSE 1
 FROM parsed GROUP BY ALL"""),
     "segment_stream": with_(EVENTS, "SELECT timestamp_ns, stream, payload FROM parsed"),
     "capture_roundtrip": with_(FRAMES, f"""
-SELECT idx, stream_id, timestamp_ns, is_stderr, payload, NULL::varchar AS error FROM ({FRAME_EVENTS})"""),
+SELECT 'node-1' AS conn, seq, idx, stream_id, timestamp_ns, is_stderr, payload, NULL::varchar AS error FROM ({FRAME_EVENTS})"""),
+    "ns_from_months": """
+SELECT o_orderkey, CASE WHEN m <= 13 THEN ns END AS timestamp_ns, CASE WHEN m <= 13 THEN ns END AS civil_ns
+FROM (SELECT o_orderkey, o_orderkey % 100 AS m,
+  (epoch_us(make_timestamp(year(o_orderdate) + (o_orderkey % 100 = 13)::int,
+    CASE o_orderkey % 100 WHEN 0 THEN 1 ELSE least((o_orderkey % 100 - 1) % 12 + 1, 12) END, 5, 6, 7, 8.0))) * 1000 AS ns
+  FROM orders)""",
+    "registration_asof_ties": """
+SELECT b.user_id, b.event_id, r.event_id AS registered_at
+FROM events b ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') r
+  ON b.user_id = r.user_id AND b.event_id >= r.event_id""",
+    "pipeline_quarantine": with_(DOCUMENTS, """
+SELECT 'documents/' || source AS conn, batch_id AS seq, 2::bigint AS type, 8 + 13 * event_count + payload_bytes AS bytes,
+  'payload larger than the frame limit' AS error
+FROM batches WHERE 8 + 13 * event_count + payload_bytes > 65536
+UNION ALL
+SELECT 'events', event_id, CASE event_id % 5 WHEN 4 THEN 9 ELSE 2 END,
+  CASE event_id % 5 WHEN 1 THEN 20 + strlen(props) WHEN 2 THEN 7 ELSE 21 + strlen(props) END,
+  CASE event_id % 5 WHEN 4 THEN 'unknown frame type' ELSE 'unexpected end of payload' END
+FROM events WHERE event_id % 5 IN (1, 2, 4)"""),
 }
 ORACLE["admitted_stream"] = ORACLE["admitted_events"]
 ORACLE["text_files"] = ORACLE["text_stream"] = with_(

@@ -115,6 +115,15 @@ def ns_from_civil(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ns_from_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order years with any month of two digits, as text: 0 is January's start, 13 the next January, above there is none."""
+    year, month = F.year("o_orderdate"), F.col("o_orderkey") % 100
+    stamp = F.format_string("%04d-%02d-05T06:07:08Z", year, month)
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", rfc3339_to_ns(stamp).alias("timestamp_ns"),
+        civil_to_ns(year, month, F.lit(5), F.lit(6), F.lit(7), F.lit(8), F.lit(0)).alias("civil_ns"))
+
+
 def pod_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_lines(spark, sf_dir).select("event_id", pod_metadata(F.col("path")).alias("pod")).select(
         "event_id", "pod.*"
@@ -282,6 +291,15 @@ def batch_registration_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_registration(batches, registrations, ["user_id"], "chunk", "event_id").drop("chunk")
 
 
+def registration_asof_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a batch: a sign-up is its own latest registration."""
+    events = add_chunk(table(spark, sf_dir, "events"), "event_id", SPAN)
+    registrations = events.where("event_type = 'signup'").select(
+        "user_id", "chunk", "event_id", F.col("event_id").alias("registered_at"))
+    batches = events.select("user_id", "chunk", "event_id")
+    return latest_registration(batches, registrations, ["user_id"], "chunk", "event_id").drop("chunk")
+
+
 # --- rendering and frames --------------------------------------------------------------------------------------------
 
 
@@ -346,7 +364,7 @@ def oversized_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def damaged_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a batch frame of its own; by its id sound, cut short, followed by more bytes, or of another type."""
     events = table(spark, sf_dir, "events").select(
         "event_id", F.col("event_id").alias("stream_id"),
@@ -355,13 +373,17 @@ def damaged_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     way = F.col("event_id") % 5
     data = F.col("payload")
-    frames = encode_batches(events).withColumn(
+    return encode_batches(events).withColumn(
         "payload",
         F.when(way == 1, F.substring(data, F.lit(1), F.octet_length(data) - 1))
         .when(way == 2, F.substring(data, F.lit(1), F.lit(7)))
         .when(way == 3, F.concat(data, F.unhex(F.lit("FF00")))).otherwise(data),
-    ).withColumn("type", F.when(way == 4, 9).otherwise(F.col("type")))
-    _, batches, bad = split_frames(frames.drop("stream_id"))
+    ).withColumn("type", F.when(way == 4, 9).otherwise(F.col("type"))).drop("stream_id")
+
+
+def damaged_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damaged frames split and decoded: events, and the reasons where there are none."""
+    _, batches, bad = split_frames(_damaged(spark, sf_dir))
     good = decode_events(batches).select("event_id", "stream_id", text(), "error")
     return good.unionByName(bad.select("event_id", "error"), allowMissingColumns=True)
 
@@ -381,17 +403,26 @@ def damaged_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collector to receiver: files' lines to frames, frames to verdicts with the pod's identity."""
     frames = _frames(spark, sf_dir).withColumn("clock_ms", F.col("seq"))
-    return judge_batches(frames, rate=30, burst=100, span=SPAN).select(
-        "seq", "stream_id", "event_count", "admitted", *NAMES
-    )
+    verdicts, _ = judge_batches(frames, rate=30, burst=100, span=SPAN)
+    return verdicts.select("seq", "stream_id", "event_count", "admitted", *NAMES)
 
 
 def pipeline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = _frames(spark, sf_dir).withColumn("clock_ms", F.col("seq"))
-    events = receive(frames, rate=30, burst=100, span=SPAN)
+    events, _ = receive(frames, rate=30, burst=100, span=SPAN)
     return render(events).select("line")
 
 
+def pipeline_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the receiver refuses: the documents' frames over the limit, and every event as a frame of its own, by its id
+    cut short, shorter than its header, or of another type."""
+    frames = _document_frames(spark, sf_dir).select(
+        F.concat(F.lit("documents/"), "source").alias("conn"), F.col("batch_id").alias("seq"), "type", "payload")
+    damaged = _damaged(spark, sf_dir).select(F.lit("events").alias("conn"), F.col("event_id").alias("seq"), "type", "payload")
+    _, quarantine = judge_batches(frames.unionByName(damaged).withColumn("clock_ms", F.col("seq")), span=SPAN)
+    return quarantine.withColumn("type", F.col("type").cast("bigint"))
+
+
 # --- sources and sinks -----------------------------------------------------------------------------------------------
 
 
@@ -478,7 +509,7 @@ def capture_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_capture(_frames(spark, sf_dir), home, 500)
     _, batches, _ = split_frames(read_capture(spark, home))
     events = decode_events(batches.drop("error"))
-    return events.select("idx", "stream_id", "timestamp_ns", "is_stderr", text(), "error")
+    return events.select("conn", "seq", "idx", "stream_id", "timestamp_ns", "is_stderr", text(), "error")
 
 
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -509,6 +540,7 @@ QUERIES = {
     "trimmed_documents": trimmed_documents,
     "ns_from_rfc3339": ns_from_rfc3339,
     "ns_from_civil": ns_from_civil,
+    "ns_from_months": ns_from_months,
     "pod_metadata": pod_names,
     "pods_of_pages": pods_of_pages,
     "stream_registry": stream_registry,
@@ -524,6 +556,7 @@ QUERIES = {
     "admitted_batches": admitted_batches,
     "admitted_stream": admitted_stream,
     "batch_registration_asof": batch_registration_asof,
+    "registration_asof_ties": registration_asof_ties,
     "rendered_lines": rendered_lines,
     "times_of_day": times_of_day,
     "big_endian_numbers": big_endian_numbers,
@@ -535,6 +568,7 @@ QUERIES = {
     "damaged_registers": damaged_registers,
     "pipeline_verdicts": pipeline_verdicts,
     "pipeline_events": pipeline_events,
+    "pipeline_quarantine": pipeline_quarantine,
     "scanned_directory": scanned_directory,
     "file_offsets": file_offsets,
     "fan_in": fan_in,

@@ -1,13 +1,12 @@
 """Log data derived by Spark from the given tables: lines as CRI and Docker write them."""
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podweave.operators.chunks import add_chunk
+from podweave.operators.chunks import add_chunk, shared_folder
 
 # Chunks small enough that the given tables' streams have several.
 SPAN = 4096
@@ -61,8 +60,7 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared place the cluster names for checkpoints."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="podweave-")
-    return f"{root.rstrip('/')}/podweave-{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/podweave-{name}-{uuid.uuid4().hex}"
 
 
 def write_log_files(lines: DataFrame, directory: str, order: str, append: bool = False) -> None:

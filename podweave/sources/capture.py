@@ -2,10 +2,15 @@
 
 A connection is one file, or a directory of parts named by the sequence number of their first frame. A capture can
 only be walked from its start, so a part is the unit of parallel work; ``write_capture`` cuts a long connection into
-many.
+many. Where a part's frames are not numbered one by one, their numbers lie beside it in a file of eight bytes each.
+
+A write goes to a folder of its own, ``job-…``, which gets its name, in one step, when all of it is there. So a write
+never touches what was there before; a reader takes no folder whose name begins with an underscore.
 """
 
+import array
 import posixpath
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -25,7 +30,8 @@ from pyspark.sql.datasource import (
 from podweave.functions.bytes import floor_div
 from podweave.operators.frames import frame_bytes
 
-SUFFIX = ".frames"
+SUFFIX, NUMBERS = ".frames", ".seq"
+JOB = re.compile(r"job-[0-9a-f]{32}/")
 TRUNCATED = "unexpected end of file"
 SCHEMA = "conn string, seq bigint, type int, payload binary, error string"
 
@@ -48,17 +54,23 @@ class CaptureReader(DataSourceReader):
     def partitions(self) -> list[Part]:
         files, root = filesystem(self.directory)
         found = files.get_file_info(fs.FileSelector(root, recursive=True))
-        return [Part(i.path) for i in found if i.is_file and i.path.endswith(SUFFIX)]
+        inside = lambda path: path.removeprefix(root.rstrip("/") + "/")
+        return [Part(i.path) for i in found if i.is_file and i.path.endswith(SUFFIX) and not inside(i.path).startswith("_")]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        files, _ = filesystem(self.directory)
-        stem = posixpath.basename(partition.path).removesuffix(SUFFIX)
-        conn = posixpath.dirname(partition.path) if stem.isdigit() else partition.path
-        first = int(stem) if stem.isdigit() else 0
+        files, root = filesystem(self.directory)
+        name = JOB.sub("", partition.path.removeprefix(root.rstrip("/") + "/"), count=1)
+        stem = posixpath.basename(name).removesuffix(SUFFIX)
+        conn = posixpath.dirname(name) if stem.isdigit() else name
+        first, numbers = int(stem) if stem.isdigit() else 0, partition.path.removesuffix(SUFFIX) + NUMBERS
+        listed = None
+        if files.get_file_info(numbers).is_file:
+            with files.open_input_stream(numbers) as stream:
+                listed = array.array("q", stream.read())
         rows, held = [], 0
         with files.open_input_stream(partition.path, buffer_size=1 << 20) as stream:
             for at, (kind, payload, error) in enumerate(walk(stream, self.limit)):
-                rows.append((conn, first + at, kind, payload, error))
+                rows.append((conn, listed[at] if listed and at < len(listed) else first + at, kind, payload, error))
                 held += len(payload or b"")
                 if held >= 1 << 22 or len(rows) >= 10_000:
                     yield batch_of(rows)
@@ -96,45 +108,70 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class Written(WriterCommitMessage):
-    def __init__(self, files: list[tuple[str, str]]):
-        self.files = files
+    pass
 
 
 class CaptureWriter(DataSourceWriter):
-    """Parts get their names when the whole job has succeeded; until then they lie under names no reader takes."""
+    """Tasks write below a hidden folder of this job; renaming it is the whole commit. A repeated task writes the same
+    part under a name of its own and takes the first one's place, inside the hidden folder only."""
 
     def __init__(self, options):
-        self.directory = options["path"]
+        self.directory, self.job = options["path"], uuid.uuid4().hex
 
     def write(self, iterator) -> Written:
         files, root = filesystem(self.directory)
-        written, part, sink = [], None, None
+        hidden, part, out = posixpath.join(root, f"_job-{self.job}"), None, None
         for row in iterator:
             if part != (row.conn, row.part):
-                if sink is not None:
-                    sink.close()
-                part = (row.conn, row.part)
-                folder = posixpath.join(root, row.conn)
-                files.create_dir(folder, recursive=True)
-                final = posixpath.join(folder, f"{row.seq:020d}{SUFFIX}")
-                written.append((posixpath.join(folder, f"_{uuid.uuid4().hex}"), final))
-                sink = files.open_output_stream(written[-1][0])
-            sink.write(row.frame)
-        if sink is not None:
-            sink.close()
-        return Written(written)
+                if out is not None:
+                    out.close()
+                part, out = (row.conn, row.part), OpenPart(files, posixpath.join(hidden, inside(row.conn)), row.seq)
+            out.add(row.seq, row.frame)
+        if out is not None:
+            out.close()
+        return Written()
 
     def commit(self, messages) -> None:
-        files, _ = filesystem(self.directory)
-        for message in messages:
-            for temporary, final in message.files if message else []:
-                files.move(temporary, final)
+        files, root = filesystem(self.directory)
+        hidden = posixpath.join(root, f"_job-{self.job}")
+        if files.get_file_info(hidden).type == fs.FileType.Directory:
+            files.move(hidden, posixpath.join(root, f"job-{self.job}"))
 
     def abort(self, messages) -> None:
-        files, _ = filesystem(self.directory)
-        for message in messages:
-            for temporary, _ in message.files if message else []:
-                files.delete_file(temporary)
+        files, root = filesystem(self.directory)
+        hidden = posixpath.join(root, f"_job-{self.job}")
+        if files.get_file_info(hidden).type == fs.FileType.Directory:
+            files.delete_dir(hidden)
+
+
+class OpenPart:
+    """One part being written: its frames, and their numbers if they are not consecutive."""
+
+    def __init__(self, files: fs.FileSystem, folder: str, first: int):
+        files.create_dir(folder, recursive=True)
+        self.files, self.name, self.first = files, posixpath.join(folder, f"{first:020d}"), first
+        self.temporary = posixpath.join(folder, f"_{uuid.uuid4().hex}")
+        self.sink, self.numbers = files.open_output_stream(self.temporary), array.array("q")
+
+    def add(self, seq: int, frame: bytes) -> None:
+        self.numbers.append(seq)
+        self.sink.write(frame)
+
+    def close(self) -> None:
+        self.sink.close()
+        if any(seq != self.first + at for at, seq in enumerate(self.numbers)):
+            with self.files.open_output_stream(self.temporary + NUMBERS) as sink:
+                sink.write(self.numbers.tobytes())
+            self.files.move(self.temporary + NUMBERS, self.name + NUMBERS)
+        self.files.move(self.temporary, self.name + SUFFIX)
+
+
+def inside(conn: str) -> str:
+    """The connection's name as a path that stays below the directory; anything else is an error."""
+    parts = (conn or "").split("/")
+    if not conn or conn.startswith("/") or any(p in ("", ".", "..") or p.startswith("_") for p in parts) or "://" in conn:
+        raise ValueError(f"no name for a connection's folder: {conn!r}")
+    return conn
 
 
 class CaptureSource(DataSource):
@@ -153,13 +190,17 @@ class CaptureSource(DataSource):
 
 
 def read_capture(spark: SparkSession, directory: str) -> DataFrame:
-    """``conn, seq, type, payload, error`` of all ``*.frames`` files; seq grows inside a connection."""
+    """``conn, seq, type, payload, error`` of all ``*.frames`` files: conn is the path below the directory, seq the number
+    that was written, or counted from the part's first."""
     spark.dataSource.register(CaptureSource)
     return spark.read.format("podweave_frames").load(directory)
 
 
 def write_capture(frames: DataFrame, directory: str, frames_per_part: int = 10_000) -> None:
-    """Write frames (``conn, seq, type, payload``) as captures, each connection in parts, in the order of seq."""
+    """Write frames (``conn, seq, type, payload``) as captures, each connection in parts, in the order of seq.
+
+    Adds to what lies there. ``conn`` is a relative path; one that is absolute, empty, or leads upwards is an error.
+    """
     frames.sparkSession.dataSource.register(CaptureSource)
     parts = frames.select(
         F.col("conn").cast("string").alias("conn"), F.col("seq").cast("bigint").alias("seq"),

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from podweave.operators.admission import spend
-from podweave.settings import BURST, BURST_CEILING, RATE_PER_SECOND
+from podweave.operators.admission import ceiled, spend
+from podweave.settings import BURST, RATE_PER_SECOND
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -16,7 +16,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class Bucket(StatefulProcessor):
     def __init__(self, order: str, clock_ms: str, cost: str, reset: str | None, rate: int, burst: int):
         self.order, self.clock_ms, self.cost, self.reset = order, clock_ms, cost, reset
-        self.rate, self.burst = rate, min(burst, BURST_CEILING)
+        self.rate, self.burst = rate, ceiled(burst)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = StructType([StructField("tokens", LongType()), StructField("last_ms", LongType())])
@@ -25,6 +25,9 @@ class Bucket(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         # One key's rows of one trigger: bounded by the source's limit per trigger.
         frame = pd.concat(list(rows)).sort_values(self.order)
+        resetting = frame[self.reset].fillna(False).astype(bool) if self.reset else False
+        if frame[self.clock_ms].isna().any() or (frame[self.cost].isna() & ~resetting).any():
+            raise ValueError("a request has no clock or no cost")
         old = self.state.get() if self.state.exists() else None
         resets = frame[self.reset].fillna(False).tolist() if self.reset else [False] * len(frame)
         verdicts, new = spend(

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from podweave.operators.admission import admit
+from podweave.operators.admission import admit, ceiled
 from podweave.operators.chunks import add_chunk
 
 
@@ -95,3 +95,19 @@ def test_burst_has_a_ceiling(spark):
     big = 4_194_303
     assert verdicts(spark, [(0, big, False)], 1, 10**7) == [True]
     assert verdicts(spark, [(0, big + 1, False)], 1, 10**7) == [False]
+
+
+@pytest.mark.parametrize("missing", ["clock_ms", "cost"])
+def test_a_request_without_clock_or_cost_is_an_error(spark, missing):
+    requests = spark.createDataFrame([("k", 0, 1, 10, 1, False)], "k string, chunk bigint, seq bigint, clock_ms bigint, cost bigint, reset boolean")
+    requests = requests.withColumn(missing, F.lit(None).cast("bigint"))
+    with pytest.raises(Exception, match=f"no {missing}"):
+        admit(requests, ["k"], "chunk", "seq", "clock_ms", "cost", 1, 5, "reset").collect()
+    kept = admit(requests.withColumns({"reset": F.lit(True), "clock_ms": F.lit(1).cast("bigint")}),
+                 ["k"], "chunk", "seq", "clock_ms", "cost", 1, 5, "reset")
+    assert kept.count() == 0
+
+
+def test_a_burst_over_the_ceiling_warns():
+    with pytest.warns(UserWarning, match="over the ceiling"):
+        assert ceiled(10**7) == 4_194_303

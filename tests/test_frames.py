@@ -18,6 +18,7 @@ from podweave.operators.frames import (
     register_payload,
     split_frames,
 )
+from podweave.plans.receive import judge_batches, receive
 from podweave.sources.capture import TRUNCATED, read_capture, write_capture
 
 
@@ -30,11 +31,11 @@ def batch(stream_id, *events):
         struct.pack(">qBI", ns, flag, len(data)) + data for ns, flag, data in events)
 
 
-EVENTS = [(1000000001, 0, b"log event number 1"), (1000000002, 1, b"error: connection reset by peer"), (-5, 1, b"\xff\xfe")]
+EVENTS = [(1000000001, 0, b"first of three"), (1000000002, 1, b"second, on the other stream"), (-5, 1, b"\xff\xfe")]
 
 
 def test_layout(spark):
-    names = ("default", "nginx", "uid-123", "web")
+    names = ("shop", "cart", "0c1-d2e", "web")
     row = spark.range(1).select(
         register_payload(F.lit(7), *(F.lit(n) for n in names)).alias("r"),
         batch_payload(F.lit(99), F.array(*(
@@ -42,7 +43,7 @@ def test_layout(spark):
             for ns, e, d in EVENTS))).alias("b"),
         frame_bytes(F.lit(2), F.unhex(F.lit("00" * 42))).alias("f"),
     ).first()
-    assert bytes(row.r) == register(7, *(n.encode() for n in names)) and len(row.r) == 34
+    assert bytes(row.r) == register(7, *(n.encode() for n in names)) and len(row.r) == 30
     assert bytes(row.b) == batch(99, *EVENTS)
     assert bytes(row.f)[:5] == bytes([0, 0, 0, 42, 2])
 
@@ -70,11 +71,11 @@ def test_decoding_and_errors(spark):
 
 
 def test_registers(spark):
-    sound = register(42, b"default", b"nginx-123", b"uid-abc", b"web")
+    sound = register(42, b"shop", b"cart-77d", b"0c1d2e3", b"till")
     rows = [(1, sound), (1, sound + b"x"), (1, sound[:-1]), (1, register(1, b"", b"", b"", b"")), (1, b"\x00" * 11)]
     got = {r.seq: r for r in decode_registers(split_frames(frames(spark, rows))[0]).collect()}
     for seq in (0, 1):
-        assert tuple(got[seq])[1:] == (42, "default", "nginx-123", "uid-abc", "web", None)
+        assert tuple(got[seq])[1:] == (42, "shop", "cart-77d", "0c1d2e3", "till", None)
     assert got[2].error == SHORT and got[2].stream_id is None
     assert tuple(got[3])[1:] == (1, "", "", "", "", None)
     assert got[4].error == SHORT
@@ -89,22 +90,54 @@ def test_captures(spark, tmp_path):
     rows = [(f"c{i % 2}", i, 2, bytearray(batch(i, (i, 0, b"x" * i)))) for i in range(60)]
     df = spark.createDataFrame(rows, "conn string, seq bigint, type int, payload binary")
     write_capture(df, str(tmp_path / "cap"), 20)
-    parts = sorted(p.name for p in (tmp_path / "cap" / "c0").iterdir())
-    assert len(parts) == 3
+    assert len(list((tmp_path / "cap").glob("job-*/c0/*.frames"))) == 3
     got = read_capture(spark, str(tmp_path / "cap")).orderBy("conn", "seq").collect()
-    assert [bytes(r.payload) for r in got] == [bytes(r[3]) for r in sorted(rows)]
-    seqs = [r.seq for r in got if r.conn.endswith("c1")]
-    assert seqs == sorted(set(seqs)) and len(seqs) == 30
+    assert [(r.conn, r.seq, r.type, bytes(r.payload)) for r in got] == [(c, n, t, bytes(p)) for c, n, t, p in sorted(rows)]
+
+
+def test_copying_a_capture_leaves_it_alone(spark, tmp_path):
+    first, second = str(tmp_path / "a"), str(tmp_path / "b")
+    rows = [(c, 10 * i - 7, 2, bytearray(batch(i))) for i in range(1, 6) for c in ("east/one", "west")]
+    write_capture(spark.createDataFrame(rows, "conn string, seq bigint, type int, payload binary"), first)
+    before = {p: p.read_bytes() for p in (tmp_path / "a").rglob("*") if p.is_file()}
+    write_capture(read_capture(spark, first).where("seq < 20"), second)
+    write_capture(read_capture(spark, first).where("seq < 20"), first)  # a second write adds
+    assert {p: p.read_bytes() for p in before} == before
+    few = sorted((c, n) for c, n, _, _ in rows if n < 20)
+    assert sorted((r.conn, r.seq) for r in read_capture(spark, second).collect()) == few
+    assert read_capture(spark, first).count() == len(rows) + len(few)
+
+
+@pytest.mark.parametrize("conn", ["/etc/x", "../x", "a/../../x", "", None, "a//b", "_hidden"])
+def test_capture_stays_in_its_directory(spark, tmp_path, conn):
+    df = spark.createDataFrame([(conn, 0, 2, bytearray(batch(1)))], "conn string, seq bigint, type int, payload binary")
+    with pytest.raises(Exception, match="no name for a connection"):
+        write_capture(df, str(tmp_path / "cap"))
+    assert not list(tmp_path.rglob("*.frames"))
+
+
+def test_receiver_quarantine(spark):
+    rows = [("c", 0, 2, batch(1, (5, 0, b"x"))), ("c", 1, 2, b"0" * 7), ("c", 2, 9, b"abc"), ("c", 3, 1, b"0" * 5), ("c", 4, 2, b"y" * 70_000)]
+    df = spark.createDataFrame([(*r[:3], bytearray(r[3]), r[1]) for r in rows], "conn string, seq bigint, type int, payload binary, clock_ms bigint")
+    verdicts, bad = judge_batches(df)
+    assert [(r.seq, r.admitted) for r in verdicts.collect()] == [(0, True)]
+    assert sorted(map(tuple, bad.collect())) == [
+        ("c", 1, 2, 7, SHORT), ("c", 2, 9, 3, UNKNOWN_TYPE), ("c", 3, 1, 5, SHORT), ("c", 4, 2, 70_000, TOO_LARGE)]
+    events, again = receive(df)
+    assert [bytes(r.payload) for r in events.collect()] == [b"x"] and again.count() == 4
+    for at, why in ((1, SHORT), (2, UNKNOWN_TYPE), (3, SHORT), (4, TOO_LARGE)):
+        with pytest.raises(Exception, match=why):
+            judge_batches(df.where(f"seq = {at}"), fail_fast=True)
 
 
 def test_capture_ends(spark, tmp_path):
-    one = struct.pack(">IB", 30, 2) + batch(11, (42, 0, b"hello tcp"))
+    one = struct.pack(">IB", 30, 2) + batch(11, (42, 0, b"over wire"))
     assert len(one) == 35
     for name, data in (("whole", one * 2), ("empty", b""), ("header", one + b"\x00\x00"), ("payload", one + one[:-1]),
                        ("bare", one + one[:5])):
         (tmp_path / f"{name}.frames").write_bytes(data)
     got = {}
     for r in read_capture(spark, str(tmp_path)).collect():
-        got.setdefault(r.conn.rsplit("/", 1)[1], []).append(r.error)
+        got.setdefault(r.conn, []).append(r.error)
     assert got == {"whole.frames": [None, None], "header.frames": [None, TRUNCATED],
                    "payload.frames": [None, TRUNCATED], "bare.frames": [None, TRUNCATED]}

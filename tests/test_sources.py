@@ -62,7 +62,7 @@ def run(spark, home, out, **options):
 def test_tail(spark, tmp_path):
     logs, state = str(tmp_path / "logs"), str(tmp_path / "state")
     a, b = f"{logs}/pod/a.log", f"{logs}/pod/b.log"
-    write(a, b"2026-06-27T20:13:09.123456789Z stdout F initial log line\n")
+    write(a, b"2025-11-03T07:41:52.123456789Z stdout F lines before it\n")
     assert run(spark, logs, state) == []
     write(a, b"second\nhalf", "ab")
     write(b, b"new file\n")
@@ -104,8 +104,8 @@ def test_tail_splits_and_limits(spark, tmp_path):
 
 def test_events_of_a_tail_are_parsed(spark, tmp_path):
     logs, out = str(tmp_path / "logs"), str(tmp_path / "out")
-    write(f"{logs}/a.log", b"2026-06-27T20:13:10.111222333Z stderr F second log line\nbad\n")
+    write(f"{logs}/a.log", b"2025-11-03T07:41:53.111222333Z stderr F and after it\nbad\n")
     events = parse_lines(stream_logs(spark, logs, "earliest")).select("stream", F.col("payload").cast("string").alias("p"))
     query = events.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state")
     query.trigger(availableNow=True).start().awaitTermination()
-    assert [tuple(r) for r in spark.read.parquet(out).collect()] == [("stderr", "second log line")]
+    assert [tuple(r) for r in spark.read.parquet(out).collect()] == [("stderr", "and after it")]
