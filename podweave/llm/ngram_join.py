@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from podweave.llm.landing import dropped, in_arrow, landed
-from podweave.llm.sieve import sieve, sifted
+from podweave.llm.sieve import sieve, sifted, without
 from podweave.llm.textarrays import mixed, packed, pieces, shingle_hashes, word_hashes
 from podweave.llm.tiles import families, similar_components
 
@@ -122,7 +122,7 @@ def ngram_join(documents: DataFrame, key: str = "doc_id", text: str = "text", wi
     sets = landed(rows.where("n > 0").groupBy(*prints).agg(
         F.min("id").alias("first"), F.min("key").alias("least"), F.count(F.lit(1)).alias("n_copies")))
     copies = landed(rows.where("n > 0").join(sets, prints).where("id <> first").select("id"))
-    single = rows.where("n > 0").join(copies, "id", "left_anti")
+    single = without(rows.where("n > 0").select("id", "keys"), copies, "id")
     found = families(single.select("id", F.explode(F.array_distinct("keys")).alias("key")))
     wanted = landed(rows.select("id", named.alias("named")).join(found, "id").select("id", "family", "named.*"))
     # only texts that the sieve lets through are shuffled to their partners

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podweave.llm.landing import dropped, in_arrow, landed
-from podweave.llm.sieve import sieve, sifted
+from podweave.llm.sieve import sieve, sifted, without
 from podweave.llm.textarrays import codepoints, mixed, packed, pieces, shingle_hashes, word_hashes
 from podweave.llm.tiles import families, similar_components
 
@@ -133,7 +133,7 @@ def paragraphs(documents: DataFrame, key: str = "doc_id", text: str = "text", wi
     place = F.struct("key", "text_hash", "line")
     classes = landed(real.groupBy("f1", "f2").agg(F.min("id").alias("first"), F.min(place).alias("place"), F.count(F.lit(1)).alias("n")))
     copies = landed(real.join(classes, ["f1", "f2"]).where("id <> first").select("id"))
-    single = real.join(copies, "id", "left_anti")
+    single = without(real.select("id", "keys"), copies, "id")
     near = families(single.select("id", F.explode(F.array_distinct("keys")).alias("key")))
     wanted = landed(real.select("id", "key", "text_hash", "line").join(near, "id").groupBy("key", "text_hash").agg(
         F.collect_list(F.struct("line", "id", "family")).alias("wanted")))

@@ -30,3 +30,11 @@ def sifted(rows: DataFrame, hashed: Column, bitmap: DataFrame) -> DataFrame:
     # the bitmap is broadcast: its size is fixed
     joined = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(_slot(hashed)) == F.col("_bucket"), "left")
     return joined.withColumn("_may", F.coalesce(bit == 1, F.lit(False))).drop("_bucket", "_bits")
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows whose `key` is not among `gone` (a stored table of that column): an anti-join that shuffles only the rows
+    which the sieve cannot clear. A null key stays."""
+    bitmap = sieve(gone.select(F.xxhash64(key).alias("hashed")), "hashed")
+    told = sifted(rows, F.xxhash64(key), bitmap)
+    return told.where(~F.col("_may")).drop("_may").union(told.where("_may").drop("_may").join(gone, key, "left_anti").select(rows.columns))
