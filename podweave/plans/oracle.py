@@ -309,6 +309,26 @@ FROM parsed GROUP BY ALL"""),
     "segment_stream": with_(EVENTS, "SELECT timestamp_ns, stream, payload FROM parsed"),
     "capture_roundtrip": with_(FRAMES, f"""
 SELECT 'node-1' AS conn, seq, idx, stream_id, timestamp_ns, is_stderr, payload, NULL::varchar AS error FROM ({FRAME_EVENTS})"""),
+    "known_tags": """
+SELECT event_id, CASE WHEN event_id % 5 IN (0, 1, 4) THEN epoch_us(date_trunc('second', ts)) * 1000 END AS timestamp_ns,
+  CASE WHEN event_id % 5 IN (0, 1, 4) THEN event_id % 5 = 1 END AS is_partial,
+  CASE WHEN event_id % 5 IN (0, 1) THEN event_type WHEN event_id % 5 = 4 THEN ' ' || event_type END AS payload
+FROM events""",
+    "own_format": """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'cri' ELSE 'pairs' END AS format,
+  epoch_us(o_orderdate::timestamp) * 1000 AS timestamp_ns,
+  CASE WHEN o_orderkey % 3 = 0 OR o_orderstatus = 'F' THEN 'stderr' ELSE 'stdout' END AS stream,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'order ' || o_orderkey ELSE 'price ' || o_custkey END AS payload
+FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 7 <> 0""",
+    "growing_registry": with_(LINES, f"""
+SELECT row_number() OVER (ORDER BY read, first_seen, path) AS stream_id, path, first_seen, {pod("path")}, read
+FROM (SELECT path, min(event_id) AS first_seen,
+  CASE WHEN contains(path, '/ns0_') OR contains(path, '/ns3_') THEN 1 ELSE 2 END AS read FROM lines GROUP BY path)"""),
+    "batches_sent": f"""
+SELECT stream_id, 8 + count(*) * 13 + sum(strlen(props))::bigint AS bytes,
+  md5({be("any_value(stream_id)", 4)} || {be("count(*)", 4)} || string_agg({be("event_id", 8)} || '01' || {be("strlen(props)", 4)}
+    || hex(encode(props)), '' ORDER BY event_id)) AS payload_md5
+FROM (SELECT *, event_id // 10 AS stream_id FROM events WHERE event_type = 'error') GROUP BY stream_id""",
     "ns_from_months": """
 SELECT o_orderkey, CASE WHEN m <= 13 THEN ns END AS timestamp_ns, CASE WHEN m <= 13 THEN ns END AS civil_ns
 FROM (SELECT o_orderkey, o_orderkey % 100 AS m,

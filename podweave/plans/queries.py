@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podweave.functions.bytes import be_bytes, be_int64, be_uint, payload_bytes, trim_eol, trim_escaped_eol
-from podweave.functions.lines import detect_format, json_string_field
+from podweave.functions.lines import FORMATS, LineFormat, detect_format, json_string_field
 from podweave.functions.paths import pod_metadata
 from podweave.functions.rendering import is_stderr, render_line, stream_label
 from podweave.functions.timestamps import civil_to_ns, format_time_of_day, is_leap, rfc3339_to_ns
@@ -62,6 +62,37 @@ def malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return malformed_lines(event_lines(spark, sf_dir)).select("event_id", "path", "format", "line")
 
 
+def known_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with one of five tags: F is whole, P is a part, any other makes the line malformed; the byte behind
+    the tag is skipped, whatever it is."""
+    tag = F.element_at(F.array(*map(F.lit, ("F", "P", "X", "f", "FP"))), (F.col("event_id") % 5 + 1).cast("int"))
+    stamp = F.expr("""date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")""")
+    lines = table(spark, sf_dir, "events").select(
+        "event_id", F.concat(stamp, F.lit("Z stdout "), tag, F.lit(" "), "event_type").alias("line"))
+    return parse_all(lines).select("event_id", "timestamp_ns", "is_partial", text())
+
+
+#: A user's own format: ``key=value`` pairs between semicolons, the time in front.
+PAIRS = LineFormat(
+    "pairs", lambda line: line.startswith("at="),
+    lambda line: F.struct(
+        F.regexp_extract(line, "^at=([^;]*);", 1).alias("time"),
+        F.when(F.regexp_extract(line, ";level=([a-z]+);", 1) == "warn", "stderr").when(line.isNotNull(), "stdout").alias("stream"),
+        F.when(line.isNotNull(), False).alias("is_partial"),
+        F.nullif(F.regexp_extract(line, ";msg=(.*)$", 1), F.lit("")).cast("binary").alias("payload")))
+
+
+def own_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as lines of a user's format, every seventh without a message, among CRI lines."""
+    at = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    level = F.when(F.col("o_orderstatus") == "F", "warn").otherwise("info")
+    message = F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(F.concat(F.lit("price "), F.col("o_custkey").cast("string")))
+    line = F.when(F.col("o_orderkey") % 3 == 0, F.concat(at, F.lit(" stderr F order "), F.col("o_orderkey").cast("string"))).otherwise(
+        F.concat(F.lit("at="), at, F.lit(";level="), level, F.lit(";msg="), message))
+    lines = table(spark, sf_dir, "orders").select("o_orderkey", line.alias("line"))
+    return parse_lines(lines, formats=(PAIRS, *FORMATS)).select("o_orderkey", "format", "timestamp_ns", "stream", text())
+
+
 def line_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = event_lines(spark, sf_dir).withColumn("format", detect_format(F.col("line")))
     lines = lines.withColumn("bytes", payload_bytes(F.col("line")))
@@ -144,6 +175,15 @@ def stream_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_registry(parse_lines(event_lines(spark, sf_dir)), "event_id")
 
 
+def growing_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two reads: the streams of the first keep their ids, those that the second brings go on behind."""
+    lines = event_lines(spark, sf_dir)
+    read = F.when(F.col("path").contains("/ns0_") | F.col("path").contains("/ns3_"), 1).otherwise(2)
+    first = _landed(build_registry(lines.where(read == 1), "event_id"), "registry")
+    more = build_registry(lines, "event_id", known=first)
+    return first.withColumn("read", F.lit(1)).unionByName(more.withColumn("read", F.lit(2)))
+
+
 def _landed(df: DataFrame, name: str) -> DataFrame:
     """Store a table once in the shared folder, for the steps behind it to read the columns they need."""
     home = scratch(df.sparkSession, name)
@@ -339,6 +379,16 @@ def frame_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def batches_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The errors among every ten events as one batch: ten without an error are an empty batch, and give no frame."""
+    event = F.struct(F.col("event_id").alias("timestamp_ns"), F.lit(True).alias("is_stderr"), F.col("props").cast("binary").alias("payload"))
+    ten = F.floor(F.col("event_id") / 10).cast("bigint").alias("stream_id")
+    batches = table(spark, sf_dir, "events").groupBy(ten).agg(
+        F.sort_array(F.collect_list(F.when(F.col("event_type") == "error", event))).alias("events"))
+    return encode_batches(batches).select(
+        "stream_id", F.octet_length("payload").cast("bigint").alias("bytes"), F.md5(F.hex("payload")).alias("payload_md5"))
+
+
 def frame_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, batches, _ = split_frames(_frames(spark, sf_dir))
     return decode_events(batches).select("seq", "idx", "stream_id", "timestamp_ns", "is_stderr", text(), "error")
@@ -535,6 +585,8 @@ QUERIES = {
     "parsed_lines": parsed_lines,
     "malformed_lines": malformed,
     "line_formats": line_formats,
+    "known_tags": known_tags,
+    "own_format": own_format,
     "json_fields_of_pages": json_fields_of_pages,
     "parsed_documents": parsed_documents,
     "trimmed_documents": trimmed_documents,
@@ -544,6 +596,7 @@ QUERIES = {
     "pod_metadata": pod_names,
     "pods_of_pages": pods_of_pages,
     "stream_registry": stream_registry,
+    "growing_registry": growing_registry,
     "events_enriched": events_enriched,
     "event_batches": event_batches,
     "event_batches_per_read": event_batches_per_read,
@@ -561,6 +614,7 @@ QUERIES = {
     "times_of_day": times_of_day,
     "big_endian_numbers": big_endian_numbers,
     "frame_payloads": frame_payloads,
+    "batches_sent": batches_sent,
     "frame_roundtrip": frame_roundtrip,
     "register_roundtrip": register_roundtrip,
     "oversized_frames": oversized_frames,
