@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from podweave.operators.chunks import in_chunks, in_frames, join_lookup, long_streams, runs, settle
-from podweave.settings import BURST, BURST_CEILING, RATE_PER_SECOND
+from podweave.operators.chunks import few_chunks, in_chunks, in_frames, join_lookup, long_streams, runs, settle
+from podweave.settings import BURST, BURST_CEILING, CHUNK_ROWS, RATE_PER_SECOND
 
 STATE = ["_tokens", "_last"]
 ENTRY = ["_from_tokens", "_from_last"]
@@ -49,7 +49,7 @@ def ceiled(burst: int) -> int:
 
 def admit(
     requests: DataFrame, keys: list[str], chunk: str, order: str, clock_ms: str, cost: str,
-    rate: int = RATE_PER_SECOND, burst: int = BURST, reset: str | None = None,
+    rate: int = RATE_PER_SECOND, burst: int = BURST, reset: str | None = None, chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """The requests with ``admitted BOOLEAN``; rows where ``reset`` is true refill the bucket and are not returned.
 
@@ -58,14 +58,14 @@ def admit(
     that its stream really gives it: the sequential result. Two bucket states grow equal as soon as the bucket fills
     up, so a second pass is mostly the last one. Under lasting overload by requests of one cost the phase of the
     refills never gets lost; then there are as many passes as phases met, at most one per chunk. A stream of one chunk
-    needs none of this.
+    needs none of this, and a stream of up to ``chunk_rows`` rows is one chunk.
 
     A request without clock or cost ends the job with an error. A burst over the ceiling is lowered to it, with a warning.
     """
     burst = ceiled(burst)
     is_reset = F.coalesce(F.col(reset), F.lit(False)) if reset else F.lit(False)
     needed = lambda c: F.coalesce(F.col(c).cast("bigint"), F.raise_error(F.lit(f"a request has no {c}")).cast("bigint"))
-    rows = requests.withColumns({
+    rows = few_chunks(requests.withColumn("_chunk", F.col(chunk)), keys, chunk, chunk_rows).withColumns({
         "_clock": needed(clock_ms),
         "_cost": F.when(is_reset, 0).otherwise(needed(cost)).cast("bigint"),
         "_reset": is_reset,
@@ -90,7 +90,8 @@ def admit(
 
     schema = StructType([*rows.schema.fields, StructField("admitted", BooleanType())])
     judged = in_chunks(rows, keys, chunk, F.desc("_seed"), order).mapInArrow(judge, schema)
-    return judged.where(~F.col("_seed") & ~F.col("_reset")).select(*requests.columns, "admitted")
+    judged = judged.where(~F.col("_seed") & ~F.col("_reset")).withColumn(chunk, F.col("_chunk"))
+    return judged.select(*requests.columns, "admitted")
 
 
 def _spent(frames, group, rate, burst, state=(None, None)):

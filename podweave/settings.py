@@ -15,5 +15,7 @@ FRAME_BATCH = 2
 
 # Order values per chunk of a stream that carries its own sequence number (see operators.chunks).
 CHUNK_SPAN = 1 << 20
+# A stream of up to this many rows is not cut into chunks at all.
+CHUNK_ROWS = 1 << 17
 # A lookup table up to this many bytes (as JSON) is sent to every executor; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20

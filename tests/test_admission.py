@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from podweave.operators.admission import admit, ceiled
-from podweave.operators.chunks import add_chunk
+from podweave.operators.chunks import add_chunk, few_chunks, long_streams
 
 
 def admit_in_order(rows, rate, burst):
@@ -30,10 +30,10 @@ def admit_in_order(rows, rate, burst):
     return found
 
 
-def run(spark, rows, rate, burst, span=10**6):
+def run(spark, rows, rate, burst, span=10**6, chunk_rows=0):
     df = spark.createDataFrame(rows, "key string, seq bigint, clock bigint, cost bigint, reset boolean")
     df = add_chunk(df, "seq", span).withColumn("extra", F.col("seq").cast("string"))
-    verdicts = admit(df, ["key"], "chunk", "seq", "clock", "cost", rate, burst, "reset")
+    verdicts = admit(df, ["key"], "chunk", "seq", "clock", "cost", rate, burst, "reset", chunk_rows)
     out = verdicts.collect()
     assert all(r.extra == str(r.seq) for r in out)
     return {(r.key, r.seq): r.admitted for r in out}
@@ -49,7 +49,19 @@ def test_chunks_do_not_change_the_verdicts(spark, span, rate, burst, step):
         for seq in range(n):
             clock += rng.choice([0, 1, step, step * 2, -5])
             rows.append((key, seq, clock, rng.choice([0, 1, 1, 2, 8]), rng.random() < 0.03))
-    assert run(spark, rows, rate, burst, span) == admit_in_order(rows, rate, burst)
+    want = admit_in_order(rows, rate, burst)
+    assert run(spark, rows, rate, burst, span) == want
+    if span == 5:
+        assert run(spark, rows, rate, burst, span, 100) == run(spark, rows, rate, burst, span, 1000) == want
+
+
+def test_sparse_streams_stay_in_one_chunk(spark):
+    rows = [("hot", i) for i in range(200)] + [("sparse", i) for i in range(0, 200, 20)]
+    df = add_chunk(spark.createDataFrame(rows, "key string, seq bigint"), "seq", 10)
+    assert {r.key for r in long_streams(df, ["key"], "chunk").collect()} == {"hot", "sparse"}
+    few = few_chunks(df, ["key"], "chunk", 100)
+    assert few.columns == df.columns and {r.key for r in long_streams(few, ["key"], "chunk").collect()} == {"hot"}
+    assert few.where("key = 'hot'").exceptAll(df).count() == 0 and few.count() == df.count()
 
 
 def test_lasting_overload_of_equal_costs(spark):
