@@ -4,19 +4,31 @@ A bucket starts full, gains ``rate`` tokens per second up to ``burst``, keeps wh
 a refusal. The clock is a column of the request in milliseconds, so a replay gives the same verdicts.
 """
 
+import bisect
+import math
 import warnings
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
-from podweave.operators.chunks import few_chunks, in_chunks, in_frames, join_lookup, long_streams, runs, settle
+from podweave.operators.chunks import (
+    few_chunks,
+    in_chunks,
+    in_frames,
+    join_lookup,
+    long_streams,
+    runs,
+    settle,
+    sparse_streams,
+)
 from podweave.settings import BURST, BURST_CEILING, CHUNK_ROWS, RATE_PER_SECOND
 
 STATE = ["_tokens", "_last"]
 ENTRY = ["_from_tokens", "_from_last"]
+TABLE = ["_full_tokens", "_full_last", "_first", "_low", "_starts", "_left", "_since"]
 
 
 def spend(state, costs, clocks, resets, rate: int, burst: int):
@@ -53,28 +65,30 @@ def admit(
 ) -> DataFrame:
     """The requests with ``admitted BOOLEAN``; rows where ``reset`` is true refill the bucket and are not returned.
 
-    The state at a chunk's start is that at the end of the chunk before. Every chunk is first folded from a full
-    bucket; then from the end state found for the chunk before it, until the end of every chunk is known for the start
-    that its stream really gives it: the sequential result. Two bucket states grow equal as soon as the bucket fills
-    up, so a second pass is mostly the last one. Under lasting overload by requests of one cost the phase of the
-    refills never gets lost; then there are as many passes as phases met, at most one per chunk. A stream of one chunk
-    needs none of this, and a stream of up to ``chunk_rows`` rows is one chunk.
+    The state at a chunk's start is that at the end of the chunk before. One pass over the slim columns tells, for each
+    chunk, the end state by the start state, for all starts at once (``Outcomes``); the tables are followed along each
+    stream, and a last pass judges every chunk from its true start. The input is read twice, however many chunks there
+    are. Only where a chunk's clock lies behind an admission in an earlier chunk the table cannot tell; such chunks are
+    folded again, one after the other. A stream of one chunk needs none of this, and one of up to ``chunk_rows`` rows is
+    one chunk.
 
     A request without clock or cost ends the job with an error. A burst over the ceiling is lowered to it, with a warning.
     """
     burst = ceiled(burst)
     is_reset = F.coalesce(F.col(reset), F.lit(False)) if reset else F.lit(False)
     needed = lambda c: F.coalesce(F.col(c).cast("bigint"), F.raise_error(F.lit(f"a request has no {c}")).cast("bigint"))
-    rows = few_chunks(requests.withColumn("_chunk", F.col(chunk)), keys, chunk, chunk_rows).withColumns({
-        "_clock": needed(clock_ms),
-        "_cost": F.when(is_reset, 0).otherwise(needed(cost)).cast("bigint"),
+    asked = {"_clock": needed(clock_ms), "_cost": F.when(is_reset, 0).otherwise(needed(cost)).cast("bigint")}
+    group = [*keys, chunk]
+    slim = settle(requests.select(*group, order, *(v.alias(k) for k, v in asked.items()), is_reset.alias("_reset")))
+    sparse = sparse_streams(slim, keys, chunk, chunk_rows)
+    rows = few_chunks(requests.withColumn("_chunk", F.col(chunk)), keys, chunk, sparse).withColumns(asked | {
         "_reset": is_reset,
         "_seed": F.lit(False),
         "_tokens": F.lit(0).cast("bigint"),
         "_last": F.lit(0).cast("bigint"),
     })
-    group = [*keys, chunk]
-    slim = rows.select(*group, order, "_clock", "_cost", "_reset", "_seed", *STATE)
+    empty = {"_seed": F.lit(False), "_tokens": F.lit(0).cast("bigint"), "_last": F.lit(0).cast("bigint")}
+    slim = few_chunks(slim, keys, chunk, sparse).withColumns(empty)
     seeds = _start_states(slim, keys, chunk, order, rate, burst)
     if seeds is not None:
         rows = _with_seeds(rows, seeds, order)
@@ -117,6 +131,97 @@ def _with_seeds(rows: DataFrame, seeds: DataFrame, order: str) -> DataFrame:
     return rows.unionByName(added, allowMissingColumns=True)
 
 
+class Outcomes:
+    """What a run of requests makes of every state a bucket may have before it.
+
+    Up to the first request that is admitted, or a reset, a state counts only by x, the thousandths of tokens there at the
+    first request's time, from 0 to the full bucket. ``open`` is the number of x, from 0 on, that have seen neither. All
+    others are lanes (whole tokens left, time of the last admission), one for each number of tokens left; lanes that
+    meet are one. Under load all lanes soon end at few tokens, without it at the full bucket.
+    """
+
+    MERGE = 32  # rows between two looks for lanes that have met
+
+    def __init__(self, rate: int, burst: int):
+        self.rate, self.burst = rate, burst
+        self.full = None  # the end state of a bucket that is new here
+        self.first, self.low, self.open, self.seen = None, None, 1000 * burst + 1, 0
+        self.tokens = self.last = np.zeros(0, np.int64)
+        # Ranges of x, by their lower ends, and the lane of each; later ones lie below.
+        self.starts, self.lanes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, costs, clocks, resets) -> None:
+        _, self.full = spend(self.full, costs, clocks, resets, self.rate, self.burst)
+        for cost, clock, reset in zip(costs, clocks, resets):
+            self.first = clock if self.first is None else self.first
+            if reset:
+                self.starts, self.lanes, self.open = np.zeros(1, np.int64), np.zeros(1, np.int64), 0
+                self.tokens, self.last = np.array([self.burst]), np.array([clock])
+                continue
+            if len(self.tokens) == 1 and not self.open:
+                tokens, last = int(self.tokens[0]), int(self.last[0])
+                level = min(self.burst, tokens + self.rate * max(0, clock - last) // 1000)
+                if cost <= level:
+                    self.tokens[0], self.last[0] = level - cost, clock
+                continue
+            if len(self.tokens):
+                level = np.minimum(self.burst, self.tokens + self.rate * np.maximum(0, clock - self.last) // 1000)
+                passed = cost <= level
+                self.tokens, self.last = np.where(passed, level - cost, self.tokens), np.where(passed, clock, self.last)
+            if self.open:
+                self._admit_open(cost, clock)
+            self.seen += 1
+            if self.seen % self.MERGE == 0:
+                self._merge()
+
+    def _admit_open(self, cost: int, clock: int) -> None:
+        self.low = clock if self.low is None else min(self.low, clock)
+        grown = self.rate * (clock - self.first)
+        least = max(0, 1000 * cost - grown)
+        if cost > self.burst or least >= self.open:
+            return
+        levels = np.arange(min(self.burst, (least + grown) // 1000), min(self.burst, (self.open - 1 + grown) // 1000) + 1)
+        starts = np.maximum(least, levels * 1000 - grown)
+        self.lanes = np.concatenate((self.lanes, len(self.tokens) + np.arange(len(levels))))
+        self.starts = np.concatenate((self.starts, starts))
+        self.tokens = np.concatenate((self.tokens, levels - cost))
+        self.last = np.concatenate((self.last, np.full(len(levels), clock)))
+        self.open = least
+
+    def _merge(self) -> None:
+        if len(self.tokens) < 2:
+            return
+        order = np.lexsort((self.tokens, self.last))
+        last, tokens = self.last[order], self.tokens[order]
+        new = np.append(True, (last[1:] != last[:-1]) | (tokens[1:] != tokens[:-1]))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        self.last, self.tokens, self.lanes = last[new], tokens[new], place[self.lanes]
+
+    def table(self) -> tuple:
+        """(end state of a new bucket; first clock, least clock met by an untouched state; then ranges of x: lower ends, tokens, last times; tokens
+        of -1: the state stays as it is)."""
+        self._merge()
+        order = np.argsort(self.starts, kind="stable")
+        starts, tokens, last = self.starts[order], self.tokens[self.lanes[order]], self.last[self.lanes[order]]
+        if self.open:
+            starts, tokens, last = (np.append(v, a) for v, a in ((0, starts), (-1, tokens), (-1, last)))
+        new = np.append(True, (tokens[1:] != tokens[:-1]) | (last[1:] != last[:-1]))
+        return *self.full, self.first, self.low, *(a[new].astype(np.int64).tolist() for a in (starts, tokens, last))
+
+
+def outcome(state, table, rate: int, burst: int):
+    """The state behind a run, by its table; None where a clock behind the start's keeps the table from telling."""
+    *full, first, low, starts, tokens, last = table
+    if state == (-1, -1):
+        return tuple(map(int, full))
+    if low is not None and not math.isnan(low) and low < state[1]:
+        return None
+    x = min(1000 * burst, 1000 * state[0] + rate * (first - state[1])) if first >= state[1] else 0
+    at = bisect.bisect_right(starts, x) - 1
+    return state if tokens[at] < 0 else (int(tokens[at]), int(last[at]))
+
+
 def _start_states(slim: DataFrame, keys, chunk, order, rate: int, burst: int) -> DataFrame | None:
     """``keys, chunk, _tokens, _last`` at the start of every chunk but a stream's first; None when all have one."""
     group = [*keys, chunk]
@@ -125,51 +230,72 @@ def _start_states(slim: DataFrame, keys, chunk, order, rate: int, burst: int) ->
         return None
     slim = join_lookup(slim, several, keys, "left_semi")
     fields = [slim.schema[c] for c in group]
-    per_chunk = [*group, *ENTRY, *STATE, "_round"]
-    longs = [StructField(c, LongType()) for c in (*ENTRY, *STATE, "_round")]
+    per_chunk = [*group, *TABLE]
+    lists = [StructField(c, ArrayType(LongType())) for c in TABLE[4:]]
+    longs = lambda names: [StructField(c, LongType()) for c in names]
+
+    def tabulate(frames):
+        key, made = None, None
+        for next_key, run in runs(frames, group):
+            if next_key != key:
+                if key is not None:
+                    yield (*key, *made.table())
+                key, made = next_key, Outcomes(rate, burst)
+            made.add(*(run[c].tolist() for c in ("_cost", "_clock", "_reset")))
+        if key is not None:
+            yield (*key, *made.table())
 
-    def fold(rows: DataFrame, tried: int) -> DataFrame:
+    def fold(rows: DataFrame) -> DataFrame:
         def end_states(frames):
-            """One row per chunk: the state it started from (-1: a full bucket) and the one it ended in."""
+            """One row per chunk: the state it started from and the one it ended in."""
             key, entry, end = None, None, None
             for _, seed, (run_key, bucket) in _spent(frames, group, rate, burst):
                 if run_key != key:
                     if key is not None:
-                        yield (*key, *entry, *end, tried)
-                    key, entry = run_key, seed or (-1, -1)
+                        yield (*key, *entry, *end)
+                    key, entry = run_key, seed
                 end = bucket
             if key is not None:
-                yield (*key, *entry, *end, tried)
+                yield (*key, *entry, *end)
 
         return in_chunks(rows, keys, chunk, F.desc("_seed"), order).mapInPandas(
-            lambda frames: in_frames(end_states(frames), per_chunk), StructType(fields + longs)
+            lambda frames: in_frames(end_states(frames), [*group, *ENTRY, *STATE]), StructType(fields + longs((*ENTRY, *STATE)))
         )
 
     def follow(frames):
         """Through a stream's chunks in order: each one's start state, and whether its end is known for that start."""
         stream, state = None, None
         for frame in frames:
-            for *key, from_tokens, from_last, tokens, last, rounds in zip(*(frame[c].tolist() for c in per_chunk)):
-                ends_of = list(zip(map(int, tokens), map(int, last)))
-                table = dict(zip(zip(map(int, from_tokens), map(int, from_last)), ends_of))
-                if key[:-1] != stream:
+            columns = [frame[c].tolist() for c in (*per_chunk, "_ends")]
+            for *row, ends in zip(*columns):
+                key, table = row[:len(group)], row[len(group):]
+                started = state if key[:-1] == stream else None
+                if started is None:
                     stream, state = key[:-1], (-1, -1)
-                else:
-                    yield (*key, *state, state in table)
-                state = table.get(state, ends_of[int(np.argmax(rounds))])
+                found = {(e["_from_tokens"], e["_from_last"]): (e["_tokens"], e["_last"]) for e in (() if ends is None else ends)}
+                end = outcome(state, table, rate, burst) or found.get(state)
+                if started is not None:
+                    yield (*key, *started, end is not None)
+                # Without an end the stream is followed from a guess, and looked at again once the chunk has been folded.
+                state = end if end is not None else state
 
     found_columns = [*group, *STATE, "_known"]
-    found_schema = StructType(fields + [StructField(c, LongType()) for c in STATE] + [StructField("_known", BooleanType())])
-    ends, tried = settle(fold(slim, 0)), 0
+    found_schema = StructType(fields + longs(STATE) + [StructField("_known", BooleanType())])
+    # One table per chunk: a stream's tables pass one task, its requests do not.
+    tables = settle(in_chunks(slim, keys, chunk, order).mapInPandas(
+        lambda frames: in_frames(tabulate(frames), per_chunk, 64), StructType(fields + longs(TABLE[:4]) + lists)
+    ))
+    entry = F.struct(*ENTRY, *STATE)
+    ends = None
     while True:
-        # One row per chunk and start tried: a stream's rows pass one task, its requests do not.
-        tables = ends.groupBy(*group).agg(F.collect_list(F.struct(*ENTRY, *STATE, "_round")).alias("_ends"))
-        tables = tables.select(*group, *(F.col(f"_ends.{c}").alias(c) for c in per_chunk[len(group):]))
-        ordered = tables.repartition(*keys).sortWithinPartitions(*keys, chunk)
+        known = tables.withColumn("_ends", F.lit(None).cast(f"array<struct<{', '.join(f'{c}: bigint' for c in (*ENTRY, *STATE))}>>"))
+        if ends is not None:
+            known = tables.join(ends.groupBy(*group).agg(F.collect_list(entry).alias("_ends")), group, "left")
+        ordered = known.repartition(*keys).sortWithinPartitions(*keys, chunk)
         found = settle(ordered.mapInPandas(lambda frames: in_frames(follow(frames), found_columns), found_schema))
         open_chunks = found.where("NOT _known").drop("_known")
         if open_chunks.isEmpty():
             return found.drop("_known")
-        tried += 1
         again = join_lookup(slim, open_chunks.select(*group), group, "left_semi")
-        ends = settle(ends.unionByName(fold(_with_seeds(again, open_chunks, order), tried)))
+        more = fold(_with_seeds(again, open_chunks, order))
+        ends = settle(more if ends is None else ends.unionByName(more))

@@ -65,14 +65,18 @@ def long_streams(df: DataFrame, keys: list[str], chunk: str) -> DataFrame:
     return settle(spans.where("_low < _high").select(*keys))
 
 
-def few_chunks(df: DataFrame, keys: list[str], chunk: str, rows: int = CHUNK_ROWS) -> DataFrame:
-    """The same rows, those of a key with at most ``rows`` of them in one chunk, its first.
+def sparse_streams(df: DataFrame, keys: list[str], chunk: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    """The keys with several chunks and at most ``rows`` rows, and their first chunk as ``_low``."""
+    spans = df.groupBy(*keys).agg(F.min(chunk).alias("_low"), F.max(chunk).alias("_high"), F.count("*").alias("_rows"))
+    return settle(spans.where((F.col("_low") < F.col("_high")) & (F.col("_rows") <= rows)).select(*keys, "_low"))
+
+
+def few_chunks(df: DataFrame, keys: list[str], chunk: str, sparse: DataFrame) -> DataFrame:
+    """The same rows, those of the sparse streams all in their first chunk.
 
     A sequence number over all streams puts a sparse stream into every chunk; the folds would then work on a few rows at
     a time, with a seed for each. For slim rows: with very many such keys the join is a shuffle.
     """
-    spans = df.groupBy(*keys).agg(F.min(chunk).alias("_low"), F.max(chunk).alias("_high"), F.count("*").alias("_rows"))
-    sparse = settle(spans.where((F.col("_low") < F.col("_high")) & (F.col("_rows") <= rows)).select(*keys, "_low"))
     merged = join_lookup(df, sparse, keys, "left")
     return merged.withColumn(chunk, F.coalesce("_low", chunk)).select(*df.columns)
 

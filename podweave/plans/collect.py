@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from podweave.functions.bytes import payload_bytes
 from podweave.functions.rendering import is_stderr
 from podweave.operators.batching import assign_batches, batch_pieces, batch_sizes, collect_batches
-from podweave.operators.chunks import few_chunks
+from podweave.operators.chunks import few_chunks, sparse_streams
 from podweave.operators.frames import NAMES, encode_batches, encode_registry
 from podweave.operators.parsing import parse_lines
 from podweave.operators.registry import build_registry, join_registry
@@ -47,5 +47,6 @@ def collect_batch_table(events: DataFrame, chunk: str = "chunk", order: str = "l
                         delta: str | None = None) -> DataFrame:
     """One row per batch with its size, without touching a payload."""
     keys = ["path"] + ([delta] if delta else [])
-    slim = few_chunks(events.select(*keys, chunk, order, "payload_bytes"), keys, chunk)
+    slim = events.select(*keys, chunk, order, "payload_bytes")
+    slim = few_chunks(slim, keys, chunk, sparse_streams(slim, keys, chunk))
     return batch_sizes(batch_pieces(slim, keys, chunk, order, "payload_bytes"), keys)

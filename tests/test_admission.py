@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from podweave.operators.admission import admit, ceiled
-from podweave.operators.chunks import add_chunk, few_chunks, long_streams
+from podweave.operators.admission import Outcomes, admit, ceiled, outcome, spend
+from podweave.operators.chunks import add_chunk, few_chunks, long_streams, sparse_streams
 
 
 def admit_in_order(rows, rate, burst):
@@ -59,7 +59,7 @@ def test_sparse_streams_stay_in_one_chunk(spark):
     rows = [("hot", i) for i in range(200)] + [("sparse", i) for i in range(0, 200, 20)]
     df = add_chunk(spark.createDataFrame(rows, "key string, seq bigint"), "seq", 10)
     assert {r.key for r in long_streams(df, ["key"], "chunk").collect()} == {"hot", "sparse"}
-    few = few_chunks(df, ["key"], "chunk", 100)
+    few = few_chunks(df, ["key"], "chunk", sparse_streams(df, ["key"], "chunk", 100))
     assert few.columns == df.columns and {r.key for r in long_streams(few, ["key"], "chunk").collect()} == {"hot"}
     assert few.where("key = 'hot'").exceptAll(df).count() == 0 and few.count() == df.count()
 
@@ -70,6 +70,40 @@ def test_lasting_overload_of_equal_costs(spark):
     assert run(spark, rows, 10_000, 640, 30) == admit_in_order(rows, 10_000, 640)
 
 
+@pytest.mark.parametrize("rate, burst", [(1, 5), (3, 40), (1000, 7), (10_000, 50)])
+def test_outcomes_tell_every_end(rate, burst):
+    rng = random.Random(rate + burst)
+    for _ in range(40):
+        clock, rows = 1000, []
+        for _ in range(rng.randrange(1, 120)):
+            clock += rng.choice([0, 1, 7, 300, 1500, -3])
+            rows.append((rng.choice([0, 1, 1, 1, 2, 6, burst + 1]), clock, rng.random() < 0.01))
+        made = Outcomes(rate, burst)
+        made.MERGE = rng.choice([1, 32])
+        made.add(*zip(*rows))
+        for state in [None, *((rng.randrange(burst + 1), 1000 - rng.choice([0, 1, 999, 5000, -2])) for _ in range(20))]:
+            _, want = spend(state, *zip(*rows), rate, burst)
+            got = outcome(state or (-1, -1), made.table(), rate, burst)
+            assert got == want or got is None and min(c for _, c, _ in rows) < state[1]
+
+
+@pytest.mark.parametrize("chunks", [12, 48])
+def test_the_input_is_read_a_fixed_number_of_times(spark, chunks):
+    rows = [("hot", i, 1000 + i, 1, False) for i in range(480)]
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    schema = "key string, seq bigint, clock bigint, cost bigint, reset boolean"
+    df = add_chunk(spark.createDataFrame(rows, schema).mapInArrow(count, schema), "seq", 480 // chunks)
+    got = admit(df, ["key"], "chunk", "seq", "clock", "cost", 1, 5, "reset", 0).collect()
+    assert {(r.key, r.seq): r.admitted for r in got} == admit_in_order(rows, 1, 5)
+    assert read.value <= 3 * len(rows)
+
+
 def verdicts(spark, requests, rate, burst):
     rows = [("k", i, clock, cost, reset) for i, (clock, cost, reset) in enumerate(requests)]
     got = run(spark, rows, rate, burst)
