@@ -290,7 +290,14 @@ def admitted_hot_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events in one stream, a cost that differs: the chunks' start states have to be found."""
     requests = _requests(spark, sf_dir).withColumns({"conn": F.lit("all"), "cost": F.col("event_id") % 5 + 1})
     requests = add_chunk(requests, "event_id", SPAN)
-    verdicts = admit(requests, ["conn"], "chunk", "event_id", "clock_ms", "cost", 1200, 300)
+    verdicts = admit(requests, ["conn"], "chunk", "event_id", "clock_ms", "cost", 1200, 300, chunk_rows=SPAN)
+    return verdicts.select("event_id", "admitted")
+
+
+def admitted_overload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events in one stream that may pass one a second: five hundred times too many, all through."""
+    requests = add_chunk(_requests(spark, sf_dir).withColumns({"conn": F.lit("all"), "cost": F.lit(1)}), "event_id", SPAN // 8)
+    verdicts = admit(requests, ["conn"], "chunk", "event_id", "clock_ms", "cost", 1, 5, chunk_rows=SPAN // 8)
     return verdicts.select("event_id", "admitted")
 
 
@@ -606,6 +613,7 @@ QUERIES = {
     "admitted_events": admitted_events,
     "admitted_after_registration": admitted_after_registration,
     "admitted_hot_stream": admitted_hot_stream,
+    "admitted_overload": admitted_overload,
     "admitted_batches": admitted_batches,
     "admitted_stream": admitted_stream,
     "batch_registration_asof": batch_registration_asof,
