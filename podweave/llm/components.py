@@ -10,9 +10,9 @@ from podweave.llm.landing import dropped, landed
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Ties every node u, and all its smaller neighbours v, to the smallest of these."""
-    least = landed(edges.groupBy("u").agg(F.min("v").alias("m")))
+    least = landed(edges.groupBy("u").agg(F.min("v").alias("m")), edges)
     tied = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    found = landed(tied.union(least.select("u", F.col("m").alias("v"))).distinct())
+    found = landed(tied.union(least.select("u", F.col("m").alias("v"))).distinct(), edges)
     dropped(edges, least)
     return found
 
@@ -20,8 +20,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Ties all larger neighbours of every node to the smallest of the node and its neighbours."""
     both = edges.union(edges.select("v", "u"))
-    least = landed(both.groupBy("u").agg(F.min("v").alias("m")))
-    found = landed(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")))
+    least = landed(both.groupBy("u").agg(F.min("v").alias("m")), edges)
+    found = landed(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")), edges)
     dropped(edges, least)
     return found
 

@@ -132,12 +132,12 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     rows = landed(given.withColumn("id", F.monotonically_increasing_id()).withColumn("print", F.xxhash64("vector")))
     same = ["print", "vector"]
     classes = landed(rows.where("vector IS NOT NULL").groupBy(*same).agg(
-        F.min("id").alias("id"), F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("size", F.size("vector")))
+        F.min("id").alias("id"), F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("size", F.size("vector")), rows)
     bits, tables = tables_for(classes.count(), least, missed)
     signed = landed(_signed(classes, bits, tables, seed))
     codes = signed.select("id", "size", F.posexplode("signatures").alias("t", "code"))
     buckets = codes.groupBy("t", "size", "code").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = landed(buckets.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")))
+    buckets = landed(buckets.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")), signed)
     met = signed.select("id", "n", "size", "vector", "signatures", F.posexplode("signatures").alias("t", "code")).join(
         buckets, ["t", "size", "code"])
     own = F.pmod(F.xxhash64("id", "t"), F.col("blocks")).cast("int")
@@ -148,9 +148,9 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     counts = found.groupBy("id").agg(F.sum("found").alias("found"))
     tied = components(found.select(F.col("id").alias("a"), F.col("tied").alias("b")))
     told = classes.join(counts, "id", "left").join(tied, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    told = landed(told.select(*same, "least", "n", "component", (F.coalesce("found", F.lit(0)) + F.col("n") - 1).alias("links")))
-    names = landed(told.groupBy("component").agg(F.min("least").alias("name")))
-    told = landed(told.join(names, "component").select(*same, "links", "name"))
+    told = landed(told.select(*same, "least", "n", "component", (F.coalesce("found", F.lit(0)) + F.col("n") - 1).alias("links")), rows)
+    names = landed(told.groupBy("component").agg(F.min("least").alias("name")), rows)
+    told = landed(told.join(names, "component").select(*same, "links", "name"), rows)
     dropped(classes, signed, buckets, found, names)
     joined = rows.join(told.withColumnRenamed("vector", "v").withColumnRenamed("print", "p"),
                        (F.col("print") == F.col("p")) & (F.col("vector") == F.col("v")), "left")

@@ -26,13 +26,21 @@ def shared_folder(spark: SparkSession) -> str:
     return _own.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="podweave-llm-"))
 
 
-def landed(frame: DataFrame) -> DataFrame:
+#: Bytes of input, as stored, for which a small table's last stage gets one task.
+TASK_BYTES = 8 << 20
+
+
+def landed(frame: DataFrame, like: DataFrame | None = None) -> DataFrame:
     """The same rows, read back from a Parquet table in the shared folder.
 
     Lineage ends there, so a lost executor costs no more than its own tasks, and Spark knows the table's true size when
-    it chooses between a broadcast and a shuffle.
+    it chooses between a broadcast and a shuffle. `like` is a landed table that the rows are made of and that is at least
+    as large: by its size in bytes the last stage is given fewer tasks where many would only write empty files.
     """
     spark = frame.sparkSession
+    if like is not None:
+        size = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        frame = frame.coalesce(max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
     path = f"{shared_folder(spark)}/podweave-llm/{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

@@ -120,11 +120,11 @@ def ngram_join(documents: DataFrame, key: str = "doc_id", text: str = "text", wi
     prints = ["n", "f1", "f2"]
     named = F.struct("key", "text_hash")  # one row of each set stands for it; its text is looked up by these two
     sets = landed(rows.where("n > 0").groupBy(*prints).agg(
-        F.min("id").alias("first"), F.min("key").alias("least"), F.count(F.lit(1)).alias("n_copies")))
-    copies = landed(rows.where("n > 0").join(sets, prints).where("id <> first").select("id"))
+        F.min("id").alias("first"), F.min("key").alias("least"), F.count(F.lit(1)).alias("n_copies")), rows)
+    copies = landed(rows.where("n > 0").join(sets, prints).where("id <> first").select("id"), rows)
     single = without(rows.where("n > 0").select("id", "keys"), copies, "id")
-    found = families(single.select("id", F.explode(F.array_distinct("keys")).alias("key")))
-    wanted = landed(rows.select("id", named.alias("named")).join(found, "id").select("id", "family", "named.*"))
+    found = families(single.select("id", F.explode(F.array_distinct("keys")).alias("key")), rows)
+    wanted = landed(rows.select("id", named.alias("named")).join(found, "id").select("id", "family", "named.*"), rows)
     # only texts that the sieve lets through are shuffled to their partners
     bitmap = sieve(wanted, "text_hash")
     near = sifted(given, F.col("text_hash"), bitmap).where("_may")
@@ -133,8 +133,8 @@ def ngram_join(documents: DataFrame, key: str = "doc_id", text: str = "text", wi
     linked = similar_components(members, percent)
     tied = sets.join(linked.withColumnRenamed("id", "first"), "first", "left").withColumn(
         "component", F.coalesce("component", "first"))
-    names = landed(tied.groupBy("component").agg(F.min("least").alias("component_id")))
-    tied = landed(tied.join(names, "component").select(*prints, "component_id", "n_copies"))
+    names = landed(tied.groupBy("component").agg(F.min("least").alias("component_id")), rows)
+    tied = landed(tied.join(names, "component").select(*prints, "component_id", "n_copies"), rows)
     dropped(copies, found, wanted, members, linked, names)
     joined = rows.drop("keys").join(tied, prints, "left")
     return joined.select(F.col("key").alias(key), F.col("n").alias("n_shingles"),

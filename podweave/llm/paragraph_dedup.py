@@ -131,12 +131,12 @@ def paragraphs(documents: DataFrame, key: str = "doc_id", text: str = "text", wi
     found = landed(found.withColumn("id", F.monotonically_increasing_id()))
     real = found.where("line IS NOT NULL")
     place = F.struct("key", "text_hash", "line")
-    classes = landed(real.groupBy("f1", "f2").agg(F.min("id").alias("first"), F.min(place).alias("place"), F.count(F.lit(1)).alias("n")))
-    copies = landed(real.join(classes, ["f1", "f2"]).where("id <> first").select("id"))
+    classes = landed(real.groupBy("f1", "f2").agg(F.min("id").alias("first"), F.min(place).alias("place"), F.count(F.lit(1)).alias("n")), found)
+    copies = landed(real.join(classes, ["f1", "f2"]).where("id <> first").select("id"), found)
     single = without(real.select("id", "keys"), copies, "id")
-    near = families(single.select("id", F.explode(F.array_distinct("keys")).alias("key")))
+    near = families(single.select("id", F.explode(F.array_distinct("keys")).alias("key")), found)
     wanted = landed(real.select("id", "key", "text_hash", "line").join(near, "id").groupBy("key", "text_hash").agg(
-        F.collect_list(F.struct("line", "id", "family")).alias("wanted")))
+        F.collect_list(F.struct("line", "id", "family")).alias("wanted")), found)
     # only texts that the sieve lets through are shuffled to their partners
     bitmap = sieve(wanted, "text_hash")
     let = sifted(given, F.col("text_hash"), bitmap).where("_may")
@@ -144,9 +144,9 @@ def paragraphs(documents: DataFrame, key: str = "doc_id", text: str = "text", wi
     members = landed(_sets(texts.select("text", "wanted"), width, min_words))
     linked = similar_components(members, percent)
     tied = classes.join(linked.withColumnRenamed("id", "first"), "first", "left").withColumn("cluster", F.coalesce("component", "first"))
-    tied = landed(tied.select("f1", "f2", "place", "n", "cluster"))
-    clusters = landed(tied.groupBy("cluster").agg(F.min("place").alias("kept"), F.sum("n").alias("n_in_cluster")).where("n_in_cluster > 1"))
-    tied = landed(tied.join(clusters, "cluster").select("f1", "f2", "cluster", "kept", "n_in_cluster"))
+    tied = landed(tied.select("f1", "f2", "place", "n", "cluster"), found)
+    clusters = landed(tied.groupBy("cluster").agg(F.min("place").alias("kept"), F.sum("n").alias("n_in_cluster")).where("n_in_cluster > 1"), found)
+    tied = landed(tied.join(clusters, "cluster").select("f1", "f2", "cluster", "kept", "n_in_cluster"), found)
     dropped(copies, near, wanted, members, linked, classes, clusters)
     joined = found.drop("keys").join(tied, ["f1", "f2"], "left")
     return joined.select("key", "text_hash", "doc", "line", "words", "cluster", "n_in_cluster", F.col("kept.key").alias("first_key"),

@@ -19,7 +19,7 @@ def sieve(hashes: DataFrame, hashed: str) -> DataFrame:
     """_bucket and _bits of the 64-bit hashes in the column `hashed`; a stored table of at most 4 MB."""
     slots = hashes.select(_slot(F.col(hashed)).alias("slot"))
     return landed(slots.groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits")))
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits")), hashes)
 
 
 def sifted(rows: DataFrame, hashed: Column, bitmap: DataFrame) -> DataFrame:

@@ -30,14 +30,15 @@ BLOCK_SETS, BLOCK_ENTRIES = 512, 400_000
 _BITS = 1024
 
 
-def families(postings: DataFrame) -> DataFrame:
-    """id, family of the ids that share a key with another one (`postings`: key, id; each id once at each key)."""
+def families(postings: DataFrame, stored: DataFrame) -> DataFrame:
+    """id, family of the ids that share a key with another one (`postings`: key, id; each id once at each key), taken from
+    the landed table `stored`."""
     shared = landed(postings.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where(
-        "n > 1").select("key", "first"))
+        "n > 1").select("key", "first"), stored)
     stars = landed(postings.join(shared, "key").where("id <> first").select(
-        F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+        F.col("first").alias("a"), F.col("id").alias("b")).distinct(), stored)
     dropped(shared)
-    found = landed(components(stars).withColumnRenamed("component", "family"))
+    found = landed(components(stars).withColumnRenamed("component", "family"), stars)
     dropped(stars)
     return found
 
@@ -122,24 +123,24 @@ def similar_components(members: DataFrame, percent: int) -> DataFrame:
     unsigned 64-bit numbers without repeats); a stored table, the family being the smallest id in it."""
     sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("entries"))
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("entries") / BLOCK_ENTRIES)).cast("int")
-    sizes = landed(sizes.where("sets > 1").select("family", blocks.alias("blocks")))
+    sizes = landed(sizes.where("sets > 1").select("family", blocks.alias("blocks")), members)
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     cut = members.join(sizes, "family")
     # the family's first set meets every block
     spread = cut.withColumn("i", F.explode(F.when(
         F.col("id") == F.col("family"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))))
-    links = landed(_compare(spread.withColumn("j", F.col("i")).withColumn("side", F.lit(0)).withColumn("label", F.col("id")), percent))
-    large = landed(members.join(sizes.where("blocks > 1"), "family").select("id", "family", "n", "set"))
+    links = landed(_compare(spread.withColumn("j", F.col("i")).withColumn("side", F.lit(0)).withColumn("label", F.col("id")), percent), members)
+    large = landed(members.join(sizes.where("blocks > 1"), "family").select("id", "family", "n", "set"), members)
     stars = links.select(F.col("b").alias("id"), F.col("a").alias("component"))
     if large.isEmpty():  # every set was in one tile, which linked each to the first of its component
         return stars.union(stars.select(F.col("component").alias("id"), "component").distinct())
-    label = landed(components(links))
+    label = landed(components(links), links)
     rows = large.join(label, "id", "left").withColumn("label", F.coalesce("component", "id"))
-    rows = landed(rows.withColumn("rest", (F.col("label") != F.col("family")).cast("int")).drop("component"))
+    rows = landed(rows.withColumn("rest", (F.col("label") != F.col("family")).cast("int")).drop("component"), members)
     counted = rows.groupBy("family", "rest").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("entries")).withColumn("b", blocks)
     parts = landed(counted.groupBy("family").agg(
         F.coalesce(F.max(F.when(F.col("rest") == 1, F.col("b"))), F.lit(0)).alias("rests"),
-        F.coalesce(F.max(F.when(F.col("rest") == 0, F.col("b"))), F.lit(0)).alias("cores")).where("rests > 0"))
+        F.coalesce(F.max(F.when(F.col("rest") == 0, F.col("b"))), F.lit(0)).alias("cores")).where("rests > 0"), members)
     met = rows.join(parts, "family")
     own = F.pmod(F.xxhash64("id"), F.when(F.col("rest") == 1, F.col("rests")).otherwise(F.col("cores"))).cast("int")
     # blocks of the rest are numbered from 0, those of the core from `rests` on; the tiles are rest with rest and rest with core
@@ -150,6 +151,6 @@ def similar_components(members: DataFrame, percent: int) -> DataFrame:
                        (F.col("own") > F.col("other")).cast("int").alias("side"), "label", "id", "set")
     more = landed(_compare(tiles, percent))
     # a tile tells of one set for each label it knew, so the links of the first round belong to the second's
-    found = landed(components(label.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more)))
+    found = landed(components(label.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more)), members)
     dropped(sizes, large, links, label, rows, more, parts)
     return found

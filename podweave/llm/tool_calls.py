@@ -32,7 +32,7 @@ def depths(calls: DataFrame) -> DataFrame:
     while open_ and open_ != before:
         ahead = now.select(F.col("call_id").alias("at"), F.col("next").alias("further"), F.col("steps").alias("more"))
         later = landed(now.join(ahead, F.col("next") == F.col("at"), "left").select(
-            "call_id", F.col("further").alias("next"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+            "call_id", F.col("further").alias("next"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), now)
         dropped(now)
         now, before = later, open_
         open_ = now.where("next IS NOT NULL").count()
