@@ -79,13 +79,13 @@ def _features(documents: DataFrame, width: int, percent: int) -> DataFrame:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [x for _, texts in pieces(batch.column("text").to_pylist()) for x in _distinct(texts, width)]
-            prints = [np.array([len(x), *(mixed(x + np.uint64(s)).sum(dtype=np.uint64).astype(np.int64) for s in (1, 2))], np.int64)
-                      for x in sets]
-            n, f1, f2 = (pa.array(x, pa.int64()) for x in np.array(prints, np.int64).reshape(-1, 3).T.copy())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("text_hash"), n, f1, f2, packed([cell_keys(x, percent) for x in sets])],
-                ["key", "text_hash", "n", "f1", "f2", "keys"])
+            for begun, texts in pieces(batch.column("text").to_pylist()):
+                sets, part = list(_distinct(texts, width)), batch.slice(begun, len(texts))
+                prints = [[len(x), *(mixed(x + np.uint64(s)).sum(dtype=np.uint64).astype(np.int64) for s in (1, 2))] for x in sets]
+                n, f1, f2 = (pa.array(x, pa.int64()) for x in np.array(prints, np.int64).reshape(-1, 3).T.copy())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("key"), part.column("text_hash"), n, f1, f2, packed([cell_keys(x, percent) for x in sets])],
+                    ["key", "text_hash", "n", "f1", "f2", "keys"])
 
     kind = documents.schema["key"].dataType.simpleString()
     return in_arrow(documents, features, f"key {kind}, text_hash long, n long, f1 long, f2 long, keys array<long>")
@@ -96,10 +96,11 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [x for _, texts in pieces(batch.column("text").to_pylist()) for x in _distinct(texts, width)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("family"), pa.array([len(x) for x in held], pa.int64()),
-                 pa.array([x.tobytes() for x in held], pa.binary())], ["id", "family", "n", "set"])
+            for begun, texts in pieces(batch.column("text").to_pylist()):
+                held, part = list(_distinct(texts, width)), batch.slice(begun, len(texts))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("family"), pa.array([len(x) for x in held], pa.int64()),
+                     pa.array([x.tobytes() for x in held], pa.binary())], ["id", "family", "n", "set"])
 
     return in_arrow(rows, sets, "id long, family long, n long, set binary")
 
