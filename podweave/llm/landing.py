@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,6 +12,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+#: Bytes of an Arrow batch on its way to or from a Python worker.
+ARROW_BYTES = 8 << 20
+
 _shipped: set[str] = set()
 _own: dict[str, str] = {}
 
@@ -57,8 +61,15 @@ def dropped(*frames: DataFrame) -> None:
 
 
 def in_arrow(frame: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
-    """`mapInArrow`, with the package sent to the executors first: they need no installed copy."""
-    context = frame.sparkSession.sparkContext
+    """`mapInArrow`, with the package sent to the executors first: they need no installed copy.
+
+    From here on the session's Arrow batches hold ARROW_BYTES at most, so that long texts don't fill an executor.
+    """
+    spark, bound = frame.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+) *([a-z]?)[a-z]*", spark.conf.get(bound).lower()).groups()
+    if int(number) << 10 * "bkmgtp".index(unit or "b") > ARROW_BYTES or int(number) <= 0:
+        spark.conf.set(bound, str(ARROW_BYTES))
+    context = spark.sparkContext
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parents[2]
         archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='podweave-code-')}/podweave", "zip", root, "podweave")
