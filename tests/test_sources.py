@@ -62,7 +62,7 @@ def run(spark, home, out, **options):
 def test_tail(spark, tmp_path):
     logs, state = str(tmp_path / "logs"), str(tmp_path / "state")
     a, b = f"{logs}/pod/a.log", f"{logs}/pod/b.log"
-    write(a, b"2025-11-03T07:41:52.123456789Z stdout F lines before it\n")
+    write(a, b"2025-11-03T07:41:52.123456789Z stdout F a line before it\n")
     assert run(spark, logs, state) == []
     write(a, b"second\nhalf", "ab")
     write(b, b"new file\n")
