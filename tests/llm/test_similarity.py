@@ -10,8 +10,9 @@ from hypothesis import strategies as st
 from llm_cases import TEXTS, classes, edge_documents, prose, shingles, words
 from pyspark.sql import functions as F
 
-from podweave.llm import embedding_dups, ngram_join, paragraph_dedup, tiles
+from podweave.llm import embedding_dups, ngram_join, paragraph_dedup, sieve, tiles
 from podweave.llm.components import components
+from podweave.llm.landing import landed
 from podweave.llm.textarrays import mixed
 
 
@@ -215,6 +216,20 @@ def test_recall_right_at_the_cosine():
     assert met.mean() > 0.995
 
 
+def test_sieve(spark, monkeypatch):
+    rows = spark.range(2000).select(F.when(F.col("id") % 10 != 3, F.col("id")).alias("key"), F.lit("x").alias("_note"))
+    gone = landed(spark.range(0, 4000, 7).select(F.col("id").alias("key")))
+    want = sorted((k for k in range(2000) if k % 10 != 3 and k % 7)) + [None] * 200
+    for slots in (1 << 25, 1 << 15):  # the second is full enough to let many pass that have no partner
+        monkeypatch.setattr(sieve, "SLOTS", slots)
+        got = sieve.without(rows, gone, "key")
+        assert got.columns == ["key", "_note"]
+        assert sorted((r.key for r in got.collect()), key=lambda k: (k is None, k or 0)) == want
+        told = sieve.sifted(rows, F.xxhash64("key"), sieve.sieve(gone.select(F.xxhash64("key").alias("h")), "h"))
+        assert told.where("key % 7 = 0 AND NOT _may").count() == 0
+        assert slots < 1 << 20 or told.where("key % 7 <> 0 AND _may").count() < 5
+
+
 def test_empty_tables(spark):
     none = edge_documents(spark, [])
     assert ngram_join.ngram_join(none).count() == ngram_join.one_of_each(none).count() == 0
