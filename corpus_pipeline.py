@@ -28,7 +28,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the paragraphs that an earlier document has; what is empty then goes."""
+    """The documents without the paragraphs and passages that an earlier document has; what is empty then goes."""
     return paragraph_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 

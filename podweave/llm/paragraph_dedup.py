@@ -1,5 +1,6 @@
-"""Substring dedup by paragraphs: MinHash bands find candidates, exact Jaccard decides, components are cut to one.
+"""Substring dedup: near copies of paragraphs, and repeated passages of any place (`passages`).
 
+MinHash bands find candidates among paragraphs, exact Jaccard decides, components are cut to one.
 A paragraph is a line of at least `min_words` words. Equal paragraphs are one class before anything else. Each class has
 `bands` keys of `rows` minima over its word shingles; classes that share a key are compared exactly in `tiles`.
 """
@@ -10,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from podweave.llm.landing import dropped, in_arrow, landed
+from podweave.llm.passages import cut, repeated, run_hashes, winnowed
 from podweave.llm.sieve import sieve, sifted, without
 from podweave.llm.textarrays import codepoints, mixed, packed, pieces, shingle_hashes, word_hashes
 from podweave.llm.tiles import families, similar_components
@@ -32,21 +34,29 @@ def tuned_bands(percent: int, rows: int, missed: float) -> int:
     return bands
 
 
-def _paragraphs(texts: list[str], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, line within the text, word hashes one after the other, first word of each; one more at the end)."""
+def _lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes; first word of each text, one more at the end; and of the lines with a word: text, line within the text,
+    first word, words)."""
     points, at = codepoints(texts)
-    hashes, _, starts = word_hashes(texts)
+    hashes, own, starts = word_hashes(texts)
     feeds = np.flatnonzero(points == 10)
     line = np.searchsorted(feeds, starts)  # lines are counted through all texts
     first = np.searchsorted(feeds, at[:-1])  # the line with which each text begins
     lines, begins, sizes = np.unique(line, return_index=True, return_counts=True)
-    kept = sizes >= min_words
-    lines, begins, sizes = lines[kept], begins[kept], sizes[kept]
     owner = np.searchsorted(first, lines, "right") - 1
-    ends = np.zeros(len(lines) + 1, np.int64)
+    return hashes, own, owner, lines - first[owner], begins, sizes
+
+
+def _paragraphs(lines: tuple[np.ndarray, ...], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, line within the text, first word within the text, word hashes one after the other, first of each; one more
+    at the end) of the paragraphs among `_lines`."""
+    hashes, own, owner, line, begins, sizes = lines
+    kept = sizes >= min_words
+    owner, line, begins, sizes = owner[kept], line[kept], begins[kept], sizes[kept]
+    ends = np.zeros(len(line) + 1, np.int64)
     np.cumsum(sizes, out=ends[1:])
     words = np.repeat(begins - ends[:-1], sizes) + np.arange(ends[-1])
-    return owner, lines - first[owner], hashes[words], ends
+    return owner, line, begins - own[owner], hashes[words], ends
 
 
 def min_hashes(shingles: np.ndarray, sizes: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -60,35 +70,59 @@ def min_hashes(shingles: np.ndarray, sizes: np.ndarray, bands: int, rows: int) -
     return mixed(keys + np.arange(bands, dtype=np.uint64)[:, None])
 
 
-def _features(documents: DataFrame, width: int, min_words: int, bands: int, rows: int) -> DataFrame:
-    """A row for each paragraph, and one with a null line for a text without any: key, text_hash, doc, line, words, f1,
-    f2, keys."""
+#: Columns of a text as a whole, null in the rows of its paragraphs.
+WHOLE = ["bare", "n", "d1", "d2", "lines", "starts", "spots", "prints"]
+
+
+def _features(documents: DataFrame, width: int, min_words: int, bands: int, rows: int, length: int) -> DataFrame:
+    """A row for each paragraph: key, text_hash, doc, line, begin, words, f1, f2, keys; and one with a null line for each
+    text: bare (it has no paragraph) and what `passages.repeated` needs."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begun, texts in pieces(batch.column("text").to_pylist()):
-                owner, line, hashes, ends = _paragraphs(texts, min_words)
+                lines = _lines(texts)
+                owner, line, begin, hashes, ends = _paragraphs(lines, min_words)
                 held = list(shingle_hashes(hashes, ends, width))
                 sizes = np.array([len(x) for x in held], np.int64)
                 flat = np.concatenate(held) if held else np.zeros(0, np.uint64)
                 if held:
                     prints = [np.add.reduceat(mixed(flat + np.uint64(s)), np.cumsum(sizes) - sizes).astype(np.int64) for s in (1, 2)]
                     keys = packed(list(min_hashes(flat, sizes, bands, rows).T.copy()))
-                    yield _record(batch, begun + owner, line, np.diff(ends), *prints, keys)
-                none = np.setdiff1d(np.arange(len(texts)), owner)
-                if len(none):
-                    empty = pa.nulls(len(none), pa.int64())
-                    yield _record(batch, begun + none, empty, empty, empty, empty, pa.nulls(len(none), pa.list_(pa.int64())))
+                    yield _record(batch, begun + owner, schema, line=line, begin=begin, words=np.diff(ends), f1=prints[0], f2=prints[1], keys=keys)
+                bare = np.ones(len(texts), bool)
+                bare[owner] = False
+                yield _record(batch, begun + np.arange(len(texts)), schema, bare=bare, **_whole(lines, length))
 
     kind = documents.schema["key"].dataType.simpleString()
-    return in_arrow(documents, 
-        features, f"key {kind}, text_hash long, doc long, line long, words long, f1 long, f2 long, keys array<long>")
+    schema = {"line": pa.int64(), "begin": pa.int64(), "words": pa.int64(), "f1": pa.int64(), "f2": pa.int64(), "keys": pa.list_(pa.int64()),
+              "bare": pa.bool_(), "n": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "lines": pa.list_(pa.int32()),
+              "starts": pa.list_(pa.int32()), "spots": pa.list_(pa.int32()), "prints": pa.list_(pa.int64())}
+    return in_arrow(documents, features, f"key {kind}, text_hash long, doc long, line long, begin long, words long, f1 long, f2 long, "
+                    "keys array<long>, bare boolean, n long, d1 long, d2 long, lines array<int>, starts array<int>, spots array<int>, prints array<long>")
+
 
+def _whole(lines: tuple[np.ndarray, ...], length: int) -> dict:
+    """The columns of WHOLE, but for bare, of each text."""
+    hashes, own, owner, line, begins, _ = lines
+    spots, prints = winnowed(hashes, own, length)
+    by_line, by_spot = np.searchsorted(owner, np.arange(len(own))), np.searchsorted(spots, own)
 
-def _record(batch: pa.RecordBatch, owner: np.ndarray, line, words, f1, f2, keys) -> pa.RecordBatch:
+    def lists(values: np.ndarray, ends: np.ndarray, kind: type) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(kind)))
+
+    def within(places: np.ndarray) -> np.ndarray:
+        return places - own[np.searchsorted(own, places, "right") - 1]
+
+    d1, d2 = (run_hashes(x, own[:-1], own[1:]).view(np.int64) for x in (hashes, mixed(hashes + np.uint64(1))))
+    return {"n": np.diff(own), "d1": d1, "d2": d2, "lines": lists(line, by_line, np.int32), "starts": lists(within(begins), by_line, np.int32),
+            "spots": lists(within(spots), by_spot, np.int32), "prints": lists(prints.view(np.int64), by_spot, np.int64)}
+
+
+def _record(batch: pa.RecordBatch, owner: np.ndarray, schema: dict, **columns) -> pa.RecordBatch:
     own = [batch.column(x).take(pa.array(owner)) for x in ("key", "text_hash", "doc")]
-    return pa.RecordBatch.from_arrays([*own, *(pa.array(x) if isinstance(x, np.ndarray) else x for x in (line, words, f1, f2)), keys],
-                                      ["key", "text_hash", "doc", "line", "words", "f1", "f2", "keys"])
+    rest = [pa.nulls(len(owner), t) if (x := columns.get(c)) is None else pa.array(x, t) if isinstance(x, np.ndarray) else x for c, t in schema.items()]
+    return pa.RecordBatch.from_arrays([*own, *rest], ["key", "text_hash", "doc", *schema])
 
 
 def _sets(rows: DataFrame, width: int, min_words: int) -> DataFrame:
@@ -98,7 +132,7 @@ def _sets(rows: DataFrame, width: int, min_words: int) -> DataFrame:
         for batch in batches:
             wanted = batch.column("wanted").to_pylist()
             for begun, texts in pieces(batch.column("text").to_pylist()):
-                owner, line, hashes, ends = _paragraphs(texts, min_words)
+                owner, line, _, hashes, ends = _paragraphs(_lines(texts), min_words)
                 place = {x: k for k, x in enumerate(zip(owner.tolist(), line.tolist(), strict=True))}
                 held = list(shingle_hashes(hashes, ends, width))
                 out = [(x["id"], x["family"], np.unique(held[place[k, x["line"]]]))
@@ -112,9 +146,11 @@ def _sets(rows: DataFrame, width: int, min_words: int) -> DataFrame:
 
 
 def paragraphs(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80,
-               min_words: int = 25, rows: int = 4, missed: float = 0.001) -> DataFrame:
+               min_words: int = 25, rows: int = 4, missed: float = 0.001, length: int = 50) -> DataFrame:
     """A row for each paragraph, and one with a null line for a document without any: key, text_hash, doc (number of the
-    input row), line (from 0), words, cluster, n_in_cluster, first_key, removed.
+    input row), line (from 0), begin (first word, from 0), words, cluster, n_in_cluster, first_key, removed. Then one for
+    each repeated passage, with a null line and cluster: also taken (lines of which no word is left) and others (keys of
+    the documents that keep the document's passages).
 
     Paragraphs are similar if their sets of `width`-word shingles (words `[^\\x20\\x09-\\x0D]+`, A-Z lowered) have a
     Jaccard similarity of `percent` % or more; clusters are the components. The cluster's first paragraph, by key, text
@@ -122,12 +158,15 @@ def paragraphs(documents: DataFrame, key: str = "doc_id", text: str = "text", wi
     like no other. `rows` and `missed` tune the bands: of the pairs right at the similarity, at most `missed` are not
     compared; of more similar pairs less.
 
+    A passage is a run of `length` words or more, wherever it begins and whatever lines it crosses, that occurs before by
+    key, text and place; all its occurrences but the first are removed, exactly (by 64-bit hashes of `length` words).
+
     Rows with the same key and text are one document, whose paragraphs have the same fate in each row. Null and empty
     texts have no paragraph. A null key is a key, sorted first. Other columns are not looked at. Needs the shared folder.
     """
     bands = tuned_bands(percent, rows, missed)
     given = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
-    found = _features(given.withColumn("doc", F.monotonically_increasing_id()), width, min_words, bands, rows)
+    found = _features(given.withColumn("doc", F.monotonically_increasing_id()), width, min_words, bands, rows, length)
     found = landed(found.withColumn("id", F.monotonically_increasing_id()))
     real = found.where("line IS NOT NULL")
     place = F.struct("key", "text_hash", "line")
@@ -148,35 +187,55 @@ def paragraphs(documents: DataFrame, key: str = "doc_id", text: str = "text", wi
     clusters = landed(tied.groupBy("cluster").agg(F.min("place").alias("kept"), F.sum("n").alias("n_in_cluster")).where("n_in_cluster > 1"), found)
     tied = landed(tied.join(clusters, "cluster").select("f1", "f2", "cluster", "kept", "n_in_cluster"), found)
     dropped(copies, near, wanted, members, linked, classes, clusters)
-    joined = found.drop("keys").join(tied, ["f1", "f2"], "left")
-    return joined.select("key", "text_hash", "doc", "line", "words", "cluster", "n_in_cluster", F.col("kept.key").alias("first_key"),
+    passages = repeated(found.where("line IS NULL").select("key", "text_hash", "doc", *WHOLE), given, length, found)
+    joined = found.where("line IS NOT NULL OR bare").drop("keys", *WHOLE).join(tied, ["f1", "f2"], "left")
+    told = joined.select("key", "text_hash", "doc", "line", "begin", "words", "cluster", "n_in_cluster", F.col("kept.key").alias("first_key"),
                          F.coalesce(F.col("kept") != place, F.lit(False)).alias("removed"))
+    return told.unionByName(passages.withColumn("removed", F.lit(True)), allowMissingColumns=True)
+
+
+def _union(spans: Column) -> Column:
+    """How many words the spans (begin, words) take together."""
+    none = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("size"))
+    return F.aggregate(F.sort_array(spans), none, lambda a, x: F.struct(
+        F.greatest(a["end"], x["begin"] + x["words"]).alias("end"),
+        (a["size"] + F.greatest(F.lit(0).cast("long"), x["begin"] + x["words"] - F.greatest(a["end"], x["begin"]))).alias("size")), lambda a: a["size"])
 
 
 def document_report(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per document of `paragraphs`: key, n_paragraphs, n_repeated (paragraphs in a cluster with others),
-    n_removed, words_removed, removed_lines, same_as (keys of the documents that keep the removed paragraphs)."""
+    n_removed (paragraphs and passages), words_removed, removed_lines (with those that passages take whole), same_as (keys
+    of the documents that keep what is removed), passages (the removed ones: begin, words)."""
     repeated = F.col("n_in_cluster").isNotNull()
+    lines = F.coalesce("taken", F.array("line"))
+    keepers = F.array_compact(F.coalesce("others", F.array("first_key")))
     return found.groupBy("doc").agg(
         F.first("key").alias(key), F.count("line").alias("n_paragraphs"), F.count_if(repeated).alias("n_repeated"),
-        F.count_if("removed").alias("n_removed"), F.coalesce(F.sum(F.when(F.col("removed"), F.col("words"))), F.lit(0)).alias("words_removed"),
-        F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line")))).alias("removed_lines"),
-        F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("first_key")))).alias("same_as")).drop("doc")
+        F.count_if("removed").alias("n_removed"),
+        _union(F.collect_list(F.when(F.col("removed"), F.struct("begin", "words")))).alias("words_removed"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("removed"), lines))))).alias("removed_lines"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("removed"), keepers))))).alias("same_as"),
+        F.sort_array(F.collect_list(F.when(F.col("removed") & F.col("line").isNull(), F.struct("begin", "words")))).alias("passages")).drop("doc")
 
 
 def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents, all columns, without their removed paragraphs; what is left without a word goes.
+    """The documents, all columns, without their removed paragraphs and passages; what is left without a word goes.
 
     Takes the options of `paragraphs`. A document that had no word before stays as it is.
     """
     found = paragraphs(documents, key, text, **options).where("removed")
-    gone = landed(found.groupBy("key", "text_hash").agg(F.collect_set("line").alias("gone")))
+    span = F.when(F.col("line").isNull(), F.struct("begin", (F.col("begin") + F.col("words")).alias("end")))
+    gone = landed(found.groupBy("key", "text_hash").agg(F.collect_set("line").alias("gone"), F.collect_set(span).alias("spans")))
     rows = documents.select(F.struct(*documents.columns).alias("document"), F.col(key).alias("own"), F.xxhash64(text).alias("own_hash"))
     rows = sifted(rows, F.coalesce("own_hash", F.lit(0)), sieve(gone, "text_hash"))
     safe = rows.where(~F.col("_may")).select(*(F.col(f"document.{c}") for c in documents.columns))
     joined = rows.where("_may").join(gone, F.col("own").eqNullSafe(F.col("key")) & (F.col("own_hash") == F.col("text_hash")), "left")
     body = F.col(f"document.{text}")
-    rest = F.array_join(F.filter(F.split(body, "\n"), lambda _, i: ~F.array_contains("gone", i.cast("long"))), "\n")
-    cut = joined.where(F.col("gone").isNull() | rest.rlike(r"[^\x20\x09-\x0D]"))
-    return safe.union(cut.select(*(
+    lines = F.array_join(F.filter(F.split(body, "\n"), lambda _, i: ~F.array_contains("gone", i.cast("long"))), "\n")
+    # only texts with a passage to lose go through Python
+    words = F.udf(lambda *x: cut(*x), "string")(F.when(F.size("spans") > 0, body), "gone", "spans")
+    joined = joined.withColumn("rest", F.coalesce(words, lines))
+    rest = F.col("rest")
+    left = joined.where(F.col("gone").isNull() | rest.rlike(r"[^\x20\x09-\x0D]"))
+    return safe.union(left.select(*(
         F.when(F.col("gone").isNull(), body).otherwise(rest).alias(c) if c == text else F.col(f"document.{c}") for c in documents.columns)))
