@@ -1,7 +1,8 @@
 """Substring dedup: near copies of paragraphs, and repeated passages of any place (`passages`).
 
 MinHash bands find candidates among paragraphs, exact Jaccard decides, components are cut to one.
-A paragraph is a line of at least `min_words` words. Equal paragraphs are one class before anything else. Each class has
+A paragraph is a line of at least `min_words` words, or so many words of consecutive shorter lines, joined from starts that
+the lines' own words choose, so that shifted copies agree. Equal paragraphs are one class before anything else. Each class has
 `bands` keys of `rows` minima over its word shingles; classes that share a key are compared exactly in `tiles`.
 """
 
@@ -47,16 +48,52 @@ def _lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return hashes, own, owner, lines - first[owner], begins, sizes
 
 
-def _paragraphs(lines: tuple[np.ndarray, ...], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, line within the text, first word within the text, word hashes one after the other, first of each; one more
-    at the end) of the paragraphs among `_lines`."""
+def _starts(run: np.ndarray, begins: np.ndarray, sizes: np.ndarray, marks: np.ndarray, min_words: int) -> np.ndarray:
+    """Whether a paragraph starts at each of these short lines; `run` numbers the runs of consecutive ones.
+
+    A line starts one if its mark is the least of all lines of the run that begin within `min_words` words of it on either
+    side (of equal ones the first), which nothing further away can change; so starts are `min_words` words apart. What is
+    shorter before the first start or after the last joins its neighbour.
+    """
+    starts, least = np.append(True, run[1:] != run[:-1])[: len(run)], np.ones(len(run), bool)
+    for d in range(1, min_words):
+        near = (run[d:] == run[:-d]) & (begins[d:] - begins[:-d] < min_words)
+        if not near.any():
+            break
+        least[:-d] &= ~near | (marks[:-d] <= marks[d:])
+        least[d:] &= ~near | (marks[d:] < marks[:-d])
+    heads = np.flatnonzero(starts)
+    starts = starts | least
+    at = np.flatnonzero(starts)
+    words = np.add.reduceat(sizes, at)
+    head = np.isin(at, heads)
+    last = np.append(head[1:], True)
+    joins = ~head & (words < min_words) & last
+    joins[1:] |= ~head[1:] & head[:-1] & (words[:-1] < min_words)
+    starts[at[joins]] = False
+    return starts
+
+
+def _paragraphs(lines: tuple[np.ndarray, ...], min_words: int) -> tuple[np.ndarray, ...]:
+    """(text, first line within the text, last line, first word within the text, word hashes one after the other, first of
+    each; one more at the end) of the paragraphs among `_lines`: lines of `min_words` words, and consecutive shorter lines
+    joined to as many; lines without a word don't count."""
     hashes, own, owner, line, begins, sizes = lines
-    kept = sizes >= min_words
-    owner, line, begins, sizes = owner[kept], line[kept], begins[kept], sizes[kept]
-    ends = np.zeros(len(line) + 1, np.int64)
+    short = sizes < min_words
+    starts = np.ones(len(line), bool)
+    if short.any():
+        run = np.cumsum(np.append(True, (owner[1:] != owner[:-1]) | ~short[1:] | ~short[:-1]))[short]
+        marks = mixed(np.add.reduceat(hashes, begins))[short]
+        starts[short] = _starts(run, begins[short], sizes[short], marks, min_words)
+    at = np.flatnonzero(starts)
+    ends = np.append(at[1:], len(line))
+    total = np.add.reduceat(sizes, at) if len(at) else sizes
+    kept = total >= min_words
+    at, last, sizes = at[kept], ends[kept] - 1, total[kept]
+    ends = np.zeros(len(at) + 1, np.int64)
     np.cumsum(sizes, out=ends[1:])
-    words = np.repeat(begins - ends[:-1], sizes) + np.arange(ends[-1])
-    return owner, line, begins - own[owner], hashes[words], ends
+    words = np.repeat(begins[at] - ends[:-1], sizes) + np.arange(ends[-1])
+    return owner[at], line[at], line[last], begins[at] - own[owner[at]], hashes[words], ends
 
 
 def min_hashes(shingles: np.ndarray, sizes: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -75,30 +112,30 @@ WHOLE = ["bare", "n", "d1", "d2", "lines", "starts", "spots", "prints"]
 
 
 def _features(documents: DataFrame, width: int, min_words: int, bands: int, rows: int, length: int) -> DataFrame:
-    """A row for each paragraph: key, text_hash, doc, line, begin, words, f1, f2, keys; and one with a null line for each
+    """A row for each paragraph: key, text_hash, doc, line, last, begin, words, f1, f2, keys; and one with a null line for each
     text: bare (it has no paragraph) and what `passages.repeated` needs."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begun, texts in pieces(batch.column("text").to_pylist()):
                 lines = _lines(texts)
-                owner, line, begin, hashes, ends = _paragraphs(lines, min_words)
+                owner, line, last, begin, hashes, ends = _paragraphs(lines, min_words)
                 held = list(shingle_hashes(hashes, ends, width))
                 sizes = np.array([len(x) for x in held], np.int64)
                 flat = np.concatenate(held) if held else np.zeros(0, np.uint64)
                 if held:
                     prints = [np.add.reduceat(mixed(flat + np.uint64(s)), np.cumsum(sizes) - sizes).astype(np.int64) for s in (1, 2)]
                     keys = packed(list(min_hashes(flat, sizes, bands, rows).T.copy()))
-                    yield _record(batch, begun + owner, schema, line=line, begin=begin, words=np.diff(ends), f1=prints[0], f2=prints[1], keys=keys)
+                    yield _record(batch, begun + owner, schema, line=line, last=last, begin=begin, words=np.diff(ends), f1=prints[0], f2=prints[1], keys=keys)
                 bare = np.ones(len(texts), bool)
                 bare[owner] = False
                 yield _record(batch, begun + np.arange(len(texts)), schema, bare=bare, **_whole(lines, length))
 
     kind = documents.schema["key"].dataType.simpleString()
-    schema = {"line": pa.int64(), "begin": pa.int64(), "words": pa.int64(), "f1": pa.int64(), "f2": pa.int64(), "keys": pa.list_(pa.int64()),
+    schema = {"line": pa.int64(), "last": pa.int64(), "begin": pa.int64(), "words": pa.int64(), "f1": pa.int64(), "f2": pa.int64(), "keys": pa.list_(pa.int64()),
               "bare": pa.bool_(), "n": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "lines": pa.list_(pa.int32()),
               "starts": pa.list_(pa.int32()), "spots": pa.list_(pa.int32()), "prints": pa.list_(pa.int64())}
-    return in_arrow(documents, features, f"key {kind}, text_hash long, doc long, line long, begin long, words long, f1 long, f2 long, "
+    return in_arrow(documents, features, f"key {kind}, text_hash long, doc long, line long, last long, begin long, words long, f1 long, f2 long, "
                     "keys array<long>, bare boolean, n long, d1 long, d2 long, lines array<int>, starts array<int>, spots array<int>, prints array<long>")
 
 
@@ -132,7 +169,7 @@ def _sets(rows: DataFrame, width: int, min_words: int) -> DataFrame:
         for batch in batches:
             wanted = batch.column("wanted").to_pylist()
             for begun, texts in pieces(batch.column("text").to_pylist()):
-                owner, line, _, hashes, ends = _paragraphs(_lines(texts), min_words)
+                owner, line, _, _, hashes, ends = _paragraphs(_lines(texts), min_words)
                 place = {x: k for k, x in enumerate(zip(owner.tolist(), line.tolist(), strict=True))}
                 held = list(shingle_hashes(hashes, ends, width))
                 out = [(x["id"], x["family"], np.unique(held[place[k, x["line"]]]))
@@ -148,7 +185,7 @@ def _sets(rows: DataFrame, width: int, min_words: int) -> DataFrame:
 def paragraphs(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80,
                min_words: int = 25, rows: int = 4, missed: float = 0.001, length: int = 50) -> DataFrame:
     """A row for each paragraph, and one with a null line for a document without any: key, text_hash, doc (number of the
-    input row), line (from 0), begin (first word, from 0), words, cluster, n_in_cluster, first_key, removed. Then one for
+    input row), line (its first, from 0), last (its last line), begin (first word, from 0), words, cluster, n_in_cluster, first_key, removed. Then one for
     each repeated passage, with a null line and cluster: also taken (lines of which no word is left) and others (keys of
     the documents that keep the document's passages).
 
@@ -189,7 +226,7 @@ def paragraphs(documents: DataFrame, key: str = "doc_id", text: str = "text", wi
     dropped(copies, near, wanted, members, linked, classes, clusters)
     passages = repeated(found.where("line IS NULL").select("key", "text_hash", "doc", *WHOLE), given, length, found)
     joined = found.where("line IS NOT NULL OR bare").drop("keys", *WHOLE).join(tied, ["f1", "f2"], "left")
-    told = joined.select("key", "text_hash", "doc", "line", "begin", "words", "cluster", "n_in_cluster", F.col("kept.key").alias("first_key"),
+    told = joined.select("key", "text_hash", "doc", "line", "last", "begin", "words", "cluster", "n_in_cluster", F.col("kept.key").alias("first_key"),
                          F.coalesce(F.col("kept") != place, F.lit(False)).alias("removed"))
     return told.unionByName(passages.withColumn("removed", F.lit(True)), allowMissingColumns=True)
 
@@ -207,7 +244,7 @@ def document_report(found: DataFrame, key: str = "doc_id") -> DataFrame:
     n_removed (paragraphs and passages), words_removed, removed_lines (with those that passages take whole), same_as (keys
     of the documents that keep what is removed), passages (the removed ones: begin, words)."""
     repeated = F.col("n_in_cluster").isNotNull()
-    lines = F.coalesce("taken", F.array("line"))
+    lines = F.coalesce("taken", F.sequence("line", "last"))
     keepers = F.array_compact(F.coalesce("others", F.array("first_key")))
     return found.groupBy("doc").agg(
         F.first("key").alias(key), F.count("line").alias("n_paragraphs"), F.count_if(repeated).alias("n_repeated"),
@@ -225,7 +262,7 @@ def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text
     """
     found = paragraphs(documents, key, text, **options).where("removed")
     span = F.when(F.col("line").isNull(), F.struct("begin", (F.col("begin") + F.col("words")).alias("end")))
-    gone = landed(found.groupBy("key", "text_hash").agg(F.collect_set("line").alias("gone"), F.collect_set(span).alias("spans")))
+    gone = landed(found.groupBy("key", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("line", "last")))).alias("gone"), F.collect_set(span).alias("spans")))
     rows = documents.select(F.struct(*documents.columns).alias("document"), F.col(key).alias("own"), F.xxhash64(text).alias("own_hash"))
     rows = sifted(rows, F.coalesce("own_hash", F.lit(0)), sieve(gone, "text_hash"))
     safe = rows.where(~F.col("_may")).select(*(F.col(f"document.{c}") for c in documents.columns))

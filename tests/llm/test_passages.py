@@ -70,3 +70,34 @@ def test_passages_inside_lines_and_across_line_ends(spark):
         assert words(left[key]) == [x for k, x in enumerate(own) if k not in lost.get(key, ())]
     assert left[100] == rows[0][1] and 201 not in left
     assert np.array_equal(words(left[202]), ["again"] * 50)
+
+
+def test_short_lines_are_joined(spark):
+    own = prose(906, 90, 200).split(" ")
+    sizes = [19, 24, 14, 11, 12, 10]
+
+    def wrapped(changes):
+        text = [f"new{k}" if k in changes else x for k, x in enumerate(own)]
+        return "\n".join(" ".join(text[sum(sizes[:k]): sum(sizes[:k + 1])]) for k in range(len(sizes)))
+
+    alone = "\n".join(prose(907, 36, 12).split("\n"))  # 36 words in lines of 12: no passage of 50 words
+    rows = [(300, wrapped(()), "en", "a"), (301, wrapped((40,)), "en", "a"),
+            (302, f"{prose(908, 60, 60)}\n{alone}\n\n{prose(909, 60, 60)}", "en", "a"), (303, f"{prose(910, 60, 60)}\n{alone}\n{prose(911, 60, 60)}", "en", "a")]
+    documents = edge_documents(spark, rows)
+    report = {x.doc_id: x for x in paragraph_dedup.document_report(paragraph_dedup.paragraphs(documents)).collect()}
+    assert report[300].n_paragraphs > 0 and report[301].n_removed > 0 and report[301].same_as == [300]
+    assert report[303].removed_lines == [1, 2, 3] and report[303].words_removed == 36
+    left = {x.doc_id: x.text for x in paragraph_dedup.without_repeats(documents).collect()}
+    assert left[303] == f"{prose(910, 60, 60)}\n{prose(911, 60, 60)}" and left[302] == rows[2][1]
+
+
+def test_joined_lines_of_shifted_copies_agree():
+    rnd, body = random.Random(8), prose(912, 2000, 12)
+    found = []
+    for _ in range(2):
+        text = prose(rnd.randrange(10**6), rnd.randrange(10, 200), 9) + "\n" + body
+        lines = paragraph_dedup._lines([text])
+        _, first, last, _, hashes, ends = paragraph_dedup._paragraphs(lines, 25)
+        assert (np.diff(ends) >= 25).all() and (first[1:] == last[:-1] + 1).all() and ends[-1] == len(words(text))
+        found.append({hashes[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)})
+    assert len(found[0] & found[1]) >= len(found[0]) - 25 and len(found[0] & found[1]) > 20
