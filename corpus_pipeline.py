@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose three-word shingles overlap by 90 %: the one of the smallest doc_id."""
-    return ngram_join.one_of_each(docs)
+    """One document of each group whose five-word shingles overlap by 80 %: the one of the smallest doc_id."""
+    return ngram_join.one_of_each(docs, width=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
