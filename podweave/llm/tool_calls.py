@@ -114,10 +114,11 @@ def conversation_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame,
 
     What a user says calls a tool: translate if it has a character beyond ASCII, else reply. The arguments are the text,
     its number of words, and the first line as title if there are several. It refers to the user's turn before. What the
-    assistant says is the result of the call in the turn before it.
+    assistant says is the result of the call in the turn before it. Turns of other roles, or of none, neither call nor answer and have
+    no row, but they count as turns. Without conv_id or turn a call has no id, and is linked with nothing.
     """
-    name = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    earlier = lambda n: F.when(F.col("turn") >= n, F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - n).cast("string")))
+    name = F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))
+    earlier = lambda n: F.when(F.col("turn") >= n, F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - n).cast("string")))
     title = F.when(F.instr("text", "\n") > 0, F.substring_index("text", "\n", 1))
     arguments = F.to_json(F.struct("text", title.alias("title"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("words")))
     calls = conversations.where("role = 'user'").select(
