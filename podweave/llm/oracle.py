@@ -147,3 +147,139 @@ UNION ALL
 SELECT NULL, call_id, NULL, NULL, n_results, false, 'no call', NULL
 FROM results WHERE call_id IS NULL OR call_id NOT IN (SELECT call_id FROM ids)
 """
+
+#: The table of CRC-32 as a list in the column `tab`, and the CRC-32 of a text by it.
+CRC_TABLE = """
+crc_steps(i, k, c) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) AS t(i)
+  UNION ALL
+  SELECT i, k + 1, xor(c >> 1, (c & 1) * 3988292384) FROM crc_steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM crc_steps WHERE k = 8)"""
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 2 * strlen({0}), 2),
+  lambda i: ('0x' || substr(hex({0}), i, 2))::BIGINT)), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])))"""
+
+_KINDS = [
+    ("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+", "true", 0.9, "mail|email|contact|write"),
+    ("ip", "[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)",
+     "len(list_filter(string_split(m, '.'), lambda x: ltrim(x, '0') = '' OR coalesce(try_cast(x AS BIGINT), 256) <= 255)) = 4",
+     0.6, "ip|host|server|address|login"),
+    ("card", "[0-9]([\\x20-]?[0-9])+", """length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1),
+      lambda i: CASE WHEN i % 2 = 1 THEN substr(digits, -i, 1)::INT ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][substr(digits, -i, 1)::INT + 1] END)) % 10 = 0""",
+     0.7, "card|visa|mastercard|credit|payment"),
+    ("phone", "\\+[0-9][\\x20().0-9-]+[0-9]", "length(digits) BETWEEN 9 AND 15", 0.6, "phone|tel|call|mobile|fax"),
+    ("iban", "[A-Z]{2}[0-9]{2}([A-Z0-9]{11,30}|(\\x20[A-Z0-9]{4}){2,7}(\\x20[A-Z0-9]{1,3})?)",
+     """free AND length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0::BIGINT, list_transform(string_split(
+      substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9'
+      THEN ascii(c) - 48 ELSE ascii(c) - 55 END::BIGINT)), lambda a, c: (a * CASE WHEN c > 9 THEN 100 ELSE 10 END + c) % 97) = 1""",
+     0.8, "iban|account|konto|compte|cuenta|bank"),
+    ("ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}",
+     "free AND NOT regexp_matches(m, '^(000|666|9)') AND NOT regexp_matches(m, '-00-') AND NOT regexp_matches(m, '0000$')",
+     0.4, "ssn|social|security"),
+    ("tel", "\\(?[0-9]{3}\\)?[\\x20.-][0-9]{3}-[0-9]{4}", "free AND NOT regexp_matches(before, '\\+[0-9][\\x20().0-9-]*$')",
+     0.3, "phone|tel|telephone|call|mobile|fax"),
+]
+
+
+def _personal_data() -> str:
+    kinds = ",\n".join(f"""k{i} AS (
+  SELECT doc_id, {i} AS place, '{name}' AS kind, pieces[j] AS before, pieces[j + 1] AS after, matches[j] AS m,
+    list_sum(list_transform(pieces[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(matches[1:j - 1], lambda x: length(x))), 0) AS start
+  FROM (
+    SELECT doc_id, pieces, matches, unnest(range(1, len(matches) + 1)) AS j
+    FROM (SELECT doc_id, regexp_split_to_array(body, '{pattern}') AS pieces, regexp_extract_all(body, '{pattern}') AS matches FROM d))),
+c{i} AS (
+  SELECT doc_id, place, kind, start, start + length(m) AS past, {min(1.0, round(score + 0.3, 3))} AS high, {score} AS low,
+    regexp_matches(lower(right(before, 50)), '(?:^|[^a-z])(?:{near})(?:[^a-z]|$)')
+      OR regexp_matches(lower(left(after, 50)), '(?:^|[^a-z])(?:{near})(?:[^a-z]|$)') AS near
+  FROM (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS digits,
+    NOT regexp_matches(before, '[A-Za-z0-9]$') AND NOT regexp_matches(after, '^[A-Za-z0-9]') AS free FROM k{i})
+  WHERE {check})""" for i, (name, pattern, check, score, near) in enumerate(_KINDS))
+    union = " UNION ALL ".join(f"SELECT * FROM c{i}" for i in range(len(_KINDS)))
+    counts = ", ".join(f"count(*) FILTER (kind = '{x[0]}') AS n_{x[0]}" for x in _KINDS[:4])
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+{kinds},
+s AS (
+  SELECT *, kind || ':' || start::BIGINT::VARCHAR || ':' || past::BIGINT::VARCHAR AS span FROM ({union})
+  WHERE place < 4 OR CASE WHEN near THEN high ELSE low END >= 0.5),
+joined AS (
+  SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY place, start) FILTER (place < 4) AS base,
+    string_agg(span, ',' ORDER BY place, start) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card,
+  coalesce(n_phone, 0)::BIGINT AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN joined USING (doc_id)
+"""
+
+
+ORACLE["op11_personal_data"] = _personal_data()
+
+ORACLE["op12_spelling_variants"] = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents) GROUP BY doc_id, run),
+drawn AS (
+  SELECT run, n, {CRC.format("drawn_of")} AS h FROM (SELECT *, coalesce(doc_id::VARCHAR, '') || ':' || run AS drawn_of FROM runs), crc),
+w AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n
+    FROM drawn) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cuts AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n FROM cuts AS a JOIN cuts AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION
+  SELECT a.word, b.word, b.n FROM cuts AS a JOIN w AS b ON a.rest = b.word
+  UNION
+  SELECT b.word, a.word, a.n FROM cuts AS a JOIN w AS b ON a.rest = b.word),
+near AS (SELECT word, count(*) AS n_near, min(struct_pack(o := -n, word := other)) AS best FROM pairs GROUP BY word),
+forms AS (
+  SELECT w.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.o >= 2 * n THEN best.word END AS form,
+    CASE WHEN -best.o >= 2 * n THEN -best.o END::BIGINT AS form_n FROM w LEFT JOIN near USING (word)),
+ways(word, up) AS (
+  SELECT word, word FROM forms
+  UNION ALL
+  SELECT ways.word, forms.form FROM ways JOIN forms ON ways.up = forms.word WHERE forms.form IS NOT NULL)
+SELECT forms.word, forms.form, ways.up AS root, forms.n, forms.n_near, forms.form_n
+FROM forms JOIN ways USING (word) JOIN forms AS last ON ways.up = last.word WHERE last.form IS NULL
+"""
+
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+
+ORACLE["op13_merkle_manifest"] = f"""
+WITH RECURSIVE {CRC_TABLE},
+leaves AS (
+  SELECT doc_id, source, leaf, other, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+  FROM (
+    SELECT doc_id, source, {_LEAF.format("text")} AS leaf,
+      CASE WHEN {CRC.format("doc_id::VARCHAR")} % 2 = 0 THEN {_LEAF.format("replace(text, chr(10), '')")} ELSE {_LEAF.format("text")} END AS other
+    FROM documents, crc)),
+nodes(source, level, i, n, h) AS (
+  SELECT source, 0, i, count(*) OVER (PARTITION BY source), leaf FROM leaves
+  UNION ALL
+  SELECT source, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY source, level, i // 3, n),
+subroots AS (SELECT source, level, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM nodes WHERE n = 1),
+tops(level, i, n, h) AS (
+  SELECT 0, i, count(*) OVER (), h FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i // 3, n),
+-- all levels as one: those of the sources below those of the whole
+rows AS (
+  SELECT source, level, i, i // 3 AS run, h, n FROM nodes
+  UNION ALL
+  SELECT s.source, s.level + 1 + t.level, t.i, t.i // 3, t.h, t.n FROM subroots AS s, tops AS t),
+runs AS (SELECT source, level, run, list(h ORDER BY i) AS hs FROM rows WHERE n > 1 GROUP BY source, level, run),
+path(doc_id, source, leaf, first, level, i, folded, siblings) AS (
+  SELECT doc_id, leaves.source, leaf, leaves.i, 0, leaves.i, other, ''
+  FROM leaves
+  UNION ALL
+  SELECT p.doc_id, p.source, p.leaf, p.first, p.level + 1, CASE WHEN p.level = s.level THEN s.i ELSE p.i // 3 END,
+    CASE WHEN p.level = s.level THEN p.folded ELSE sha256(coalesce(array_to_string(list_transform(hs, lambda h, k: CASE WHEN k = p.i % 3 + 1 THEN p.folded ELSE h END), ''), '')) END,
+    p.siblings || CASE WHEN p.level = s.level THEN '' ELSE coalesce(array_to_string(list_filter(hs, lambda h, k: k <> p.i % 3 + 1), ''), '') END
+  FROM path AS p JOIN subroots AS s ON s.source IS NOT DISTINCT FROM p.source
+  LEFT JOIN runs AS r ON r.source IS NOT DISTINCT FROM p.source AND r.level = p.level AND r.run = p.i // 3
+  WHERE p.level = s.level OR r.hs IS NOT NULL)
+SELECT doc_id, leaf, s.h AS subroot, t.h AS root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = t.h AS verified
+FROM path AS p JOIN subroots AS s ON s.source IS NOT DISTINCT FROM p.source, (SELECT h, level FROM tops WHERE n = 1) AS t
+WHERE p.level = s.level + 1 + t.level
+"""

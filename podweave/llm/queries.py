@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podweave.llm import byte_bpe, embedding_dups, importance, language_mix, mixing, ngram_join, paragraph_dedup, quality_rules, token_counts, tool_calls
+from podweave.llm import byte_bpe, embedding_dups, importance, language_mix, merkle, mixing, ngram_join, paragraph_dedup, personal_data, quality_rules, spelling, token_counts, tool_calls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,18 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.withColumn("problems", F.array_join("problems", ", "))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.report(personal_data.find(_table(spark, sf_dir, "documents")))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(_table(spark, sf_dir, "documents"), slips=True))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -69,4 +81,7 @@ QUERIES = {
     "op8_embedding_dups": op8_embedding_dups,
     "op9_language_mix": op9_language_mix,
     "op10_tool_calls": op10_tool_calls,
+    "op11_personal_data": op11_personal_data,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }

@@ -75,5 +75,5 @@ def test_sql(spark, name):
 
 def test_every_operator_is_registered():
     names = registered.queries()
-    assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x.startswith("op") and x[2].isdigit()}
+    assert "pipeline" in names and {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names if x.startswith("op") and x[2].isdigit()}
     assert set(registered.oracle_sql()) <= set(names)
