@@ -9,6 +9,7 @@ import math
 import warnings
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,9 @@ from podweave.settings import BURST, BURST_CEILING, CHUNK_ROWS, RATE_PER_SECOND
 
 STATE = ["_tokens", "_last"]
 ENTRY = ["_from_tokens", "_from_last"]
-TABLE = ["_full_tokens", "_full_last", "_first", "_low", "_starts", "_left", "_since"]
+TABLE = ["_full_tokens", "_full_last", "_first", "_low", "_starts", "_left", "_since", "_phase"]
+# Kinds of ranges in a table, where a shift has its phase.
+LANE, OPEN = -1, -2
 
 
 def spend(state, costs, clocks, resets, rate: int, burst: int):
@@ -136,90 +139,173 @@ class Outcomes:
 
     Up to the first request that is admitted, or a reset, a state counts only by x, the thousandths of tokens there at the
     first request's time, from 0 to the full bucket. ``open`` is the number of x, from 0 on, that have seen neither. All
-    others are lanes (whole tokens left, time of the last admission), one for each number of tokens left; lanes that
-    meet are one. Under load all lanes soon end at few tokens, without it at the full bucket.
+    others lie in ranges of x, and a range belongs to a *group*: neighbouring numbers of tokens (``least`` and up, ``width``
+    of them) with one time of the last admission. All states of a group have seen the same verdicts. A request moves a
+    group as a whole; it is cut only where its lower part is refused or its upper part finds the bucket full, and what was
+    full is one state. Groups that come to agree are one, whatever ranges they have. So a row costs a few groups, however
+    large the burst is.
     """
 
-    MERGE = 32  # rows between two looks for lanes that have met
+    MERGE = 64  # rows between two looks for groups that have met, or new groups, at least
 
     def __init__(self, rate: int, burst: int):
         self.rate, self.burst = rate, burst
         self.full = None  # the end state of a bucket that is new here
-        self.first, self.low, self.open, self.seen = None, None, 1000 * burst + 1, 0
-        self.tokens = self.last = np.zeros(0, np.int64)
-        # Ranges of x, by their lower ends, and the lane of each; later ones lie below.
-        self.starts, self.lanes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.first, self.low, self.open = None, None, 1000 * burst + 1
+        self.seen = self.known = 0  # rows since the last merge, and groups it left
+        self.least = self.width = self.last = np.zeros(0, np.int64)
+        self.fresh: list[tuple[int, int, int]] = []  # groups behind those of the arrays
+        self.parts: dict[int, list[tuple[int, int]]] = {}  # of groups that were cut: first entry and group of each part
+        # Ranges: lower end, group, and phase; x is entry (x + phase) // 1000 of the group, if that has more than one.
+        self.starts = self.groups = self.phases = np.zeros(0, np.int64)
+        self.ranges: list[tuple[int, int, int]] = []  # behind those of the arrays
 
     def add(self, costs, clocks, resets) -> None:
         _, self.full = spend(self.full, costs, clocks, resets, self.rate, self.burst)
         for cost, clock, reset in zip(costs, clocks, resets):
             self.first = clock if self.first is None else self.first
             if reset:
-                self.starts, self.lanes, self.open = np.zeros(1, np.int64), np.zeros(1, np.int64), 0
-                self.tokens, self.last = np.array([self.burst]), np.array([clock])
+                self.least, self.width, self.last = np.array([self.burst]), np.array([1]), np.array([clock])
+                self.starts = self.groups = self.phases = np.zeros(1, np.int64)
+                self.open, self.fresh, self.parts, self.ranges = 0, [], {}, []
                 continue
-            if len(self.tokens) == 1 and not self.open:
-                tokens, last = int(self.tokens[0]), int(self.last[0])
+            if len(self.least) == 1 and not self.open and not self.fresh and self.width[0] == 1:
+                tokens, last = int(self.least[0]), int(self.last[0])
                 level = min(self.burst, tokens + self.rate * max(0, clock - last) // 1000)
                 if cost <= level:
-                    self.tokens[0], self.last[0] = level - cost, clock
+                    self.least[0], self.last[0] = level - cost, clock
                 continue
-            if len(self.tokens):
-                level = np.minimum(self.burst, self.tokens + self.rate * np.maximum(0, clock - self.last) // 1000)
-                passed = cost <= level
-                self.tokens, self.last = np.where(passed, level - cost, self.tokens), np.where(passed, clock, self.last)
+            if cost <= self.burst:
+                self._settle()
+                if len(self.least):
+                    self._spend(cost, clock)
             if self.open:
-                self._admit_open(cost, clock)
+                self.low = clock if self.low is None else min(self.low, clock)
+                if cost <= self.burst:
+                    self._admit_open(cost, clock)
             self.seen += 1
-            if self.seen % self.MERGE == 0:
+            # many ranges make a look dear, many groups make it worth while
+            if self.seen >= self.MERGE + len(self.starts) // 16 or len(self.least) > self.MERGE + 2 * self.known:
                 self._merge()
 
+    def _spend(self, cost: int, clock: int) -> None:
+        level = self.least + self.rate * np.maximum(0, clock - self.last) // 1000
+        passing = np.minimum(np.maximum(cost - level, 0), self.width)  # entries below are refused
+        filled = np.minimum(np.maximum(self.burst - level, passing), self.width)  # entries from here on are full
+        cut = (passing > 0) & (passing < self.width) | (passing == 0) & (filled > 0) & (filled < self.width)
+        for i in np.flatnonzero(cut).tolist():
+            a, b, width = int(passing[i]), int(filled[i]), int(self.width[i])
+            parts = [(0, a, int(self.least[i]), int(self.last[i])), (a, b - a, int(level[i]) + a - cost, clock)]
+            if b < width:
+                parts.append((b, 1, self.burst - cost, clock))
+            self.parts[i] = [(at, self._group(least, size, last)) for at, size, least, last in parts if size]
+        moved = (passing == 0) & ~cut
+        full = moved & (filled == 0) & (self.width > 0)
+        self.least = np.where(full, self.burst - cost, np.where(moved, level - cost, self.least))
+        self.last = np.where(moved, clock, self.last)
+        self.width = np.where(cut, 0, np.where(full, 1, self.width))
+
     def _admit_open(self, cost: int, clock: int) -> None:
-        self.low = clock if self.low is None else min(self.low, clock)
         grown = self.rate * (clock - self.first)
-        least = max(0, 1000 * cost - grown)
-        if cost > self.burst or least >= self.open:
-            return
-        levels = np.arange(min(self.burst, (least + grown) // 1000), min(self.burst, (self.open - 1 + grown) // 1000) + 1)
-        starts = np.maximum(least, levels * 1000 - grown)
-        self.lanes = np.concatenate((self.lanes, len(self.tokens) + np.arange(len(levels))))
-        self.starts = np.concatenate((self.starts, starts))
-        self.tokens = np.concatenate((self.tokens, levels - cost))
-        self.last = np.concatenate((self.last, np.full(len(levels), clock)))
-        self.open = least
+        low = min(max(0, 1000 * cost - grown), self.open)
+        high = min(max(1000 * self.burst - grown, low), self.open)
+        if low < high:
+            level = (low + grown) // 1000
+            group = self._group(level - cost, (high - 1 + grown) // 1000 - level + 1, clock)
+            self.ranges.append((low, group, grown - 1000 * level))
+        if high < self.open:
+            self.ranges.append((high, self._group(self.burst - cost, 1, clock), 0))
+        self.open = low
+
+    def _group(self, least: int, width: int, last: int) -> int:
+        if width > 1 or not self.fresh or self.fresh[-1] != (least, width, last):
+            self.fresh.append((least, width, last))
+        return len(self.least) + len(self.fresh) - 1
+
+    def _settle(self) -> None:
+        if self.fresh:
+            least, width, last = np.array(self.fresh, np.int64).T
+            self.least, self.width, self.last = np.append(self.least, least), np.append(self.width, width), np.append(self.last, last)
+            self.fresh = []
 
     def _merge(self) -> None:
-        if len(self.tokens) < 2:
+        """Ranges of the groups there are now; groups that agree become one, and so do ranges that go on in each other."""
+        self._settle()
+        starts, groups, phases = (np.append(known, np.array([r[k] for r in self.ranges], np.int64))
+                                  for k, known in enumerate((self.starts, self.groups, self.phases)))
+        self.ranges, self.seen = [], 0
+        if not len(starts):
             return
-        order = np.lexsort((self.tokens, self.last))
-        last, tokens = self.last[order], self.tokens[order]
-        new = np.append(True, (last[1:] != last[:-1]) | (tokens[1:] != tokens[:-1]))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.cumsum(new) - 1
-        self.last, self.tokens, self.lanes = last[new], tokens[new], place[self.lanes]
+        while self.parts and (cut := self.width[groups] == 0).any():
+            rows = [(max(start, 1000 * at - phase) if at else start, part, phase - 1000 * at)
+                    for start, group, phase in zip(*(a[cut].tolist() for a in (starts, groups, phases))) for at, part in self.parts[group]]
+            starts, groups, phases = (np.append(a[~cut], b) for a, b in zip((starts, groups, phases), np.array(rows, np.int64).T))
+        self.parts = {}
+        order = np.argsort(starts, kind="stable")
+        starts, groups, phases = starts[order], groups[order], phases[order]
+        live, groups = np.unique(groups, return_inverse=True)
+        states = np.stack((self.last[live], self.least[live], self.width[live]))
+        states, same = np.unique(states, axis=1, return_inverse=True)
+        groups = same.ravel()[groups]
+        last, least, width = states
+        # a range goes on in the next if that is the same single state, or the next numbers of tokens
+        ends = np.append(starts[1:], 1000 * self.burst + 1)
+        one, base = width[groups] == 1, 1000 * least[groups] + phases
+        true = ((ends - 1 + phases) // 1000 + 1 == width[groups]) & (np.bincount(groups, minlength=len(last))[groups] == 1)
+        on = (groups[1:] == groups[:-1]) & one[1:]
+        grows = ~on & true[1:] & true[:-1] & (base[1:] == base[:-1]) & (last[groups[1:]] == last[groups[:-1]])
+        kept = np.append(True, ~(on | grows))
+        for i in np.flatnonzero(grows & kept[:-1]).tolist():
+            end = i + 1
+            while end < len(grows) and grows[end]:
+                end += 1
+            width[groups[i]] = (ends[end] - 1 + phases[i]) // 1000 + 1
+        starts, groups, phases = starts[kept], groups[kept], phases[kept]
+        live, groups = np.unique(groups, return_inverse=True)
+        self.last, self.least, self.width = last[live], least[live], width[live]
+        self.starts, self.groups, self.phases = starts, groups.ravel(), phases
+        self.known = len(live)
 
     def table(self) -> tuple:
-        """(end state of a new bucket; first clock, least clock met by an untouched state; then ranges of x: lower ends, tokens, last times; tokens
-        of -1: the state stays as it is)."""
+        """(end state of a new bucket; first clock, least clock met by an untouched state; then ranges of x: lower ends,
+        tokens, last times, and phases: LANE for one state, OPEN for a state that stays as it is, or what is added to x
+        before it is divided by 1000 and added to the tokens)."""
         self._merge()
-        order = np.argsort(self.starts, kind="stable")
-        starts, tokens, last = self.starts[order], self.tokens[self.lanes[order]], self.last[self.lanes[order]]
-        if self.open:
-            starts, tokens, last = (np.append(v, a) for v, a in ((0, starts), (-1, tokens), (-1, last)))
-        new = np.append(True, (tokens[1:] != tokens[:-1]) | (last[1:] != last[:-1]))
-        return *self.full, self.first, self.low, *(a[new].astype(np.int64).tolist() for a in (starts, tokens, last))
+        least, one = self.least[self.groups], self.width[self.groups] == 1
+        columns = (self.starts, np.where(one, least, least + self.phases // 1000), self.last[self.groups],
+                   np.where(one, LANE, self.phases % 1000))
+        rows = list(zip(*(c.tolist() for c in columns)))
+        return *self.full, self.first, self.low, *map(list, zip(*([(0, 0, 0, OPEN)] if self.open else []), *rows))
 
 
 def outcome(state, table, rate: int, burst: int):
-    """The state behind a run, by its table; None where a clock behind the start's keeps the table from telling."""
-    *full, first, low, starts, tokens, last = table
+    """The state behind a run, by its table; None where a clock that goes back keeps the table from telling."""
+    *full, first, low, starts, tokens, last, phases = table
     if state == (-1, -1):
         return tuple(map(int, full))
     if low is not None and not math.isnan(low) and low < state[1]:
         return None
-    x = min(1000 * burst, 1000 * state[0] + rate * (first - state[1])) if first >= state[1] else 0
+    x = 1000 * state[0] + rate * (first - state[1]) if first >= state[1] else 0
+    if x > 1000 * burst and low is not None and low < first:
+        return None  # the clock went back: how full the bucket was before counts
+    x = min(x, 1000 * burst)
     at = bisect.bisect_right(starts, x) - 1
-    return state if tokens[at] < 0 else (int(tokens[at]), int(last[at]))
+    if phases[at] == OPEN:
+        return state
+    return int(tokens[at] if phases[at] == LANE else (x + phases[at]) // 1000 + tokens[at]), int(last[at])
+
+
+def _in_light_frames(rows, columns, entries: int = 1 << 16):
+    """Tables packed into frames of about so many ranges: a table may have few or very many."""
+    held, weight = [], 0
+    for row in rows:
+        held.append(row)
+        weight += 64 + len(row[-1])
+        if weight >= entries:
+            yield pd.DataFrame(held, columns=columns)
+            held, weight = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
 
 
 def _start_states(slim: DataFrame, keys, chunk, order, rate: int, burst: int) -> DataFrame | None:
@@ -283,7 +369,7 @@ def _start_states(slim: DataFrame, keys, chunk, order, rate: int, burst: int) ->
     found_schema = StructType(fields + longs(STATE) + [StructField("_known", BooleanType())])
     # One table per chunk: a stream's tables pass one task, its requests do not.
     tables = settle(in_chunks(slim, keys, chunk, order).mapInPandas(
-        lambda frames: in_frames(tabulate(frames), per_chunk, 64), StructType(fields + longs(TABLE[:4]) + lists)
+        lambda frames: _in_light_frames(tabulate(frames), per_chunk), StructType(fields + longs(TABLE[:4]) + lists)
     ))
     entry = F.struct(*ENTRY, *STATE)
     ends = None

@@ -250,6 +250,10 @@ FROM f JOIN documents ON doc_id = o GROUP BY f.source, batch_id"""),
     "admitted_overload": with_(
         admission("(SELECT 'all' AS conn, event_id, 2 * event_id AS clock FROM events)", "conn", "event_id", "clock", "1", 1, 5),
         "SELECT o AS event_id, admitted FROM a"),
+    "admitted_default_burst": with_(
+        admission("(SELECT 'all' AS conn, event_id, 2 * event_id AS clock FROM events)", "conn", "event_id", "clock",
+                  "event_id % 97 + 1", 1000, 50000),
+        "SELECT o AS event_id, admitted FROM a"),
     "admitted_batches": with_(
         EVENT_BATCHES + "," + admission("batches", "path", "last_order", "last_order * 2", "event_count", 30, 100),
         "SELECT path, batch_id, event_count, admitted FROM a JOIN batches ON path = k AND last_order = o"),

@@ -35,6 +35,7 @@ from podweave.plans.tables import (
     table,
     write_log_files,
 )
+from podweave.settings import BURST
 from podweave.sources.capture import read_capture, write_capture
 from podweave.sources.logdir import read_logs, stream_segments
 from podweave.sources.tail import stream_logs
@@ -301,6 +302,14 @@ def admitted_overload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("event_id", "admitted")
 
 
+def admitted_default_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events in one stream, far more than its rate, after a burst of the default size."""
+    requests = _requests(spark, sf_dir).withColumns({"conn": F.lit("all"), "cost": F.col("event_id") % 97 + 1})
+    requests = add_chunk(requests, "event_id", SPAN // 8)
+    verdicts = admit(requests, ["conn"], "chunk", "event_id", "clock_ms", "cost", 1000, BURST, chunk_rows=SPAN // 8)
+    return verdicts.select("event_id", "admitted")
+
+
 def admitted_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = _landed(event_batches(spark, sf_dir), "batches").withColumn("clock_ms", F.col("last_order") * 2)
     verdicts = admit(
@@ -614,6 +623,7 @@ QUERIES = {
     "admitted_after_registration": admitted_after_registration,
     "admitted_hot_stream": admitted_hot_stream,
     "admitted_overload": admitted_overload,
+    "admitted_default_burst": admitted_default_burst,
     "admitted_batches": admitted_batches,
     "admitted_stream": admitted_stream,
     "batch_registration_asof": batch_registration_asof,

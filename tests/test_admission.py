@@ -79,12 +79,47 @@ def test_outcomes_tell_every_end(rate, burst):
             clock += rng.choice([0, 1, 7, 300, 1500, -3])
             rows.append((rng.choice([0, 1, 1, 1, 2, 6, burst + 1]), clock, rng.random() < 0.01))
         made = Outcomes(rate, burst)
-        made.MERGE = rng.choice([1, 32])
+        made.MERGE = rng.choice([1, 7, 64])
         made.add(*zip(*rows))
         for state in [None, *((rng.randrange(burst + 1), 1000 - rng.choice([0, 1, 999, 5000, -2])) for _ in range(20))]:
             _, want = spend(state, *zip(*rows), rate, burst)
             got = outcome(state or (-1, -1), made.table(), rate, burst)
-            assert got == want or got is None and min(c for _, c, _ in rows) < state[1]
+            assert got == want or got is None and min(c for _, c, _ in rows) < max(state[1], rows[0][1])
+
+
+@pytest.mark.parametrize("cost, per_ms", [([1], 1), ([1], 20), ([64], 1), ([1, 2, 97], 3), ([1], 0), ([50_000, 1, 7, 50_001], 1)])
+@pytest.mark.parametrize("rate, burst", [(10_000, 50_000), (1200, 50_000), (7, 3000)])
+def test_outcomes_of_large_buckets(cost, per_ms, rate, burst):
+    rng = random.Random(rate)
+    rows = [(rng.choice(cost), 1000 + (i // per_ms if per_ms else 0), False) for i in range(1500)]
+    made = Outcomes(rate, burst)
+    made.add(*zip(*rows[:700]))
+    made.table()
+    made.add(*zip(*rows[700:]))
+    table = made.table()
+    assert table[4] == sorted(set(table[4]))
+    for tokens in [*range(0, burst + 1, burst // 60), burst]:
+        state = (tokens, 1000 - rng.choice([0, 1, 17]))
+        assert outcome(state, table, rate, burst) == spend(state, *zip(*rows), rate, burst)[1]
+
+
+def test_tables_do_not_grow_with_the_burst():
+    """Neighbouring levels that see the same verdicts are one range."""
+    costs, resets = [1] * 4000, [False] * 4000
+    for per_ms in (1, 20):
+        clocks = [1000 + i // per_ms for i in range(4000)]
+        sizes = []
+        for burst in (50_000, 4_194_303):
+            made = Outcomes(10_000, burst)
+            made.add(costs, clocks, resets)
+            sizes.append(len(made.table()[4]))
+            assert len(made.least) < 200
+        assert max(sizes) <= 20
+
+
+def test_chunks_of_a_large_bucket(spark):
+    rows = [("hot", i, 1000 + i // 20, 1 + i % 97, i == 2500) for i in range(4000)]
+    assert run(spark, rows, 10_000, 50_000, 300) == admit_in_order(rows, 10_000, 50_000)
 
 
 @pytest.mark.parametrize("chunks", [12, 48])
