@@ -3,9 +3,10 @@
 Candidates come from size bands. Two sets that reach the similarity have sizes within one band or its neighbour, and
 differ in at most k entries, k being known from the band. The space of hashes is cut into more than k cells, so the two
 agree on all entries of some cell: a hash of a cell's entries is a key, and sets without a common key cannot be linked.
-(A document that lacks entries in one cell is covered by one cell more; one that lacks more also uses its empty cells.)
-Unlike single shingles, cells are no frequent keys: a passage that many documents share fills no cell alone. Families
-that share keys go through `tiles`: bitmap bounds, then exact intersection.
+An empty cell is no key, so there are spare cells; the few sets that leave more than these empty are also tied by their
+rarest shingles.
+A passage that many documents share seldom fills a cell alone, but among very many documents it does, so large families
+are divided by their rarest shingles. What is left goes through `tiles`: bitmap bounds, then exact intersection.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ from podweave.llm.tiles import families, similar_components
 #: Ratio of the upper to the lower end of a size band; over 100 / percent, so that similar sets lie in neighbouring bands.
 WIDTH = 1.235
 
+#: Families of more sets than this are looked at again by their rarest shingles.
+LARGE = 64
+
 
 @functools.cache
 def _bands(percent: int, most: int) -> tuple[list[int], list[int], list[int]]:
@@ -38,34 +42,46 @@ def _bands(percent: int, most: int) -> tuple[list[int], list[int], list[int]]:
         small = high - 1
         # intersection >= percent / (100 + percent) of both sizes together, so the difference is at most the rest
         differ = (small + small * 100 // percent) * (100 - percent) // (100 + percent)
-        spare = 1 if low >= 60 else 0
-        cells.append(differ + 1 + spare if differ else 1)
-        spares.append(spare if differ else 0)
+        spare = 0
+        if differ:  # as many spare cells as the band's smallest sets leave empty, but for a few of them
+            while spare < (differ + 1) // 2 + 1:
+                empty = (differ + 1 + spare) * (1 - 1 / (differ + 1 + spare)) ** low
+                if spare >= empty + 3 * np.sqrt(empty):
+                    break
+                spare += 1
+        cells.append(differ + 1 + spare)
+        spares.append(spare)
         lows.append(high)
     return lows, cells, spares
 
 
-def cell_keys(values: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of one sorted set of hashes; sets that reach the similarity have one in common."""
+def cell_keys(values: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
+    """Keys of one sorted set of hashes, one for each cell that has entries, and the bands in which the set is loose.
+
+    Two sets that reach the similarity agree in more cells of a common band than it has spare cells. Unless both leave
+    more than these empty, which is to be loose, one of the cells in which they agree has entries, and is a key of both.
+    """
     size = len(values)
     if not size:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), []
     most = 1 << max(10, size.bit_length())
     lows, cells, spares = _bands(percent, most)
     band = bisect.bisect_right(lows, size) - 1
-    found = []
+    found, loose = [], []
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(values), dtype=np.uint64)))
     for scheme in (band, band - 1):
         if scheme < 0 or scheme < band and size > (lows[band] - 1) * 100 // percent:
             continue
         count = cells[scheme]
         cell = ((values >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         ends = np.searchsorted(cell, np.arange(count + 1, dtype=np.uint64))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(values), dtype=np.uint64)))
         content = sums[ends[1:]] - sums[ends[:-1]]
         keys = mixed(content ^ mixed(np.arange(count, dtype=np.uint64) + np.uint64(scheme << 32)))
         full = ends[1:] > ends[:-1]
-        found.append(keys if count - np.count_nonzero(full) > spares[scheme] else keys[full])
-    return np.concatenate(found)
+        found.append(keys[full])
+        if count - np.count_nonzero(full) > spares[scheme]:
+            loose.append(scheme)
+    return np.concatenate(found), loose
 
 
 def _distinct(texts: list[str], width: int) -> Iterator[np.ndarray]:
@@ -74,8 +90,14 @@ def _distinct(texts: list[str], width: int) -> Iterator[np.ndarray]:
         yield np.unique(values)
 
 
+def _loose(values: np.ndarray, bands: list[int]) -> list[np.ndarray]:
+    """For each of at most two bands, all entries of the set as keys of that band."""
+    found = [mixed(values ^ mixed(np.array([(1 << 40) + b], np.uint64))) for b in bands]
+    return found + [np.zeros(0, np.uint64)] * (2 - len(found))
+
+
 def _features(documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """key, text_hash, n, f1, f2 (fingerprints of the set), keys."""
+    """key, text_hash, n, f1, f2 (fingerprints of the set), keys, loose_a, loose_b."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,12 +105,65 @@ def _features(documents: DataFrame, width: int, percent: int) -> DataFrame:
                 sets, part = list(_distinct(texts, width)), batch.slice(begun, len(texts))
                 prints = [[len(x), *(mixed(x + np.uint64(s)).sum(dtype=np.uint64).astype(np.int64) for s in (1, 2))] for x in sets]
                 n, f1, f2 = (pa.array(x, pa.int64()) for x in np.array(prints, np.int64).reshape(-1, 3).T.copy())
+                keys = [cell_keys(x, percent) for x in sets]
+                loose = [_loose(x, bands) for x, (_, bands) in zip(sets, keys, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), part.column("text_hash"), n, f1, f2, packed([cell_keys(x, percent) for x in sets])],
-                    ["key", "text_hash", "n", "f1", "f2", "keys"])
+                    [part.column("key"), part.column("text_hash"), n, f1, f2,
+                     *(packed(column) for column in ([k for k, _ in keys], [a for a, _ in loose], [b for _, b in loose]))],
+                    ["key", "text_hash", "n", "f1", "f2", "keys", "loose_a", "loose_b"])
 
     kind = documents.schema["key"].dataType.simpleString()
-    return in_arrow(documents, features, f"key {kind}, text_hash long, n long, f1 long, f2 long, keys array<long>")
+    lists = ", ".join(f"{c} array<long>" for c in ("keys", "loose_a", "loose_b"))
+    return in_arrow(documents, features, f"key {kind}, text_hash long, n long, f1 long, f2 long, {lists}")
+
+
+def _rarest(entries: DataFrame, percent: int) -> DataFrame:
+    """key, id: the rarest entries of each set, so many that two similar sets of one part share one of them.
+
+    `entries`: id, part, n (the set's size), key. Rarity is counted among these sets. Fewer than `percent` of a set's
+    entries lie behind those taken: a partner that has none of them cannot reach the similarity. Entries of one set only
+    are the rarest and tie nothing, so most sets that merely share a frequent passage are left with no key.
+    """
+    counts = landed(entries.groupBy("key").agg(F.count(F.lit(1)).alias("common")).where("common > 1"))
+    known = entries.join(counts, "key")
+    own = Window.partitionBy("id", "part")
+    place = F.row_number().over(own.orderBy("common", "key")) + F.col("n") - F.count(F.lit(1)).over(own)
+    return known.withColumn("place", place).where(
+        F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("key", "id")
+
+
+def _loose_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """key, id of the loose sets (`sets`: id, n, loose_a, loose_b), which are few."""
+    rows = sets.where("size(loose_a) > 0").select("id", "n", F.posexplode(F.array("loose_a", "loose_b")).alias("part", "entries"))
+    return _rarest(rows.select("id", "part", "n", F.explode("entries").alias("key")), percent)
+
+
+def _refined(members: DataFrame, percent: int) -> DataFrame:
+    """The members, those of families of more than LARGE sets in the smaller families that their rarest shingles make, or
+    left out. `members`: a stored table of id, family, n, set."""
+    large = landed(members.groupBy("family").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > LARGE).select("family"))
+    if large.isEmpty():
+        return members
+    rows = landed(members.join(large, "family"))
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in range(batch.num_rows):  # a set at a time: its entries are as many as its words
+                part = batch.slice(one, 1)
+                values = np.frombuffer(part.column("set")[0].as_py(), np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("family"), part.column("n"), packed([values])], ["id", "part", "n", "keys"])
+
+    spread = in_arrow(rows.select("id", "family", "n", "set"), entries, "id long, part long, n long, keys array<long>")
+    spread = landed(spread)
+    # a family's number makes its keys its own
+    keys = spread.select("id", "part", "n", F.explode("keys").alias("key")).withColumn("key", F.xxhash64("part", "key"))
+    postings = landed(_rarest(keys, percent))
+    found = families(postings, rows)
+    small = members.join(large, "family", "left_anti").select("id", "family", "n", "set")
+    refined = landed(small.union(rows.drop("family").join(found, "id").select("id", "family", "n", "set")))
+    dropped(members, large, rows, spread, postings, found)
+    return refined
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
@@ -105,17 +180,8 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
     return in_arrow(rows, sets, "id long, family long, n long, set binary")
 
 
-def ngram_join(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
-    """One row per input row: key, n_shingles, component_id, n_copies.
-
-    A row's set: the distinct windows of `width` words `[^\\x20\\x09-\\x0D]+`, A-Z lowered; of fewer words the whole
-    sequence; without words or text it is empty and linked with nothing. Rows link if 100 * intersection >= percent *
-    union. component_id: the smallest key reachable by links, the row's own included; n_copies: rows with the same set.
-
-    Equal sets are one set to the join, however many rows have them. A row with a null key takes part, but gives its
-    component no name; a component without any key has none. Repeated rows are copies. Other columns are not looked at.
-    Sets are compared by 64-bit hashes of their windows. Needs the shared folder.
-    """
+def _joined(documents: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """key, text_hash, n, component (any number it has; null without a set), component_id, n_copies of every row."""
     given = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     rows = landed(_features(given, width, percent).withColumn("id", F.monotonically_increasing_id()))
     prints = ["n", "f1", "f2"]
@@ -123,47 +189,66 @@ def ngram_join(documents: DataFrame, key: str = "doc_id", text: str = "text", wi
     sets = landed(rows.where("n > 0").groupBy(*prints).agg(
         F.min("id").alias("first"), F.min("key").alias("least"), F.count(F.lit(1)).alias("n_copies")), rows)
     copies = landed(rows.where("n > 0").join(sets, prints).where("id <> first").select("id"), rows)
-    single = without(rows.where("n > 0").select("id", "keys"), copies, "id")
-    found = families(single.select("id", F.explode(F.array_distinct("keys")).alias("key")), rows)
+    single = without(rows.where("n > 0").select("id", "n", "keys", "loose_a", "loose_b"), copies, "id")
+    rare = landed(_loose_keys(single, percent))
+    found = families(single.select(F.explode(F.array_distinct("keys")).alias("key"), "id").union(rare), rows)
     wanted = landed(rows.select("id", named.alias("named")).join(found, "id").select("id", "family", "named.*"), rows)
     # only texts that the sieve lets through are shuffled to their partners
     bitmap = sieve(wanted, "text_hash")
     near = sifted(given, F.col("text_hash"), bitmap).where("_may")
     texts = near.join(wanted, near["key"].eqNullSafe(wanted["key"]) & (near["text_hash"] == wanted["text_hash"]))
-    members = landed(_sets(texts.select("id", "family", "text"), width))
+    members = _refined(landed(_sets(texts.select("id", "family", "text"), width)), percent)
     linked = similar_components(members, percent)
     tied = sets.join(linked.withColumnRenamed("id", "first"), "first", "left").withColumn(
         "component", F.coalesce("component", "first"))
     names = landed(tied.groupBy("component").agg(F.min("least").alias("component_id")), rows)
-    tied = landed(tied.join(names, "component").select(*prints, "component_id", "n_copies"), rows)
-    dropped(copies, found, wanted, members, linked, names)
-    joined = rows.drop("keys").join(tied, prints, "left")
-    return joined.select(F.col("key").alias(key), F.col("n").alias("n_shingles"),
-                         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"),
-                         F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    tied = landed(tied.join(names, "component").select(*prints, "component", "component_id", "n_copies"), rows)
+    slim = landed(rows.select("key", "text_hash", *prints), rows)
+    dropped(rows, sets, copies, rare, found, wanted, members, linked, names)
+    return slim.join(tied, prints, "left").select("key", "text_hash", "n", "component", "component_id", "n_copies")
+
+
+def ngram_join(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
+    """One row per input row: key, n_shingles, component_id, n_copies.
+
+    A row's set: the distinct windows of `width` words `[^\\x20\\x09-\\x0D]+`, A-Z lowered; of fewer words the whole
+    sequence; without words or text it is empty and linked with nothing. Rows link if 100 * intersection >= percent *
+    union. component_id: the smallest key reachable by links, the row's own included; n_copies: rows with the same set.
+
+    Equal sets are one set to the join, however many rows have them. A row with a null key takes part, but gives its
+    component no name; a component without any key has none. Repeated rows are copies. Other columns are not looked at.
+    Sets are compared by 64-bit hashes of their windows. Needs the shared folder.
+    """
+    return _joined(documents, key, text, width, percent).select(
+        F.col("key").alias(key), F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"),
+        F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
-def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents, all columns, of which `ngram_join` makes the name of their component: one of each group.
+def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
+    """The documents, all columns, one of each component of `ngram_join`: the row of the smallest key, and of its rows in
+    the component the one whose text has the smallest hash.
 
-    Takes the options of `ngram_join`. Rows without key stay, as nothing can be told apart from them by key. Of rows
-    that share a key the one with the least text stays, null first.
+    A key may have rows in several components, and each of these keeps one. Rows without key or without words stay, and
+    no row goes on account of a row without key. Of repeated rows one stays.
     """
-    joined = ngram_join(documents, key, text, **options).where(F.col(key).isNotNull())
-    judged = landed(joined.groupBy(F.col(key).alias("_key")).agg(
-        F.max(F.col("component_id") == F.col(key)).alias("_first"), F.count(F.lit(1)).alias("_rows")))
-    gone = landed(judged.where("NOT _first").select("_key"))
-    several = landed(judged.where("_rows > 1 AND _first").select("_key"))
+    joined = landed(_joined(documents, key, text, width, percent).where("key IS NOT NULL AND component IS NOT NULL"))
+    row = F.struct("key", "text_hash")
+    firsts = landed(joined.groupBy("component").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    told = joined.join(firsts, "component")
+    gone = landed(told.where(row != F.col("first")).select("key", "text_hash").distinct())
+    several = landed(told.where(row == F.col("first")).groupBy("key", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     columns = [F.col(f"document.{c}") for c in documents.columns]
-    rows = documents.select(F.struct(*documents.columns).alias("document"), F.col(key).alias("own"), F.col(text).alias("body"))
-    told = gone.union(several).select(F.xxhash64("_key").alias("hashed"))
-    rows = sifted(rows, F.xxhash64("own"), sieve(told, "hashed"))
+    rows = documents.select(F.struct(*documents.columns).alias("document"), F.col(key).alias("own"), F.xxhash64(text).alias("own_hash"))
+    rows = sifted(rows, F.xxhash64("own", "own_hash"), sieve(gone.union(several).select(F.xxhash64("key", "text_hash").alias("hashed")), "hashed"))
+    dropped(joined, firsts)
+    same = (F.col("own") == F.col("key")) & (F.col("own_hash") == F.col("text_hash"))
     safe = rows.where(~F.col("_may")).select(*columns)  # neither to go nor to be told apart: nothing to join
-    left = rows.where("_may").join(gone, F.col("own") == F.col("_key"), "left_anti")
+    left = rows.where("_may").join(gone, same, "left_anti")
     if several.isEmpty():
         return safe.union(left.select(*columns))
-    single = left.join(several, F.col("own") == F.col("_key"), "left_anti")
-    twice = left.join(several, F.col("own") == F.col("_key"), "left_semi")
-    first = Window.partitionBy("own").orderBy(F.col("body").asc_nulls_first())
-    one = twice.withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")
+    single = left.join(several, same, "left_anti")
+    twice = left.join(several, same, "left_semi")
+    # repeated rows may be very many: each task keeps one of its own first
+    one = twice.groupBy("own", "own_hash").agg(F.first("document").alias("document"))
     return safe.union(single.select(*columns)).union(one.select(*columns))

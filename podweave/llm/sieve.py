@@ -1,34 +1,48 @@
-"""A bitmap of fixed size that tells which rows cannot have a partner, before anything wide is shuffled."""
+"""A bitmap of bounded size that tells which rows cannot have a partner, before anything wide is shuffled."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from podweave.llm.landing import landed
 
-#: Slots of the bitmap: 4 MB in 1,024 rows, however much goes into it. The fuller it is, the less it holds back.
-SLOTS = 1 << 25
+#: Slots of the bitmap: so many for each hash, in a power of two, between 128 kB and 32 MB of bits altogether. Beyond some
+#: hundred million hashes the bitmap is full and holds less and less back; the results stay the same.
+EACH, LEAST_SLOTS, MOST_SLOTS = 16, 1 << 20, 1 << 28
+
+
+@dataclass(frozen=True)
+class Sieve:
+    """A stored table of _bucket and _bits (at most MOST_SLOTS bits), and the number of slots."""
+
+    bits: DataFrame
+    slots: int
 
 
-def _slot(hashed: Column) -> Column:
-    return F.pmod(hashed, F.lit(SLOTS)) + 1
+def _slot(hashed: Column, slots: int) -> Column:
+    return F.pmod(hashed, F.lit(slots)) + 1
 
 
-def sieve(hashes: DataFrame, hashed: str) -> DataFrame:
-    """_bucket and _bits of the 64-bit hashes in the column `hashed`; a stored table of at most 4 MB."""
-    slots = hashes.select(_slot(F.col(hashed)).alias("slot"))
-    return landed(slots.groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits")), hashes)
+def sieve(hashes: DataFrame, hashed: str) -> Sieve:
+    """The sieve of the 64-bit hashes in the column `hashed`."""
+    wanted = 1 << max(0, EACH * hashes.count() - 1).bit_length()
+    slots = max(min(wanted, MOST_SLOTS), min(LEAST_SLOTS, MOST_SLOTS))
+    rows = hashes.select(_slot(F.col(hashed), slots).alias("slot"))
+    return Sieve(landed(rows.groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))), slots)
 
 
-def sifted(rows: DataFrame, hashed: Column, bitmap: DataFrame) -> DataFrame:
-    """The rows with a column _may: false if `hashed` is surely none of the bitmap's hashes. Nothing is shuffled."""
-    place = F.bitmap_bit_position(_slot(hashed))
+def sifted(rows: DataFrame, hashed: Column, bitmap: Sieve) -> DataFrame:
+    """The rows with a column _may: false if `hashed` is surely none of the sieve's hashes. Nothing is shuffled."""
+    slot = _slot(hashed, bitmap.slots)
+    place = F.bitmap_bit_position(slot)
     byte = F.substring(F.col("_bits"), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))
     bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(place, F.lit(8)).cast("int"))
-    # the bitmap is broadcast: its size is fixed
-    joined = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(_slot(hashed)) == F.col("_bucket"), "left")
+    # the bitmap is broadcast: its size is bounded
+    joined = rows.join(F.broadcast(bitmap.bits), F.bitmap_bucket_number(slot) == F.col("_bucket"), "left")
     return joined.withColumn("_may", F.coalesce(bit == 1, F.lit(False))).drop("_bucket", "_bits")
 
 
