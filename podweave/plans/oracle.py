@@ -313,6 +313,8 @@ SELECT timestamp_ns, stream, payload FROM parsed WHERE arrival_ms % 6 <> 0"""),
     "rotated_stream": with_(EVENTS, """
 SELECT timestamp_ns, stream, cast(sum(CASE WHEN arrival_ms % 8 = 0 THEN 2 ELSE 1 END) AS bigint) AS times_read
 FROM parsed GROUP BY ALL"""),
+    "renamed_stream": with_(EVENTS, """
+SELECT regexp_replace(path, '/[0-9]+[.]log$', '') AS folder, timestamp_ns, stream, payload FROM parsed"""),
     "segment_stream": with_(EVENTS, "SELECT timestamp_ns, stream, payload FROM parsed"),
     "capture_roundtrip": with_(FRAMES, f"""
 SELECT 'node-1' AS conn, seq, idx, stream_id, timestamp_ns, is_stderr, payload, NULL::varchar AS error FROM ({FRAME_EVENTS})"""),

@@ -31,6 +31,7 @@ from podweave.plans.tables import (
     document_lines,
     event_lines,
     page_lines,
+    rename_log_files,
     scratch,
     table,
     write_log_files,
@@ -560,6 +561,25 @@ def rotated_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("timestamp_ns", "stream").agg(F.count("*").alias("times_read"))
 
 
+def renamed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that go on growing, are renamed, replaced by new ones, and at last removed: every line is read once, under the
+    name its file had first."""
+    home, lines = scratch(spark, "renamed").removeprefix("file:"), event_lines(spark, sf_dir)
+    logs = f"{home}/logs"
+    by_pod = lines.repartition(4, "path")
+    write_log_files(by_pod.where("arrival_ms % 6 = 0"), logs, "event_id")
+    _stream_to(spark, stream_logs(spark, logs, "earliest"), home)
+    write_log_files(by_pod.where("arrival_ms % 6 = 2"), logs, "event_id", append=True)
+    rename_log_files(logs, ".1")
+    write_log_files(by_pod.where("arrival_ms % 6 = 4"), logs, "event_id")
+    _stream_to(spark, stream_logs(spark, logs, "earliest"), home)
+    rename_log_files(logs, None)
+    _stream_to(spark, stream_logs(spark, logs, "earliest"), home)
+    events = parse_lines(spark.read.parquet(f"{home}/out"))
+    return events.select(F.regexp_replace("path", "/[0-9]+[.]log$", "").alias("folder"), "timestamp_ns", "stream", text()).withColumn(
+        "folder", F.regexp_replace("folder", "^.*/logs", ""))
+
+
 def segment_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed files through Spark's own file stream."""
     home = scratch(spark, "segments").removeprefix("file:")
@@ -646,6 +666,7 @@ QUERIES = {
     "fan_in": fan_in,
     "tail_stream": tail_stream,
     "rotated_stream": rotated_stream,
+    "renamed_stream": renamed_stream,
     "segment_stream": segment_stream,
     "capture_roundtrip": capture_roundtrip,
     "text_files": text_files,

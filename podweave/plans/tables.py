@@ -87,3 +87,13 @@ def write_log_files(lines: DataFrame, directory: str, order: str, append: bool =
             sink.close()
 
     lines.select("path", order, "line").sortWithinPartitions("path", order).foreachPartition(write)
+
+
+def rename_log_files(directory: str, suffix: str | None) -> None:
+    """Add a suffix to all log files' names, as rotation does; without one, remove the files that have no such name."""
+    for folder, _, names in os.walk(directory):
+        for name in names:
+            if suffix and name.endswith(".log"):
+                os.rename(f"{folder}/{name}", f"{folder}/{name}{suffix}")
+            elif not suffix and not name.endswith(".log"):
+                os.remove(f"{folder}/{name}")

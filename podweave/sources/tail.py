@@ -1,49 +1,66 @@
-"""Growing ``*.log`` files as a stream: each trigger reads the complete lines written since the last one.
-
-For log directories on mounted paths. The stream's offset maps each live file to the end of its last complete line, so
-the checkpoint holds what a restart needs. A file that shrank or was replaced is read from its start, a file that
-appeared after the start too, and a vanished one leaves the map. A line without its line feed waits.
+"""Growing ``*.log`` files as a stream: each trigger reads the lines completed since the last one.
+
+For log directories on mounted paths. The driver only lists and measures files: the stream's offset maps each file, told
+by device, inode and birth, to the size up to which it has been dealt with, and a line belongs to the trigger that holds
+its line feed. The task that reads a range looks back for the start of its first line. So a file that is renamed is read
+to its end, under the path it had first; a file that shrank is read from its start, and so is one that appears after the
+start. A line without its line feed waits. (Where a file system does not tell when a file was made, a new file that gets
+the inode of a removed one within one trigger, and is no shorter, is taken for that one.)
 """
 
+import json
 import os
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from podweave.sources.identity import measured
+
 STEP = 64 * 1024
 SPLIT = 64 * 1024 * 1024
 SCHEMA = "path string, chunk bigint, offset bigint, line binary"
 
 
-def log_files(directory: str) -> Iterator[str]:
-    """Files below the directory whose extension is exactly ``log``; links are followed."""
+def named_log(name: str) -> bool:
+    """Whether the extension is exactly ``log``."""
+    return os.path.splitext(name)[1] == ".log"
+
+
+def files(directory: str, wanted=named_log) -> Iterator[tuple[str, str, int]]:
+    """(identity, path, size) of the files below the directory whose name is wanted; links are followed."""
     for folder, _, names in os.walk(directory, followlinks=True):
         for name in names:
-            if os.path.splitext(name)[1] == ".log":
-                yield os.path.join(folder, name)
+            if wanted(name):
+                path = os.path.join(folder, name)
+                found = measured(path)
+                if found:
+                    yield found[0], path, found[1]
 
 
-def end_of_lines(path: str, size: int, floor: int = 0) -> int:
-    """Position behind the last line feed in bytes floor..size of the file; floor when there is none."""
-    with open(path, "rb") as file:
-        at = size
-        while at > floor:
-            start = max(floor, at - STEP)
-            file.seek(start)
-            found = file.read(at - start).rfind(b"\n")
-            if found >= 0:
-                return start + found + 1
-            at = start
-    return floor
+def start_of_line(file: BinaryIO, at: int) -> int:
+    """Where the line begins that holds byte ``at``: behind the last line feed before it."""
+    while at > 0:
+        start = max(0, at - STEP)
+        file.seek(start)
+        found = file.read(at - start).rfind(b"\n")
+        if found >= 0:
+            return start + found + 1
+        at = start
+    return 0
+
+
+class LinesLost(Exception):
+    """Lines that a trigger should have read are gone."""
 
 
 class Range(InputPartition):
-    def __init__(self, path: str, first: int, start: int, end: int, last: int):
-        """Lines that start in start..end; the lines of the whole trigger start at first and end at last."""
-        self.path, self.first, self.start, self.end, self.last = path, first, start, end, last
+    def __init__(self, identity: str, path: str, place: str, start: int, end: int):
+        """Lines of the file whose line feeds are in start..end. ``path`` is its first name, ``place`` its present one."""
+        self.identity, self.path, self.place, self.start, self.end = identity, path, place, start, end
 
 
 class TailReader(DataSourceStreamReader):
@@ -52,86 +69,103 @@ class TailReader(DataSourceStreamReader):
         self.latest = options.get("startingPosition", "latest") == "latest"
         self.split = int(options.get("splitBytes", SPLIT))
         self.limit = int(options.get("maxBytesPerTrigger", 0))
-        self.reached: dict | None = None
-        self.ends: dict[str, tuple] = {}
+        self.strict = options.get("failOnDataLoss", "true").lower() != "false"
+        self.progress = options.get("progress")
+        self.reached: dict | None = self._planned()
+        self.first: dict | None = None
+
+    def _planned(self) -> dict | None:
+        if not self.progress or not os.path.exists(self.progress):
+            return None
+        with open(self.progress) as file:
+            return json.load(file)
+
+    def _plan(self, offset: dict) -> dict:
+        """Keeps the planned end beside the checkpoint, so that the limit holds from the first trigger after a restart."""
+        self.reached = offset
+        if self.progress:
+            os.makedirs(os.path.dirname(self.progress) or ".", exist_ok=True)
+            with open(f"{self.progress}.new", "w") as file:
+                json.dump(offset, file)
+            os.replace(f"{self.progress}.new", self.progress)
+        return offset
 
     def _listing(self) -> dict:
-        found, ends = {}, {}
-        for path in log_files(self.directory):
-            try:
-                stat = os.stat(path)
-                seen = (stat.st_ino, stat.st_size, stat.st_mtime_ns)
-                # Only a file that changed since the last listing is looked into.
-                old = self.ends.get(path)
-                end = old[1] if old and old[0] == seen else end_of_lines(path, stat.st_size)
-            except FileNotFoundError:
-                continue
-            ends[path] = (seen, end)
-            found[path] = {"end": end, "size": stat.st_size, "inode": stat.st_ino}
-        self.ends = ends
+        """Identity to path, place and size, of all log files and of those known before under whatever name."""
+        before = self.reached or {}
+        found = {}
+        for identity, path, size in files(self.directory):
+            found[identity] = {"path": before.get(identity, {}).get("path", path), "place": path, "size": size}
+        missing = {}
+        for identity in before.keys() - found.keys():
+            # a file that had been renamed before is looked for under that name first
+            place = before[identity]["place"]
+            now = measured(place)
+            if now and now[0] == identity:
+                found[identity] = {"path": before[identity]["path"], "place": place, "size": now[1]}
+            else:
+                missing[identity] = before[identity]
+        if missing:
+            for identity, place, size in files(self.directory, lambda name: not named_log(name)):
+                if identity in missing:
+                    found[identity] = {"path": missing.pop(identity)["path"], "place": place, "size": size}
+        for entry in missing.values():
+            if entry["end"] < entry["size"] and self.strict:
+                raise LinesLost(f"{entry['path']} is gone with {entry['size'] - entry['end']} bytes not read")
         return found
 
     def initialOffset(self) -> dict:
-        self.reached = self._listing() if self.latest else {}
-        return self.reached
+        if self.first is None:
+            self.first = {k: {**e, "end": e["size"]} for k, e in self._listing().items()} if self.latest else {}
+            self.reached = self.reached or self.first
+        return self.first
 
     def latestOffset(self) -> dict:
-        found = self._listing()
-        if self.limit and self.reached is not None:
-            found = self._limited(found)
-        self.reached = found
-        return found
-
-    def _limited(self, found: dict) -> dict:
-        """Stop at the last line end within the byte limit; a single longer line is taken whole."""
+        if self.reached is None and self.progress:  # nothing has been planned yet: Spark may ask for the end first
+            self.initialOffset()
         left, out = self.limit, {}
-        for path, entry in sorted(found.items()):
-            start = resume_at(self.reached.get(path), entry)
-            end = entry["end"]
-            if end - start > left:
-                end = end_of_lines(path, start + left, start) if left > 0 else start
-                if end == start and left == self.limit:
-                    end = next_line_end(path, start, entry["end"])
-            left = max(0, left - (end - start))
-            if end > 0 or start > 0:
-                out[path] = {**entry, "end": end}
-        return out
+        bounded = self.limit and self.reached is not None
+        for identity, entry in sorted(self._listing().items(), key=lambda x: (x[1]["path"], x[0])):
+            start = resume_at((self.reached or {}).get(identity), entry)
+            end = min(entry["size"], start + left) if bounded else entry["size"]
+            left -= end - start
+            if end > 0:
+                out[identity] = {**entry, "end": end}
+        return self._plan(out)
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
         ranges = []
-        for path, entry in sorted(end.items()):
-            first, last = resume_at(start.get(path), entry), entry["end"]
-            for at in range(first, last, self.split):
-                ranges.append(Range(path, first, at, min(at + self.split, last), last))
+        for identity, entry in sorted(end.items(), key=lambda x: (x[1]["path"], x[0])):
+            for at in range(resume_at(start.get(identity), entry), entry["end"], self.split):
+                ranges.append(Range(identity, entry["path"], entry["place"], at, min(at + self.split, entry["end"])))
         self.reached = end
         return ranges
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        try:
-            with open(partition.path, "rb") as file:
-                at = partition.start
-                if at > partition.first:
-                    # The line over the split's start belongs to the split before.
-                    file.seek(at - 1)
-                    at += len(file.readline()) - 1
-                else:
-                    file.seek(at)
-                offsets, lines, held = [], [], 0
-                while at < partition.end:
-                    line = file.readline(partition.last - at)
-                    if not line.endswith(b"\n"):
-                        break
-                    offsets.append(at)
-                    lines.append(line[:-1])
-                    at += len(line)
-                    held += len(line)
-                    if held >= 1 << 20:
-                        yield self._batch(partition, offsets, lines)
-                        offsets, lines, held = [], [], 0
-                if lines:
-                    yield self._batch(partition, offsets, lines)
-        except FileNotFoundError:
+        file = opened(partition)
+        if file is None:
+            if self.strict:
+                raise LinesLost(f"{partition.path} went before its bytes {partition.start} to {partition.end} were read")
             return
+        with file:
+            at = start_of_line(file, partition.start)
+            file.seek(at)
+            offsets, lines, held = [], [], 0
+            while at < partition.end:
+                line = file.readline(partition.end - at)
+                if not line.endswith(b"\n"):
+                    break
+                offsets.append(at)
+                lines.append(line[:-1])
+                at += len(line)
+                held += len(line)
+                if held >= 1 << 20:
+                    yield self._batch(partition, offsets, lines)
+                    offsets, lines, held = [], [], 0
+            if lines:
+                yield self._batch(partition, offsets, lines)
+            if os.fstat(file.fileno()).st_size < partition.end and self.strict:
+                raise LinesLost(f"{partition.path} was cut shorter while bytes {partition.start} to {partition.end} were read")
 
     @staticmethod
     def _batch(partition: Range, offsets: list[int], lines: list[bytes]) -> pa.RecordBatch:
@@ -143,17 +177,30 @@ class TailReader(DataSourceStreamReader):
         )
 
 
-def resume_at(old: dict | None, new: dict) -> int:
-    """Where to go on in a file: 0 when it is new, replaced or cut shorter than what was read."""
-    if old is None or old["inode"] != new["inode"] or new["size"] < old["end"]:
-        return 0
-    return min(old["end"], new["end"])
+def opened(partition: Range) -> BinaryIO | None:
+    """The file of the range, which may have got another name in its folder since the trigger was planned."""
+    folder = os.path.dirname(partition.place)
+    names = [partition.place]
+    while names:
+        place = names.pop(0)
+        try:
+            file = open(place, "rb")
+        except OSError:
+            file = None
+        if file is not None:
+            if measured(file.fileno())[0] == partition.identity:
+                return file
+            file.close()
+        if place == partition.place and os.path.isdir(folder):
+            number = int(partition.identity.split(":")[1])
+            with os.scandir(folder) as entries:
+                names += [e.path for e in entries if e.inode() == number]
+    return None
 
 
-def next_line_end(path: str, start: int, end: int) -> int:
-    with open(path, "rb") as file:
-        file.seek(start)
-        return start + len(file.readline(end - start))
+def resume_at(old: dict | None, new: dict) -> int:
+    """Where to go on in a file: 0 when it is new or cut shorter than what was dealt with."""
+    return 0 if old is None or new["size"] < old["end"] else old["end"]
 
 
 class TailSource(DataSource):
@@ -172,8 +219,14 @@ def stream_logs(spark: SparkSession, directory: str, starting: str = "latest", *
     """Streaming ``path, chunk, offset, line`` of a log directory.
 
     ``starting``: 'latest' skips what the files hold when the stream first starts (a line half written then is emitted
-    whole once it is complete), 'earliest' reads it. ``splitBytes`` bounds a task. ``maxBytesPerTrigger`` bounds a
-    trigger, but for the first one after a start: Spark asks for its end before it tells how far an earlier run came.
+    whole once it is complete), 'earliest' reads it. ``splitBytes`` bounds a task, ``maxBytesPerTrigger`` a trigger: its
+    ranges together have so many bytes at most. Spark does not tell a source how far an earlier run came before it asks
+    for the first trigger's end; with ``progress``, a file of this stream's own on a path of the driver, that trigger is
+    bounded too (a run that ends between planning and logging a trigger may add one more limit to it). Under
+    ``availableNow`` Spark asks once, so a bounded run is one trigger.
+
+    A file that goes with bytes known and not read, or goes or shrinks while it is read, ends the stream with `LinesLost`;
+    ``failOnDataLoss=False`` goes on without them. What was written and removed between two triggers is not known of.
     """
     spark.dataSource.register(TailSource)
     reader = spark.readStream.format("podweave_tail").option("startingPosition", starting)

@@ -2,12 +2,13 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from podweave.operators.offsets import complete_lines, with_offsets
 from podweave.operators.parsing import parse_lines
 from podweave.sources.logdir import read_logs
-from podweave.sources.tail import stream_logs
+from podweave.sources.tail import LinesLost, TailReader, stream_logs
 from podweave.streaming.delivery import drain, start
 
 
@@ -102,6 +103,71 @@ def test_tail_splits_and_limits(spark, tmp_path):
     assert len([part for part in found if part]) >= 3
 
 
+def test_a_renamed_file_is_read_to_its_end(spark, tmp_path):
+    logs, state = str(tmp_path / "logs"), str(tmp_path / "state")
+    a = f"{logs}/pod/a.log"
+    write(a, b"one\ntw")
+    assert run(spark, logs, state, starting="earliest") == [[("a.log", 0, b"one")]]
+    write(a, b"o\nthree\n", "ab")
+    os.rename(a, f"{a}.1")
+    write(a, b"new\n")
+    assert run(spark, logs, state) == [[("a.log", 0, b"new"), ("a.log", 4, b"two"), ("a.log", 8, b"three")]]
+    write(f"{a}.1", b"late\n", "ab")  # the writer still had it open
+    os.rename(f"{a}.1", f"{logs}/a.old")
+    assert run(spark, logs, state) == [[("a.log", 14, b"late")]]
+    os.remove(f"{logs}/a.old")
+    write(a, b"more\n", "ab")
+    os.rename(a, f"{logs}/pod/moved.log")  # still a log, and still the same file
+    assert run(spark, logs, state) == [[("a.log", 4, b"more")]]
+
+
+def test_loss_is_an_error_unless_allowed(tmp_path):
+    a = str(tmp_path / "a.log")
+    write(a, b"x" * 9 + b"\n" + b"y" * 9 + b"\n")
+    options = {"path": str(tmp_path), "startingPosition": "earliest", "maxBytesPerTrigger": "10"}
+    reader = TailReader(options)
+    start = reader.initialOffset()
+    end = reader.latestOffset()
+    (part,) = reader.partitions(start, end)
+    assert [x.as_py() for b in reader.read(part) for x in b.column("line")] == [b"x" * 9]
+    os.rename(a, str(tmp_path / "elsewhere"))  # a name of the same folder is found by the task
+    assert [x.as_py() for b in reader.read(part) for x in b.column("line")] == [b"x" * 9]
+    os.remove(str(tmp_path / "elsewhere"))
+    with pytest.raises(LinesLost, match="10 bytes not read"):
+        reader.latestOffset()
+    with pytest.raises(LinesLost, match="bytes 0 to 10"):
+        list(reader.read(part))
+    lenient = TailReader({**options, "failOnDataLoss": "False"})
+    lenient.reached = end
+    assert lenient.latestOffset() == {} and list(lenient.read(part)) == []
+
+
+def test_the_driver_opens_no_log(tmp_path, monkeypatch):
+    write(str(tmp_path / "a.log"), b"one\ntwo")
+    reader = TailReader({"path": str(tmp_path), "startingPosition": "earliest", "maxBytesPerTrigger": "5"})
+    monkeypatch.setattr("builtins.open", None)
+    start = reader.initialOffset()
+    assert [e["end"] for e in reader.latestOffset().values()] == [5]
+    assert [(p.start, p.end) for p in reader.partitions(start, reader.latestOffset())] == [(0, 7)]
+
+
+def test_the_limit_holds_from_the_first_trigger_after_a_restart(spark, tmp_path):
+    logs, state, progress = (str(tmp_path / x) for x in ("logs", "state", "progress.json"))
+    lines = [b"line %04d" % i for i in range(200)]
+    write(f"{logs}/a.log", b"\n".join(lines) + b"\n")
+    sizes, got = [], []
+
+    def handle(rows, delta):
+        part = [bytes(r.line) for r in rows.withColumn("line", F.col("line").cast("binary")).orderBy("offset").collect()]
+        sizes.append(sum(len(x) + 1 for x in part))
+        got.extend(part)
+
+    for _ in range(6):  # every run is a new start with one trigger
+        stream = stream_logs(spark, logs, "earliest", maxBytesPerTrigger=500, progress=progress)
+        start(stream, handle, state).awaitTermination()
+    assert got == lines and len([x for x in sizes if x]) == 4 and max(sizes) <= 510
+
+
 def test_events_of_a_tail_are_parsed(spark, tmp_path):
     logs, out = str(tmp_path / "logs"), str(tmp_path / "out")
     write(f"{logs}/a.log", b"2025-11-03T07:41:53.111222333Z stderr F and after it\nbad\n")
