@@ -1,23 +1,20 @@
 """N-gram Jaccard join: documents whose sets of word shingles overlap, exactly.
 
-Candidates come from size bands. Two sets that reach the similarity have sizes within one band or its neighbour, and
-differ in at most k entries, k being known from the band. The space of hashes is cut into more than k cells, so the two
-agree on all entries of some cell: a hash of a cell's entries is a key, and sets without a common key cannot be linked.
-An empty cell is no key, so there are spare cells; the few sets that leave more than these empty are also tied by their
-rarest shingles.
-A passage that many documents share seldom fills a cell alone, but among very many documents it does, so large families
-are divided by their rarest shingles. What is left goes through `tiles`: bitmap bounds, then exact intersection.
+A set that is similar to another has nearly all of its entries in common with it. So the entries in a fixed part of the
+hash space are counted first, over all sets: a set with more entries there that no other set has than it may lack in all
+is similar to none, and most texts go no further. The sets of the others are put into families. Two similar sets share one
+of the least entries of either, in whatever order these are taken, and are of one size band or of neighbouring ones; so
+the least hashes, with the size band, are keys. A passage that many texts have makes large families, and these are
+divided again by their rarest entries. What is left goes through `tiles`: bitmap bounds, then exact intersection.
 """
 
 from __future__ import annotations
 
-import bisect
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from podweave.llm.landing import dropped, in_arrow, landed
@@ -25,63 +22,11 @@ from podweave.llm.sieve import sieve, sifted, without
 from podweave.llm.textarrays import mixed, packed, pieces, shingle_hashes, word_hashes
 from podweave.llm.tiles import families, similar_components
 
-#: Ratio of the upper to the lower end of a size band; over 100 / percent, so that similar sets lie in neighbouring bands.
-WIDTH = 1.235
-
-#: Families of more sets than this are looked at again by their rarest shingles.
+#: Families of more sets than this are divided by their rarest entries.
 LARGE = 64
 
-
-@functools.cache
-def _bands(percent: int, most: int) -> tuple[list[int], list[int], list[int]]:
-    """Lower ends of the bands up to size `most`, and the cells and spare cells of each."""
-    width = max(WIDTH, 101 / percent)
-    lows, cells, spares = [1], [], []
-    while lows[-1] <= most or len(lows) < 3:
-        low, high = lows[-1], max(lows[-1] + 1, int(np.ceil(lows[-1] * width)))
-        small = high - 1
-        # intersection >= percent / (100 + percent) of both sizes together, so the difference is at most the rest
-        differ = (small + small * 100 // percent) * (100 - percent) // (100 + percent)
-        spare = 0
-        if differ:  # as many spare cells as the band's smallest sets leave empty, but for a few of them
-            while spare < (differ + 1) // 2 + 1:
-                empty = (differ + 1 + spare) * (1 - 1 / (differ + 1 + spare)) ** low
-                if spare >= empty + 3 * np.sqrt(empty):
-                    break
-                spare += 1
-        cells.append(differ + 1 + spare)
-        spares.append(spare)
-        lows.append(high)
-    return lows, cells, spares
-
-
-def cell_keys(values: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
-    """Keys of one sorted set of hashes, one for each cell that has entries, and the bands in which the set is loose.
-
-    Two sets that reach the similarity agree in more cells of a common band than it has spare cells. Unless both leave
-    more than these empty, which is to be loose, one of the cells in which they agree has entries, and is a key of both.
-    """
-    size = len(values)
-    if not size:
-        return np.zeros(0, np.uint64), []
-    most = 1 << max(10, size.bit_length())
-    lows, cells, spares = _bands(percent, most)
-    band = bisect.bisect_right(lows, size) - 1
-    found, loose = [], []
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(values), dtype=np.uint64)))
-    for scheme in (band, band - 1):
-        if scheme < 0 or scheme < band and size > (lows[band] - 1) * 100 // percent:
-            continue
-        count = cells[scheme]
-        cell = ((values >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-        ends = np.searchsorted(cell, np.arange(count + 1, dtype=np.uint64))
-        content = sums[ends[1:]] - sums[ends[:-1]]
-        keys = mixed(content ^ mixed(np.arange(count, dtype=np.uint64) + np.uint64(scheme << 32)))
-        full = ends[1:] > ends[:-1]
-        found.append(keys[full])
-        if count - np.count_nonzero(full) > spares[scheme]:
-            loose.append(scheme)
-    return np.concatenate(found), loose
+#: The part of the hash space that is counted is so many times the part of its entries that a set may lack.
+PART = 1.5
 
 
 def _distinct(texts: list[str], width: int) -> Iterator[np.ndarray]:
@@ -90,14 +35,24 @@ def _distinct(texts: list[str], width: int) -> Iterator[np.ndarray]:
         yield np.unique(values)
 
 
-def _loose(values: np.ndarray, bands: list[int]) -> list[np.ndarray]:
-    """For each of at most two bands, all entries of the set as keys of that band."""
-    found = [mixed(values ^ mixed(np.array([(1 << 40) + b], np.uint64))) for b in bands]
-    return found + [np.zeros(0, np.uint64)] * (2 - len(found))
+def counted_part(values: np.ndarray, percent: int) -> np.ndarray:
+    """The entries of a sorted set that lie in the part of the hash space which is counted."""
+    end = min(PART * (100 - percent) / 100, 1.0) * 2.0**64
+    return values[: np.searchsorted(values, np.uint64(min(int(end), (1 << 64) - 1)))]
+
+
+def least_entries(values: np.ndarray, percent: int) -> np.ndarray:
+    """So many of a sorted set's first entries that a similar set has one of them: it lacks fewer."""
+    return values[: len(values) * (100 - percent) // 100 + 1]
+
+
+def _lacking(n: Column, percent: int) -> Column:
+    """How many of its n entries a set may have that a similar one lacks."""
+    return F.floor(n * (100 - percent) / 100)
 
 
 def _features(documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """key, text_hash, n, f1, f2 (fingerprints of the set), keys, loose_a, loose_b."""
+    """key, text_hash, n, f1, f2 (fingerprints of the set), part (its counted part)."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,79 +60,81 @@ def _features(documents: DataFrame, width: int, percent: int) -> DataFrame:
                 sets, part = list(_distinct(texts, width)), batch.slice(begun, len(texts))
                 prints = [[len(x), *(mixed(x + np.uint64(s)).sum(dtype=np.uint64).astype(np.int64) for s in (1, 2))] for x in sets]
                 n, f1, f2 = (pa.array(x, pa.int64()) for x in np.array(prints, np.int64).reshape(-1, 3).T.copy())
-                keys = [cell_keys(x, percent) for x in sets]
-                loose = [_loose(x, bands) for x, (_, bands) in zip(sets, keys, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), part.column("text_hash"), n, f1, f2,
-                     *(packed(column) for column in ([k for k, _ in keys], [a for a, _ in loose], [b for _, b in loose]))],
-                    ["key", "text_hash", "n", "f1", "f2", "keys", "loose_a", "loose_b"])
+                    [part.column("key"), part.column("text_hash"), n, f1, f2, packed([counted_part(x, percent) for x in sets])],
+                    ["key", "text_hash", "n", "f1", "f2", "part"])
 
     kind = documents.schema["key"].dataType.simpleString()
-    lists = ", ".join(f"{c} array<long>" for c in ("keys", "loose_a", "loose_b"))
-    return in_arrow(documents, features, f"key {kind}, text_hash long, n long, f1 long, f2 long, {lists}")
+    return in_arrow(documents, features, f"key {kind}, text_hash long, n long, f1 long, f2 long, part array<long>")
 
 
-def _rarest(entries: DataFrame, percent: int) -> DataFrame:
-    """key, id: the rarest entries of each set, so many that two similar sets of one part share one of them.
+def _promising(sets: DataFrame, percent: int, stored: DataFrame) -> DataFrame:
+    """id of the sets (id, n, part; no two equal) that may be similar to another one."""
+    entries = sets.select("id", F.explode("part").alias("entry"))
+    twice = landed(entries.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entry"), stored)
+    met = sifted(entries, F.col("entry"), sieve(twice, "entry")).where("_may").groupBy("id").agg(F.count(F.lit(1)).alias("met"))
+    alone = F.size("part") - F.coalesce("met", F.lit(0))
+    found = landed(sets.join(landed(met, stored), "id", "left").where(alone <= _lacking(F.col("n"), percent)).select("id"), stored)
+    dropped(twice)
+    return found
 
-    `entries`: id, part, n (the set's size), key. Rarity is counted among these sets. Fewer than `percent` of a set's
-    entries lie behind those taken: a partner that has none of them cannot reach the similarity. Entries of one set only
-    are the rarest and tie nothing, so most sets that merely share a frequent passage are left with no key.
-    """
-    counts = landed(entries.groupBy("key").agg(F.count(F.lit(1)).alias("common")).where("common > 1"))
-    known = entries.join(counts, "key")
-    own = Window.partitionBy("id", "part")
-    place = F.row_number().over(own.orderBy("common", "key")) + F.col("n") - F.count(F.lit(1)).over(own)
-    return known.withColumn("place", place).where(
-        F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("key", "id")
 
+def _sets(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """id, n, set, least of rows id, text."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begun, texts in pieces(batch.column("text").to_pylist()):
+                held, part = list(_distinct(texts, width)), batch.slice(begun, len(texts))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), pa.array([len(x) for x in held], pa.int64()), pa.array([x.tobytes() for x in held], pa.binary()),
+                     packed([least_entries(x, percent) for x in held])], ["id", "n", "set", "least"])
+
+    return in_arrow(rows, sets, "id long, n long, set binary, least array<long>")
 
-def _loose_keys(sets: DataFrame, percent: int) -> DataFrame:
-    """key, id of the loose sets (`sets`: id, n, loose_a, loose_b), which are few."""
-    rows = sets.where("size(loose_a) > 0").select("id", "n", F.posexplode(F.array("loose_a", "loose_b")).alias("part", "entries"))
-    return _rarest(rows.select("id", "part", "n", F.explode("entries").alias("key")), percent)
 
+def _banded(entries: DataFrame, percent: int) -> DataFrame:
+    """key, id of entries id, n, entry: an entry with the set's size band, and with the one below. Similar sets lie in one
+    band or in neighbouring ones, as a band's ends are further apart than the sizes of similar sets."""
+    band = F.floor(F.ln(F.col("n").cast("double")) / float(np.log(101 / percent)))
+    return entries.select(F.explode(F.array(band, band - 1)).alias("band"), "id", "entry").select(
+        F.xxhash64("entry", "band").alias("key"), "id")
 
-def _refined(members: DataFrame, percent: int) -> DataFrame:
-    """The members, those of families of more than LARGE sets in the smaller families that their rarest shingles make, or
-    left out. `members`: a stored table of id, family, n, set."""
-    large = landed(members.groupBy("family").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > LARGE).select("family"))
-    if large.isEmpty():
-        return members
-    rows = landed(members.join(large, "family"))
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for one in range(batch.num_rows):  # a set at a time: its entries are as many as its words
-                part = batch.slice(one, 1)
-                values = np.frombuffer(part.column("set")[0].as_py(), np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("family"), part.column("n"), packed([values])], ["id", "part", "n", "keys"])
+def _rarest(entries: DataFrame, percent: int) -> DataFrame:
+    """The rarest of the entries (id, n, entry, all of each set) of every set, so many that a similar set has one of them.
 
-    spread = in_arrow(rows.select("id", "family", "n", "set"), entries, "id long, part long, n long, keys array<long>")
-    spread = landed(spread)
-    # a family's number makes its keys its own
-    keys = spread.select("id", "part", "n", F.explode("keys").alias("key")).withColumn("key", F.xxhash64("part", "key"))
-    postings = landed(_rarest(keys, percent))
-    found = families(postings, rows)
-    small = members.join(large, "family", "left_anti").select("id", "family", "n", "set")
-    refined = landed(small.union(rows.drop("family").join(found, "id").select("id", "family", "n", "set")))
-    dropped(members, large, rows, spread, postings, found)
-    return refined
+    Entries of one set only are the rarest and tie nothing; they are counted and left out."""
+    counts = landed(entries.groupBy("entry").agg(F.count(F.lit(1)).alias("common")).where("common > 1"))
+    own = Window.partitionBy("id")
+    place = F.row_number().over(own.orderBy("common", "entry")) + F.col("n") - F.count(F.lit(1)).over(own)
+    known = entries.join(counts, "entry").withColumn("place", place)
+    return known.where(F.col("place") <= _lacking(F.col("n"), percent) + 1).select("id", "n", "entry")
 
 
-def _sets(rows: DataFrame, width: int) -> DataFrame:
-    """id, family, n, set of rows id, family, text."""
+def _divided(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """id, family of the sets in `found` (id, family), large families divided by their rarest entries; a stored table."""
+    large = landed(found.groupBy("family").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > LARGE).select("family"), found)
+    if large.isEmpty():
+        return found
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begun, texts in pieces(batch.column("text").to_pylist()):
-                held, part = list(_distinct(texts, width)), batch.slice(begun, len(texts))
+            for k in range(batch.num_rows):  # a set at a time: it may be as large as a text
+                values = np.frombuffer(batch.column("set")[k].as_py(), np.uint64)
+                row = batch.slice(k, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("family"), pa.array([len(x) for x in held], pa.int64()),
-                     pa.array([x.tobytes() for x in held], pa.binary())], ["id", "family", "n", "set"])
+                    [row.column("id"), row.column("family"), row.column("n"), packed([values])], ["id", "family", "n", "entries"])
 
-    return in_arrow(rows, sets, "id long, family long, n long, set binary")
+    rows = sets.join(found.join(large, "family"), "id").select("id", "family", "n", "set")
+    rows = landed(in_arrow(rows, spread, "id long, family long, n long, entries array<long>"))
+    # a family's number makes its entries its own
+    entries = rows.select("id", "n", F.explode("entries").alias("entry"), "family").withColumn(
+        "entry", F.xxhash64("family", "entry")).drop("family")
+    again = families(_banded(landed(_rarest(entries, percent)), percent), rows)
+    divided = landed(found.join(large, "family", "left_anti").select("id", "family").union(again.select("id", "family")))
+    dropped(found, large, rows, again)
+    return divided
 
 
 def _joined(documents: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
@@ -185,26 +142,32 @@ def _joined(documents: DataFrame, key: str, text: str, width: int, percent: int)
     given = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     rows = landed(_features(given, width, percent).withColumn("id", F.monotonically_increasing_id()))
     prints = ["n", "f1", "f2"]
-    named = F.struct("key", "text_hash")  # one row of each set stands for it; its text is looked up by these two
-    sets = landed(rows.where("n > 0").groupBy(*prints).agg(
+    classes = landed(rows.where("n > 0").groupBy(*prints).agg(
         F.min("id").alias("first"), F.min("key").alias("least"), F.count(F.lit(1)).alias("n_copies")), rows)
-    copies = landed(rows.where("n > 0").join(sets, prints).where("id <> first").select("id"), rows)
-    single = without(rows.where("n > 0").select("id", "n", "keys", "loose_a", "loose_b"), copies, "id")
-    rare = landed(_loose_keys(single, percent))
-    found = families(single.select(F.explode(F.array_distinct("keys")).alias("key"), "id").union(rare), rows)
-    wanted = landed(rows.select("id", named.alias("named")).join(found, "id").select("id", "family", "named.*"), rows)
+    copies = landed(rows.where("n > 0").join(classes, prints).where("id <> first").select("id"), rows)
+    single = without(rows.where("n > 0").select("id", "n", "part"), copies, "id")
+    promising = _promising(single, percent, rows)
+    # one row of each set stands for it; its text is looked up by key and hash
+    wanted = landed(rows.select("id", "key", "text_hash").join(promising, "id"), rows)
     # only texts that the sieve lets through are shuffled to their partners
     bitmap = sieve(wanted, "text_hash")
     near = sifted(given, F.col("text_hash"), bitmap).where("_may")
     texts = near.join(wanted, near["key"].eqNullSafe(wanted["key"]) & (near["text_hash"] == wanted["text_hash"]))
-    members = _refined(landed(_sets(texts.select("id", "family", "text"), width)), percent)
+    texts = texts.select("id", "text")
+    if not rows.groupBy("key", "text_hash").count().where("count > 1").isEmpty():  # repeated rows have the text as well
+        texts = texts.groupBy("id").agg(F.first("text").alias("text"))
+    sets = landed(_sets(texts, width, percent))
+    found = families(_banded(sets.select("id", "n", F.explode("least").alias("entry")), percent), sets)
+    found = _divided(found, sets, percent)
+    members = landed(sets.select("id", "n", "set").join(found, "id").select("id", "family", "n", "set"), sets)
+    dropped(copies, promising, wanted, sets, found)
     linked = similar_components(members, percent)
-    tied = sets.join(linked.withColumnRenamed("id", "first"), "first", "left").withColumn(
+    tied = classes.join(linked.withColumnRenamed("id", "first"), "first", "left").withColumn(
         "component", F.coalesce("component", "first"))
     names = landed(tied.groupBy("component").agg(F.min("least").alias("component_id")), rows)
     tied = landed(tied.join(names, "component").select(*prints, "component", "component_id", "n_copies"), rows)
     slim = landed(rows.select("key", "text_hash", *prints), rows)
-    dropped(rows, sets, copies, rare, found, wanted, members, linked, names)
+    dropped(rows, classes, members, linked, names)
     return slim.join(tied, prints, "left").select("key", "text_hash", "n", "component", "component_id", "n_copies")
 
 
