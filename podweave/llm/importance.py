@@ -1,8 +1,9 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed n-grams, one of target text (labelled good) and one of the raw corpus, give every
-document the log of its importance weight: the sum, over its n-grams, of the log ratio of both probabilities. Adding
-Gumbel noise to these and taking the k largest samples k documents by weight without replacement.
+document the log of its importance weight: the sum, over its n-grams, of the log ratio of both probabilities. What is
+sampled by is the mean of these, or long texts would outweigh all others, divided by a temperature. Adding Gumbel noise
+and taking the k largest samples k documents by weight without replacement.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ BITS = 16
 #: N-grams of the mean weight that every text is taken to have besides its own: a few words prove little.
 PRIOR = 50
 
+#: Noise of size 1 meets scores divided by this: documents within about as much of the k-th score are in by chance.
+TEMPERATURE = 0.05
+
 #: Counters of one pass of the search for the k-th largest key.
 BINS = 4096
 
@@ -125,10 +129,11 @@ def mean_weight() -> Column:
     return F.when(F.col("n_ngrams") > 0, F.round(F.col("log_weight") / (F.col("n_ngrams") + PRIOR), 9))
 
 
-def gumbel_key(key: str, temperature: float, seed: int) -> Column:
-    """Mean weight by temperature, plus standard Gumbel noise drawn by hash of the key."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key).cast("string")), 11).cast("double") + 0.5) / float(1 << 53)
-    return mean_weight() / temperature - F.ln(-F.ln(u))
+def gumbel_key(weight: Column, drawn_by: Column, temperature: float, seed: int | Column) -> Column:
+    """Log weight by temperature, plus standard Gumbel noise drawn by hash of `drawn_by`: the k rows of the largest keys are
+    a sample without replacement, each next one drawn in proportion to exp(weight / temperature)."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), drawn_by), 11).cast("double") + 0.5) / float(1 << 53)
+    return weight / temperature - F.ln(-F.ln(u))
 
 
 def best_cut(scores: list[float], good: list[int]) -> float:
@@ -171,26 +176,32 @@ class Resampling:
         self.model, self.cut, self.least, self.k, self.total = model, cut, least, k, total
 
 
-def _keyed(rows: DataFrame, key: str, temperature: float, seed: int) -> DataFrame:
-    return rows.withColumn("score", mean_weight()).withColumn("gumbel_key", gumbel_key(key, temperature, seed))
+def _keyed(rows: DataFrame, key: str, text: str, temperature: float, seed: int) -> DataFrame:
+    drawn_by = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\0"), text))  # without a key the text draws
+    return rows.withColumn("score", mean_weight()).withColumn("gumbel_key", gumbel_key(F.col("score"), drawn_by, temperature, seed))
 
 
 def resampling(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most_labels: int = 20_000,
-               temperature: float = 0.005, seed: int = 7) -> tuple[Resampling, DataFrame]:
+               temperature: float = TEMPERATURE, seed: int = 7, k: int | None = None, fraction: float | None = None,
+               label_key: str = "doc_id") -> tuple[Resampling, DataFrame]:
     """The fitted resampling, and the stored scores: key, n_ngrams, log_weight, score, gumbel_key.
 
     Target model and cut are fitted on a sample of at most `most_labels` labelled documents, each on its own half, so
-    that the cut holds for documents the target model has not seen; the raw model is fitted on all documents. k is
-    the number of all documents whose score is above the cut; the k documents of the largest Gumbel keys are sampled.
+    that the cut holds for documents the target model has not seen; the raw model is fitted on all documents. The k
+    documents of the largest Gumbel keys are sampled; k is given, or as a fraction of the documents with a score, or is
+    the number of those whose score is above the cut. Of repeated rows of a labelled key the least score sets the cut.
     """
-    sample = landed(labelled_sample(labels, most_labels, "doc_id"))
+    sample = landed(labelled_sample(labels, most_labels, label_key))
     model = documents.sparkSession.sparkContext.broadcast(fit(documents, sample, key, text))
-    narrow = weigh(documents.select(F.col(key).alias(key), F.col(text).alias(text)), model, text).drop(text)
-    scores = landed(_keyed(narrow, key, temperature, seed))
-    known = scores.join(F.broadcast(sample), F.col(key) == F.col("labelled")).where("score IS NOT NULL AND NOT fits").select("score", "good").limit(2 * most_labels)
-    known = known.collect()
+    scores = landed(_keyed(weigh(documents.select(F.col(key).alias(key), F.col(text).alias(text)), model, text), key, text, temperature, seed).drop(text))
+    known = scores.join(F.broadcast(sample), F.col(key) == F.col("labelled")).where("score IS NOT NULL AND NOT fits")
+    known = known.groupBy("labelled").agg(F.min("score").alias("score"), F.max("good").alias("good")).orderBy("labelled")
+    known = known.select("score", "good").collect()  # one row for each of the sample's documents at most
     cut = best_cut([x[0] for x in known], [x[1] for x in known])
-    total, k = scores.where("score IS NOT NULL").agg(F.count(F.lit(1)), F.count_if(F.col("score") > cut)).first()
+    total, above = scores.where("score IS NOT NULL").agg(F.count(F.lit(1)), F.count_if(F.col("score") > cut)).first()
+    if k is None:
+        k = above if fraction is None else round(fraction * total)
+    k = max(0, min(k, total))
     least = kth_largest(scores.where("score IS NOT NULL"), "gumbel_key", k) if k else None
     dropped(sample)
     return Resampling(model, cut, least, k, total), scores
@@ -206,19 +217,20 @@ def classify(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     """One row per input row: key, n_ngrams, log_weight, score, gumbel_key, kept. Takes the options of `resampling`.
 
     A text without visible characters, or null, has no score and is not kept. Without labels of both kinds, or without
-    labels at all, every text is kept. Rows with a null key share one draw of noise; repeated rows fare alike, and rows
-    that tie with the last one are kept with it. Extra columns are not looked at. Needs the shared folder.
+    labels at all, every text is kept, unless k or a fraction is given. The noise of a row without key is drawn by its
+    text; repeated rows fare alike, and rows that tie with the last one are kept with it. Extra columns are not looked at.
+    Needs the shared folder.
     """
     found, scores = resampling(documents, labels, key, text, **options)
     return scores.withColumn("kept", _kept(found))
 
 
-def classified(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", temperature: float = 0.005,
+def classified(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", temperature: float = TEMPERATURE,
                seed: int = 7, **options) -> DataFrame:
     """The documents that `classify` keeps, all columns. Each row is weighed again as it is written, so nothing is joined."""
     found, scores = resampling(documents, labels, key, text, temperature=temperature, seed=seed, **options)
     dropped(scores)
     columns = documents.columns
     named = documents.select(F.struct(*columns).alias("document"), F.col(key).alias("key"), F.col(text).alias("text"))
-    weighed = _keyed(weigh(named, found.model), "key", temperature, seed)
+    weighed = _keyed(weigh(named, found.model), "key", "text", temperature, seed)
     return weighed.where(_kept(found)).select(*(F.col(f"document.{c}") for c in columns))
