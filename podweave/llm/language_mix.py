@@ -20,10 +20,14 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, St
 
 from podweave.llm.byte_bpe import LETTER, character_kinds
 from podweave.llm.landing import in_arrow
-from podweave.llm.textarrays import codepoints, mixed, pieces
+from podweave.llm.textarrays import PIECE, codepoints, mixed, pieces
 
-#: The model has 2^BITS buckets for each language, and at most LANGUAGES languages (those of most documents).
-BITS, LANGUAGES = 15, 256
+#: The model has 2^BITS buckets for each language. It is sent to every task (256 kB a language), so more than so many
+#: languages are an error; none is ever left out.
+BITS, MOST_LANGUAGES = 15, 2048
+
+#: Numbers, letters or words by languages, that are held at once, unless one text by itself has more.
+CELLS = 1 << 22
 
 #: Steps of expectation-maximisation for all languages, and for each smaller set.
 STEPS = 8
@@ -56,11 +60,13 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def learned(documents: DataFrame, text: str = "text", language: str = "lang") -> tuple[list[str], np.ndarray]:
     """(languages in order of their names, log probability of each bucket under each), from all documents with a language.
 
-    Each task sends at most one row for a language and bucket; the driver gets the finished counts, LANGUAGES * 2^BITS
-    numbers at most. One count is added to every bucket.
+    Each task sends at most one row for a language and bucket; the driver gets the finished counts, 2^BITS for each language
+    at most, as Arrow. One count is added to every bucket. Over MOST_LANGUAGES languages are a ValueError.
     """
     rows = documents.where(F.col(language).isNotNull()).select(F.col(text).alias("text"), F.col(language).alias("lang"))
-    names = sorted(x[0] for x in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    names = sorted(x[0] for x in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(names) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages; map them to fewer before learning")
     place = {x: k for k, x in enumerate(names)}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,8 +87,8 @@ def learned(documents: DataFrame, text: str = "text", language: str = "lang") ->
 
     sums = in_arrow(rows, counted, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     totals = np.ones((len(names), 1 << BITS))
-    for lang, bucket, n in sums.collect():
-        totals[lang, bucket] += n
+    found = sums.toArrow()
+    totals[found.column("lang").to_numpy(), found.column("bucket").to_numpy()] += found.column("n").to_numpy()
     return names, np.log(totals / totals.sum(axis=1, keepdims=True))
 
 
@@ -101,6 +107,15 @@ def _shares(likely: np.ndarray, allowed: np.ndarray, weights: np.ndarray, first:
     return shares, np.add.reduceat(np.log(chance), first)
 
 
+def _word_logs(buckets: np.ndarray, words: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """Log likelihood of each word under each language, some letters at a time."""
+    most = max(1, CELLS // len(model))
+    cuts = np.unique(np.append(np.searchsorted(words, np.arange(0, len(buckets), most)), len(words)))
+    ends = np.append(words, len(buckets))
+    return np.concatenate([np.add.reduceat(model.T[buckets[words[a]: ends[b]]], words[a:b] - words[a], axis=0)
+                           for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+
 def infer(texts: list[str], model: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """(texts with a letter, shares of the languages in each): languages outside the chosen set have a share of 0.
 
@@ -110,7 +125,7 @@ def infer(texts: list[str], model: np.ndarray, penalty: float = 1.0) -> tuple[np
     if not len(words) or not len(model):
         return np.zeros(0, np.int64), np.zeros((0, len(model)))
     known, first, size = np.unique(owner, return_index=True, return_counts=True)
-    logs = np.add.reduceat(model.T[buckets], words, axis=0)
+    logs = _word_logs(buckets, words, model)
     likely = np.exp(logs - logs.max(axis=1, keepdims=True))
     weights = np.diff(np.append(words, len(buckets))).astype(float)
     everything = np.ones((len(known), len(model)))
@@ -138,7 +153,7 @@ def identify(documents: DataFrame, names: list[str], model: Broadcast, text: str
 
     def identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begun, texts in pieces(batch.column(text).to_pylist()):
+            for begun, texts in pieces(batch.column(text).to_pylist(), max(1 << 10, min(PIECE, CELLS // max(1, len(names))))):
                 known, shares = infer(texts, model.value, penalty)
                 told = [("und", 0.0, [])] * len(texts)
                 order = np.argsort(-shares, axis=1, kind="stable")

@@ -27,9 +27,11 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.lit(1.0) + F.lit(3.0) * (F.lit(1.0) - F.least(F.lit(1.0), symbols.cast("double") / F.greatest(size, F.lit(1))))
 
 
-def sampling_key(key: Column, weight: Column, seed: str) -> Column:
-    """-ln(u) / weight, with u in (0, 1) from the MD5 of seed and key: the same on every run and machine."""
-    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(key.cast("string"), F.lit("")))), 1, 13)
+def sampling_key(key: Column, text: Column, weight: Column, seed: str) -> Column:
+    """-ln(u) / weight, with u in (0, 1) from the MD5 of seed and key, or without key of seed and text: the same on every
+    run and machine."""
+    own = F.coalesce(key.cast("string"), F.concat(F.lit("~"), F.coalesce(text, F.lit(""))))
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), own)), 1, 13)
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
     return -F.ln(u) / weight
 
@@ -62,7 +64,7 @@ def _sized(documents: DataFrame, key: str, text: str, source: str, weight: Colum
         size.alias("_size"), (weight if weight is not None else F.lit(None).cast("double")).alias("_given"))
     given = F.col("_given") if weight is not None else quality_weight(F.col("text"), F.col("_size"))
     rows = rows.withColumn("_weight", F.coalesce(given, F.lit(1.0)))
-    return rows.withColumn("_sample", sampling_key(F.col("key"), F.col("_weight"), seed)).drop("text", "_given")
+    return rows.withColumn("_sample", sampling_key(F.col("key"), F.col("text"), F.col("_weight"), seed)).drop("text", "_given")
 
 
 def _slice(lightest: str = "lightest", slices: str = "slices") -> Column:
@@ -111,8 +113,8 @@ def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: s
     source all documents are taken in each complete epoch, then a weighted sample without replacement (`weight`, a
     positive column; by default `quality_weight`; null is 1) until the budget ends.
 
-    A null text has size 0 and is taken as often as its place says. A null key is a key like any other; rows with equal
-    keys and sizes are taken or left together. Needs the shared folder.
+    A null text has size 0 and is taken as often as its place says. A row without key is drawn by its text. Rows that agree
+    in key and size, or without key in the text, are taken or left together. Needs the shared folder.
     """
     rows = landed(_sized(documents, key, text, source, weight, seed).drop("document"))
     plan = mix_plan(rows, most)

@@ -42,7 +42,7 @@ WITH d AS (
   SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 k AS (
   SELECT doc_id, source, size,
-    -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+    -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '~' || coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
       / (1.0 + 3.0 * (1.0 - least(1.0, (coalesce(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')), 0))::DOUBLE
         / greatest(size, 1)))) AS sample
   FROM d),

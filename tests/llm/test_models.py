@@ -1,10 +1,16 @@
 """Quality classifier and language identification: held-out accuracy, exact selection, odd rows."""
 
+import collections
+import itertools
+import math
+import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
 from llm_cases import TEXTS, edge_documents
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from podweave.llm import importance, language_mix
@@ -54,6 +60,71 @@ def test_buckets_do_not_depend_on_the_neighbours():
     assert first.tolist() == [0, 0, 13, 13, 14, 23]
 
 
+def plain_ngrams(text):
+    """Tokens and neighbouring tokens, by a loop over the characters."""
+    tokens, last = [], None
+    for c in text:
+        kind = "gap" if c.isspace() or unicodedata.category(c) in ("Cc",) else "word" if unicodedata.category(c)[0] in "LN" else "mark"
+        if kind != "gap" and kind == last:
+            tokens[-1] += c
+        elif kind != "gap":
+            tokens.append(c)
+        last = kind
+    return tokens, [(a, b) for a, b in itertools.pairwise(tokens)]
+
+
+def test_weights_are_those_of_a_plain_count(spark):
+    documents, labels = tables(spark)
+    rows = {x.doc_id: x.text for x in documents.where("doc_id % 7 = 0 AND n_chars < 4000").select("doc_id", "text").collect()}
+    few = documents.where(F.col("doc_id").isin(*rows))
+    good = {x.labelled for x in importance.labelled_sample(labels, 10**6).where("good = 1 AND fits").collect()}
+    raw, target = collections.Counter(), collections.Counter()
+    grams = {}
+    for k, text in rows.items():
+        tokens, pairs = plain_ngrams(text)
+        names = [importance.ngram_buckets([t], 16)[0].tolist()[0] for t in tokens]
+        names += [importance.ngram_buckets([f"{a} {b}"], 16)[0].tolist()[2] for a, b in pairs]
+        grams[k] = names
+        raw.update(names)
+        if k in good:
+            target.update(names)
+    size, n, m = 1 << 16, sum(raw.values()), sum(target.values())
+    log = {b: math.log((target[b] + 1) / (m + size)) - math.log((raw[b] + 1) / (n + size)) for b in raw}
+    _, scores = importance.resampling(few, labels)
+    found = scores.collect()
+    assert len(found) == len(rows) > 50 and target
+    for x in found:
+        want = sum(log[b] for b in grams[x.doc_id])
+        assert x.n_ngrams == len(grams[x.doc_id]) and x.log_weight == pytest.approx(want, abs=1e-6)
+        assert x.score == pytest.approx(want / (len(grams[x.doc_id]) + importance.PRIOR), abs=1e-8)
+
+
+def test_inclusion_follows_the_weights(spark):
+    """Two of four documents, over many seeds, against drawing one after the other in proportion to the weights."""
+    weights, temperature, seeds = [0.0, 0.02, 0.05, 0.1], 0.05, 4000
+    chance = np.exp(np.array(weights) / temperature)
+    want = chance / chance.sum()
+    want = want + sum(want[k] * np.where(np.arange(4) == k, 0, chance / (chance.sum() - chance[k])) for k in range(4))
+    drawn = spark.range(seeds).withColumnRenamed("id", "seed").crossJoin(
+        spark.createDataFrame([(str(k), w) for k, w in enumerate(weights)], "name string, weight double"))
+    keyed = drawn.withColumn("key", importance.gumbel_key(F.col("weight"), F.col("name"), temperature, F.col("seed")))
+    place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("key")))
+    got = {r.name: r["count"] for r in keyed.withColumn("place", place).where("place <= 2").groupBy("name").count().collect()}
+    assert np.allclose([got[str(k)] / seeds for k in range(4)], want, atol=0.03)
+
+
+def test_chance_counts_near_the_cut(spark):
+    documents, labels = tables(spark)
+    kept = []
+    for seed in (1, 2):
+        found, scores = importance.resampling(documents, labels, seed=seed, fraction=0.5)
+        total = scores.where("score IS NOT NULL").count()
+        kept.append({x.doc_id for x in scores.where(importance._kept(found)).collect()})
+        assert found.k == round(total / 2) == len(kept[-1])
+    assert 0 < len(kept[0] - kept[1]) < len(kept[0])
+    assert importance.resampling(documents, labels, k=10)[0].k == 10
+
+
 def test_cut():
     assert importance.best_cut([1, 2, 3, 10, 11], [0, 0, 0, 1, 1]) == 6.5
     assert importance.best_cut([], []) == -np.inf and importance.best_cut([1.0], [1]) == -np.inf
@@ -105,3 +176,56 @@ def test_languages_of_edge_rows(spark):
     assert language_mix.language_ids(edge_documents(spark, [])).count() == 0
     nothing = edge_documents(spark, [(1, "some words", None, "a")])
     assert language_mix.language_ids(nothing).first().lang_pred == "und"
+
+
+def plain_mixture(text, names, model, penalty=1.0):
+    """Expectation-maximisation word by word, and the set of languages by penalised likelihood."""
+    words = []
+    for m in re.finditer(r"[^\W\d_]+", text):
+        buckets, _, _ = language_mix.trigrams([m[0]])
+        words.append((len(buckets), [sum(model[k][b] for b in buckets.tolist()) for k in range(len(names))]))
+
+    def fitted(allowed, steps):
+        shares = [1 / len(allowed) if k in allowed else 0.0 for k in range(len(names))]
+        for _ in range(steps):
+            sums = [0.0] * len(names)
+            for size, logs in words:
+                joint = [s * math.exp(x - max(logs)) for s, x in zip(shares, logs)]
+                for k in range(len(names)):
+                    sums[k] += size * joint[k] / max(sum(joint), 1e-300)
+            shares = [x / sum(size for size, _ in words) for x in sums]
+        value = sum(math.log(max(sum(s * math.exp(x - max(logs)) for s, x in zip(shares, logs)), 1e-300)) for _, logs in words)
+        return shares, value
+
+    shares, _ = fitted(set(range(len(names))), language_mix.STEPS)
+    order = sorted(range(len(names)), key=lambda k: -shares[k])
+    best, chosen = -math.inf, shares
+    for m in range(1, len(names) + 1):
+        found, value = fitted(set(order[:m]), language_mix.STEPS if m > 1 else 1)
+        value -= penalty * (m - 1) / 2 * math.log(len(words) + 1)
+        if value <= best:
+            break
+        best, chosen = value, found
+    return chosen
+
+
+def test_inference_is_that_of_a_plain_version(spark, monkeypatch):
+    documents, _ = tables(spark)
+    names, model = language_mix.learned(documents)
+    texts = [x.text for x in documents.where("n_chars BETWEEN 200 AND 900").orderBy("doc_id").limit(12).collect()]
+    texts += [a[:300] + " " + b[:200] for a, b in itertools.pairwise(texts)]
+    texts = [re.sub(r"[^a-zA-ZÀ-ÿ]+", " ", t) for t in texts]
+    for cells in (language_mix.CELLS, 64):  # also some letters at a time
+        monkeypatch.setattr(language_mix, "CELLS", cells)
+        known, shares = language_mix.infer(texts, model)
+        for k, got in zip(known.tolist(), shares):
+            assert np.allclose(got, plain_mixture(texts[k], names, model), atol=1e-6)
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)}word " * 3, f"l{k:03d}", "a") for k in range(300)]
+    names, model = language_mix.learned(edge_documents(spark, rows))
+    assert names == [f"l{k:03d}" for k in range(300)] and model.shape == (300, 1 << 15)
+    monkeypatch.setattr(language_mix, "MOST_LANGUAGES", 299)
+    with pytest.raises(ValueError, match="more than 299"):
+        language_mix.learned(edge_documents(spark, rows))

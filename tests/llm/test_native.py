@@ -178,3 +178,9 @@ def test_conversation_calls_of_odd_rows(spark):
     none = table.limit(0)
     assert tool_calls.link_calls(*tool_calls.conversation_calls(none)).count() == 0
     assert len(EXTRA) and got
+
+
+def test_sources_with_null_keys_come_near_their_targets(spark):
+    rows = [(None if k % 3 == 0 else k, prose(5000 + k, 5 + k % 30), "en", "ab"[k % 2]) for k in range(900)]
+    got = mixing.mix(edge_documents(spark, rows)).groupBy("target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(got) == 2 and all(abs(x.taken - x.target) <= 40 for x in got)
