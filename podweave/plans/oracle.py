@@ -317,6 +317,8 @@ FROM parsed GROUP BY ALL"""),
 SELECT regexp_replace(path, '/[0-9]+[.]log$', '') AS folder, timestamp_ns, stream, payload FROM parsed"""),
     "segment_stream": with_(EVENTS, "SELECT timestamp_ns, stream, payload FROM parsed"),
     "capture_roundtrip": with_(FRAMES, f"""
+SELECT 'node-1' AS conn, seq, idx, stream_id, timestamp_ns, is_stderr, payload, NULL::varchar AS error FROM ({FRAME_EVENTS})"""),
+    "capture_split": with_(FRAMES, f"""
 SELECT 'node-1' AS conn, seq, idx, stream_id, timestamp_ns, is_stderr, payload, NULL::varchar AS error FROM ({FRAME_EVENTS})"""),
     "known_tags": """
 SELECT event_id, CASE WHEN event_id % 5 IN (0, 1, 4) THEN epoch_us(date_trunc('second', ts)) * 1000 END AS timestamp_ns,

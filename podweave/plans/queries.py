@@ -598,6 +598,15 @@ def capture_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("conn", "seq", "idx", "stream_id", "timestamp_ns", "is_stderr", text(), "error")
 
 
+def capture_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from one part, of which every task reads some frames."""
+    home = scratch(spark, "split")
+    write_capture(_frames(spark, sf_dir), home, 1 << 40)
+    _, batches, _ = split_frames(read_capture(spark, home, split_bytes=1 << 16))
+    events = decode_events(batches.drop("error"))
+    return events.select("conn", "seq", "idx", "stream_id", "timestamp_ns", "is_stderr", text(), "error")
+
+
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = scratch(spark, "text")
     events = _events(spark, sf_dir)
@@ -669,6 +678,7 @@ QUERIES = {
     "renamed_stream": renamed_stream,
     "segment_stream": segment_stream,
     "capture_roundtrip": capture_roundtrip,
+    "capture_split": capture_split,
     "text_files": text_files,
     "text_stream": text_stream,
 }

@@ -1,8 +1,9 @@
 """Capture files: frames one behind the other, as they came over a connection.
 
-A connection is one file, or a directory of parts named by the sequence number of their first frame. A capture can
-only be walked from its start, so a part is the unit of parallel work; ``write_capture`` cuts a long connection into
-many. Where a part's frames are not numbered one by one, their numbers lie beside it in a file of eight bytes each.
+A connection is one file, or a directory of parts named by the sequence number of their first frame. Where frames begin
+can only be told by following their lengths from the start of a part. So a part is read in two passes: one task follows
+its headers, skipping the payloads, and writes down where splits begin; then every split is read by a task of its own.
+Where a part's frames are not numbered one by one, their numbers lie beside it in a file of eight bytes each.
 
 A write goes to a folder of its own, ``job-…``, which gets its name, in one step, when all of it is there. So a write
 never touches what was there before; a reader takes no folder whose name begins with an underscore.
@@ -14,6 +15,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -34,6 +36,10 @@ SUFFIX, NUMBERS = ".frames", ".seq"
 JOB = re.compile(r"job-[0-9a-f]{32}/")
 TRUNCATED = "unexpected end of file"
 SCHEMA = "conn string, seq bigint, type int, payload binary, error string"
+# Bytes of a split, and of a block in which headers are looked for.
+SPLIT, HEADERS = 64 << 20, 1 << 16
+MAX_PAYLOAD = 1 << 30
+MOST_TASKS = 100_000
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -46,59 +52,101 @@ class Part(InputPartition):
         self.path = path
 
 
+def parts(directory: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the parts below the directory."""
+    files, root = filesystem(directory)
+    found = files.get_file_info(fs.FileSelector(root, recursive=True))
+    inside = lambda path: path.removeprefix(root.rstrip("/") + "/")
+    return [(i.path, i.size) for i in found if i.is_file and i.path.endswith(SUFFIX) and not inside(i.path).startswith("_")]
+
+
 class CaptureReader(DataSourceReader):
     def __init__(self, options):
         self.directory = options["path"]
-        self.limit = int(options.get("maxPayload", 1 << 30))
+        self.limit = int(options.get("maxPayload", MAX_PAYLOAD))
 
     def partitions(self) -> list[Part]:
-        files, root = filesystem(self.directory)
-        found = files.get_file_info(fs.FileSelector(root, recursive=True))
-        inside = lambda path: path.removeprefix(root.rstrip("/") + "/")
-        return [Part(i.path) for i in found if i.is_file and i.path.endswith(SUFFIX) and not inside(i.path).startswith("_")]
+        return [Part(path) for path, _ in parts(self.directory)]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        files, root = filesystem(self.directory)
-        name = JOB.sub("", partition.path.removeprefix(root.rstrip("/") + "/"), count=1)
-        stem = posixpath.basename(name).removesuffix(SUFFIX)
-        conn = posixpath.dirname(name) if stem.isdigit() else name
-        first, numbers = int(stem) if stem.isdigit() else 0, partition.path.removesuffix(SUFFIX) + NUMBERS
-        listed = None
-        if files.get_file_info(numbers).is_file:
-            with files.open_input_stream(numbers) as stream:
-                listed = array.array("q", stream.read())
-        rows, held = [], 0
-        with files.open_input_stream(partition.path, buffer_size=1 << 20) as stream:
-            for at, (kind, payload, error) in enumerate(walk(stream, self.limit)):
-                rows.append((conn, listed[at] if listed and at < len(listed) else first + at, kind, payload, error))
-                held += len(payload or b"")
-                if held >= 1 << 22 or len(rows) >= 10_000:
-                    yield batch_of(rows)
-                    rows, held = [], 0
-        if rows:
-            yield batch_of(rows)
-
-
-def walk(stream, limit: int) -> Iterator[tuple[int | None, bytes | None, str | None]]:
-    """(type, payload, error) per frame. An end of file inside a frame is an error row, the last one of the file."""
+        return read_split(self.directory, partition.path, 0, None, 0, self.limit)
+
+
+def read_split(directory: str, path: str, start: int, end: int | None, before: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The frames of a part that begin in bytes start..end (to its end without one); ``before`` frames lie ahead of them."""
+    files, root = filesystem(directory)
+    name = JOB.sub("", path.removeprefix(root.rstrip("/") + "/"), count=1)
+    stem = posixpath.basename(name).removesuffix(SUFFIX)
+    conn = posixpath.dirname(name) if stem.isdigit() else name
+    first, numbers = int(stem) + before if stem.isdigit() else before, path.removesuffix(SUFFIX) + NUMBERS
+    listed = None
+    if files.get_file_info(numbers).is_file:
+        listed = files.open_input_file(numbers)
+        listed.seek(8 * before)
+    rows, held = [], 0
+    with files.open_input_file(path) as file:
+        file.seek(start)
+        stream = pa.BufferedInputStream(file, 1 << 20)
+        at, left = start, iter(walk(stream, limit))
+        while end is None or at < end:
+            frame = next(left, None)
+            if frame is None:
+                break
+            size, kind, payload, error = frame
+            number = listed.read(8) if listed else b""
+            rows.append((conn, struct.unpack("q", number)[0] if len(number) == 8 else first, kind, payload, error))
+            at, first, held = at + 5 + size, first + 1, held + len(payload or b"")
+            if held >= 1 << 22 or len(rows) >= 10_000:
+                yield batch_of(rows)
+                rows, held = [], 0
+    if listed:
+        listed.close()
+    if rows:
+        yield batch_of(rows)
+
+
+def splits_of(directory: str, path: str, size: int, split: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, frames before) of the splits of a part: the first frame at or behind each multiple of about ``split``
+    bytes begins one. Only headers are looked at; a payload longer than a block is never read."""
+    if size <= split:
+        yield 0, size, 0
+        return
+    files, _ = filesystem(directory)
+    with files.open_input_file(path) as file:
+        at, begun, count, counted, base, block = 0, 0, 0, 0, 0, b""
+        while at + 5 <= size:
+            if at + 5 > base + len(block):
+                file.seek(at)
+                base, block = at, file.read(HEADERS)
+            at += 5 + struct.unpack_from(">I", block, at - base)[0]
+            count += 1
+            if at - begun >= split and at < size:
+                yield begun, at, counted
+                begun, counted = at, count
+        yield begun, size, counted
+
+
+def walk(stream, limit: int) -> Iterator[tuple[int, int | None, bytes | None, str | None]]:
+    """(payload's size, type, payload, error) per frame. An end of file inside a frame is an error row, the last one of the file."""
     while True:
         header = stream.read(5)
         if not header:
             return
         if len(header) < 5:
-            yield None, None, TRUNCATED
+            yield 0, None, None, TRUNCATED
             return
         size, kind = struct.unpack(">IB", header)
         if size > limit:
-            yield kind, None, f"payload of {size} bytes is over the reader's limit"
-            while size > 0 and (skipped := stream.read(min(size, 1 << 20))):
-                size -= len(skipped)
+            yield size, kind, None, f"payload of {size} bytes is over the reader's limit"
+            left = size
+            while left > 0 and (skipped := stream.read(min(left, 1 << 20))):
+                left -= len(skipped)
             continue
         payload = stream.read(size)
         if len(payload) < size:
-            yield kind, None, TRUNCATED
+            yield size, kind, None, TRUNCATED
             return
-        yield kind, payload, None
+        yield size, kind, payload, None
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -189,11 +237,36 @@ class CaptureSource(DataSource):
         return CaptureWriter(self.options)
 
 
-def read_capture(spark: SparkSession, directory: str) -> DataFrame:
+def read_capture(spark: SparkSession, directory: str, split_bytes: int = SPLIT, max_payload: int = MAX_PAYLOAD) -> DataFrame:
     """``conn, seq, type, payload, error`` of all ``*.frames`` files: conn is the path below the directory, seq the number
-    that was written, or counted from the part's first."""
-    spark.dataSource.register(CaptureSource)
-    return spark.read.format("podweave_frames").load(directory)
+    that was written, or counted from the part's first.
+
+    The driver lists the parts; a part of more than ``split_bytes`` is read by several tasks. A payload over
+    ``max_payload`` is an error row.
+    """
+    found = parts(directory)
+    tasks = min(max(1, sum(-(-size // split_bytes) for _, size in found)), MOST_TASKS)
+
+    def places(batches):
+        for batch in batches:
+            for path, size in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist()):
+                for some in in_lists(splits_of(directory, path, size, split_bytes), 10_000):
+                    starts, ends, before = (pa.array(v, pa.int64()) for v in zip(*some))
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(some)), starts, ends, before], ["path", "start", "end", "before"])
+
+    def frames(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from read_split(directory, row["path"], row["start"], row["end"], row["before"], max_payload)
+
+    listed = spark.createDataFrame(found, "path string, size bigint").repartition(min(max(1, len(found)), tasks), "path")
+    splits = listed.mapInArrow(places, "path string, start bigint, end bigint, before bigint")
+    return splits.repartition(tasks, "path", "start").mapInArrow(frames, SCHEMA)
+
+
+def in_lists(rows: Iterator, most: int) -> Iterator[list]:
+    while some := list(islice(rows, most)):
+        yield some
 
 
 def write_capture(frames: DataFrame, directory: str, frames_per_part: int = 10_000) -> None:

@@ -1,5 +1,6 @@
 """Frame layout, decoding and its errors, captures."""
 
+import random
 import struct
 
 import pytest
@@ -19,7 +20,7 @@ from podweave.operators.frames import (
     split_frames,
 )
 from podweave.plans.receive import judge_batches, receive
-from podweave.sources.capture import TRUNCATED, read_capture, write_capture
+from podweave.sources.capture import TRUNCATED, read_capture, splits_of, write_capture
 
 
 def register(stream_id, *names):
@@ -141,3 +142,32 @@ def test_capture_ends(spark, tmp_path):
         got.setdefault(r.conn, []).append(r.error)
     assert got == {"whole.frames": [None, None], "header.frames": [None, TRUNCATED],
                    "payload.frames": [None, TRUNCATED], "bare.frames": [None, TRUNCATED]}
+
+
+@pytest.mark.parametrize("tail", [b"", b"\x00\x00", struct.pack(">IB", 50, 2) + b"short", struct.pack(">IB", 1 << 31, 2) + b"x"])
+def test_splits_of_a_capture_are_the_walk(spark, tmp_path, tail):
+    rng = random.Random(len(tail))
+    sizes = [rng.choice([0, 0, 1, 7, 200, 900, 5000]) for _ in range(400)] + [70_000, 0, 3]
+    frames = [(1 + k % 3, rng.randbytes(n) if k % 4 else b"\x00" * n) for k, n in enumerate(sizes)]
+    (tmp_path / "a.frames").write_bytes(b"".join(struct.pack(">IB", len(p), kind) + p for kind, p in frames) + tail)
+    whole = read_capture(spark, str(tmp_path), max_payload=1 << 30).orderBy("seq").collect()
+    assert [(r.type, bytes(r.payload)) for r in whole[: len(frames)]] == frames and [r.seq for r in whole] == list(range(len(whole)))
+    assert len(whole) == len(frames) + bool(tail)
+    for split in (20_000, 100_000):
+        read = read_capture(spark, str(tmp_path), split).withColumn("task", F.spark_partition_id())
+        assert [tuple(r)[:-1] for r in read.orderBy("seq").collect()] == [tuple(r) for r in whole]
+        assert split > 20_000 or read.select("task").distinct().count() > 8
+
+
+def test_splits_keep_numbers(spark, tmp_path):
+    rows = [("c", 3 * k, 2, bytes([k % 256]) * (k % 50)) for k in range(500)]
+    write_capture(spark.createDataFrame(rows, "conn string, seq bigint, type int, payload binary"), str(tmp_path), 10**6)
+    got = read_capture(spark, str(tmp_path), 500).orderBy("seq").collect()
+    assert [(r.conn, r.seq, r.type, bytes(r.payload)) for r in got] == rows
+
+
+def test_splits_read_headers_only(tmp_path):
+    (tmp_path / "a.frames").write_bytes(b"".join(struct.pack(">IB", 1 << 20, 2) + b"x" * (1 << 20) for _ in range(20)))
+    found = list(splits_of(str(tmp_path), str(tmp_path / "a.frames"), 20 * ((1 << 20) + 5), 3 << 20))
+    step = (1 << 20) + 5
+    assert found == [(k * step, min(k + 3, 20) * step, k) for k in range(0, 20, 3)]
