@@ -2,14 +2,20 @@
 
 A set that is similar to another has nearly all of its entries in common with it. So the entries in a fixed part of the
 hash space are counted first, over all sets: a set with more entries there that no other set has than it may lack in all
-is similar to none, and most texts go no further. The sets of the others are put into families. Two similar sets share one
-of the least entries of either, in whatever order these are taken, and are of one size band or of neighbouring ones; so
-the least hashes, with the size band, are keys. A passage that many texts have makes large families, and these are
-divided again by their rarest entries. What is left goes through `tiles`: bitmap bounds, then exact intersection.
+is similar to none, and most texts go no further. The others are put into families.
+
+Two sets that reach the similarity have sizes within one band or its neighbour, and differ in at most k entries, k being
+known from the band. The space of hashes is cut into more than k cells, so the two agree on all entries of some cell: a
+hash of a cell's entries is a key, and sets without a common key cannot be linked. An empty cell is no key, so there are
+spare cells; the few sets that leave more than these empty are also tied by their rarest entries. A passage that many
+documents share seldom fills a cell alone, but among very many documents it does, so large families are divided by their
+rarest entries. What is left goes through `tiles`: bitmap bounds, then exact intersection.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +28,9 @@ from podweave.llm.sieve import sieve, sifted, without
 from podweave.llm.textarrays import mixed, packed, pieces, shingle_hashes, word_hashes
 from podweave.llm.tiles import families, similar_components
 
+#: Ratio of the upper to the lower end of a size band; over 100 / percent, so that similar sets lie in neighbouring bands.
+WIDTH = 1.235
+
 #: Families of more sets than this are divided by their rarest entries.
 LARGE = 64
 
@@ -29,6 +38,58 @@ LARGE = 64
 PART = 1.5
 
 
+@functools.cache
+def _bands(percent: int, most: int) -> tuple[list[int], list[int], list[int]]:
+    """Lower ends of the bands up to size `most`, and the cells and spare cells of each."""
+    width = max(WIDTH, 101 / percent)
+    lows, cells, spares = [1], [], []
+    while lows[-1] <= most or len(lows) < 3:
+        low, high = lows[-1], max(lows[-1] + 1, int(np.ceil(lows[-1] * width)))
+        small = high - 1
+        # intersection >= percent / (100 + percent) of both sizes together, so the difference is at most the rest
+        differ = (small + small * 100 // percent) * (100 - percent) // (100 + percent)
+        spare = 0
+        if differ:  # as many spare cells as the band's smallest sets leave empty, but for a few of them
+            while spare < (differ + 1) // 2 + 1:
+                empty = (differ + 1 + spare) * (1 - 1 / (differ + 1 + spare)) ** low
+                if spare >= empty + 3 * np.sqrt(empty):
+                    break
+                spare += 1
+        cells.append(differ + 1 + spare)
+        spares.append(spare)
+        lows.append(high)
+    return lows, cells, spares
+
+
+def cell_keys(values: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
+    """Keys of one sorted set of hashes, one for each cell that has entries, and the bands in which the set is loose.
+
+    Two sets that reach the similarity agree in more cells of a common band than it has spare cells. Unless both leave
+    more than these empty, which is to be loose, one of the cells in which they agree has entries, and is a key of both.
+    """
+    size = len(values)
+    if not size:
+        return np.zeros(0, np.uint64), []
+    most = 1 << max(10, size.bit_length())
+    lows, cells, spares = _bands(percent, most)
+    band = bisect.bisect_right(lows, size) - 1
+    found, loose = [], []
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(values), dtype=np.uint64)))
+    for scheme in (band, band - 1):
+        if scheme < 0 or scheme < band and size > (lows[band] - 1) * 100 // percent:
+            continue
+        count = cells[scheme]
+        cell = ((values >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+        ends = np.searchsorted(cell, np.arange(count + 1, dtype=np.uint64))
+        content = sums[ends[1:]] - sums[ends[:-1]]
+        keys = mixed(content ^ mixed(np.arange(count, dtype=np.uint64) + np.uint64(scheme << 32)))
+        full = ends[1:] > ends[:-1]
+        found.append(keys[full])
+        if count - np.count_nonzero(full) > spares[scheme]:
+            loose.append(scheme)
+    return np.concatenate(found), loose
+
+
 def _distinct(texts: list[str], width: int) -> Iterator[np.ndarray]:
     hashes, first, _ = word_hashes(texts)
     for values in shingle_hashes(hashes, first, width):
@@ -41,9 +102,10 @@ def counted_part(values: np.ndarray, percent: int) -> np.ndarray:
     return values[: np.searchsorted(values, np.uint64(min(int(end), (1 << 64) - 1)))]
 
 
-def least_entries(values: np.ndarray, percent: int) -> np.ndarray:
-    """So many of a sorted set's first entries that a similar set has one of them: it lacks fewer."""
-    return values[: len(values) * (100 - percent) // 100 + 1]
+def _loose(values: np.ndarray, bands: list[int]) -> list[np.ndarray]:
+    """For each of at most two bands, all entries of the set as keys of that band."""
+    found = [mixed(values ^ mixed(np.array([(1 << 40) + b], np.uint64))) for b in bands]
+    return found + [np.zeros(0, np.uint64)] * (2 - len(found))
 
 
 def _lacking(n: Column, percent: int) -> Column:
@@ -80,36 +142,39 @@ def _promising(sets: DataFrame, percent: int, stored: DataFrame) -> DataFrame:
 
 
 def _sets(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """id, n, set, least of rows id, text."""
+    """id, n, set, keys, loose_a, loose_b of rows id, text."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begun, texts in pieces(batch.column("text").to_pylist()):
                 held, part = list(_distinct(texts, width)), batch.slice(begun, len(texts))
+                keys = [cell_keys(x, percent) for x in held]
+                loose = [_loose(x, bands) for x, (_, bands) in zip(held, keys, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array([len(x) for x in held], pa.int64()), pa.array([x.tobytes() for x in held], pa.binary()),
-                     packed([least_entries(x, percent) for x in held])], ["id", "n", "set", "least"])
+                     *(packed(column) for column in ([k for k, _ in keys], [a for a, _ in loose], [b for _, b in loose]))],
+                    ["id", "n", "set", "keys", "loose_a", "loose_b"])
 
-    return in_arrow(rows, sets, "id long, n long, set binary, least array<long>")
-
-
-def _banded(entries: DataFrame, percent: int) -> DataFrame:
-    """key, id of entries id, n, entry: an entry with the set's size band, and with the one below. Similar sets lie in one
-    band or in neighbouring ones, as a band's ends are further apart than the sizes of similar sets."""
-    band = F.floor(F.ln(F.col("n").cast("double")) / float(np.log(101 / percent)))
-    return entries.select(F.explode(F.array(band, band - 1)).alias("band"), "id", "entry").select(
-        F.xxhash64("entry", "band").alias("key"), "id")
+    lists = ", ".join(f"{c} array<long>" for c in ("keys", "loose_a", "loose_b"))
+    return in_arrow(rows, sets, f"id long, n long, set binary, {lists}")
 
 
 def _rarest(entries: DataFrame, percent: int) -> DataFrame:
-    """The rarest of the entries (id, n, entry, all of each set) of every set, so many that a similar set has one of them.
+    """key, id: the rarest entries of each set, so many that a similar set has one of them. `entries`: id, part, n, key, all
+    entries of each set in that part.
 
     Entries of one set only are the rarest and tie nothing; they are counted and left out."""
-    counts = landed(entries.groupBy("entry").agg(F.count(F.lit(1)).alias("common")).where("common > 1"))
-    own = Window.partitionBy("id")
-    place = F.row_number().over(own.orderBy("common", "entry")) + F.col("n") - F.count(F.lit(1)).over(own)
-    known = entries.join(counts, "entry").withColumn("place", place)
-    return known.where(F.col("place") <= _lacking(F.col("n"), percent) + 1).select("id", "n", "entry")
+    counts = landed(entries.groupBy("key").agg(F.count(F.lit(1)).alias("common")).where("common > 1"))
+    own = Window.partitionBy("id", "part")
+    place = F.row_number().over(own.orderBy("common", "key")) + F.col("n") - F.count(F.lit(1)).over(own)
+    known = entries.join(counts, "key").withColumn("place", place)
+    return known.where(F.col("place") <= _lacking(F.col("n"), percent) + 1).select("key", "id")
+
+
+def _loose_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """key, id of the loose sets (`sets`: id, n, loose_a, loose_b), which are few."""
+    rows = sets.where("size(loose_a) > 0").select("id", "n", F.posexplode(F.array("loose_a", "loose_b")).alias("part", "entries"))
+    return _rarest(rows.select("id", "part", "n", F.explode("entries").alias("key")), percent)
 
 
 def _divided(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -129,9 +194,9 @@ def _divided(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = sets.join(found.join(large, "family"), "id").select("id", "family", "n", "set")
     rows = landed(in_arrow(rows, spread, "id long, family long, n long, entries array<long>"))
     # a family's number makes its entries its own
-    entries = rows.select("id", "n", F.explode("entries").alias("entry"), "family").withColumn(
-        "entry", F.xxhash64("family", "entry")).drop("family")
-    again = families(_banded(landed(_rarest(entries, percent)), percent), rows)
+    entries = rows.select("id", F.lit(0).alias("part"), "n", F.explode("entries").alias("key"), "family").withColumn(
+        "key", F.xxhash64("family", "key")).drop("family")
+    again = families(landed(_rarest(entries, percent)), rows)
     divided = landed(found.join(large, "family", "left_anti").select("id", "family").union(again.select("id", "family")))
     dropped(found, large, rows, again)
     return divided
@@ -157,10 +222,11 @@ def _joined(documents: DataFrame, key: str, text: str, width: int, percent: int)
     if not rows.groupBy("key", "text_hash").count().where("count > 1").isEmpty():  # repeated rows have the text as well
         texts = texts.groupBy("id").agg(F.first("text").alias("text"))
     sets = landed(_sets(texts, width, percent))
-    found = families(_banded(sets.select("id", "n", F.explode("least").alias("entry")), percent), sets)
+    loose = landed(_loose_keys(sets, percent))
+    found = families(sets.select(F.explode(F.array_distinct("keys")).alias("key"), "id").union(loose), sets)
     found = _divided(found, sets, percent)
     members = landed(sets.select("id", "n", "set").join(found, "id").select("id", "family", "n", "set"), sets)
-    dropped(copies, promising, wanted, sets, found)
+    dropped(copies, promising, wanted, sets, loose, found)
     linked = similar_components(members, percent)
     tied = classes.join(linked.withColumnRenamed("id", "first"), "first", "left").withColumn(
         "component", F.coalesce("component", "first"))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in pieces of about this many characters (a longer text is a piece by itself), which bounds memory.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _POWER = 0x9E3779B97F4A7C15 | 1
 
@@ -62,7 +62,7 @@ def codepoints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def slice_hashes(points: np.ndarray, gap: np.ndarray, starts: np.ndarray, fold: bool) -> np.ndarray:
     """64-bit hashes of the slices that begin at `starts` and reach to the next; positions marked in `gap` don't count."""
-    power, inverse = _powers(1 << max(20, int(len(points)).bit_length()))
+    power, inverse = _powers(1 << max(18, int(len(points)).bit_length()))
     values = _characters(fold)[points] * power[: len(points)]
     values[gap] = 0
     return mixed(np.add.reduceat(values, starts) * inverse[starts])
