@@ -54,6 +54,7 @@ def steady_rates(spark: SparkSession, sf_dir: str, files: int) -> dict[str, int]
     work = {
         "admission": lambda: admit(stored, ["user_id"], "chunk", "event_id", "clock_ms", "cost", 3, 5),
         "admission_one_overloaded_stream": lambda: admit(stored, ["hot"], "chunk", "event_id", "clock_ms", "cost", 50, 100),
+        "admission_one_overloaded_stream_default_burst": lambda: admit(stored, ["hot"], "chunk", "event_id", "clock_ms", "cost", 50),
         "batching": lambda: batch_pieces(stored, ["user_id"], "chunk", "event_id", "bytes"),
         "batching_one_stream": lambda: batch_pieces(stored, ["hot"], "chunk", "event_id", "bytes"),
         "asof": lambda: latest_registration(stored.select("user_id", "chunk", "event_id"), signed, ["user_id"], "chunk", "event_id"),
