@@ -13,7 +13,7 @@ HERE = ["volume_by_namespace", "malformed_lines", "parsed_documents", "ns_from_r
         "event_batches_per_read", "document_batch_contents", "admitted_hot_stream", "batch_registration_asof",
         "rendered_lines", "damaged_frames", "pipeline_verdicts", "file_offsets", "pipeline_quarantine", "capture_roundtrip",
         "ns_from_months", "registration_asof_ties", "known_tags",
-        "own_format", "growing_registry", "batches_sent"]
+        "own_format", "growing_registry", "batches_sent", "admitted_default_burst", "renamed_stream", "capture_split"]
 
 
 @pytest.mark.parametrize("name", HERE)
