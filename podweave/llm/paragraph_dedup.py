@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from podweave.llm.landing import dropped, in_arrow, landed
 from podweave.llm.passages import cut, repeated, run_hashes, winnowed
@@ -263,16 +264,27 @@ def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text
     found = paragraphs(documents, key, text, **options).where("removed")
     span = F.when(F.col("line").isNull(), F.struct("begin", (F.col("begin") + F.col("words")).alias("end")))
     gone = landed(found.groupBy("key", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("line", "last")))).alias("gone"), F.collect_set(span).alias("spans")))
-    rows = documents.select(F.struct(*documents.columns).alias("document"), F.col(key).alias("own"), F.xxhash64(text).alias("own_hash"))
+    others = [c for c in documents.columns if c != text]
+    rows = documents.select(
+        F.struct(*others).alias("document"), F.col(text).alias("body"), F.col(key).alias("own"), F.xxhash64(text).alias("own_hash"))
     rows = sifted(rows, F.coalesce("own_hash", F.lit(0)), sieve(gone, "text_hash"))
-    safe = rows.where(~F.col("_may")).select(*(F.col(f"document.{c}") for c in documents.columns))
+    columns = [F.col("body").alias(c) if c == text else F.col(f"document.{c}") for c in documents.columns]
+    safe = rows.where(~F.col("_may")).select(*columns)
     joined = rows.where("_may").join(gone, F.col("own").eqNullSafe(F.col("key")) & (F.col("own_hash") == F.col("text_hash")), "left")
-    body = F.col(f"document.{text}")
-    lines = F.array_join(F.filter(F.split(body, "\n"), lambda _, i: ~F.array_contains("gone", i.cast("long"))), "\n")
-    # only texts with a passage to lose go through Python
-    words = F.udf(lambda *x: cut(*x), "string")(F.when(F.size("spans") > 0, body), "gone", "spans")
-    joined = joined.withColumn("rest", F.coalesce(words, lines))
-    rest = F.col("rest")
-    left = joined.where(F.col("gone").isNull() | rest.rlike(r"[^\x20\x09-\x0D]"))
-    return safe.union(left.select(*(
-        F.when(F.col("gone").isNull(), body).otherwise(rest).alias(c) if c == text else F.col(f"document.{c}") for c in documents.columns)))
+    joined = joined.select("document", "body", "gone", "spans")
+    joined = in_arrow(joined, _without_spans, StructType([*joined.schema.fields[:3], StructField("rest", StringType())]))
+    lines = F.array_join(F.filter(F.split("body", "\n"), lambda _, i: ~F.array_contains("gone", i.cast("long"))), "\n")
+    left = joined.withColumn("rest", F.coalesce("rest", lines))
+    left = left.where(F.col("gone").isNull() | F.col("rest").rlike(r"[^\x20\x09-\x0D]"))
+    return safe.union(left.withColumn("body", F.when(F.col("gone").isNull(), F.col("body")).otherwise(F.col("rest"))).select(*columns))
+
+
+def _without_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """document, body, gone, and rest: what `cut` leaves of a body with a passage to lose; null for the others."""
+    for batch in batches:
+        for begun, texts in pieces(batch.column("body").to_pylist()):
+            part = batch.slice(begun, len(texts))
+            gone, spans = (part.column(c).to_pylist() for c in ("gone", "spans"))
+            rest = [cut(x, g, [(s["begin"], s["end"]) for s in p]) if p else None for x, g, p in zip(texts, gone, spans, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c) for c in ("document", "body", "gone")), pa.array(rest, pa.string())], ["document", "body", "gone", "rest"])
