@@ -4,14 +4,14 @@ Kind 1 registers a stream, kind 2 carries a batch of events. ``frames`` tables h
 whatever identifies the frame (conn, seq).
 """
 
-import struct
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
 from podweave.functions.bytes import be_hex, be_uint
+from podweave.operators.chains import events_of, walked
 from podweave.settings import FRAME_BATCH, FRAME_MAX_PAYLOAD, FRAME_REGISTER
 
 SHORT = "unexpected end of payload"
@@ -110,50 +110,16 @@ def inspect_batches(frames: DataFrame) -> DataFrame:
 
     def inspect(batches):
         for batch in batches:
-            found = [measure_batch(p) for p in batch.column("payload")]
+            chains = walked(batch.column("payload"))
             columns = [batch.column(c) for c in kept]
-            columns.append(pa.array([f[0] for f in found], pa.int64()))
-            columns.append(pa.array([f[1] for f in found], pa.int64()))
-            columns.append(pa.array([f[2] for f in found], pa.string()))
+            columns.append(pa.array(chains.stream_id, mask=~chains.told))
+            columns.append(pa.array(np.where(chains.sound, chains.count, 0)))
+            columns.append(pa.array(np.where(chains.sound, None, SHORT), pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return frames.select(*kept, "payload").mapInArrow(inspect, schema)
 
 
-def measure_batch(payload: pa.BinaryScalar) -> tuple[int | None, int, str | None]:
-    """(stream_id, number of events, error) of one batch payload: only its length fields are read, nothing is copied."""
-    if not payload.is_valid:
-        return None, 0, SHORT
-    data = memoryview(payload.as_buffer())
-    if len(data) < 8:
-        return None, 0, SHORT
-    stream_id, count = struct.unpack_from(">II", data)
-    at, end = 8, len(data)
-    for _ in range(count):
-        if at + 13 > end:
-            return stream_id, 0, SHORT
-        at += 13 + struct.unpack_from(">I", data, at + 9)[0]
-    return (stream_id, 0, SHORT) if at > end else (stream_id, count, None)
-
-
-def decode_batch(payload: bytes):
-    """(stream_id, [(timestamp_ns, is_stderr, payload)], error) of one batch payload; no events with an error."""
-    if len(payload) < 8:
-        return None, [], SHORT
-    stream_id, count = struct.unpack_from(">II", payload)
-    events, at = [], 8
-    for _ in range(count):
-        if at + 13 > len(payload):
-            return stream_id, [], SHORT
-        timestamp_ns, flag, size = struct.unpack_from(">qBI", payload, at)
-        at += 13
-        if at + size > len(payload):
-            return stream_id, [], SHORT
-        events.append((timestamp_ns, flag != 0, payload[at : at + size]))
-        at += size
-    return stream_id, events, None
-
-
 def decode_events(frames: DataFrame) -> DataFrame:
     """Batch frames to one row per event: the frame's other columns, ``idx, stream_id, timestamp_ns, is_stderr, payload,
     error``. A bad payload gives one row with the error and no event; bytes behind the last event are ignored.
@@ -165,19 +131,13 @@ def decode_events(frames: DataFrame) -> DataFrame:
 
     def decode(batches):
         for batch in batches:
-            origin, rows = [], []
-            for i, payload in enumerate(batch.column("payload").to_pylist()):
-                stream_id, events, error = decode_batch(payload)
-                if error is not None:
-                    origin.append(i)
-                    rows.append((None, stream_id, None, None, None, error))
-                for idx, event in enumerate(events):
-                    origin.append(i)
-                    rows.append((idx, stream_id, *event, None))
-            columns = [batch.column(c).take(pa.array(origin, pa.int64())) for c in kept]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.string()]
-            values = list(zip(*rows)) if rows else [()] * 6
-            columns += [pa.array(v, k) for v, k in zip(values, kinds)]
+            chains = walked(batch.column("payload"))
+            events, bad = events_of(chains), np.flatnonzero(~chains.sound)
+            origin = pa.array(np.concatenate((chains.frame, bad)))
+            ids = pa.array(chains.stream_id, mask=~chains.told).take(origin)
+            none = lambda column: pa.concat_arrays([column, pa.nulls(len(bad), column.type)])
+            columns = [*(batch.column(c).take(origin) for c in kept), none(pa.array(chains.number)), ids, *map(none, events)]
+            columns.append(pa.concat_arrays([pa.nulls(len(chains.at), pa.string()), pa.array([SHORT] * len(bad), pa.string())]))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return frames.select(*kept, "payload").mapInArrow(decode, schema)

@@ -3,15 +3,16 @@
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from podweave.operators.chains import TOGETHER, events_of, walked
 from podweave.operators.frames import (
     SHORT,
     TOO_LARGE,
     UNKNOWN_TYPE,
     batch_payload,
-    decode_batch,
     decode_events,
     decode_registers,
     frame_bytes,
@@ -53,6 +54,43 @@ def frames(spark, rows):
     return spark.createDataFrame([(i, t, bytearray(p)) for i, (t, p) in enumerate(rows)], "seq bigint, type int, payload binary")
 
 
+def plain(payload):
+    """(stream id, events, sound) of one payload, followed byte by byte."""
+    if payload is None or len(payload) < 8:
+        return None, [], False
+    stream_id, count = struct.unpack_from(">II", payload)
+    events, at = [], 8
+    for _ in range(count):
+        if at + 13 > len(payload):
+            return stream_id, [], False
+        ns, flag, size = struct.unpack_from(">qBI", payload, at)
+        at += 13 + size
+        if at > len(payload):
+            return stream_id, [], False
+        events.append((ns, flag != 0, payload[at - size : at]))
+    return stream_id, events, True
+
+
+@pytest.mark.parametrize("rows", [0, 1, TOGETHER - 1, 300])
+def test_chains_are_the_plain_walk(rows):
+    chance = random.Random(rows)
+    made = []
+    for i in range(rows):
+        events = [(chance.randint(-2**63, 2**63 - 1), chance.choice([0, 1, 255]), chance.randbytes(chance.choice([0, 0, 1, 40])))
+                  for _ in range(chance.choice([0, 1, 3, 200 if i % 50 == 0 else 7]))]
+        whole = batch(chance.getrandbits(32), *events)
+        broken = [whole[:-1], whole[:-9], whole[: chance.randint(0, len(whole))], whole[:4] + b"\xff" * 4 + whole[8:],
+                  whole + b"\0\xff", None, b""]
+        made.append(chance.choice([whole] * 6 + broken))
+    payloads = pa.array([b"left out", *made, b"left out"], pa.binary()).slice(1, rows)
+    chains = walked(payloads)
+    assert chains.sound.tolist() == [plain(x)[2] for x in made]
+    ids = zip(chains.stream_id.tolist(), chains.told.tolist(), strict=True)
+    assert [x if told else None for x, told in ids] == [plain(x)[0] for x in made]
+    got = zip(chains.frame.tolist(), chains.number.tolist(), *(x.to_pylist() for x in events_of(chains)), strict=True)
+    assert list(got) == [(i, k, *event) for i, x in enumerate(made) for k, event in enumerate(plain(x)[1])]
+
+
 def test_decoding_and_errors(spark):
     good = batch(99, *EVENTS)
     rows = [(2, good), (2, good + b"\x00\xff"), (2, good[:-1]), (2, b"\x00" * 7), (2, batch(5)),
@@ -68,7 +106,7 @@ def test_decoding_and_errors(spark):
     assert {r.seq: r.error for r in bad.collect()} == {7: UNKNOWN_TYPE, 9: TOO_LARGE}
     counts = {r.seq: (r.stream_id, r.event_count, r.error) for r in inspect_batches(batches).collect()}
     assert counts[0] == (99, 3, None) and counts[4] == (5, 0, None) and counts[2] == (99, 0, SHORT)
-    assert decode_batch(good)[1][2] == (-5, True, b"\xff\xfe")
+    assert plain(good)[1][2] == (-5, True, b"\xff\xfe")
 
 
 def test_registers(spark):
