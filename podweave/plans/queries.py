@@ -7,7 +7,7 @@ from podweave.functions.bytes import be_bytes, be_int64, be_uint, payload_bytes,
 from podweave.functions.lines import FORMATS, LineFormat, detect_format, json_string_field
 from podweave.functions.paths import pod_metadata
 from podweave.functions.rendering import is_stderr, render_line, stream_label
-from podweave.functions.timestamps import civil_to_ns, format_time_of_day, is_leap, rfc3339_to_ns
+from podweave.functions.timestamps import NANOS, civil_to_ns, format_time_of_day, is_leap, rfc3339_to_ns
 from podweave.operators.admission import admit
 from podweave.operators.asof import latest_registration
 from podweave.operators.batching import assign_batches, batch_pieces, batch_sizes, collect_batches
@@ -367,7 +367,9 @@ def rendered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def times_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nanos = F.expr("(event_id - 500) * 7919000000123")
+    # Where the nanoseconds leave 64 bits, whole days are taken off them.
+    wide = F.expr("cast((event_id - 500) AS decimal(19, 0)) * 7919000000123")
+    nanos = F.coalesce(F.expr("try_multiply(event_id - 500, 7919000000123)"), (wide % (86_400 * NANOS)).cast("bigint"))
     return table(spark, sf_dir, "events").select(
         "event_id", format_time_of_day(nanos).alias("time_of_day"),
         stream_label(is_stderr(F.when(F.col("event_type") == "error", "stderr").otherwise("stdout"))).alias("stream"),
