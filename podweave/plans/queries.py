@@ -28,6 +28,7 @@ from podweave.plans.collect import collect_batch_table, collect_events, collect_
 from podweave.plans.receive import judge_batches, receive
 from podweave.plans.tables import (
     SPAN,
+    by_path,
     document_lines,
     event_lines,
     page_lines,
@@ -539,7 +540,7 @@ def tail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A first part lies there when the stream starts and is skipped; what is appended afterwards is read, over a restart."""
     home, lines = scratch(spark, "tail").removeprefix("file:"), event_lines(spark, sf_dir)
     logs = f"{home}/logs"
-    by_pod = lines.repartition(4, "path")
+    by_pod = by_path(lines)
     write_log_files(by_pod.where("arrival_ms % 6 = 0"), logs, "event_id")
     _stream_to(spark, stream_logs(spark, logs), home)
     write_log_files(by_pod.where("arrival_ms % 6 = 2"), logs, "event_id", append=True)
@@ -554,7 +555,7 @@ def rotated_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files overwritten by others between two triggers are read from their start, both times."""
     home, lines = scratch(spark, "rotated").removeprefix("file:"), event_lines(spark, sf_dir)
     logs = f"{home}/logs"
-    by_pod = lines.repartition(4, "path")
+    by_pod = by_path(lines)
     write_log_files(by_pod, logs, "event_id")
     _stream_to(spark, stream_logs(spark, logs, "earliest"), home)
     write_log_files(by_pod.where("arrival_ms % 8 = 0"), logs, "event_id")
@@ -568,7 +569,7 @@ def renamed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     name its file had first."""
     home, lines = scratch(spark, "renamed").removeprefix("file:"), event_lines(spark, sf_dir)
     logs = f"{home}/logs"
-    by_pod = lines.repartition(4, "path")
+    by_pod = by_path(lines)
     write_log_files(by_pod.where("arrival_ms % 6 = 0"), logs, "event_id")
     _stream_to(spark, stream_logs(spark, logs, "earliest"), home)
     write_log_files(by_pod.where("arrival_ms % 6 = 2"), logs, "event_id", append=True)

@@ -63,6 +63,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/podweave-{name}-{uuid.uuid4().hex}"
 
 
+def by_path(lines: DataFrame) -> DataFrame:
+    """A path's lines in one partition, of the same number in every table so dealt (AQE merges none)."""
+    return lines.repartition(max(4, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "path")
+
+
 def write_log_files(lines: DataFrame, directory: str, order: str, append: bool = False) -> None:
     """Write ``path, line`` as files below a mounted directory, as a container runtime leaves them.
 

@@ -63,6 +63,26 @@ class Range(InputPartition):
         self.identity, self.path, self.place, self.start, self.end = identity, path, place, start, end
 
 
+class Ranges(InputPartition):
+    def __init__(self, ranges: list[Range]):
+        """Ranges of several small files, read by one task."""
+        self.ranges = ranges
+
+
+def packed(ranges: list[Range], split: int) -> list[Range | Ranges]:
+    """Neighbouring ranges of about ``split`` bytes together, in their order. A file takes ``STEP`` bytes at least, for
+    being opened: so a task has a thousand files of a few lines at most, not one of them."""
+    groups, held = [], split
+    for part in ranges:
+        weight = max(part.end - part.start, min(STEP, split))
+        if held + weight > split:
+            groups.append([])
+            held = 0
+        groups[-1].append(part)
+        held += weight
+    return [group[0] if len(group) == 1 else Ranges(group) for group in groups]
+
+
 class TailReader(DataSourceStreamReader):
     def __init__(self, options):
         self.directory = options["path"]
@@ -133,48 +153,50 @@ class TailReader(DataSourceStreamReader):
                 out[identity] = {**entry, "end": end}
         return self._plan(out)
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Range | Ranges]:
         ranges = []
         for identity, entry in sorted(end.items(), key=lambda x: (x[1]["path"], x[0])):
             for at in range(resume_at(start.get(identity), entry), entry["end"], self.split):
                 ranges.append(Range(identity, entry["path"], entry["place"], at, min(at + self.split, entry["end"])))
         self.reached = end
-        return ranges
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        file = opened(partition)
+        return packed(ranges, self.split)
+
+    def read(self, partition: Range | Ranges) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for part in partition.ranges if isinstance(partition, Ranges) else [partition]:
+            for at, line in self._lines(part):
+                rows.append((part.path, part.start, at, line))
+                held += len(line) + 1
+                if held >= 1 << 20:
+                    yield self._batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield self._batch(rows)
+
+    def _lines(self, part: Range) -> Iterator[tuple[int, bytes]]:
+        """(offset, line) of a range."""
+        file = opened(part)
         if file is None:
             if self.strict:
-                raise LinesLost(f"{partition.path} went before its bytes {partition.start} to {partition.end} were read")
+                raise LinesLost(f"{part.path} went before its bytes {part.start} to {part.end} were read")
             return
         with file:
-            at = start_of_line(file, partition.start)
+            at = start_of_line(file, part.start)
             file.seek(at)
-            offsets, lines, held = [], [], 0
-            while at < partition.end:
-                line = file.readline(partition.end - at)
+            while at < part.end:
+                line = file.readline(part.end - at)
                 if not line.endswith(b"\n"):
                     break
-                offsets.append(at)
-                lines.append(line[:-1])
+                yield at, line[:-1]
                 at += len(line)
-                held += len(line)
-                if held >= 1 << 20:
-                    yield self._batch(partition, offsets, lines)
-                    offsets, lines, held = [], [], 0
-            if lines:
-                yield self._batch(partition, offsets, lines)
-            if os.fstat(file.fileno()).st_size < partition.end and self.strict:
-                raise LinesLost(f"{partition.path} was cut shorter while bytes {partition.start} to {partition.end} were read")
+            if os.fstat(file.fileno()).st_size < part.end and self.strict:
+                raise LinesLost(f"{part.path} was cut shorter while bytes {part.start} to {part.end} were read")
 
     @staticmethod
-    def _batch(partition: Range, offsets: list[int], lines: list[bytes]) -> pa.RecordBatch:
-        n = len(lines)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([partition.path] * n), pa.array([partition.start] * n, pa.int64()),
-             pa.array(offsets, pa.int64()), pa.array(lines, pa.binary())],
-            names=["path", "chunk", "offset", "line"],
-        )
+    def _batch(rows: list[tuple[str, int, int, bytes]]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["path", "chunk", "offset", "line"]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=names)
 
 
 def opened(partition: Range) -> BinaryIO | None:
@@ -219,7 +241,8 @@ def stream_logs(spark: SparkSession, directory: str, starting: str = "latest", *
     """Streaming ``path, chunk, offset, line`` of a log directory.
 
     ``starting``: 'latest' skips what the files hold when the stream first starts (a line half written then is emitted
-    whole once it is complete), 'earliest' reads it. ``splitBytes`` bounds a task, ``maxBytesPerTrigger`` a trigger: its
+    whole once it is complete), 'earliest' reads it. ``splitBytes`` bounds a task, which reads many small
+    files (``packed``), ``maxBytesPerTrigger`` a trigger: its
     ranges together have so many bytes at most. Spark does not tell a source how far an earlier run came before it asks
     for the first trigger's end; with ``progress``, a file of this stream's own on a path of the driver, that trigger is
     bounded too (a run that ends between planning and logging a trigger may add one more limit to it). Under

@@ -175,3 +175,19 @@ def test_events_of_a_tail_are_parsed(spark, tmp_path):
     query = events.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state")
     query.trigger(availableNow=True).start().awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(out).collect()] == [("stderr", "and after it")]
+
+
+def test_a_task_reads_many_small_files(tmp_path):
+    for i in range(300):
+        write(f"{tmp_path}/pod_{i:03d}/0.log", b"first %d\nsecond\nopen" % i)
+    reader = TailReader({"path": str(tmp_path), "startingPosition": "earliest"})
+    parts = reader.partitions({}, reader.latestOffset())
+    assert len(parts) == 1  # it was a task per file
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert [(os.path.basename(os.path.dirname(r["path"])), r["chunk"], r["offset"], r["line"]) for r in rows] == [
+        row for i in range(300) for row in ((f"pod_{i:03d}", 0, 0, b"first %d" % i), (f"pod_{i:03d}", 0, len(f"first {i}") + 1, b"second"))]
+    small = TailReader({"path": str(tmp_path), "startingPosition": "earliest", "splitBytes": "100"})
+    assert len(small.partitions({}, small.latestOffset())) == 300
+    os.remove(f"{tmp_path}/pod_007/0.log")
+    with pytest.raises(LinesLost, match="pod_007"):
+        list(reader.read(parts[0]))
