@@ -39,7 +39,7 @@ from podweave.plans.tables import (
 )
 from podweave.settings import BURST
 from podweave.sources.capture import read_capture, write_capture
-from podweave.sources.logdir import read_logs, stream_segments
+from podweave.sources.logdir import listing, read_logs, stream_segments
 from podweave.sources.tail import stream_logs
 from podweave.sources.textsink import render, stream_text, write_text
 from podweave.streaming.admission import admit_stream
@@ -583,11 +583,18 @@ def renamed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         "folder", F.regexp_replace("folder", "^.*/logs", ""))
 
 
+def segment_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed files through Spark's own file stream."""
+#: What a trigger takes of closed segments: as many files as there are, but so many bytes.
+SEGMENT_BYTES = 64 << 20
+
+
 def segment_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed files through Spark's own file stream."""
     home = scratch(spark, "segments").removeprefix("file:")
-    write_log_files(event_lines(spark, sf_dir), f"{home}/logs", "event_id")
-    _stream_to(spark, stream_segments(spark, f"{home}/logs", 100), home)
+    write_log_files(by_path(event_lines(spark, sf_dir)), f"{home}/logs", "event_id")
+    with listing(spark):
+        _stream_to(spark, stream_segments(spark, f"{home}/logs", max_bytes_per_trigger=SEGMENT_BYTES), home)
     events = parse_lines(spark.read.parquet(f"{home}/out"))
     return events.select("timestamp_ns", "stream", text())
 
