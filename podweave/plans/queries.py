@@ -498,7 +498,7 @@ def pipeline_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _log_tree(spark: SparkSession, sf_dir: str, name: str, lines: DataFrame | None = None) -> str:
     home = scratch(spark, name).removeprefix("file:")
-    write_log_files(event_lines(spark, sf_dir) if lines is None else lines, home, "event_id")
+    write_log_files(by_path(event_lines(spark, sf_dir) if lines is None else lines), home, "event_id")
     return home
 
 
@@ -513,7 +513,9 @@ def scanned_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte offsets of all complete lines: per pod the lines and the bytes, the end of each file's last line."""
-    lines = complete_lines(with_offsets(read_logs(spark, _log_tree(spark, sf_dir, "offsets"))))
+    # Landed, as the offsets read the lines twice and a directory of many small files is slow to read.
+    lines = _landed(read_logs(spark, _log_tree(spark, sf_dir, "offsets")), "lines")
+    lines = complete_lines(with_offsets(lines))
     ends = F.col("offset") + F.octet_length("line") + 1
     files = lines.groupBy("path").agg(F.count("*").alias("lines"), F.max(ends).cast("bigint").alias("bytes"))
     pod = pod_metadata(F.col("path"))["pod_name"].alias("pod_name")
@@ -583,8 +585,6 @@ def renamed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         "folder", F.regexp_replace("folder", "^.*/logs", ""))
 
 
-def segment_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed files through Spark's own file stream."""
 #: What a trigger takes of closed segments: as many files as there are, but so many bytes.
 SEGMENT_BYTES = 64 << 20
 

@@ -1,5 +1,7 @@
 """What only shows in tables larger than the given ones, on rows made for it."""
 
+import glob
+
 from pyspark.sql import functions as F
 
 from podweave.plans import queries
@@ -25,3 +27,13 @@ def test_times_of_day_beyond_64_bits(spark, tmp_path):
         return f"{seconds // 3600:02d}:{seconds // 60 % 60:02d}:{seconds % 60:02d}.{micros:06d}"
 
     assert found == {i: time_of_day((i - 500) * 7919000000123) for i in ids}
+
+
+def test_a_pod_has_one_log_file_however_its_events_lie(spark, tmp_path):
+    home = events(spark, tmp_path, range(400), partitions=6)
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))  # a task per file of the table
+    try:
+        tree = queries._log_tree(spark, home, "test")
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(glob.glob(f"{tree}/**/*.log", recursive=True)) == 7
