@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from podweave.functions.bytes import floor_div
-from podweave.settings import BROADCAST_BYTES, CHUNK_ROWS, CHUNK_SPAN
+from podweave.settings import BROADCAST_BYTES, CHUNK_ROWS, CHUNK_SPAN, MOST_CHUNKS
 
 
 def add_chunk(df: DataFrame, order: str, span: int = CHUNK_SPAN, name: str = "chunk") -> DataFrame:
@@ -81,6 +81,22 @@ def few_chunks(df: DataFrame, keys: list[str], chunk: str, sparse: DataFrame) ->
     return merged.withColumn(chunk, F.coalesce("_low", chunk)).select(*df.columns)
 
 
+def wide_chunks(df: DataFrame, keys: list[str], chunk: str, most: int = MOST_CHUNKS) -> DataFrame | None:
+    """``keys, chunk, _low`` for the streams of more than ``most`` chunks: neighbours joined to about ``most`` chunks of as
+    many rows, named by their first. None without such a stream.
+
+    What is kept for each chunk of a stream passes one task in order, so its number must not grow with the stream.
+    """
+    sizes = df.groupBy(*keys, chunk).agg(F.count("*").alias("_rows"))
+    long = settle(sizes.groupBy(*keys).agg(F.count("*").alias("_chunks"), F.sum("_rows").alias("_all")).where(F.col("_chunks") > most))
+    if long.isEmpty():
+        return None
+    earlier = F.coalesce(F.sum("_rows").over(before(keys, chunk)), F.lit(0))
+    placed = join_lookup(sizes, long, keys).withColumn("_group", F.floor(earlier * most / F.col("_all")))
+    low = F.min(chunk).over(Window.partitionBy(*keys, "_group"))
+    return settle(placed.select(*keys, chunk, low.alias("_low")))
+
+
 def before(keys: list[str], chunk: str) -> Window:
     """All earlier chunks of the same stream, over chunk summaries."""
     return Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)

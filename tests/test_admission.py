@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from podweave.operators.admission import Outcomes, admit, ceiled, outcome, spend
-from podweave.operators.chunks import add_chunk, few_chunks, long_streams, sparse_streams
+from podweave.operators.chunks import add_chunk, few_chunks, long_streams, sparse_streams, wide_chunks
 
 
 def admit_in_order(rows, rate, burst):
@@ -192,3 +192,18 @@ def test_a_request_without_clock_or_cost_is_an_error(spark, missing):
 def test_a_burst_over_the_ceiling_warns():
     with pytest.warns(UserWarning, match="over the ceiling"):
         assert ceiled(10**7) == 4_194_303
+
+
+def test_a_stream_of_many_chunks_has_few_tables(spark):
+    rng, clock, rows = random.Random(5), 0, []
+    for seq in range(400):
+        clock += rng.choice([0, 3, 20, -4])
+        rows.append(("hot", seq, clock, rng.choice([0, 1, 2, 8]), rng.random() < 0.02))
+    rows += [(None, seq, seq * 5, 2, False) for seq in range(90)]
+    df = add_chunk(spark.createDataFrame(rows, "key string, seq bigint, clock bigint, cost bigint, reset boolean"), "seq", 3)
+    wide = wide_chunks(df, ["key"], "chunk", 40)
+    assert wide.where("key = 'hot'").select("_low").distinct().count() <= 41 and wide.where("key IS NULL").count() == 0
+    assert wide_chunks(df, ["key"], "chunk", 134) is None
+    verdicts = admit(df, ["key"], "chunk", "seq", "clock", "cost", 50, 30, "reset", 0, most_chunks=40).collect()
+    assert {(r.key, r.seq): r.admitted for r in verdicts if r.key} == admit_in_order(rows[:400], 50, 30)
+    assert all(r.chunk == r.seq // 3 for r in verdicts) and len(verdicts) == len(rows) - sum(r[4] for r in rows)
