@@ -31,6 +31,8 @@ def collect_frames(events: DataFrame, conn: str, seen: str, chunk: str = "chunk"
     keys = ["path"] + ([delta] if delta else [])
     registry = build_registry(events, seen)
     registers = encode_registry(registry.select("stream_id", *NAMES, (2 * F.col("first_seen")).alias("seq")))
+    # Streams of few rows are cut in one piece: summing up and seeding chunks of a few rows costs more than the cut.
+    events = few_chunks(events, keys, chunk, sparse_streams(events, keys, chunk))
     pieces = batch_pieces(events, keys, chunk, order, "payload_bytes")
     assigned = assign_batches(events, pieces, keys, chunk, order)
     event = F.struct("timestamp_ns", "is_stderr", "payload", F.col(seen).alias("seen"))
