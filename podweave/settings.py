@@ -18,6 +18,6 @@ CHUNK_SPAN = 1 << 20
 # A stream of up to this many rows is not cut into chunks at all.
 CHUNK_ROWS = 1 << 17
 # Chunks of one stream whose tables pass one task; neighbours are joined in a stream that has more.
-MOST_CHUNKS = 1 << 10
+MOST_CHUNKS = 1 << 8
 # A lookup table up to this many bytes (as JSON) is sent to every executor; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
