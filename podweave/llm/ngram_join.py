@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from podweave.llm.landing import dropped, in_arrow, landed
-from podweave.llm.sieve import sieve, sifted, without
+from podweave.llm.sieve import sieve, sifted, within, without
 from podweave.llm.textarrays import mixed, packed, pieces, shingle_hashes, word_hashes
 from podweave.llm.tiles import families, similar_components
 
@@ -135,8 +135,9 @@ def _promising(sets: DataFrame, percent: int, stored: DataFrame) -> DataFrame:
     entries = sets.select("id", F.explode("part").alias("entry"))
     twice = landed(entries.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entry"), stored)
     met = sifted(entries, F.col("entry"), sieve(twice, "entry")).where("_may").groupBy("id").agg(F.count(F.lit(1)).alias("met"))
-    alone = F.size("part") - F.coalesce("met", F.lit(0))
-    found = landed(sets.join(landed(met, stored), "id", "left").where(alone <= _lacking(F.col("n"), percent)).select("id"), stored)
+    counted = sets.select("id", "n", F.size("part").alias("counted"))  # the parts themselves are not shuffled
+    alone = F.col("counted") - F.coalesce("met", F.lit(0))
+    found = landed(counted.join(landed(met, stored), "id", "left").where(alone <= _lacking(F.col("n"), percent)).select("id"), stored)
     dropped(twice)
     return found
 
@@ -191,14 +192,15 @@ def _divided(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [row.column("id"), row.column("family"), row.column("n"), packed([values])], ["id", "family", "n", "entries"])
 
-    rows = sets.join(found.join(large, "family"), "id").select("id", "family", "n", "set")
+    wanted = landed(found.join(large, "family").select("id", "family"), found)
+    rows = within(sets.select("id", "n", "set"), wanted, "id").select("id", "family", "n", "set")
     rows = landed(in_arrow(rows, spread, "id long, family long, n long, entries array<long>"))
     # a family's number makes its entries its own
     entries = rows.select("id", F.lit(0).alias("part"), "n", F.explode("entries").alias("key"), "family").withColumn(
         "key", F.xxhash64("family", "key")).drop("family")
     again = families(landed(_rarest(entries, percent)), rows)
     divided = landed(found.join(large, "family", "left_anti").select("id", "family").union(again.select("id", "family")))
-    dropped(found, large, rows, again)
+    dropped(found, large, wanted, rows, again)
     return divided
 
 
@@ -225,7 +227,7 @@ def _joined(documents: DataFrame, key: str, text: str, width: int, percent: int)
     loose = landed(_loose_keys(sets, percent))
     found = families(sets.select(F.explode(F.array_distinct("keys")).alias("key"), "id").union(loose), sets)
     found = _divided(found, sets, percent)
-    members = landed(sets.select("id", "n", "set").join(found, "id").select("id", "family", "n", "set"), sets)
+    members = landed(within(sets.select("id", "n", "set"), found, "id").select("id", "family", "n", "set"), sets)
     dropped(copies, promising, wanted, sets, loose, found)
     linked = similar_components(members, percent)
     tied = classes.join(linked.withColumnRenamed("id", "first"), "first", "left").withColumn(

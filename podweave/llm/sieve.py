@@ -52,3 +52,9 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     bitmap = sieve(gone.select(F.xxhash64(key).alias("hashed")), "hashed")
     told = sifted(rows, F.xxhash64(key), bitmap)
     return told.where(~F.col("_may")).drop("_may").union(told.where("_may").drop("_may").join(gone, key, "left_anti").select(rows.columns))
+
+
+def within(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows joined to `wanted` (a stored table) by `key`: only the rows that the sieve lets through are shuffled."""
+    bitmap = sieve(wanted.select(F.xxhash64(key).alias("hashed")), "hashed")
+    return sifted(rows, F.xxhash64(key), bitmap).where("_may").drop("_may").join(wanted, key)

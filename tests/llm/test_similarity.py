@@ -106,6 +106,30 @@ def test_unrelated_sets_do_not_go_on(spark, percent):
     assert len([k for k in found if sizes[k] >= 300]) <= 2  # a small set may have too few entries in the counted part
 
 
+def joins(plan):
+    """For each join of an optimized plan, but those with a bitmap: (columns, text of the plan below) of both sides."""
+    sides = [plan.children().apply(k) for k in range(plan.children().size())]
+    here = [({x.split("#")[0] for x in s.output().mkString(",").split(",")}, s.toString()) for s in sides]
+    found = [here] if plan.nodeName() == "Join" and not any("_bits" in c for c, _ in here) else []
+    return found + [x for s in sides for x in joins(s)]
+
+
+def test_sets_are_not_shuffled_unless_they_may_have_a_family(spark, monkeypatch):
+    seen = []
+
+    def noted(frame, like=None):
+        seen.extend(joins(frame._jdf.queryExecution().optimizedPlan()))
+        return landed(frame, like)
+
+    monkeypatch.setattr(ngram_join, "landed", noted)
+    monkeypatch.setattr(ngram_join, "LARGE", 4)
+    assert ngram_join.ngram_join(edge_documents(spark, near_copies())).count() == len(near_copies())
+    counts = [a | b for (a, _), (b, _) in seen if "met" in a | b]
+    assert counts and not any("part" in c for c in counts)
+    shipped = [below for join in seen for c, below in join if "set" in c]
+    assert len(shipped) > 1 and all("_bits" in below for below in shipped)
+
+
 def test_families_of_real_documents_are_small(spark):
     documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     rows = landed(ngram_join._sets(documents.select(F.col("doc_id").alias("id"), "text"), 5, 80).where("n > 0").dropDuplicates(["set"]))
@@ -115,6 +139,14 @@ def test_families_of_real_documents_are_small(spark):
     assert 2 <= divided.groupBy("family").count().agg(F.max("count")).first()[0] < 100
 
 
+def test_within_is_a_join(spark):
+    rows = spark.createDataFrame([(k % 7 if k else None, k) for k in range(40)], "id long, n long")
+    wanted = landed(spark.createDataFrame([(2, "a"), (5, "b"), (None, "c"), (90, "d"), (2, "e")], "id long, name string"))
+    got = sieve.within(rows, wanted, "id")
+    assert got.columns == ["id", "n", "name"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(wanted, "id").collect()))
+
+
 def test_a_passage_in_all_documents_ties_none(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LARGE", 4)
     shared = prose(60, 40, 40)
