@@ -18,7 +18,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from podweave.llm.landing import dropped, in_arrow, landed
 from podweave.llm.passages import cut, repeated, run_hashes, winnowed
-from podweave.llm.sieve import sieve, sifted, without
+from podweave.llm.sieve import sieve, sifted, within, without
 from podweave.llm.textarrays import codepoints, mixed, packed, pieces, shingle_hashes, word_hashes
 from podweave.llm.tiles import families, similar_components
 
@@ -212,7 +212,7 @@ def paragraphs(documents: DataFrame, key: str = "doc_id", text: str = "text", wi
     copies = landed(real.join(classes, ["f1", "f2"]).where("id <> first").select("id"), found)
     single = without(real.select("id", "keys"), copies, "id")
     near = families(single.select("id", F.explode(F.array_distinct("keys")).alias("key")), found)
-    wanted = landed(real.select("id", "key", "text_hash", "line").join(near, "id").groupBy("key", "text_hash").agg(
+    wanted = landed(within(real.select("id", "key", "text_hash", "line"), near, "id").groupBy("key", "text_hash").agg(
         F.collect_list(F.struct("line", "id", "family")).alias("wanted")), found)
     # only texts that the sieve lets through are shuffled to their partners
     bitmap = sieve(wanted, "text_hash")
@@ -264,6 +264,7 @@ def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text
     found = paragraphs(documents, key, text, **options).where("removed")
     span = F.when(F.col("line").isNull(), F.struct("begin", (F.col("begin") + F.col("words")).alias("end")))
     gone = landed(found.groupBy("key", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("line", "last")))).alias("gone"), F.collect_set(span).alias("spans")))
+    dropped(found)
     others = [c for c in documents.columns if c != text]
     rows = documents.select(
         F.struct(*others).alias("document"), F.col(text).alias("body"), F.col(key).alias("own"), F.xxhash64(text).alias("own_hash"))

@@ -25,7 +25,7 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def run_hashes(hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the runs of words [begin, end), which may overlap; equal words hash alike at any place."""
-    power, inverse = _powers(1 << max(20, int(len(hashes)).bit_length()))
+    power, inverse = _powers(1 << max(18, int(len(hashes)).bit_length()))
     sums = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * power[: len(hashes)], out=sums[1:])
     return mixed((sums[ends] - sums[begins]) * inverse[begins])
@@ -59,18 +59,22 @@ def winnowed(hashes: np.ndarray, first: np.ndarray, length: int) -> tuple[np.nda
     return kept, grams[kept]
 
 
+def _numbers(batch: pa.RecordBatch, column: str, row: int) -> np.ndarray:
+    """A row's list of numbers; as Python objects the lists of a batch would take ten times their size."""
+    return batch.column(column)[row].values.to_numpy().astype(np.int64)
+
+
 def _windows(rows: DataFrame, length: int) -> DataFrame:
     """key, text_hash, pos, f: the windows of `length` words that hold a hash at one of `spots` (rows key, text_hash, text, spots)."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spots = batch.column("spots").to_pylist()
             for begun, texts in pieces(batch.column("text").to_pylist()):
                 hashes, first, _ = word_hashes(texts)
                 change = np.zeros(len(hashes) + 1, np.int64)
                 for k in range(len(texts)):
                     last = first[k + 1] - length
-                    spot = np.array(spots[begun + k], np.int64) + first[k]
+                    spot = _numbers(batch, "spots", begun + k) + first[k]
                     np.add.at(change, np.maximum(spot - (length - length // 2), first[k]), 1)
                     np.add.at(change, np.minimum(spot, last) + 1, -1)
                 at = np.flatnonzero(np.cumsum(change[:-1]) > 0)
@@ -92,11 +96,12 @@ def _spans(rows: DataFrame, length: int) -> DataFrame:
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, begin, size, taken = [], [], [], []
-            for k, (n, at, lines, starts) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("n", "at", "lines", "starts")), strict=True)):
-                if at is None:
+            for k, n in enumerate(batch.column("n").to_pylist()):
+                lines, starts = (_numbers(batch, x, k) for x in ("lines", "starts"))
+                if not batch.column("at")[k].is_valid:
                     found = [(0, n)]
                 else:
-                    at = np.sort(np.array(at, np.int64))
+                    at = np.sort(_numbers(batch, "at", k))
                     cut = np.flatnonzero(np.diff(at) > length) + 1
                     found = zip(at[np.append(0, cut)].tolist(), (at[np.append(cut, len(at)) - 1] + length).tolist(), strict=True)
                 edges = np.append(starts, n)

@@ -1,8 +1,11 @@
 """Repeated passages inside lines and across line ends, against all windows."""
 
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from llm_cases import edge_documents, prose, words
 
 from podweave.llm import paragraph_dedup, passages
@@ -101,3 +104,22 @@ def test_joined_lines_of_shifted_copies_agree():
         assert (np.diff(ends) >= 25).all() and (first[1:] == last[:-1] + 1).all() and ends[-1] == len(words(text))
         found.append({hashes[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)})
     assert len(found[0] & found[1]) >= len(found[0]) - 25 and len(found[0] & found[1]) > 20
+
+
+def test_spans_hold_the_places_of_one_row_at_a_time(monkeypatch):
+    monkeypatch.setattr(passages, "in_arrow", lambda rows, function, schema: function)
+    stub = SimpleNamespace(schema={"key": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))})
+    places, count = np.arange(10_000, dtype=np.int32), 60
+    held = pa.ListArray.from_arrays(np.arange(count + 1, dtype=np.int32) * len(places), pa.array(np.tile(places, count)))
+    keys = pa.array(range(count), pa.int64())
+    batch = pa.RecordBatch.from_pydict({
+        "key": keys, "text_hash": keys, "doc": keys, "n": pa.array([10_049] * count, pa.int64()), "at": held, "lines": held, "starts": held,
+        "others": pa.array([[1]] * count, pa.list_(pa.int64()))})
+    tracemalloc.start()
+    try:
+        rows = [x for b in passages._spans(stub, 50)(iter([batch])) for x in b.select(["key", "begin", "words"]).to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == [{"key": k, "begin": 0, "words": 10_049} for k in range(count)]
+    assert peak < 20 << 20
