@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from podweave.llm.landing import dropped, in_arrow, landed
-from podweave.llm.sieve import sieve, sifted, within, without
+from podweave.llm.sieve import repeated_hashes, short, sieve, sifted, told, within, without
 from podweave.llm.textarrays import mixed, packed, pieces, shingle_hashes, word_hashes
 from podweave.llm.tiles import families, similar_components
 
@@ -133,8 +133,8 @@ def _features(documents: DataFrame, width: int, percent: int) -> DataFrame:
 def _promising(sets: DataFrame, percent: int, stored: DataFrame) -> DataFrame:
     """id of the sets (id, n, part; no two equal) that may be similar to another one."""
     entries = sets.select("id", F.explode("part").alias("entry"))
-    twice = landed(entries.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entry"), stored)
-    met = sifted(entries, F.col("entry"), sieve(twice, "entry")).where("_may").groupBy("id").agg(F.count(F.lit(1)).alias("met"))
+    twice = repeated_hashes(entries, "entry", stored)
+    met = sifted(entries, short(F.col("entry")), sieve(twice, "hash")).where("_may").groupBy("id").agg(F.count(F.lit(1)).alias("met"))
     counted = sets.select("id", "n", F.size("part").alias("counted"))  # the parts themselves are not shuffled
     alone = F.col("counted") - F.coalesce("met", F.lit(0))
     found = landed(counted.join(landed(met, stored), "id", "left").where(alone <= _lacking(F.col("n"), percent)).select("id"), stored)
@@ -211,14 +211,14 @@ def _joined(documents: DataFrame, key: str, text: str, width: int, percent: int)
     prints = ["n", "f1", "f2"]
     classes = landed(rows.where("n > 0").groupBy(*prints).agg(
         F.min("id").alias("first"), F.min("key").alias("least"), F.count(F.lit(1)).alias("n_copies")), rows)
-    copies = landed(rows.where("n > 0").join(classes, prints).where("id <> first").select("id"), rows)
+    several = landed(classes.where("n_copies > 1").select(*prints, "first"), rows)
+    copies = landed(within(rows.where("n > 0").select("id", *prints), several, *prints).where("id <> first").select("id"), rows)
     single = without(rows.where("n > 0").select("id", "n", "part"), copies, "id")
     promising = _promising(single, percent, rows)
     # one row of each set stands for it; its text is looked up by key and hash
     wanted = landed(rows.select("id", "key", "text_hash").join(promising, "id"), rows)
     # only texts that the sieve lets through are shuffled to their partners
-    bitmap = sieve(wanted, "text_hash")
-    near = sifted(given, F.col("text_hash"), bitmap).where("_may")
+    near = told(given, wanted, "key", "text_hash").where("_may")
     texts = near.join(wanted, near["key"].eqNullSafe(wanted["key"]) & (near["text_hash"] == wanted["text_hash"]))
     texts = texts.select("id", "text")
     if not rows.groupBy("key", "text_hash").count().where("count > 1").isEmpty():  # repeated rows have the text as well
@@ -228,7 +228,7 @@ def _joined(documents: DataFrame, key: str, text: str, width: int, percent: int)
     found = families(sets.select(F.explode(F.array_distinct("keys")).alias("key"), "id").union(loose), sets)
     found = _divided(found, sets, percent)
     members = landed(within(sets.select("id", "n", "set"), found, "id").select("id", "family", "n", "set"), sets)
-    dropped(copies, promising, wanted, sets, loose, found)
+    dropped(several, copies, promising, wanted, sets, loose, found)
     linked = similar_components(members, percent)
     tied = classes.join(linked.withColumnRenamed("id", "first"), "first", "left").withColumn(
         "component", F.coalesce("component", "first"))
@@ -266,16 +266,22 @@ def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", w
     joined = landed(_joined(documents, key, text, width, percent).where("key IS NOT NULL AND component IS NOT NULL"))
     row = F.struct("key", "text_hash")
     firsts = landed(joined.groupBy("component").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    told = joined.join(firsts, "component")
-    gone = landed(told.where(row != F.col("first")).select("key", "text_hash").distinct())
-    several = landed(told.where(row == F.col("first")).groupBy("key", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    members = joined.join(firsts, "component")
+    gone = landed(members.where(row != F.col("first")).select("key", "text_hash").distinct())
+    several = landed(members.where(row == F.col("first")).groupBy("key", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     columns = [F.col(f"document.{c}") for c in documents.columns]
     rows = documents.select(F.struct(*documents.columns).alias("document"), F.col(key).alias("own"), F.xxhash64(text).alias("own_hash"))
     rows = sifted(rows, F.xxhash64("own", "own_hash"), sieve(gone.union(several).select(F.xxhash64("key", "text_hash").alias("hashed")), "hashed"))
     dropped(joined, firsts)
     same = (F.col("own") == F.col("key")) & (F.col("own_hash") == F.col("text_hash"))
     safe = rows.where(~F.col("_may")).select(*columns)  # neither to go nor to be told apart: nothing to join
-    left = rows.where("_may").join(gone, same, "left_anti")
+    # most of the others go, so keys alone tell which ones stay, and only these are shuffled whole
+    likely = rows.where("_may").drop("_may")
+    stay = landed(likely.select("own", "own_hash").distinct().join(gone, same, "left_anti").select(
+        F.col("own").alias("stays"), F.col("own_hash").alias("stays_hash")))
+    hashes = stay.select(F.xxhash64("stays", "stays_hash").alias("hashed"))
+    left = sifted(likely, F.xxhash64("own", "own_hash"), sieve(hashes, "hashed")).where("_may").drop("_may").join(
+        stay, F.col("own").eqNullSafe(F.col("stays")) & (F.col("own_hash") == F.col("stays_hash")), "left_semi")
     if several.isEmpty():
         return safe.union(left.select(*columns))
     single = left.join(several, same, "left_anti")

@@ -18,7 +18,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from podweave.llm.landing import dropped, in_arrow, landed
 from podweave.llm.passages import cut, repeated, run_hashes, winnowed
-from podweave.llm.sieve import sieve, sifted, within, without
+from podweave.llm.sieve import beside, repeated_hashes, short, sieve, sifted, told, within, without
 from podweave.llm.textarrays import codepoints, mixed, packed, pieces, shingle_hashes, word_hashes
 from podweave.llm.tiles import families, similar_components
 
@@ -208,28 +208,35 @@ def paragraphs(documents: DataFrame, key: str = "doc_id", text: str = "text", wi
     found = landed(found.withColumn("id", F.monotonically_increasing_id()))
     real = found.where("line IS NOT NULL")
     place = F.struct("key", "text_hash", "line")
-    classes = landed(real.groupBy("f1", "f2").agg(F.min("id").alias("first"), F.min(place).alias("place"), F.count(F.lit(1)).alias("n")), found)
-    copies = landed(real.join(classes, ["f1", "f2"]).where("id <> first").select("id"), found)
+    # most paragraphs are like no other: only those that may have an equal are put into classes, only the others' keys go on
+    again = repeated_hashes(real, "f1", found)
+    equal = sifted(real.select("id", "f1", "f2", place.alias("place")), short(F.col("f1")), sieve(again, "hash")).where("_may")
+    classes = landed(equal.groupBy("f1", "f2").agg(F.min("id").alias("first"), F.min("place").alias("place"), F.count(F.lit(1)).alias("n")).where("n > 1"), found)
+    copies = landed(within(real.select("id", "f1", "f2"), classes.select("f1", "f2", "first"), "f1", "f2").where("id <> first").select("id"), found)
     single = without(real.select("id", "keys"), copies, "id")
     near = families(single.select("id", F.explode(F.array_distinct("keys")).alias("key")), found)
     wanted = landed(within(real.select("id", "key", "text_hash", "line"), near, "id").groupBy("key", "text_hash").agg(
         F.collect_list(F.struct("line", "id", "family")).alias("wanted")), found)
     # only texts that the sieve lets through are shuffled to their partners
-    bitmap = sieve(wanted, "text_hash")
-    let = sifted(given, F.col("text_hash"), bitmap).where("_may")
+    let = told(given, wanted, "key", "text_hash").where("_may")
     texts = let.join(wanted, let["key"].eqNullSafe(wanted["key"]) & (let["text_hash"] == wanted["text_hash"]))
     members = landed(_sets(texts.select("text", "wanted"), width, min_words))
-    linked = similar_components(members, percent)
+    components = similar_components(members, percent)
+    linked = landed(components, found)
     tied = classes.join(linked.withColumnRenamed("id", "first"), "first", "left").withColumn("cluster", F.coalesce("component", "first"))
-    tied = landed(tied.select("f1", "f2", "place", "n", "cluster"), found)
+    # a paragraph without an equal that is linked stands for itself
+    others = landed(without(linked, classes.select(F.col("first").alias("id")), "id"), found)
+    lone = within(real.select("id", "f1", "f2", place.alias("place")), others, "id")
+    lone = lone.withColumn("n", F.lit(1).cast("long")).withColumnRenamed("component", "cluster")
+    tied = landed(tied.select("f1", "f2", "place", "n", "cluster").unionByName(lone.drop("id")), found)
     clusters = landed(tied.groupBy("cluster").agg(F.min("place").alias("kept"), F.sum("n").alias("n_in_cluster")).where("n_in_cluster > 1"), found)
     tied = landed(tied.join(clusters, "cluster").select("f1", "f2", "cluster", "kept", "n_in_cluster"), found)
-    dropped(copies, near, wanted, members, linked, classes, clusters)
+    dropped(again, copies, near, wanted, members, components, linked, others, classes, clusters)
     passages = repeated(found.where("line IS NULL").select("key", "text_hash", "doc", *WHOLE), given, length, found)
-    joined = found.where("line IS NOT NULL OR bare").drop("keys", *WHOLE).join(tied, ["f1", "f2"], "left")
-    told = joined.select("key", "text_hash", "doc", "line", "last", "begin", "words", "cluster", "n_in_cluster", F.col("kept.key").alias("first_key"),
-                         F.coalesce(F.col("kept") != place, F.lit(False)).alias("removed"))
-    return told.unionByName(passages.withColumn("removed", F.lit(True)), allowMissingColumns=True)
+    joined = beside(found.where("line IS NOT NULL OR bare").drop("keys", *WHOLE), tied, "f1", "f2")
+    report = joined.select("key", "text_hash", "doc", "line", "last", "begin", "words", "cluster", "n_in_cluster", F.col("kept.key").alias("first_key"),
+                           F.coalesce(F.col("kept") != place, F.lit(False)).alias("removed"))
+    return report.unionByName(passages.withColumn("removed", F.lit(True)), allowMissingColumns=True)
 
 
 def _union(spans: Column) -> Column:
@@ -268,7 +275,8 @@ def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text
     others = [c for c in documents.columns if c != text]
     rows = documents.select(
         F.struct(*others).alias("document"), F.col(text).alias("body"), F.col(key).alias("own"), F.xxhash64(text).alias("own_hash"))
-    rows = sifted(rows, F.coalesce("own_hash", F.lit(0)), sieve(gone, "text_hash"))
+    hashes = gone.select(F.xxhash64("key", "text_hash").alias("hashed"))
+    rows = sifted(rows, F.xxhash64("own", "own_hash"), sieve(hashes, "hashed"))
     columns = [F.col("body").alias(c) if c == text else F.col(f"document.{c}") for c in documents.columns]
     safe = rows.where(~F.col("_may")).select(*columns)
     joined = rows.where("_may").join(gone, F.col("own").eqNullSafe(F.col("key")) & (F.col("own_hash") == F.col("text_hash")), "left")

@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from podweave.llm.landing import dropped, in_arrow, landed
-from podweave.llm.sieve import sieve, sifted, without
+from podweave.llm.sieve import repeated_hashes, short, sieve, sifted, told, without
 from podweave.llm.textarrays import _powers, mixed, pieces, word_hashes
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -120,6 +120,42 @@ def _spans(rows: DataFrame, length: int) -> DataFrame:
     return in_arrow(rows, spans, f"key {kind}, text_hash long, doc long, others array<{kind}>, begin long, words long, taken array<long>")
 
 
+def _next_to(x: Column, i: Column) -> Column:
+    """Whether the hash before or after is among those of the text's list `near`."""
+    before, after = F.get("near", i - 1)["nth"], F.get("near", i + 1)["nth"]
+    return F.coalesce(before == x["nth"] - 1, F.lit(False)) | F.coalesce(after == x["nth"] + 1, F.lit(False))
+
+
+def _passed(kept: DataFrame, twice: DataFrame) -> DataFrame:
+    """key, text_hash, near (array of nth, spot, print, in order): the kept hashes that two sieves of `twice` let through."""
+    near = sifted(kept, F.col("print"), sieve(twice, "hash")).where("_may").drop("_may")
+    second = sieve(twice.select(F.xxhash64("hash").alias("hashed")), "hashed")
+    near = sifted(near, F.xxhash64("print"), second).where("_may")
+    return near.groupBy("key", "text_hash").agg(F.sort_array(F.collect_set(F.struct("nth", "spot", "print"))).alias("near"))
+
+
+def _lone(texts: DataFrame) -> DataFrame:
+    """key, text_hash, spot, hash of the hashes in `near` that are next to no other."""
+    return texts.select("key", "text_hash", F.explode(F.filter("near", lambda x, i: ~_next_to(x, i))).alias("lone")).select(
+        "key", "text_hash", F.col("lone.spot").alias("spot"), F.col("lone.print").alias("hash"))
+
+
+def _wanted(kept: DataFrame, twice: DataFrame, stored: DataFrame) -> DataFrame:
+    """key, text_hash, spots: the places around which windows are looked at, of the kept hashes (key, text_hash, nth of the
+    text, spot, print) that are in `twice`; a stored table.
+
+    Two sieves let one hash in some hundred pass by chance. One that passes next to another of its text is taken as it is:
+    both would have to pass by chance, and then a few windows are looked at in vain. Only those that pass alone are joined
+    to `twice`, so the passages that very many documents share are no rows of a join.
+    """
+    texts = landed(_passed(kept, twice), stored)
+    alone = _lone(texts).join(twice, "hash").groupBy("key", "text_hash").agg(F.collect_list("spot").alias("spots"))
+    several = texts.select("key", "text_hash", F.filter("near", _next_to)["spot"].alias("spots")).where("size(spots) > 0")
+    found = landed(several.union(alone).groupBy("key", "text_hash").agg(F.flatten(F.collect_list("spots")).alias("spots")), stored)
+    dropped(texts)
+    return found
+
+
 def repeated(rows: DataFrame, given: DataFrame, length: int, stored: DataFrame) -> DataFrame:
     """The stretches of words that occur before, by key, text and place: key, text_hash, doc, others (keys of the documents
     that have them first), begin (word, from 0), words, taken (lines of which no word is left); a stored table.
@@ -134,15 +170,16 @@ def repeated(rows: DataFrame, given: DataFrame, length: int, stored: DataFrame)
     copies = landed(rows.select("key", "text_hash", "doc", "d1", "d2").join(several, ["d1", "d2"]).where(named != F.col("first")).select(
         "key", "text_hash", "doc", "first"), stored)
     single = without(rows.select("doc", "key", "text_hash", "spots", "prints"), copies.select("doc"), "doc")
-    kept = single.select("key", "text_hash", F.explode(F.arrays_zip("spots", "prints")).alias("kept")).select(
-        "key", "text_hash", F.col("kept.spots").alias("spot"), F.col("kept.prints").alias("print"))
-    twice = landed(kept.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"), stored)
-    near = sifted(kept, F.col("print"), sieve(twice, "print")).where("_may").drop("_may").join(twice, "print")
-    wanted = landed(near.groupBy("key", "text_hash").agg(F.collect_set("spot").alias("spots")), stored)
-    let = sifted(given, F.col("text_hash"), sieve(wanted, "text_hash")).where("_may")
+    kept = single.select("key", "text_hash", F.posexplode(F.arrays_zip("spots", "prints")).alias("nth", "kept")).select(
+        "key", "text_hash", "nth", F.col("kept.spots").alias("spot"), short(F.col("kept.prints")).alias("print"))
+    twice = repeated_hashes(kept, "print", stored)
+    wanted = _wanted(kept, twice, stored)
+    let = told(given, wanted, "key", "text_hash").where("_may")
     texts = let.join(wanted, let["key"].eqNullSafe(wanted["key"]) & (let["text_hash"] == wanted["text_hash"])).select(
         let["key"], let["text_hash"], "text", "spots")
-    windows = landed(_windows(texts, length))
+    found_windows = landed(_windows(texts, length))
+    again = repeated_hashes(found_windows, "f", found_windows)
+    windows = sifted(found_windows, short(F.col("f")), sieve(again, "hash")).where("_may").drop("_may")
     place = F.struct("key", "text_hash", "pos")
     firsts = landed(windows.groupBy("f").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     same = own == F.struct(F.col("first.key").alias("key"), F.col("first.text_hash").alias("text_hash"))
@@ -151,11 +188,11 @@ def repeated(rows: DataFrame, given: DataFrame, length: int, stored: DataFrame)
     whole = copies.where(~same).select(
         "key", "text_hash", F.lit(None).cast("array<int>").alias("at"), F.array_compact(F.array("first.key")).alias("others")).distinct()
     cover = landed(cover.union(whole))
-    ours = sifted(rows.select("key", "text_hash", "doc", "n", "lines", "starts"), F.col("text_hash"), sieve(cover, "text_hash")).where("_may")
+    ours = told(rows.select("key", "text_hash", "doc", "n", "lines", "starts"), cover, "key", "text_hash").where("_may")
     joined = ours.join(cover, ours["key"].eqNullSafe(cover["key"]) & (ours["text_hash"] == cover["text_hash"])).select(
         ours["key"], ours["text_hash"], "doc", "n", "lines", "starts", "at", "others")
     found = landed(_spans(joined, length))
-    dropped(several, copies, twice, wanted, windows, firsts, cover)
+    dropped(several, copies, twice, wanted, found_windows, again, firsts, cover)
     return found
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from podweave.llm.components import components
 from podweave.llm.landing import dropped, in_arrow, landed
-from podweave.llm.sieve import sieve, sifted
+from podweave.llm.sieve import repeated_hashes, short, sieve, sifted
 from podweave.llm.textarrays import grouped
 
 #: A block holds about so many sets, and array entries, at most.
@@ -34,9 +34,9 @@ _BITS = 1024
 def families(postings: DataFrame, stored: DataFrame) -> DataFrame:
     """id, family of the ids that share a key with another one (`postings`: key, id; each id once at each key), taken from
     the landed table `stored`."""
-    # most keys are of one set only: nothing but their number is shuffled, and the rest of them goes no further
-    twice = landed(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), stored)
-    near = landed(sifted(postings, F.col("key"), sieve(twice, "key")).where("_may").select("key", "id"), stored)
+    # most keys are of one set only: nothing but their short forms is shuffled, and the rest of them goes no further
+    twice = repeated_hashes(postings, "key", stored)
+    near = landed(sifted(postings, short(F.col("key")), sieve(twice, "hash")).where("_may").select("key", "id"), stored)
     shared = landed(near.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where(
         "n > 1").select("key", "first"), stored)
     stars = landed(near.join(shared, "key").where("id <> first").select(

@@ -7,8 +7,11 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 from llm_cases import edge_documents, prose, words
+from pyspark.sql import functions as F
 
 from podweave.llm import paragraph_dedup, passages
+from podweave.llm.landing import landed
+from podweave.llm.sieve import short
 from podweave.llm.textarrays import word_hashes
 
 
@@ -123,3 +126,18 @@ def test_spans_hold_the_places_of_one_row_at_a_time(monkeypatch):
         tracemalloc.stop()
     assert rows == [{"key": k, "begin": 0, "words": 10_049} for k in range(count)]
     assert peak < 20 << 20
+
+
+def test_hashes_that_many_texts_share_are_no_rows_of_a_join(spark):
+    # 300 texts share hashes 0 to 4 as their 3rd to 7th; hash 7 is in two texts, alone; all others occur once
+    kept = spark.range(300).select(F.col("id").alias("key"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.when(
+        k.between(3, 7), F.xxhash64(k)).otherwise(F.xxhash64(F.col("id") * 10 + k + 100)))).alias("nth", "print"))
+    kept = kept.union(spark.createDataFrame([(400, 5), (401, 8), (401, 9)], "key long, nth int").withColumn("print", F.xxhash64(
+        F.when(F.col("nth") == 9, F.lit(-1)).otherwise(F.lit(-7)))))
+    kept = landed(kept.select("key", F.col("key").alias("text_hash"), "nth", (F.col("nth") * 13).alias("spot"), short(F.col("print")).alias("print")))
+    twice = landed(kept.groupBy(F.col("print").alias("hash")).count().where("count > 1").select("hash"))
+    assert twice.count() == 6
+    texts = landed(passages._passed(kept, twice))
+    assert passages._lone(texts).count() <= 10
+    got = {x.key: sorted(x.spots) for x in passages._wanted(kept, twice, kept).collect()}
+    assert got == {k: [39, 52, 65, 78, 91] for k in range(300)} | {400: [65], 401: [104]}

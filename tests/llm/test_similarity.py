@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -357,3 +358,29 @@ def test_empty_tables(spark):
     assert ngram_join.ngram_join(none).count() == ngram_join.one_of_each(none).count() == 0
     assert paragraph_dedup.paragraphs(none).count() == paragraph_dedup.without_repeats(none).count() == 0
     assert embedding_dups.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_repeated_hashes(spark):
+    values = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 20_000)
+    values = np.concatenate((values, values[:500], np.full(3000, values[600]), [-1, -1, 0]))
+    rows = landed(spark.createDataFrame([(int(x),) for x in values], "h long").repartition(7))
+    short = values & ((1 << sieve.SHORT_BITS) - 1)
+    found, n = np.unique(short, return_counts=True)
+    got = [x.hash for x in sieve.repeated_hashes(rows, "h", rows).collect()]
+    assert sorted(got) == found[n > 1].tolist() and len(got) >= 502
+    assert not sieve.repeated_hashes(rows.limit(0), "h", rows).collect()
+
+
+def test_a_hash_takes_four_bytes_of_the_shuffle():
+    values = np.random.default_rng(4).integers(0, 1 << sieve.SHORT_BITS, 300_000)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x)], ["hash"]) for x in (values, np.full(300_000, 5), values[:0])]
+    packs = list(sieve._packs(iter(batches)))
+    assert sum(len(x) for b in packs for x in b.column("packed").to_pylist()) <= 4 * len(values) + 8 * len(packs)
+    assert sum(b.num_rows for b in packs) <= 1024 * len(packs)
+
+
+def test_beside(spark):
+    rows = spark.createDataFrame([(k % 7 or None, k) for k in range(40)], "key long, at long")
+    wanted = landed(spark.createDataFrame([(1, "a"), (3, "b"), (None, "c")], "key long, name string"))
+    got = sorted((x.at, x.name) for x in sieve.beside(rows, wanted, "key").select("at", "name").collect())
+    assert got == [(k, {1: "a", 3: "b"}.get(k % 7)) for k in range(40)]
