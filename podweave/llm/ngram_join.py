@@ -142,17 +142,17 @@ def _promising(sets: DataFrame, percent: int, stored: DataFrame) -> DataFrame:
     return found
 
 
-def _sets(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """id, n, set, keys, loose_a, loose_b of rows id, text."""
+def _sets(rows: DataFrame, width: int, percent: int, held: bool = True) -> DataFrame:
+    """id, n, set, keys, loose_a, loose_b of rows id, text; set is null unless sets are to be held."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begun, texts in pieces(batch.column("text").to_pylist()):
-                held, part = list(_distinct(texts, width)), batch.slice(begun, len(texts))
-                keys = [cell_keys(x, percent) for x in held]
-                loose = [_loose(x, bands) for x, (_, bands) in zip(held, keys, strict=True)]
+                found, part = list(_distinct(texts, width)), batch.slice(begun, len(texts))
+                keys = [cell_keys(x, percent) for x in found]
+                loose = [_loose(x, bands) for x, (_, bands) in zip(found, keys, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array([len(x) for x in held], pa.int64()), pa.array([x.tobytes() for x in held], pa.binary()),
+                    [part.column("id"), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() if held else None for x in found], pa.binary()),
                      *(packed(column) for column in ([k for k, _ in keys], [a for a, _ in loose], [b for _, b in loose]))],
                     ["id", "n", "set", "keys", "loose_a", "loose_b"])
 
@@ -160,11 +160,57 @@ def _sets(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return in_arrow(rows, sets, f"id long, n long, set binary, {lists}")
 
 
-def _rarest(entries: DataFrame, percent: int) -> DataFrame:
+def _texts(given: DataFrame, wanted: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The rows id, text of `given` that the sieve of `wanted` (a stored table with id) lets through, each id that is in
+    `repeated` (a stored table of ids) once. Of all texts none is shuffled but those of repeated rows."""
+    near = told(given.select("id", "text"), wanted, "id").where("_may").drop("_may")
+    if repeated.isEmpty():
+        return near
+    every = told(near, repeated, "id")
+    once = every.where("_may").groupBy("id").agg(F.first("text").alias("text"))
+    return every.where(~F.col("_may")).drop("_may").unionByName(once)
+
+
+def _short_sets(rows: DataFrame, width: int) -> DataFrame:
+    """id, n, set of rows id, text: the set's 8 * n bytes, or the text of which it is made, if that is less once it is compressed
+    (hashes cannot be); a text of 8 * n bytes is not taken, so the length tells which it is."""
+
+    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begun, texts in pieces(batch.column("text").to_pylist()):
+                held, plain = list(_distinct(texts, width)), [x.encode() for x in texts]
+                shorter = [t if 8 * len(x) != len(t) < 12 * len(x) else x.tobytes() for x, t in zip(held, plain, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(begun, len(texts)), pa.array([len(x) for x in held], pa.int64()), pa.array(shorter, pa.binary())],
+                    ["id", "n", "set"])
+
+    return in_arrow(rows, shortened, "id long, n long, set binary")
+
+
+def _whole_sets(rows: DataFrame, width: int) -> DataFrame:
+    """id, family, n, set of rows id, family, n, set (see `_short_sets`)."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short_sets = batch.column("set").to_pylist()
+            plain = ["" if len(x) == 8 * n else x.decode() for x, n in zip(short_sets, batch.column("n").to_pylist(), strict=True)]
+            for begun, texts in pieces(plain):
+                part = batch.slice(begun, len(texts))
+                sets = [x.tobytes() if text else short_sets[begun + k] for k, (text, x) in enumerate(zip(texts, _distinct(texts, width), strict=True))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "family", "n")), pa.array(sets, pa.binary())], ["id", "family", "n", "set"])
+
+    return in_arrow(rows.select("id", "family", "n", "set"), whole, "id long, family long, n long, set binary")
+
+
+def _rarest(entries: DataFrame, percent: int, stored: DataFrame | None = None) -> DataFrame:
     """key, id: the rarest entries of each set, so many that a similar set has one of them. `entries`: id, part, n, key, all
     entries of each set in that part.
 
-    Entries of one set only are the rarest and tie nothing; they are counted and left out."""
+    Entries of one set only are the rarest and tie nothing; they are counted and left out, most of them before any shuffle
+    if a landed table is given, `stored`, from which the entries are taken."""
+    if stored is not None:
+        twice = repeated_hashes(entries, "key", stored)
+        entries = sifted(entries, short(F.col("key")), sieve(twice, "hash")).where("_may").drop("_may")
     counts = landed(entries.groupBy("key").agg(F.count(F.lit(1)).alias("common")).where("common > 1"))
     own = Window.partitionBy("id", "part")
     place = F.row_number().over(own.orderBy("common", "key")) + F.col("n") - F.count(F.lit(1)).over(own)
@@ -178,8 +224,18 @@ def _loose_keys(sets: DataFrame, percent: int) -> DataFrame:
     return _rarest(rows.select("id", "part", "n", F.explode("entries").alias("key")), percent)
 
 
-def _divided(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """id, family of the sets in `found` (id, family), large families divided by their rarest entries; a stored table."""
+def _renamed(found: DataFrame, names: DataFrame) -> DataFrame:
+    """id (`own` of the same id in `names`), family (the smallest such id in it) of `found` (id, family); a stored table."""
+    named = landed(within(names.select("id", "own"), found, "id").select("own", "family"))
+    firsts = landed(named.groupBy("family").agg(F.min("own").alias("first")), named)
+    renamed = landed(named.join(firsts, "family").select(F.col("own").alias("id"), F.col("first").alias("family")))
+    dropped(found, named, firsts)
+    return renamed
+
+
+def _divided(found: DataFrame, sets: DataFrame, percent: int, width: int = 0) -> DataFrame:
+    """id, family of the sets in `found` (id, family), large families divided by their rarest entries; a stored table.
+    `sets`: id, n, set (see `_short_sets`; without texts no width is needed)."""
     large = landed(found.groupBy("family").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > LARGE).select("family"), found)
     if large.isEmpty():
         return found
@@ -193,12 +249,12 @@ def _divided(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     [row.column("id"), row.column("family"), row.column("n"), packed([values])], ["id", "family", "n", "entries"])
 
     wanted = landed(found.join(large, "family").select("id", "family"), found)
-    rows = within(sets.select("id", "n", "set"), wanted, "id").select("id", "family", "n", "set")
+    rows = _whole_sets(within(sets.select("id", "n", "set"), wanted, "id"), width)
     rows = landed(in_arrow(rows, spread, "id long, family long, n long, entries array<long>"))
     # a family's number makes its entries its own
     entries = rows.select("id", F.lit(0).alias("part"), "n", F.explode("entries").alias("key"), "family").withColumn(
         "key", F.xxhash64("family", "key")).drop("family")
-    again = families(landed(_rarest(entries, percent)), rows)
+    again = families(landed(_rarest(entries, percent, rows)), rows)
     divided = landed(found.join(large, "family", "left_anti").select("id", "family").union(again.select("id", "family")))
     dropped(found, large, wanted, rows, again)
     return divided
@@ -207,35 +263,37 @@ def _divided(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _joined(documents: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """key, text_hash, n, component (any number it has; null without a set), component_id, n_copies of every row."""
     given = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
-    rows = landed(_features(given, width, percent).withColumn("id", F.monotonically_increasing_id()))
+    # a row's id tells its text wherever it is read again; repeated rows have one
+    identity = F.xxhash64("key", "text_hash").alias("id")
+    rows = landed(_features(given, width, percent).withColumn("row", F.monotonically_increasing_id()))
     prints = ["n", "f1", "f2"]
-    classes = landed(rows.where("n > 0").groupBy(*prints).agg(
-        F.min("id").alias("first"), F.min("key").alias("least"), F.count(F.lit(1)).alias("n_copies")), rows)
-    several = landed(classes.where("n_copies > 1").select(*prints, "first"), rows)
-    copies = landed(within(rows.where("n > 0").select("id", *prints), several, *prints).where("id <> first").select("id"), rows)
-    single = without(rows.where("n > 0").select("id", "n", "part"), copies, "id")
+    classes = landed(rows.where("n > 0").select("*", identity).groupBy(*prints).agg(
+        F.min("row").alias("row"), F.min_by("id", "row").alias("first"), F.min("key").alias("least"), F.count(F.lit(1)).alias("n_copies")), rows)
+    several = landed(classes.where("n_copies > 1").select(*prints, F.col("row").alias("kept")), rows)
+    copies = landed(within(rows.where("n > 0").select("row", *prints), several, *prints).where("row <> kept").select("row"), rows)
+    single = without(rows.where("n > 0").select("row", identity, "n", "part"), copies, "row")
     promising = _promising(single, percent, rows)
-    # one row of each set stands for it; its text is looked up by key and hash
-    wanted = landed(rows.select("id", "key", "text_hash").join(promising, "id"), rows)
-    # only texts that the sieve lets through are shuffled to their partners
-    near = told(given, wanted, "key", "text_hash").where("_may")
-    texts = near.join(wanted, near["key"].eqNullSafe(wanted["key"]) & (near["text_hash"] == wanted["text_hash"]))
-    texts = texts.select("id", "text")
-    if not rows.groupBy("key", "text_hash").count().where("count > 1").isEmpty():  # repeated rows have the text as well
-        texts = texts.groupBy("id").agg(F.first("text").alias("text"))
-    sets = landed(_sets(texts, width, percent))
-    loose = landed(_loose_keys(sets, percent))
-    found = families(sets.select(F.explode(F.array_distinct("keys")).alias("key"), "id").union(loose), sets)
-    found = _divided(found, sets, percent)
-    members = landed(within(sets.select("id", "n", "set"), found, "id").select("id", "family", "n", "set"), sets)
-    dropped(several, copies, promising, wanted, sets, loose, found)
+    repeated = landed(rows.groupBy(identity).count().where("count > 1").select("id"), rows)
+    slim = landed(rows.select("key", "text_hash", *prints), rows)
+    dropped(rows, several, copies)  # the counted parts are large
+    # one row of each set stands for it; a few more that the sieve lets through are equal to it, or similar to none
+    given = given.select(identity, "text")
+    keyed = _sets(_texts(given, promising, repeated), width, percent, held=False).withColumnRenamed("id", "own")
+    keyed = landed(keyed.withColumn("id", F.monotonically_increasing_id()))  # consecutive numbers take less of a shuffle
+    loose = landed(_loose_keys(keyed, percent))
+    found = families(keyed.select(F.explode(F.array_distinct("keys")).alias("key"), "id").union(loose), keyed)
+    found = _renamed(found, keyed)
+    dropped(promising, keyed, loose)
+    sets = landed(_short_sets(_texts(given, found, repeated), width))
+    found = _divided(found, sets, percent, width)
+    members = landed(_whole_sets(within(sets, found, "id"), width))
+    dropped(repeated, sets, found)
     linked = similar_components(members, percent)
     tied = classes.join(linked.withColumnRenamed("id", "first"), "first", "left").withColumn(
         "component", F.coalesce("component", "first"))
-    names = landed(tied.groupBy("component").agg(F.min("least").alias("component_id")), rows)
-    tied = landed(tied.join(names, "component").select(*prints, "component", "component_id", "n_copies"), rows)
-    slim = landed(rows.select("key", "text_hash", *prints), rows)
-    dropped(rows, classes, members, linked, names)
+    names = landed(tied.groupBy("component").agg(F.min("least").alias("component_id")), slim)
+    tied = landed(tied.join(names, "component").select(*prints, "component", "component_id", "n_copies"), slim)
+    dropped(classes, members, linked, names)
     return slim.join(tied, prints, "left").select("key", "text_hash", "n", "component", "component_id", "n_copies")
 
 
@@ -248,7 +306,7 @@ def ngram_join(documents: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     Equal sets are one set to the join, however many rows have them. A row with a null key takes part, but gives its
     component no name; a component without any key has none. Repeated rows are copies. Other columns are not looked at.
-    Sets are compared by 64-bit hashes of their windows. Needs the shared folder.
+    Sets are compared by 64-bit hashes of their windows, and rows are told by one of key and text. Needs the shared folder.
     """
     return _joined(documents, key, text, width, percent).select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"),

@@ -131,6 +131,40 @@ def test_sets_are_not_shuffled_unless_they_may_have_a_family(spark, monkeypatch)
     assert len(shipped) > 1 and all("_bits" in below for below in shipped)
 
 
+def test_texts_are_shuffled_once_at_most(spark, monkeypatch):
+    seen = []
+
+    def noted(frame, like=None):
+        seen.extend(joins(frame._jdf.queryExecution().optimizedPlan()))
+        return landed(frame, like)
+
+    monkeypatch.setattr(ngram_join, "landed", noted)
+    rows = near_copies()
+    assert ngram_join.ngram_join(edge_documents(spark, rows)).count() == len(rows)
+    assert seen and not any("text" in c for join in seen for c, _ in join)  # the keys are made where the texts are
+
+
+def test_short_sets_are_whole_again(spark):
+    texts = [prose(5, 40), "a b c " * 50, "wide " + "x" * 900, "", None, "abcdefg abcdefg abcdefg 123456789012345"[:24], prose(6, 3)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    held = {r.id: r for r in ngram_join._sets(rows, 3, 90).select("id", "n", "set").collect()}
+    stored = ngram_join._short_sets(rows, 3)
+    got = stored.collect()
+    assert all(len(r.set) <= max(8 * r.n, 12 * r.n) for r in got) and any(bytes(r.set) == texts[0].encode() for r in got)
+    whole = ngram_join._whole_sets(stored.withColumn("family", F.lit(0).cast("long")), 3).collect()
+    assert {(r.id, r.n, bytes(r.set)) for r in whole} == {(r.id, r.n, bytes(r.set)) for r in held.values()}
+    assert not any(r.set for r in ngram_join._sets(rows, 3, 90, held=False).collect())
+
+
+def test_rarest_entries_with_and_without_a_sieve(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, int(e)) for k in range(40) for e in {*rng.integers(0, 300, 20).tolist(), 1000 + k}]
+    entries = spark.createDataFrame([(k, 0, sum(x == k for x, _ in rows), e) for k, e in rows], "id long, part int, n long, key long")
+    entries = landed(entries.select("id", "part", "n", F.xxhash64("key").alias("key")))
+    plain, sifted = ([*map(tuple, ngram_join._rarest(entries, 80, x).collect())] for x in (None, entries))
+    assert plain and sorted(plain) == sorted(sifted)
+
+
 def test_families_of_real_documents_are_small(spark):
     documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     rows = landed(ngram_join._sets(documents.select(F.col("doc_id").alias("id"), "text"), 5, 80).where("n > 0").dropDuplicates(["set"]))
