@@ -215,6 +215,9 @@ def paragraphs(documents: DataFrame, key: str = "doc_id", text: str = "text", wi
     copies = landed(within(real.select("id", "f1", "f2"), classes.select("f1", "f2", "first"), "f1", "f2").where("id <> first").select("id"), found)
     single = without(real.select("id", "keys"), copies, "id")
     near = families(single.select("id", F.explode(F.array_distinct("keys")).alias("key")), found)
+    keyed, found = found, landed(found.drop("keys"), found)  # half of what is stored is keys, which no later step reads
+    real = found.where("line IS NOT NULL")
+    dropped(keyed, again)
     wanted = landed(within(real.select("id", "key", "text_hash", "line"), near, "id").groupBy("key", "text_hash").agg(
         F.collect_list(F.struct("line", "id", "family")).alias("wanted")), found)
     # only texts that the sieve lets through are shuffled to their partners
@@ -231,9 +234,9 @@ def paragraphs(documents: DataFrame, key: str = "doc_id", text: str = "text", wi
     tied = landed(tied.select("f1", "f2", "place", "n", "cluster").unionByName(lone.drop("id")), found)
     clusters = landed(tied.groupBy("cluster").agg(F.min("place").alias("kept"), F.sum("n").alias("n_in_cluster")).where("n_in_cluster > 1"), found)
     tied = landed(tied.join(clusters, "cluster").select("f1", "f2", "cluster", "kept", "n_in_cluster"), found)
-    dropped(again, copies, near, wanted, members, components, linked, others, classes, clusters)
+    dropped(copies, near, wanted, members, components, linked, others, classes, clusters)
     passages = repeated(found.where("line IS NULL").select("key", "text_hash", "doc", *WHOLE), given, length, found)
-    joined = beside(found.where("line IS NOT NULL OR bare").drop("keys", *WHOLE), tied, "f1", "f2")
+    joined = beside(found.where("line IS NOT NULL OR bare").drop(*WHOLE), tied, "f1", "f2")
     report = joined.select("key", "text_hash", "doc", "line", "last", "begin", "words", "cluster", "n_in_cluster", F.col("kept.key").alias("first_key"),
                            F.coalesce(F.col("kept") != place, F.lit(False)).alias("removed"))
     return report.unionByName(passages.withColumn("removed", F.lit(True)), allowMissingColumns=True)

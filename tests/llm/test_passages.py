@@ -141,3 +141,16 @@ def test_hashes_that_many_texts_share_are_no_rows_of_a_join(spark):
     assert passages._lone(texts).count() <= 10
     got = {x.key: sorted(x.spots) for x in passages._wanted(kept, twice, kept).collect()}
     assert got == {k: [39, 52, 65, 78, 91] for k in range(300)} | {400: [65], 401: [104]}
+
+
+def test_band_keys_are_gone_when_passages_are_looked_for(spark, monkeypatch):
+    seen, repeated = [], paragraph_dedup.repeated
+
+    def noted(rows, given, length, stored):
+        seen.append(stored.columns)
+        return repeated(rows, given, length, stored)
+
+    monkeypatch.setattr(paragraph_dedup, "repeated", noted)
+    rows = spark.createDataFrame([(1, "a b " * 40), (2, "a b " * 40)], "doc_id long, text string")
+    assert [r.doc_id for r in paragraph_dedup.without_repeats(rows).collect()] == [1]
+    assert seen and not any("keys" in columns for columns in seen)
